@@ -33,6 +33,8 @@ QUERY_BLOCK = 8192
 CELLS = 16
 #: Rows of one approximation file.
 FILE_ROWS = 4096
+#: Below any score of vectors whose components stay under 2**28 in absolute value.
+_NONE = -(1 << 62)
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -61,7 +63,7 @@ class _Best:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.reach = np.abs(vectors).sum(1).astype(float)
-        self.scores = np.full((len(ids), k), np.iinfo(np.int64).min)
+        self.scores = np.full((len(ids), k), _NONE)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def offer(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:

@@ -23,7 +23,10 @@ WIDTH = 192
 #: Rows of pixels on a page of ``store_texts``.
 PAGE_ROWS = 512
 #: How a text is stored, chosen by its checksum: compression, predictor, tile size (0: strips).
-LAYOUTS = [(tiff.NONE, 1, 0), (tiff.PACKBITS, 1, 0), (tiff.LZW, 1, 0), (tiff.DEFLATE, 1, 0), (tiff.DEFLATE, 2, 0), (tiff.LZW, 1, 64), (tiff.DEFLATE, 1, 64), (tiff.PACKBITS, 1, 64)]
+LAYOUTS = [
+    *((c, p, 0) for c, p in ((tiff.NONE, 1), (tiff.PACKBITS, 1), (tiff.PACKBITS, 2), (tiff.LZW, 1), (tiff.DEFLATE, 1), (tiff.DEFLATE, 2))),
+    *((c, p, 64) for c, p in ((tiff.NONE, 1), (tiff.PACKBITS, 1), (tiff.DEFLATE, 2), (tiff.LZW, 1), (tiff.DEFLATE, 1), (tiff.NONE, 2))),
+]
 _PAGES = "row long, doc_id long, n_bytes long, media_bytes long, media_sha256 string, page int, n_pages int, width int, length int, compression int, predictor int, tiled boolean, pixels binary, error string"
 _PAGES_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("page", pa.int32()), ("n_pages", pa.int32()), ("width", pa.int32()), ("length", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())])
 _STORED = "row long, doc_id long, n_bytes long, media binary"

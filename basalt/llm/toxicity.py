@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier fitted by non-negative positive-unlabelled learning.
 
 Learns from confirmed toxic documents and unlabelled documents alone; labels of 0 serve only the class prior
-(the share of toxic rows among usable labels). Features are the presence of words that confirmed documents
-hold clearly more often than unlabelled ones, chosen by Spark from document counts. The risk is
+(the share of toxic rows among usable labels). Features are the presence of words, and of beginnings of
+words, that confirmed documents hold clearly more often than unlabelled ones, chosen by Spark from document counts. The risk is
 
     prior * R+(confirmed) + max(0, R-(unlabelled) - prior * R-(confirmed)),
 
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import read_table, tune
 from .quality import fold
-from .textkernel import chunks, word_hashes, word_spans
+from .textkernel import chunks, mix, word_hashes, word_spans
 
 THRESHOLD = 0.7
 CONFIRMED_ROWS = 10_000
 UNLABELLED_ROWS = 20_000
-VOCABULARY = 256
+VOCABULARY = 512
+#: Bytes of the beginnings of words that are features beside whole words.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: A word is considered if so many confirmed documents hold it and its share there is so many times as large.
 LEAST_DOCUMENTS = 3
 LEAST_RATIO = 2.0
@@ -48,14 +50,27 @@ class Model:
     bias: float
 
 
-def _word_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """For each text its distinct words' hashes."""
+def _terms(column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """For each chunk its number of texts and, by kind of term, the terms' hashes with the texts they stand in."""
     for lo, hi, data, offsets in chunks(column):
         plain = _PLAIN[data]
         starts, ends, first = word_spans(plain, offsets)
-        words = word_hashes(plain, starts, ends)
-        for i in range(hi - lo):
-            yield np.unique(words[first[i] : first[i + 1]])
+        owner = np.repeat(np.arange(hi - lo), np.diff(first))
+        kinds = [(word_hashes(plain, starts, ends), owner)]
+        for size in BEGINNINGS:
+            some = ends - starts > size
+            kinds.append((mix(word_hashes(plain, starts[some], starts[some] + size) ^ np.uint64(size)), owner[some]))
+        yield hi - lo, kinds
+
+
+def _word_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text its distinct terms' hashes."""
+    for n, kinds in _terms(column):
+        owner = np.concatenate([o for _, o in kinds])
+        words = np.concatenate([w for w, _ in kinds])[np.argsort(owner, kind="stable")]
+        cuts = np.searchsorted(np.sort(owner), np.arange(n + 1))
+        for i in range(n):
+            yield np.unique(words[cuts[i] : cuts[i + 1]])
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,17 +89,25 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"word": words[cut].view(np.int64), "p": p[cut].astype(np.int64), "u": (n - p)[cut].astype(np.int64)})
 
 
-def _present(vocabulary: np.ndarray, sets: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
-    for s in sets:
-        at = np.searchsorted(vocabulary, s)
-        at[at == len(vocabulary)] = 0
-        yield at[vocabulary[at] == s] if len(vocabulary) else at[:0]
+def _present(vocabulary: np.ndarray, column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the places of its terms in the vocabulary."""
+    size = max(1, len(vocabulary))
+    for n, kinds in _terms(column):
+        found = []
+        for words, owner in kinds if len(vocabulary) else []:
+            at = np.minimum(np.searchsorted(vocabulary, words), size - 1)
+            hit = vocabulary[at] == words
+            found.append(owner[hit] * size + at[hit])
+        found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        cuts = np.searchsorted(found, np.arange(n + 1) * size)
+        for i in range(n):
+            yield found[cuts[i] : cuts[i + 1]] % size
 
 
 def _features(vocabulary: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.tolist() for x in _present(vocabulary, _word_sets(batch.column("text")))]
+            found = [x.tolist() for x in _present(vocabulary, batch.column("text"))]
             yield pa.RecordBatch.from_pydict({"confirmed": batch.column("confirmed"), "found": found}, schema=pa.schema([("confirmed", pa.bool_()), ("found", pa.list_(pa.int32()))]))
 
     return task
@@ -150,7 +173,7 @@ def _score(broadcast, threshold: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         for batch in batches:
-            z = np.array([model.weights[x].sum() for x in _present(model.words, _word_sets(batch.column("text")))]) + model.bias
+            z = np.array([model.weights[x].sum() for x in _present(model.words, batch.column("text"))]) + model.bias
             p = 1 / (1 + np.exp(-z))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= threshold).astype(np.int32)}, schema=schema)
 

@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, media_tiff, ngram_jaccard, quality, substring_dedup, toxicity
+from . import exact_topk, licenses, media_tiff, ngram_jaccard, quality, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
+    "op5_secrets": secrets.op5_secrets,
     "op6_exact_topk": exact_topk.op6_exact_topk,
     "op7_media_tiff": media_tiff.op7_media_tiff,
+    "op8_licenses": licenses.op8_licenses,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL: dict[str, str] = {
     "op3_ngram_jaccard": ngram_jaccard.OP3_SQL,
+    "op5_secrets": secrets.OP5_SQL,
     "op6_exact_topk": exact_topk.OP6_SQL,
+    "op8_licenses": licenses.OP8_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
 }

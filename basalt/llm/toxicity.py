@@ -7,6 +7,8 @@ words, that confirmed documents hold clearly more often than unlabelled ones, ch
     prior * R+(confirmed) + max(0, R-(unlabelled) - prior * R-(confirmed)),
 
 with logistic losses; where the second part falls below zero, the step goes uphill on it, as the method asks.
+The bias is then set by the class prior: the largest gap between unlabelled scores near the quantile that the
+prior names becomes the place where the score is ``THRESHOLD``.
 Both samples are bounded (``CONFIRMED_ROWS``, ``UNLABELLED_ROWS``, rows with the smallest hashes); all rows
 are scored, whole texts each.
 
@@ -134,6 +136,18 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w[:-1], float(w[-1])
 
 
+def _shift(scores: np.ndarray, prior: float, slack: float = 0.3) -> float:
+    """What to add to unlabelled logits so that the threshold falls into their largest gap near the prior's quantile."""
+    z = np.sort(scores)
+    lo = int(len(z) * (1 - prior * (1 + slack)))
+    hi = max(lo + 2, int(len(z) * (1 - prior * (1 - slack))))
+    part = z[lo:hi]
+    if len(part) < 2:
+        return 0.0
+    at = int(np.argmax(np.diff(part)))
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (part[at] + part[at + 1]) / 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column, label: str = "toxic") -> Model:
     """Learns labels only from rows for which ``usable`` (a condition on doc_id) holds."""
     spark = docs.sparkSession
@@ -164,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, label: str = "to
     flag = np.array([r["confirmed"] for r in rows], bool)
     if not flag.any() or flag.all():
         return bare
-    return Model(vocabulary, *fit_nnpu(x[flag], x[~flag], prior))
+    weights, bias = fit_nnpu(x[flag], x[~flag], prior)
+    return Model(vocabulary, weights, bias + _shift(x[~flag] @ weights + bias, prior))
 
 
 def _score(broadcast, threshold: float):

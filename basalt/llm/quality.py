@@ -143,6 +143,19 @@ def score(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD)
     return texts.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold), "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, whole, whose text scores ``threshold`` at least."""
+    tune(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = held.value.predict(statistics(batch.column("text"))) >= threshold
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all ``documents``; labels of the held-out quarter are never seen."""
     docs = read_table(spark, sf_dir, "documents")

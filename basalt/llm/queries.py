@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, licenses, media_tiff, ngram_jaccard, quality, secrets, substring_dedup, toxicity
+from . import exact_topk, licenses, media_tiff, mixing, ngram_jaccard, quality, secrets, sentencepiece_codec, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
+    "op4_mixing": mixing.op4_mixing,
     "op5_secrets": secrets.op5_secrets,
     "op6_exact_topk": exact_topk.op6_exact_topk,
     "op7_media_tiff": media_tiff.op7_media_tiff,

@@ -102,22 +102,30 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+def base_spans(text: Column) -> Column:
+    """Spans of the fixed patterns, by start and kind."""
+    assign = _places(text, ASSIGN, 0, lambda s: F.length(s["extra"]) >= ASSIGN_LEAST, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
+    access = F.when(text.contains("AKIA"), _places(text, ACCESS, 1, lambda s: F.length(s["match"]) >= ACCESS_LEAST)).otherwise(F.array().cast(_SPAN))
+    return F.array_sort(F.concat(assign, access, _places(text, HEX, 2)))
+
+
+def random_spans(text: Column, ratios: str) -> Column:
+    """Spans of tokens whose likelihood ratio reaches ``LEAST_RATIO``."""
+    table = F.split(F.lit(ratios), ",").cast("array<double>")  # folded to one literal
+    return _places(text, TOKEN, 3, lambda s: _ratio(s["match"], table) >= LEAST_RATIO)
+
+
+def has_secret(text: Column, ratios: str) -> Column:
+    """Whether a text holds any span."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.size(base_spans(text)) > 0) | (F.size(random_spans(text, ratios)) > 0)
+
+
 def scan(docs: DataFrame, ratios: str | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the spans found, as arrays of (start, kind, end): ``base``, ``found``."""
     ratios = train(docs) if ratios is None else ratios
-    table = F.split(F.lit(ratios), ",").cast("array<double>")  # folded to one literal
-    text = F.col("text")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).select(
-        "doc_id",
-        F.array_sort(
-            F.concat(
-                _places(text, ASSIGN, 0, lambda s: F.length(s["extra"]) >= ASSIGN_LEAST, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))),
-                F.when(text.contains("AKIA"), _places(text, ACCESS, 1, lambda s: F.length(s["match"]) >= ACCESS_LEAST)).otherwise(F.array().cast(_SPAN)),
-                _places(text, HEX, 2),
-            )
-        ).alias("base"),
-        _places(text, TOKEN, 3, lambda s: _ratio(s["match"], table) >= LEAST_RATIO).alias("random"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = rows.select("doc_id", base_spans(F.col("text")).alias("base"), random_spans(F.col("text"), ratios).alias("random"))
     free = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", free)).alias("found"))
 

@@ -1,8 +1,61 @@
-"""Corpus pipeline."""
+"""From raw documents to token ids: quality, near duplicates, secrets, mixture, encoding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``docs``. A document is known by its doc_id; rows with a null doc_id pass the filters they can be judged by
+and are left out of the mixture.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.llm import mixing, ngram_jaccard, quality, secrets, sentencepiece_codec
+from basalt.llm.common import materialize, read_table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from labelled documents outside the held-out quarter."""
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), quality.fold("doc_id", 4) != 2)
+    return quality.keep_good(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the shingle join the smallest doc_id stays."""
+    gone = ngram_jaccard.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a secret go."""
+    return docs.filter(~secrets.has_secret(F.col("text"), secrets.train(docs)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    taken = mixing.mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("int(taken div size)")).alias("_copies"))
+    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the piece ids of each document."""
+    return sentencepiece_codec.encode(docs).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", drop_secrets),
+    ("mixture", mix_sources),
+    ("encoding", encode_texts),
+]
+
+#: Trees, hashes and token ids are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -74,7 +74,7 @@ class _Known:
         self.hashes, self.starts, self.counts = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
 
 
-_KNOWN: dict[int, _Known] = {}
+_KNOWN: dict[str, _Known] = {}
 
 
 def _alone(vocabulary: Vocabulary) -> np.ndarray:
@@ -150,11 +150,11 @@ class Decoder:
         return data[1:] if data[:1] == b" " else data
 
 
-def _with_vocabulary(vocabulary, task):
+def _with_vocabulary(vocabulary, task, key: str = MODEL):
     """A worker keeps what it encoded from task to task; ``key`` tells vocabularies apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _KNOWN.setdefault(vocabulary.id, _Known())
+        known = _KNOWN.setdefault(key, _Known())
         yield from task(vocabulary.value, known, batches)
 
     return run
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id and the piece ``ids``."""
     tune(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with_vocabulary(vocabulary, _encode), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with_vocabulary(vocabulary, _encode, path), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -212,7 +212,7 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     tune(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_with_vocabulary(vocabulary, _digest), "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return texts.mapInArrow(_with_vocabulary(vocabulary, _digest, path), "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

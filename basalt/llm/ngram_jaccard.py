@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose word shingle sets reach a Jaccard similarity, and their components.
 
-Method: token-combination prefixes. Shingles stand in one global order: those that occur once, then rare
-ones, then frequent ones (classes read off a merged count-min sketch of all shingles). A document with ``s``
+Method: token-combination prefixes. Shingles stand in one global order: those that occur once, then the
+others by the level of their count, rarest first (read off a merged count-min sketch of all shingles). A document with ``s``
 shingles may miss ``t = s - ceil(0.75 s)`` of them in any partner. Its prefix is extended until losing any
 ``t`` tokens leaves a rare token or two frequent ones: rare tokens are indexed alone, frequent ones in
 combinations of two. Linked documents share an indexed token or combination; every candidate is verified.
@@ -32,7 +32,9 @@ from .textkernel import WINDOW_BASES, chunks, lower_ascii, mix, window_hashes, w
 
 WORDS = 5
 PERCENT = 75
-#: A shingle is frequent from this share of all shingle occurrences, and this many, on.
+#: Shingles are told apart by level from this count on.
+LEVEL_LEAST = 8
+#: A shingle is of the frequent class from this share of all shingle occurrences, and this many, on.
 FREQUENT_SHARE = 5000
 FREQUENT_LEAST = 256
 _SETS = "doc_id long, n long, d1 long, d2 long, kept int, rare int, tokens binary"
@@ -59,7 +61,7 @@ def _keys(k: int):
     return lambda batch: (x for x in _shingle_sets(batch.column("text"), k) if len(x))
 
 
-def _sets(lookup, k: int, percent: int):
+def _sets(lookup, k: int, percent: int, frequent_level: int):
     """Each document's size and set digest; for those that can have a partner, the shingles others may have."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,20 +70,20 @@ def _sets(lookup, k: int, percent: int):
             sets = list(_shingle_sets(batch.column("text"), k))
             sizes = np.array([len(x) for x in sets], np.int64)
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            maybe, often = seen.maybe_repeated(every), seen.is_frequent(every)
+            maybe, levels = seen.maybe_repeated(every), seen.level(every)
             ends = np.cumsum(sizes)
             out: dict[str, list] = {n: [] for n in _SETS_ARROW.names}
             for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-                x, may, freq = every[lo:hi], maybe[lo:hi], often[lo:hi]
+                x, may = every[lo:hi], maybe[lo:hi]
                 s = hi - lo
-                rare, frequent = x[may & ~freq], x[may & freq]
-                kept = len(rare) + len(frequent)
+                others, level = x[may], levels[lo:hi][may]
+                kept = len(others)
                 partner = s > 0 and s - kept <= s - -(-percent * s // 100)
                 out["d1"].append(int(mix(x).sum(dtype=np.uint64).view(np.int64)))
                 out["d2"].append(int(mix(x ^ np.uint64(WINDOW_BASES[1])).sum(dtype=np.uint64).view(np.int64)))
                 out["kept"].append(kept if partner else None)
-                out["rare"].append(len(rare) if partner else None)
-                out["tokens"].append(np.concatenate([rare, frequent]).tobytes() if partner else None)
+                out["rare"].append(int((level < frequent_level).sum()) if partner else None)
+                out["tokens"].append(others[np.argsort(level, kind="stable")].tobytes() if partner else None)
             out["n"] = sizes
             out["doc_id"] = batch.column("doc_id")
             yield pa.RecordBatch.from_pydict(out, schema=_SETS_ARROW)
@@ -111,7 +113,7 @@ def _signatures(percent: int):
                     f = x[n_rare : n_rare + need - n_rare + 1]
                     i, j = np.triu_indices(len(f), 1)
                     sigs.append(mix(f[i] * np.uint64(WINDOW_BASES[0]) + f[j]))
-                    rooms.append(kept - n_rare - i)
+                    rooms.append(kept - n_rare - j + 1)  # the second token may stand one place later
                 owners.extend([row] * (len(alone) + (len(sigs[-1]) if need > n_rare else 0)))
             if not owners:
                 continue
@@ -140,15 +142,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tune(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = texts.select("text").mapInArrow(sketch.part_sketch(_keys(words), 1), sketch.PART_SCHEMA)
-    lookup, _ = sketch.build(parts, 1, frequent_share=FREQUENT_SHARE, frequent_least=FREQUENT_LEAST)
-    sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(lookup), words, percent), _SETS), "sets")
+    lookup, occurrences = sketch.build(parts, 1, frequent_least=LEVEL_LEAST)
+    frequent_level = int(np.ceil(np.log2(max(FREQUENT_LEAST, occurrences // FREQUENT_SHARE))))
+    sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(lookup), words, percent, frequent_level), _SETS), "sets")
 
     able = sets.filter("tokens is not null")
     classes = able.groupBy("d1", "d2").agg(F.min("doc_id").alias("eldest"))
     eldest = able.filter("doc_id is not null").join(classes, ["d1", "d2"]).filter("doc_id = eldest").dropDuplicates(["doc_id", "d1", "d2"])
     eldest = materialize(eldest.select("doc_id", "n", "kept", "rare", "tokens"), "eldest")
     index = eldest.mapInArrow(_signatures(percent), "sig long, doc_id long, n long, kept int, room long")
-    entries = index.groupBy("sig").agg(F.count("*").alias("members"), F.max(F.struct((F.col("kept") / F.col("n")).alias("clean"), "n", "doc_id", "kept", "room")).alias("pivot")).filter("members > 1")
+    entries = index.groupBy("sig").agg(F.count("*").alias("members"), F.max(F.struct((F.col("room") / F.col("n")).alias("clean"), "n", (-F.col("doc_id")).alias("minus"), "doc_id", "kept", "room")).alias("pivot")).filter("members > 1")
     index = materialize(index.join(entries, "sig").select("sig", "doc_id", "n", "kept", "room", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.kept").alias("pkept"), F.col("pivot.room").alias("proom")), "index")
 
     def fits(n: str, m: str, *most: str) -> str:

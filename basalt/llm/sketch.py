@@ -23,8 +23,8 @@ from .textkernel import mix
 
 #: Largest number of cells of a row, as a power of two: 64 MB of bitmap a row.
 MAX_BITS = 29
-#: Most frequent cells that are listed: 4 MB.
-MAX_FREQUENT = 1 << 20
+#: Most frequent cells that are listed, at 5 bytes each.
+MAX_FREQUENT = 1 << 24
 BLOCK_BITS = 6
 FLUSH_KEYS = 1 << 22
 PART_SCHEMA = "row int, block int, keys long, cells binary, extra binary"
@@ -96,6 +96,7 @@ class Lookup:
     bits: int
     repeated: list[np.ndarray]
     frequent: np.ndarray
+    levels: np.ndarray
 
     def maybe_repeated(self, keys: np.ndarray) -> np.ndarray:
         """False only where a key was counted at most once."""
@@ -105,22 +106,25 @@ class Lookup:
             ok &= (bitmap[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 != 0
         return ok
 
-    def is_frequent(self, keys: np.ndarray) -> np.ndarray:
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Whole base-2 logarithm of the count of a key's cell, 0 where the cell isn't listed."""
         if not len(self.frequent):
-            return np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.uint8)
         cells = cells_of(keys, 0, self.bits)
         at = np.minimum(np.searchsorted(self.frequent, cells), len(self.frequent) - 1)
-        return self.frequent[at] == cells
+        return np.where(self.frequent[at] == cells, self.levels[at], 0).astype(np.uint8)
 
 
 def _merge(bits: int, threshold: int) -> Callable:
     small = 1 << (bits - BLOCK_BITS)
 
     def done(key: tuple[int, int], counts: np.ndarray) -> pa.RecordBatch:
-        often = np.flatnonzero(counts >= threshold).astype(np.uint32) + np.uint32(key[1] * small) if key[0] == 0 else np.zeros(0, np.uint32)
+        often = np.flatnonzero(counts >= threshold) if key[0] == 0 else np.zeros(0, np.int64)
+        levels = np.log2(counts[often]).astype(np.uint8)
+        often = often.astype(np.uint32) + np.uint32(key[1] * small)
         return pa.RecordBatch.from_pydict(
-            {"row": [key[0]], "block": [key[1]], "bitmap": [zstandard.compress(np.packbits(counts > 1, bitorder="little").tobytes(), 1)], "often": [often.tobytes()]},
-            schema=pa.schema([("row", pa.int32()), ("block", pa.int32()), ("bitmap", pa.binary()), ("often", pa.binary())]),
+            {"row": [key[0]], "block": [key[1]], "bitmap": [zstandard.compress(np.packbits(counts > 1, bitorder="little").tobytes(), 1)], "often": [often.tobytes()], "levels": [levels.tobytes()]},
+            schema=pa.schema([("row", pa.int32()), ("block", pa.int32()), ("bitmap", pa.binary()), ("often", pa.binary()), ("levels", pa.binary())]),
         )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,22 +147,25 @@ def _merge(bits: int, threshold: int) -> Callable:
     return task
 
 
-def build(parts: DataFrame, depth: int, cells_a_key: int = 4, frequent_share: int | None = None, frequent_least: int = 1 << 62) -> tuple[Lookup, int]:
+def build(parts: DataFrame, depth: int, cells_a_key: int = 4, frequent_least: int = 1 << 62) -> tuple[Lookup, int]:
     """Merge partition sketches. Returns the lookup and the number of keys counted.
 
-    ``frequent_least``: cells with so many keys at least are listed as frequent; with ``frequent_share``
-    the least is keys / frequent_share where that is more, which bounds the list.
+    ``frequent_least``: cells with so many keys at least are listed with their level; it is raised to
+    keys / MAX_FREQUENT where that is more, which bounds the list.
     """
     parts = materialize(parts, "sketch")
     keys = parts.filter("row = 0").agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0]
     bits = min(MAX_BITS, max(16, int(keys * cells_a_key).bit_length()))
-    least = max(frequent_least, keys // MAX_FREQUENT + 1, keys // frequent_share if frequent_share else 0)
+    least = max(frequent_least, keys // MAX_FREQUENT + 1)
     spread = F.col("row") * (1 << BLOCK_BITS) + F.col("block")
-    merged = parts.drop("keys").repartition(depth << max(1, min(BLOCK_BITS, bits - 20)), spread).sortWithinPartitions("row", "block").mapInArrow(_merge(bits, least), "row int, block int, bitmap binary, often binary")
+    merged = parts.drop("keys").repartition(depth << max(1, min(BLOCK_BITS, bits - 20)), spread).sortWithinPartitions("row", "block").mapInArrow(_merge(bits, least), "row int, block int, bitmap binary, often binary, levels binary")
     bitmaps = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(depth)]
-    often = []
+    often, levels = [], []
     width = 1 << (bits - BLOCK_BITS - 3)
     for row in merged.toLocalIterator() if bits > 27 else merged.collect():  # bounded by MAX_BITS and MAX_FREQUENT
         bitmaps[row["row"]][row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(zstandard.decompress(bytes(row["bitmap"])), np.uint8)
         often.append(np.frombuffer(bytes(row["often"]), np.uint32))
-    return Lookup(bits, bitmaps, np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint32)), keys
+        levels.append(np.frombuffer(bytes(row["levels"]), np.uint8))
+    cells = np.concatenate([np.zeros(0, np.uint32), *often])
+    order = np.argsort(cells)
+    return Lookup(bits, bitmaps, cells[order], np.concatenate([np.zeros(0, np.uint8), *levels])[order]), keys

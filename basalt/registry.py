@@ -1,10 +1,5 @@
 """All queries of the engine outside the training-data subpackage."""
 
-from __future__ import annotations
+from basalt.plans.queries import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

@@ -36,6 +36,10 @@ LEARN_LEAST = 16
 SAMPLE = 20_000
 ORDINARY_DOCS = 2_000
 LEAST_RATIO = 15.0
+#: A random string has so many different characters at least; runs of few characters are no secrets.
+LEAST_DISTINCT = 8
+#: How many observations the plain character frequencies count for in a pair's probability.
+BACK_OFF = 10
 _ORDINARY = r"[A-Za-z]{8,}"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -61,15 +65,23 @@ def _places(text: Column, pattern: str, kind: int, keep: Column | None = None, e
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
+def _neighbours(text: Column, of) -> Column:
+    """``of`` each pair of neighbouring characters (as 128 * first + second), then a null: one walk over the text."""
+    chars = F.split(text, "")
+    return F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), of(F.ascii(a) * 128 + F.ascii(b))))
+
+
 def _pairs(strings: DataFrame) -> DataFrame:
     """Counts of character pairs (as 128 * first + second) of the column ``s``."""
-    codes = F.transform(F.split("s", ""), lambda c: F.ascii(c))
-    pairs = F.filter(F.transform(codes, lambda c, i: F.when(i > 0, F.get(codes, i - 1) * 128 + c)), lambda p: p.isNotNull())
+    pairs = F.filter(_neighbours(F.col("s"), lambda pair: pair), lambda p: p.isNotNull())
     return strings.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame) -> str:
-    """Log-likelihood ratios of all character pairs, as text: random over ordinary, with add-one counts."""
+    """Log-likelihood ratios of all character pairs, as text: random over ordinary.
+
+    The probability of a character after another backs off to the character's own, which has add-one counts.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = docs.filter(text.rlike(ASSIGN)).select(F.explode(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).alias("s"))
     random = hit.filter(F.length("s") >= LEARN_LEAST).distinct().orderBy(F.md5("s")).limit(SAMPLE)
@@ -81,20 +93,24 @@ def train(docs: DataFrame) -> str:
     for side, table in enumerate((random, ordinary)):
         for row in _pairs(table).collect():  # at most 128 x 128 rows
             counts.setdefault(row["pair"], [0, 0])[side] += row["n"]
-    totals = [[sum(c[side] for p, c in counts.items() if p // 128 == first) for first in range(128)] for side in (0, 1)]
     chars = 66  # letters, digits and + / _ = are what tokens are made of; add-one over them
-    none = [0, 0]
-    ratios = []
-    for pair in range(128 * 128):
-        n = counts.get(pair, none)
-        first = pair // 128
-        ratios.append(math.log((n[0] + 1) / (totals[0][first] + chars)) - math.log((n[1] + 1) / (totals[1][first] + chars)))
+    first = [[0] * 128, [0] * 128]
+    second = [[0] * 128, [0] * 128]
+    for pair, n in counts.items():
+        for side in (0, 1):
+            first[side][pair // 128] += n[side]
+            second[side][pair % 128] += n[side]
+
+    def likely(side: int, pair: int) -> float:
+        alone = (second[side][pair % 128] + 1) / (sum(second[side]) + chars)
+        return (counts.get(pair, (0, 0))[side] + BACK_OFF * alone) / (first[side][pair // 128] + BACK_OFF)
+
+    ratios = [math.log(likely(0, pair)) - math.log(likely(1, pair)) for pair in range(128 * 128)]
     return ",".join(f"{r:.9f}" for r in ratios)
 
 
 def _ratio(token: Column, table: Column) -> Column:
-    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
-    return F.aggregate(F.transform(codes, lambda c, i: F.when(i > 0, F.get(table, F.get(codes, i - 1) * 128 + c)).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(_neighbours(token, lambda pair: F.get(table, pair)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
 
 def _named(spans: Column) -> Column:
@@ -112,7 +128,8 @@ def base_spans(text: Column) -> Column:
 def random_spans(text: Column, ratios: str) -> Column:
     """Spans of tokens whose likelihood ratio reaches ``LEAST_RATIO``."""
     table = F.split(F.lit(ratios), ",").cast("array<double>")  # folded to one literal
-    return _places(text, TOKEN, 3, lambda s: _ratio(s["match"], table) >= LEAST_RATIO)
+    mixed = lambda s: F.size(F.array_distinct(F.split(s["match"], ""))) >= LEAST_DISTINCT
+    return _places(text, TOKEN, 3, lambda s: mixed(s) & (_ratio(s["match"], table) >= LEAST_RATIO))
 
 
 def has_secret(text: Column, ratios: str) -> Column:
@@ -156,7 +173,7 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
 {spans("a", ASSIGN, 0, f"regexp_extract_all(text, '{q}', 2)", f"len(x) >= {ASSIGN_LEAST}")},
 {spans("k", ACCESS, 1, "", f"len(m) >= {ACCESS_LEAST}")},
 {spans("h", HEX, 2)},
-{spans("t", TOKEN, 3)},
+{spans("t", TOKEN, 3, "", f"len(list_distinct(string_split(m, ''))) >= {LEAST_DISTINCT}")},
 pos as (select s from (select distinct unnest(regexp_extract_all(text, '{q}', 2)) as s from d) where len(s) >= {LEARN_LEAST} order by md5(s) limit {SAMPLE}),
 few as (select doc_id from (select distinct doc_id from d where doc_id is not null) order by md5(doc_id::varchar), doc_id limit {ORDINARY_DOCS}),
 ord as (select s from (select distinct unnest(regexp_extract_all(text, '{_ORDINARY}')) as s from d join few using (doc_id)) order by md5(s) limit {SAMPLE}),
@@ -165,10 +182,14 @@ pairs as (
   from (select 0 as side, s from pos union all select 1, s from ord)),
 n as (select a, b, count(*) filter (side = 0) as r, count(*) filter (side = 1) as o from pairs group by a, b),
 tot as (select a, sum(r) as r, sum(o) as o from n group by a),
+alone as (select b, sum(r) as r, sum(o) as o from n group by b),
+sums as (select coalesce(sum(r), 0) as r, coalesce(sum(o), 0) as o from n),
 tp as (select doc_id, start, "end", unnest(list_transform(range(1, len(m)), lambda i: m[i:i])) as a, unnest(list_transform(range(1, len(m)), lambda i: m[i+1:i+1])) as b from t),
 llr as (
-  select doc_id, start, "end", sum(round(ln((coalesce(n.r, 0) + 1) / (coalesce(tot.r, 0) + 66)) - ln((coalesce(n.o, 0) + 1) / (coalesce(tot.o, 0) + 66)), 9)) as ratio
-  from tp left join n using (a, b) left join tot on tot.a = tp.a group by all),
+  select doc_id, start, "end", sum(round(
+    ln((coalesce(n.r, 0) + {BACK_OFF} * ((coalesce(alone.r, 0) + 1) / (sums.r + 66))) / (coalesce(tot.r, 0) + {BACK_OFF})) -
+    ln((coalesce(n.o, 0) + {BACK_OFF} * ((coalesce(alone.o, 0) + 1) / (sums.o + 66))) / (coalesce(tot.o, 0) + {BACK_OFF})), 9)) as ratio
+  from tp cross join sums left join n using (a, b) left join tot on tot.a = tp.a left join alone on alone.b = tp.b group by all),
 base as (select doc_id, kind, start, "end" from a union all select doc_id, kind, start, "end" from k union all select doc_id, kind, start, "end" from h),
 every as (
   select *, true as is_base from base union all

@@ -180,12 +180,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     gone = windows.join(least, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id", "d1").agg(F.collect_set("pos").alias("starts"))
     gone = materialize(gone, "gone")
 
-    with_windows = long.select("doc_id", "d1", "d2", "n_words", "whole_sha256", "text").join(eldest, ["d1", "d2"])
-    copies = with_windows.filter("doc_id > eldest").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"), F.lit("").alias("kept_text"))
-    firsts = with_windows.filter("doc_id = eldest").join(gone, ["doc_id", "d1"], "left")
+    # what becomes of a text is told from its keys; of the texts only those to be cut are moved
+    keys = ["doc_id", "d1", "d2"]
+    rows = long.select(*keys, "n_words", "whole_sha256")
+    fate = rows.select(*keys).distinct().join(eldest, ["d1", "d2"]).join(gone, ["doc_id", "d1"], "left")
     whole = F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text")
-    untouched = firsts.filter("starts is null").select("doc_id", "n_words", *whole)
-    cut = firsts.filter("starts is not null").select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    settled = rows.join(fate.filter("doc_id > eldest or starts is null").select(*keys, (F.col("doc_id") > F.col("eldest")).alias("copy")), keys)
+    copies = settled.filter("copy").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"), F.lit("").alias("kept_text"))
+    untouched = settled.filter("not copy").select("doc_id", "n_words", *whole)
+    cut = long.select(*keys, "text").join(fate.filter("doc_id = eldest and starts is not null").select(*keys, "starts"), keys)
+    cut = cut.select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     rest = found.filter(F.col("at").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_words", *whole)
     return rest.unionByName(copies).unionByName(untouched).unionByName(cut)
 

@@ -189,15 +189,15 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same rows by joining all shingles and walking the links.
 OP3_SQL = r"""
-with recursive w as (
+with recursive w as materialized (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
-s as (
+s as materialized (
   select doc_id, case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
     else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) end as g from w),
-t as (select doc_id, unnest(g) as tok from s),
+t as materialized (select doc_id, unnest(g) as tok from s),
 i as (select x.doc_id as a, y.doc_id as b, count(*) as n from t x join t y on x.tok = y.tok and x.doc_id < y.doc_id group by all),
-l as (select a, b from i join s sa on sa.doc_id = a join s sb on sb.doc_id = b where 100 * n >= 75 * (len(sa.g) + len(sb.g) - n)),
-e as (select a, b from l union all select b, a from l),
+l as materialized (select a, b from i join s sa on sa.doc_id = a join s sb on sb.doc_id = b where 100 * n >= 75 * (len(sa.g) + len(sb.g) - n)),
+e as materialized (select a, b from l union all select b, a from l),
 r(id, c) as (select doc_id, doc_id from s union select e.b, r.c from r join e on e.a = r.id where r.c < e.b)
 select s.doc_id, len(g)::bigint as n_shingles, c.component_id from s join (select id, min(c) as component_id from r group by id) c on c.id = s.doc_id
 """

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that name a trait's negative and positive class.
-NEGATIVE = ("0", "no", "n", "negative", "-", "false", "absent")
-POSITIVE = ("1", "yes", "y", "positive", "+", "true", "present")
+NEGATIVE = ("no", "0", "-", "false", "negative", "neg", "n")
+POSITIVE = ("yes", "1", "+", "true", "positive", "pos", "y")
 
 
 def to_long(wide: DataFrame, key: Sequence[str], targets: Sequence[str]) -> DataFrame:
@@ -41,11 +41,13 @@ def encode_classes(long: DataFrame) -> DataFrame:
 
 
 def binary_classes(long: DataFrame) -> DataFrame:
-    """``class`` of two-valued targets: known negative words 0 and positive ones 1, else in the order of the text."""
-    low = F.lower(F.trim("value"))
-    sides = long.groupBy("target").agg(F.min(low).alias("_a"), F.max(low).alias("_b"), F.count_distinct(low).alias("_n")).filter("_n = 2")
-    swap = F.col("_a").isin(*POSITIVE) | F.col("_b").isin(*NEGATIVE)
-    return long.join(sides, "target").withColumn("class", F.when(low == F.col("_a"), F.when(swap, 1).otherwise(0)).otherwise(F.when(swap, 0).otherwise(1))).drop("_a", "_b", "_n")
+    """``class`` of two-valued targets: in the order of their text, turned round where only that puts a known positive word at 1 or a known negative one at 0."""
+    sides = long.groupBy("target").agg(F.min("value").alias("_a"), F.max("value").alias("_b"), F.count_distinct("value").alias("_n")).filter("_n = 2")
+    a, b = F.lower("_a"), F.lower("_b")
+    fits = a.isin(*NEGATIVE) | b.isin(*POSITIVE)
+    turned = ~fits & (a.isin(*POSITIVE) | b.isin(*NEGATIVE))
+    sides = sides.select("target", F.when(turned, F.col("_a")).otherwise(F.col("_b")).alias("_one"))
+    return long.join(sides, "target").withColumn("class", (F.col("value") == F.col("_one")).cast("int")).drop("_one")
 
 
 def _cut(place: Column, total: Column, train: float, val: float) -> Column:

@@ -28,7 +28,7 @@ from .common import materialize, read_table, tune
 from .textkernel import WINDOW_BASES, chunks, mix, window_hashes, window_mask, word_hashes, word_spans
 
 WINDOW = 50
-ANCHOR = 25
+ANCHOR = 40
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _FOUND = "doc_id long, d1 long, d2 long, n_words long, whole_sha256 string, at binary, h1 binary, h2 binary, text string"
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64()), ("whole_sha256", pa.string()), ("at", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary()), ("text", pa.string())])

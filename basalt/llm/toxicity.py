@@ -1,20 +1,22 @@
 """Toxicity: a linear classifier fitted by non-negative positive-unlabelled learning.
 
-Learns from confirmed toxic documents and unlabelled documents alone; labels of 0 serve only the class prior
-(the share of toxic rows among usable labels). Features are the presence of words, and of beginnings of
+Learns from confirmed toxic documents and unlabelled documents alone; labels of 0 serve the class prior (the
+share of toxic rows among usable labels) and the place of the threshold. Features are the presence of words, and of beginnings of
 words, that confirmed documents hold clearly more often than unlabelled ones, chosen by Spark from document counts. The risk is
 
     prior * R+(confirmed) + max(0, R-(unlabelled) - prior * R-(confirmed)),
 
 with logistic losses; where the second part falls below zero, the step goes uphill on it, as the method asks.
-The bias is then set by the class prior: the largest gap between unlabelled scores near the quantile that the
-prior names becomes the place where the score is ``THRESHOLD``.
-Both samples are bounded (``CONFIRMED_ROWS``, ``UNLABELLED_ROWS``, rows with the smallest hashes); all rows
-are scored, whole texts each.
+The bias is then set by the scores of usable labelled documents: where the shares of toxic and of other ones
+above a logit differ most, the score becomes ``THRESHOLD``. Shares within each class depend neither on how
+often a class is labelled nor on how often it stands among the documents.
+The samples are bounded (``CONFIRMED_ROWS``, ``UNLABELLED_ROWS``, ``PLACING_ROWS`` labelled documents of each
+class, those with the smallest hashes); all rows are scored, whole texts each.
 
 Defined cases: null and empty texts have no words and get the score of the bias; without confirmed documents
-all scores equal the prior; null or repeated label rows count once, by their largest label; rows may repeat;
-other columns are ignored.
+all scores equal the prior; where no usable document is labelled 0 the fitted bias stays; null or repeated
+label rows count once, by their largest label; rows may repeat, and those of a labelled doc_id place the
+threshold by their mean logit; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from .textkernel import chunks, mix, word_hashes, word_spans
 THRESHOLD = 0.7
 CONFIRMED_ROWS = 10_000
 UNLABELLED_ROWS = 20_000
+PLACING_ROWS = 10_000
 VOCABULARY = 512
 #: Bytes of the beginnings of words that are features beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -136,16 +139,21 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w[:-1], float(w[-1])
 
 
-def _shift(scores: np.ndarray, prior: float, slack: float = 0.3) -> float:
-    """What to add to unlabelled logits so that the threshold falls into their largest gap near the prior's quantile."""
-    z = np.sort(scores)
-    lo = int(len(z) * (1 - prior * (1 + slack)))
-    hi = max(lo + 2, int(len(z) * (1 - prior * (1 - slack))))
-    part = z[lo:hi]
-    if len(part) < 2:
+def _shift(toxic: np.ndarray, other: np.ndarray) -> float:
+    """What to add to logits so that the threshold falls where it tells labelled documents apart best.
+
+    Of the places between neighbouring logits at which the share of ``toxic`` above less that of ``other`` is
+    largest, the widest counts.
+    """
+    if not len(toxic) or not len(other):
+        return 0.0
+    z = np.unique(np.concatenate([toxic, other]))
+    if len(z) < 2:
         return 0.0
-    at = int(np.argmax(np.diff(part)))
-    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (part[at] + part[at + 1]) / 2)
+    toxic, other = np.sort(toxic), np.sort(other)
+    apart = np.searchsorted(other, z[:-1], "right") / len(other) - np.searchsorted(toxic, z[:-1], "right") / len(toxic)
+    at = int(np.argmax(np.where(apart >= apart.max() - 1e-12, np.diff(z), -1)))
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (z[at] + z[at + 1]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column, label: str = "toxic") -> Model:
@@ -179,7 +187,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, label: str = "to
     if not flag.any() or flag.all():
         return bare
     weights, bias = fit_nnpu(x[flag], x[~flag], prior)
-    return Model(vocabulary, weights, bias + _shift(x[~flag] @ weights + bias, prior))
+    model = Model(vocabulary, weights, bias)
+    placing = known.filter("y = 1").orderBy(*order).limit(PLACING_ROWS).union(known.filter("y = 0").orderBy(*order).limit(PLACING_ROWS))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(placing), "doc_id")  # bounded
+    logits = held.mapInArrow(_logits(spark.sparkContext.broadcast(model)), "doc_id long, y int, z double").groupBy("doc_id").agg(F.max("y").alias("y"), F.avg("z").alias("z"))
+    placed = [(r["y"], round(r["z"], 9)) for r in logits.collect()]  # a row for each doc_id of the bounded samples
+    model.bias += _shift(*(np.array([z for y, z in placed if y == side]) for side in (1, 0)))
+    return model
+
+
+def _logits(broadcast):
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("z", pa.float64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = broadcast.value
+        for batch in batches:
+            z = np.array([model.weights[x].sum() for x in _present(model.words, batch.column("text"))]) + model.bias
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "z": z}, schema=schema)
+
+    return task
 
 
 def _score(broadcast, threshold: float):

@@ -81,3 +81,19 @@ def test_nnpu():
     w, b = toxicity.fit_nnpu(positive, np.concatenate([negative, hidden]), 0.1)
     assert w[0] > 1 and w[1] > 1 and abs(w[2:]).max() < w[1]
     assert _auc(np.array([1] * 300 + [0] * 2700), np.concatenate([hidden, negative]) @ w + b) > 0.9
+
+
+def test_threshold_follows_scores_not_a_quota(spark):
+    """Labels hold 50 % toxic rows, documents 5 % or, with copies of a toxic text, 40 %."""
+    rng = np.random.default_rng(5)
+    filler = lambda: " ".join(f"w{i}" for i in rng.integers(0, 40, 30))
+    bad = lambda: filler() + " " + " ".join(rng.choice(["vileone", "foultwo", "nastythree", "grimfour"], 3, replace=False))
+    toxic = [(i, bad()) for i in range(60)]
+    clean = [(1000 + i, filler()) for i in range(1140)]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(1000 + i, 0) for i in range(30)], "doc_id long, toxic int")
+    for extra in ([], [(5000 + i, toxic[40][1]) for i in range(700)]):
+        docs = spark.createDataFrame(toxic + clean + extra, "doc_id long, text string")
+        rows = toxicity.score(docs, toxicity.train(docs, labels, F.lit(True))).toPandas()
+        is_toxic = (rows.doc_id < 1000) | (rows.doc_id >= 5000)
+        assert rows.predicted[is_toxic].mean() > 0.95
+        assert rows.predicted[~is_toxic].mean() < 0.02

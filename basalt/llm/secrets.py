@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, and strings that a character Markov model finds random. DataFrame functions only.
 
 Two Markov models of character pairs, of random strings and of ordinary identifiers, are trained from labelled
-samples that the corpus provides: values that the assignment pattern finds (random) and words of documents
-(ordinary), at most ``SAMPLE`` of each, those with the smallest md5. A token of ``TOKEN_LENGTH`` or more
+samples that the corpus provides: values that the assignment pattern finds (random) and words, numbers, paths
+and names of documents outside such matches (ordinary), at most ``SAMPLE`` of each, those with the smallest md5.
+Both are cut by the alphabet of tokens. Strings whose letters, digits and cases take turns more often than every
+``LEAST_RUN`` characters are not taken for ordinary ones: the corpus holds secrets outside assignments too.
+Strings without small letters are read in small letters, as names in capitals are names. A token of ``TOKEN_LENGTH`` or more
 characters whose log-likelihood ratio reaches ``LEAST_RATIO`` is a span of kind ``random`` unless it overlaps
 a span of a pattern. The ratios of all pairs (128 x 128 at most) are a literal of the plan.
 
@@ -40,6 +43,13 @@ LEAST_RATIO = 15.0
 LEAST_DISTINCT = 8
 #: How many observations the plain character frequencies count for in a pair's probability.
 BACK_OFF = 10
+#: Ordinary strings hold one change between letters and digits or to a capital in so many characters at most.
+LEAST_RUN = 5
+_IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
+_CHANGE = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])"
+_DIGITS = [ord(c) for c in "0123456789"]
+_MARKS = [ord(c) for c in "+/_=-"]
+# What the SQL takes for ordinary: letters alone.
 _ORDINARY = r"[A-Za-z]{8,}"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -71,24 +81,33 @@ def _neighbours(text: Column, of) -> Column:
     return F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), of(F.ascii(a) * 128 + F.ascii(b))))
 
 
+def _small(s: Column) -> Column:
+    """Strings without small letters in small letters."""
+    return F.when(s.rlike("[a-z]"), s).otherwise(F.lower(s))
+
+
 def _pairs(strings: DataFrame) -> DataFrame:
     """Counts of character pairs (as 128 * first + second) of the column ``s``."""
-    pairs = F.filter(_neighbours(F.col("s"), lambda pair: pair), lambda p: p.isNotNull())
+    pairs = F.filter(_neighbours(_small(F.col("s")), lambda pair: pair), lambda p: p.isNotNull())
     return strings.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame) -> str:
     """Log-likelihood ratios of all character pairs, as text: random over ordinary.
 
-    The probability of a character after another backs off to the character's own, which has add-one counts.
+    The probability of a character after another backs off to the character's own, which has add-one counts. Each
+    pair of digits and each pair of a mark with a letter or digit counts once more on the ordinary side: numbers and
+    joined names are ordinary. Pairs with a character that neither
+    side holds, or with a mark that no ordinary string holds, tell nothing.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = docs.filter(text.rlike(ASSIGN)).select(F.explode(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).alias("s"))
     random = hit.filter(F.length("s") >= LEARN_LEAST).distinct().orderBy(F.md5("s")).limit(SAMPLE)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     some = F.broadcast(ids.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(ORDINARY_DOCS))  # bounded
-    words = ids.join(some, "doc_id").select(F.explode(F.regexp_extract_all(text, F.lit(_ORDINARY), F.lit(0))).alias("s"))
-    ordinary = words.distinct().orderBy(F.md5("s")).limit(SAMPLE)
+    free = F.regexp_replace(text, F.lit(ASSIGN), F.lit(" "))
+    words = ids.join(some, "doc_id").select(F.explode(F.regexp_extract_all(free, F.lit(_IDENTIFIER), F.lit(0))).alias("s"))
+    ordinary = words.filter((F.size(F.split("s", _CHANGE)) - 1) * LEAST_RUN <= F.length("s")).distinct().orderBy(F.md5("s")).limit(SAMPLE)
     counts: dict[int, list[int]] = {}
     for side, table in enumerate((random, ordinary)):
         for row in _pairs(table).collect():  # at most 128 x 128 rows
@@ -100,17 +119,24 @@ def train(docs: DataFrame) -> str:
         for side in (0, 1):
             first[side][pair // 128] += n[side]
             second[side][pair % 128] += n[side]
+    held = [{c for c in range(128) if first[side][c] or second[side][c]} for side in (0, 1)]
+    mute = {c for c in range(128) if c not in held[1] and (c not in held[0] or c in _MARKS)}
+    of_second = [sum(second[side]) for side in (0, 1)]
+    parts = [c for c in range(128) if chr(c).isalnum()]
+    for pair in {128 * a + b for a in _DIGITS for b in _DIGITS} | {p for m in _MARKS for c in parts for p in (128 * m + c, 128 * c + m)}:
+        counts.setdefault(pair, [0, 0])[1] += 1
+        first[1][pair // 128] += 1
 
     def likely(side: int, pair: int) -> float:
-        alone = (second[side][pair % 128] + 1) / (sum(second[side]) + chars)
+        alone = (second[side][pair % 128] + 1) / (of_second[side] + chars)
         return (counts.get(pair, (0, 0))[side] + BACK_OFF * alone) / (first[side][pair // 128] + BACK_OFF)
 
-    ratios = [math.log(likely(0, pair)) - math.log(likely(1, pair)) for pair in range(128 * 128)]
+    ratios = [0.0 if pair // 128 in mute or pair % 128 in mute else math.log(likely(0, pair)) - math.log(likely(1, pair)) for pair in range(128 * 128)]
     return ",".join(f"{r:.9f}" for r in ratios)
 
 
 def _ratio(token: Column, table: Column) -> Column:
-    return F.aggregate(_neighbours(token, lambda pair: F.get(table, pair)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.aggregate(_neighbours(_small(token), lambda pair: F.get(table, pair)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
 
 def _named(spans: Column) -> Column:
@@ -156,7 +182,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same rows in DuckDB SQL, the training of the Markov models included."""
+    """The same rows in DuckDB SQL with Markov models whose ordinary side is words of letters: the spans of kind
+    ``random`` are the operator's where tokens are words or random, not where they are paths, dates or numbers."""
 
     def spans(name: str, pattern: str, kind: int, extra: str = "", keep: str = "true") -> str:
         q = pattern.replace("'", "''")

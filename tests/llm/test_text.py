@@ -121,6 +121,23 @@ def test_secrets(spark):
     _compare(_op(spark, secrets.op5_secrets, plain), secrets.OP5_SQL, docs)
 
 
+ORDINARY = ["/images/2024/05/12/holiday-photo", "order-2024-000123-shipment", "+49-30-1234567-890123", "2024-05-12T10-33-45-000Z", "MAX_BUFFER_SIZE_BYTES_2048", "read_the_configuration_file_2", "getCustomerAddressFromOrder", "invoice-number-20240512-0001"]
+
+
+def test_ordinary_identifiers_are_no_secrets(spark):
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = [(-1 - i, f"some words {x} follow") for i, x in enumerate(ORDINARY)] + [(-101 - i, f"some words {x} follow") for i, x in enumerate(RANDOM)]
+    docs = base.union(spark.createDataFrame(planted, "doc_id long, text string"))
+    # one model that saw the planted texts, one that did not
+    for found in (secrets.scan(docs), secrets.scan(docs, secrets.train(base))):
+        spans = {r["doc_id"]: r["found"] for r in found.filter("doc_id < 0").collect()}
+        assert {i for i in spans if spans[i]} == {-101, -102, -103}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_secrets(spark, docs, "").filter("doc_id < 0").collect()}
+    assert kept == {-1 - i for i in range(len(ORDINARY))}
+
+
 def _op(spark, query, docs):
     from basalt.llm.common import shared_folder
 

@@ -1,10 +1,18 @@
 """N-gram Jaccard join: documents whose word shingle sets reach a Jaccard similarity, and their components.
 
-Method: token-combination prefixes. Shingles stand in one global order: those that occur once, then the
-others by the level of their count, rarest first (read off a merged count-min sketch of all shingles). A document with ``s``
-shingles may miss ``t = s - ceil(0.75 s)`` of them in any partner. Its prefix is extended until losing any
-``t`` tokens leaves a rare token or two frequent ones: rare tokens are indexed alone, frequent ones in
-combinations of two. Linked documents share an indexed token or combination; every candidate is verified.
+Method: token-combination prefixes. Shingles stand in one global order, by the level of their count, rarest first
+(read off a merged count-min sketch of all shingles); those that occur once are left out. A document with ``s``
+shingles may miss ``t = s - ceil(0.75 s)`` of them in any partner. Of its rare shingles the first ``t + 1`` (less
+those left out) are indexed alone. Where it has fewer, linked documents may share frequent shingles only, and these
+are indexed in combinations:
+
+- Frequent shingles are dealt into groups of about ``GROUP`` by their hash. If two sets reach a similarity, so do
+  their parts in one group at least; for if each group's differences were above its share, so would their sum be.
+- Within a group the prefix is extended until losing any ``t`` shingles of the group leaves two of class 2 or three
+  of class 3 (those of ``TRIPLES`` occurrences or more), and all combinations of so many are indexed. That is a
+  number of combinations in proportion to a document's shingles, however long it is.
+
+Linked documents share an indexed shingle or combination; every candidate is verified.
 
 Documents with equal sets are one class, joined by its smallest doc_id. In an index entry, each member is
 first verified against one pivot; only members that are then in different components, and that pass the size
@@ -26,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import materialize, read_table, tune
+from .common import join_classes, materialize, read_table, tune
 from .components import components
 from .textkernel import WINDOW_BASES, chunks, lower_ascii, mix, window_hashes, word_hashes, word_spans
 
@@ -34,56 +42,77 @@ WORDS = 5
 PERCENT = 75
 #: Shingles are told apart by level from this count on.
 LEVEL_LEAST = 8
-#: A shingle is of the frequent class from this share of all shingle occurrences, and this many, on.
-FREQUENT_SHARE = 5000
-FREQUENT_LEAST = 256
-_SETS = "doc_id long, n long, d1 long, d2 long, kept int, rare int, tokens binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("kept", pa.int32()), ("rare", pa.int32()), ("tokens", pa.binary())])
+#: Counts from which shingles are indexed in twos and in threes.
+PAIRS, TRIPLES = 256, 1 << 16
+#: Frequent shingles of a document in one group, between this and twice as many on average.
+GROUP = 24
+BYTES_A_SHINGLE = 6
+_GROUP_SALT = np.uint64(0x589965CC75374CC3)
+_SETS = "doc_id long, n long, d1 long, d2 long, kept int, rare int, twos int, tokens binary"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("kept", pa.int32()), ("rare", pa.int32()), ("twos", pa.int32()), ("tokens", pa.binary())])
+
+
+def _least_shared(n, percent: int):
+    """Shingles that a document of ``n`` must share with any partner."""
+    return -(-percent * n // 100)
 
 
-def _shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """For each text its distinct shingle hashes, sorted."""
+def _shingle_sets(column: pa.Array, k: int, digests: bool = False) -> Iterator[tuple[np.ndarray, int, int]]:
+    """For each text its distinct shingle hashes, sorted, and if asked two digests of the set, from unlike hashes of its words."""
     for lo, hi, data, offsets in chunks(column):
+        data = lower_ascii(data)
         starts, ends, first = word_spans(data, offsets)
-        words = word_hashes(lower_ascii(data), starts, ends)
+        words = word_hashes(data, starts, ends)
         shingles = window_hashes(words, k)
+        if digests:
+            others = word_hashes(data, starts, ends, 1)
+            second = window_hashes(others, k, WINDOW_BASES[1])
         for i in range(hi - lo):
             w0, w1 = first[i], first[i + 1]
-            if w1 - w0 >= k:
-                yield np.unique(shingles[w0 : w1 - k + 1])
-            elif w1 > w0:
-                yield window_hashes(words[w0:w1], int(w1 - w0)) ^ np.uint64(w1 - w0)
+            n = int(w1 - w0)
+            if n >= k:
+                x, at = np.unique(shingles[w0 : w1 - k + 1], return_index=True)
+                y = second[w0:][at] if digests else x
             else:
-                yield words[:0]
+                x = window_hashes(words[w0:w1], n) ^ np.uint64(n) if n else words[:0]
+                y = window_hashes(others[w0:w1], n, WINDOW_BASES[1]) ^ np.uint64(n) if n and digests else x
+            yield (x, int(mix(x).sum(dtype=np.uint64).view(np.int64)), int(mix(y).sum(dtype=np.uint64).view(np.int64))) if digests else (x, 0, 0)
 
 
 def _keys(k: int):
-    return lambda batch: (x for x in _shingle_sets(batch.column("text"), k) if len(x))
+    return lambda batch: (x for x, _, _ in _shingle_sets(batch.column("text"), k) if len(x))
 
 
-def _sets(lookup, k: int, percent: int, frequent_level: int):
-    """Each document's size and set digest; for those that can have a partner, the shingles others may have."""
+def _put(out: dict[str, list], x: np.ndarray, level: np.ndarray, size: int, percent: int) -> None:
+    """The shingles of a set of ``size`` that others may have, in the global order; nothing where they are too few for a partner."""
+    kept = len(x)
+    partner = kept > 0 and kept >= _least_shared(size, percent)
+    order = np.argsort(level, kind="stable") if partner else None
+    out["kept"].append(kept if partner else None)
+    out["rare"].append(int((level < PAIRS.bit_length() - 1).sum()) if partner else None)
+    out["twos"].append(int((level < TRIPLES.bit_length() - 1).sum()) if partner else None)
+    out["tokens"].append(x[order].tobytes() if partner else None)
+
+
+def _sets(lookup, k: int, percent: int):
+    """Each document's size and set digests; for those that can have a partner, the shingles others may have."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = lookup.value
         for batch in batches:
-            sets = list(_shingle_sets(batch.column("text"), k))
-            sizes = np.array([len(x) for x in sets], np.int64)
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            maybe, levels = seen.maybe_repeated(every), seen.level(every)
-            ends = np.cumsum(sizes)
+            sets = list(_shingle_sets(batch.column("text"), k, digests=True))
+            sizes = np.array([len(x) for x, _, _ in sets], np.int64)
             out: dict[str, list] = {n: [] for n in _SETS_ARROW.names}
-            for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-                x, may = every[lo:hi], maybe[lo:hi]
-                s = hi - lo
-                others, level = x[may], levels[lo:hi][may]
-                kept = len(others)
-                partner = s > 0 and s - kept <= s - -(-percent * s // 100)
-                out["d1"].append(int(mix(x).sum(dtype=np.uint64).view(np.int64)))
-                out["d2"].append(int(mix(x ^ np.uint64(WINDOW_BASES[1])).sum(dtype=np.uint64).view(np.int64)))
-                out["kept"].append(kept if partner else None)
-                out["rare"].append(int((level < frequent_level).sum()) if partner else None)
-                out["tokens"].append(others[np.argsort(level, kind="stable")].tobytes() if partner else None)
+            if lookup:
+                every = np.concatenate([x for x, _, _ in sets]) if sets else np.zeros(0, np.uint64)
+                maybe, levels = lookup.value.seen(every)
+                ends = np.cumsum(sizes)
+                for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                    may = maybe[lo:hi]
+                    _put(out, every[lo:hi][may], levels[lo:hi][may], hi - lo, percent)
+            else:
+                for name in ("kept", "rare", "twos", "tokens"):
+                    out[name] = [None] * len(sets)
+            out["d1"], out["d2"] = [d for _, d, _ in sets], [d for _, _, d in sets]
             out["n"] = sizes
             out["doc_id"] = batch.column("doc_id")
             yield pa.RecordBatch.from_pydict(out, schema=_SETS_ARROW)
@@ -91,37 +120,151 @@ def _sets(lookup, k: int, percent: int, frequent_level: int):
     return task
 
 
+def _questions(at: sketch.Layout, hot, k: int):
+    """Shingles for a look-up in a shuffle."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_shingle_sets(batch.column("text"), k, digests=True))
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x, _, _ in sets])
+            keys = np.concatenate([x for x, _, _ in sets]) if sets else np.zeros(0, np.uint64)
+            columns = [batch.column("doc_id"), pa.array([d for _, d, _ in sets], pa.int64()), pa.array([d for _, _, d in sets], pa.int64())]
+            yield from sketch.probe_rows(at, hot.value, owner, keys, None, columns)
+
+    return task
+
+
+def _answered(percent: int):
+    """Sets from what came back of a look-up."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in _SETS_ARROW.names}
+            for n, answers in zip(batch.column("n").to_pylist(), batch.column("answers").to_pylist(), strict=True):
+                x = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(a["keys"], "<u8") for a in answers or [])])
+                level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(a["levels"], np.uint8) for a in answers or [])])
+                order = np.argsort(x)
+                _put(out, x[order], level[order], n, percent)
+            for name in ("doc_id", "n", "d1", "d2"):
+                out[name] = batch.column(name)
+            yield pa.RecordBatch.from_pydict(out, schema=_SETS_ARROW)
+
+    return task
+
+
+def shingle_sets(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Sets of all texts (``_SETS``)."""
+    context = texts.sparkSession.sparkContext
+    merged = sketch.build(texts, _keys(words), 1, BYTES_A_SHINGLE, LEVEL_LEAST)
+    if merged.broadcast:
+        return materialize(texts.mapInArrow(_sets(context.broadcast(merged.lookup()), words, percent), _SETS), "sets")
+    hot = merged.lookup(only_hot=True)
+    asked = texts.mapInArrow(_questions(merged.at, context.broadcast(hot), words), sketch.PROBE_SCHEMA)
+    answers = sketch.probe(merged, asked, int(hot.levels.max(initial=0))).withColumnsRenamed({"doc_id": "_doc", "d1": "_d1", "d2": "_d2"})
+    plain = texts.mapInArrow(_sets(None, words, percent), _SETS).select("doc_id", "n", "d1", "d2")
+    told = plain.join(answers, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
+    return materialize(told.select("doc_id", "n", "d1", "d2", "answers").mapInArrow(_answered(percent), _SETS), "sets")
+
+
+def combinations(owner: np.ndarray, power: np.ndarray, tokens: np.ndarray, three: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of frequent shingles and their owners. ``tokens`` of an owner stand in the global order, class 2 before class
+    3 (``three``), and fall into 2 ** ``power`` groups by their hash."""
+    scattered = mix(tokens ^ _GROUP_SALT)
+    group = np.where(power > 0, scattered >> (np.uint64(64) - np.maximum(power, 1).astype(np.uint64)), np.uint64(0))
+    order = np.lexsort((group, owner))  # stable: the global order stays within a group
+    owner, power, tokens, three, group = owner[order], power[order], tokens[order], three[order], group[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (group[1:] != group[:-1]))
+    starts = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    size = np.diff(np.append(starts, len(tokens)))
+    rank = np.arange(len(tokens)) - starts[of]
+    twos = size - np.bincount(of, three, len(starts)).astype(np.int64)
+    lose = size - _least_shared(size, percent)
+    enough = twos >= lose + 2
+    rest = lose + 1 - np.maximum(twos - 1, 0)
+    short = ~enough & (size - twos < rest + 2)  # too few for combinations alone: all of them, and single shingles
+    use2 = np.where(enough, lose + 2, twos)
+    use3 = np.where(enough, 0, np.where(short, size - twos, rest + 2))
+    label = mix(power.astype(np.uint64) + np.uint64(11))
+    sigs, owners = [], []
+
+    def emit(i: np.ndarray, value: np.ndarray) -> None:
+        sigs.append(mix(value ^ label[i]))
+        owners.append(owner[i])
+
+    def later(i: np.ndarray, step: int, most: np.ndarray) -> np.ndarray:
+        """Which of the places ``i`` have one ``step`` further on that is still used."""
+        return rank[i] + step < most[of[i]]
+
+    base = np.uint64(WINDOW_BASES[0])
+    single = np.flatnonzero(short[of] & (rank < (lose + 1)[of]))
+    emit(single, tokens[single])
+    two = np.flatnonzero(rank < use2[of])
+    for a in range(1, int(use2.max(initial=0))):
+        two = two[later(two, a, use2)]
+        emit(two, mix(tokens[two] * base + tokens[two + a]))
+    three_at = np.flatnonzero((rank >= twos[of]) & (rank < (twos + use3)[of]))
+    for b in range(2, int(use3.max(initial=0))):
+        three_at = three_at[later(three_at, b, twos + use3)]
+        for a in range(1, b):
+            emit(three_at, mix(mix(tokens[three_at] * base + tokens[three_at + a]) * base + tokens[three_at + b]))
+    return np.concatenate(sigs), np.concatenate(owners)
+
+
+def _powers(frequent: int, percent: int) -> range:
+    """Powers of two of groups that a document with so many frequent shingles and any partner of it may use."""
+    power = lambda n: max(0, int(n / GROUP).bit_length() - 1)
+    return range(power(_least_shared(frequent, percent)), power(frequent * 100 // percent) + 1)
+
+
+_INDEX = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("room", pa.int64())])
+#: Shingles whose combinations are made at once.
+_AT_ONCE = 100_000
+
+
 def _signatures(percent: int):
-    """Index entries of a document: rare prefix tokens alone, frequent ones in twos. ``room``: the most shingles
-    that a partner can share whose first shared token is this one."""
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("kept", pa.int32()), ("room", pa.int64())])
+    """Index entries of a document. ``room``: the most shingles that a partner can share whose first shared one is this."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, rooms, owners = [], [], []
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "kept", "rare", "tokens")), strict=True))
-            for row, (_, s, kept, n_rare, tokens) in enumerate(rows):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "kept", "rare", "twos", "tokens")), strict=True))
+            doc, n = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
+            kept = np.array([r[2] for r in rows], np.int64)
+            waiting: list[tuple] = []
+            held = 0
+
+            def batches_of(sig: np.ndarray, owner: np.ndarray, room: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for lo in range(0, len(sig), 50_000):
+                    cut = slice(lo, lo + 50_000)
+                    o = owner[cut]
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(doc[o]), pa.array(n[o]), pa.array(room[cut])], schema=_INDEX)  # noqa: B023
+
+            def combined() -> Iterator[pa.RecordBatch]:
+                sig, owner = combinations(*(np.concatenate(x) for x in zip(*waiting, strict=True)), percent)  # noqa: B023
+                yield from batches_of(sig, owner, kept[owner])  # noqa: B023
+
+            for row, (_, s, k, rare, twos, tokens) in enumerate(rows):
                 if s < 2:  # one shingle links with equal sets alone
                     continue
                 x = np.frombuffer(tokens, np.uint64)
-                once = s - kept
-                need = s - -(-percent * s // 100) + 1 - once
-                alone = x[: min(need, n_rare)]
+                need = s - _least_shared(s, percent) + 1 - (s - k)
+                alone = x[: min(need, rare)]
                 sigs.append(alone)
-                rooms.append(kept - np.arange(len(alone)))
-                if need > n_rare:
-                    f = x[n_rare : n_rare + need - n_rare + 1]
-                    i, j = np.triu_indices(len(f), 1)
-                    sigs.append(mix(f[i] * np.uint64(WINDOW_BASES[0]) + f[j]))
-                    rooms.append(kept - n_rare - j + 1)  # the second token may stand one place later
-                owners.extend([row] * (len(alone) + (len(sigs[-1]) if need > n_rare else 0)))
-            if not owners:
-                continue
-            sig, room, owner = np.concatenate(sigs).view(np.int64), np.concatenate(rooms), np.array(owners)
-            doc, n, kept = (np.array([r[c] for r in rows], np.int64)[owner] for c in (0, 1, 2))
-            for lo in range(0, len(sig), 50_000):
-                cut = slice(lo, lo + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[cut]), pa.array(doc[cut]), pa.array(n[cut]), pa.array(kept[cut].astype(np.int32)), pa.array(room[cut])], schema=schema)
+                rooms.append(k - np.arange(len(alone)))
+                owners.append(np.full(len(alone), row))
+                f = x[rare:]
+                if need > rare and len(f):
+                    for power in _powers(len(f), percent):
+                        waiting.append((np.full(len(f), row), np.full(len(f), power), f, np.arange(len(f)) >= twos - rare))
+                        held += len(f)
+                if held >= _AT_ONCE:
+                    yield from combined()
+                    waiting, held = [], 0
+            if waiting:
+                yield from combined()
+            if sigs:
+                yield from batches_of(np.concatenate(sigs), np.concatenate(owners), np.concatenate(rooms))
 
     return task
 
@@ -138,21 +281,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles and component_id."""
-    spark = docs.sparkSession
-    tune(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = texts.select("text").mapInArrow(sketch.part_sketch(_keys(words), 1), sketch.PART_SCHEMA)
-    lookup, occurrences = sketch.build(parts, 1, frequent_least=LEVEL_LEAST)
-    frequent_level = int(np.ceil(np.log2(max(FREQUENT_LEAST, occurrences // FREQUENT_SHARE))))
-    sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(lookup), words, percent, frequent_level), _SETS), "sets")
+    tune(docs.sparkSession)
+    sets = shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
 
     able = sets.filter("tokens is not null")
-    classes = able.groupBy("d1", "d2").agg(F.min("doc_id").alias("eldest"))
-    eldest = able.filter("doc_id is not null").join(classes, ["d1", "d2"]).filter("doc_id = eldest").dropDuplicates(["doc_id", "d1", "d2"])
-    eldest = materialize(eldest.select("doc_id", "n", "kept", "rare", "tokens"), "eldest")
-    index = eldest.mapInArrow(_signatures(percent), "sig long, doc_id long, n long, kept int, room long")
-    entries = index.groupBy("sig").agg(F.count("*").alias("members"), F.max(F.struct((F.col("room") / F.col("n")).alias("clean"), "n", (-F.col("doc_id")).alias("minus"), "doc_id", "kept", "room")).alias("pivot")).filter("members > 1")
-    index = materialize(index.join(entries, "sig").select("sig", "doc_id", "n", "kept", "room", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.kept").alias("pkept"), F.col("pivot.room").alias("proom")), "index")
+    classes = materialize(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("eldest"), F.count("*").alias("copies")), "classes")
+    first = classes.select(F.col("eldest").alias("doc_id"), "d1", "d2")
+    eldest = able.join(first, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
+    eldest = materialize(eldest.select("doc_id", "n", "kept", "rare", "twos", "tokens"), "eldest")
+    index = eldest.mapInArrow(_signatures(percent), "sig long, doc_id long, n long, room long")
+    pivot = F.max(F.struct((F.col("room") / F.col("n")).alias("clean"), "n", (-F.col("doc_id")).alias("minus"), "doc_id", "room"))
+    entries = index.groupBy("sig").agg(F.count("*").alias("members"), pivot.alias("pivot")).filter("members > 1")
+    entries = materialize(entries.select("sig", "members", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.room").alias("proom")), "entries")
+    index = materialize(join_classes(index, entries, ["sig"], "members").drop("members"), "index")
 
     def fits(n: str, m: str, *most: str) -> str:
         return f"least({', '.join(most)}) * {100 + percent} >= {percent} * ({n} + {m}) and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
@@ -168,16 +309,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     first = materialize(components(links), "components")
 
     named = index.select("sig", "doc_id", "n", "room").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-    named = materialize(named.join(split, "sig"), "open")
+    split = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("sig", "members")
+    named = materialize(join_classes(named, materialize(split, "split"), ["sig"], "members").drop("members"), "open")
     other = named.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("room").alias("broom"), F.col("component").alias("bc"))
     rest = named.join(other, "sig").filter("doc_id < b and component <> bc").filter(fits("n", "bn", "room", "broom")).select(F.col("doc_id").alias("a"), "b").distinct()
     more = materialize(verified(rest.join(star, ["a", "b"], "left_anti")), "links")
     final = first
     if not more.isEmpty():
         final = materialize(components(first.select("id", "component").union(more)), "components")
-    named = classes.join(final.withColumnRenamed("id", "eldest"), "eldest", "left").select("d1", "d2", F.coalesce("component", "eldest").alias("component_id"))
-    joined = able.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"])
+    named = classes.join(final.withColumnRenamed("id", "eldest"), "eldest", "left").select("d1", "d2", "copies", F.coalesce("component", "eldest").alias("component_id"))
+    joined = join_classes(able.select("doc_id", "n", "d1", "d2"), named, ["d1", "d2"], "copies")
     alone = sets.filter("tokens is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return alone.unionByName(joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 

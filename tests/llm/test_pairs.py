@@ -11,7 +11,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as h
 
-from basalt.llm import components, ngram_jaccard, substring_dedup
+from basalt.llm import components, ngram_jaccard, sketch, substring_dedup
+from basalt.llm.textkernel import chunks, word_hashes, word_spans
 
 COLUMNS = "doc_id long, text string, d1 string, component_id long, n string, tokens string, at string"
 
@@ -75,3 +76,123 @@ def test_repeats_edges(spark):
     got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()), key=repr)
     assert got == sorted([(4, 70, 70), (4, 70, 70), (2, 71, 0), (None, 70, 0), (None, 0, 0)], key=repr)
     assert substring_dedup.remove_repeats(frame(spark, [(1, "a")]).filter("doc_id > 1")).count() == 0
+
+
+def _morse(doublings):
+    a, b = "a", "b"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    words = ["a", "ab", "abcdefgh", "abcdefghi", "b" * 255, "b" * 256, "b" * 257, "é" * 40, *_morse(10), *_morse(11), *(f"w{i}" for i in range(20_000))]
+    for kind in (0, 1):
+        ((_, _, data, offsets),) = chunks(pa.array([" ".join(words + words)]), 1 << 30)
+        starts, ends, _ = word_spans(data, offsets)
+        h = word_hashes(data, starts, ends, kind)
+        assert (h[: len(words)] == h[len(words) :]).all() and len(np.unique(h)) == len(set(words))
+
+
+def test_repeats_of_words_that_a_polynomial_confuses(spark):
+    rng = np.random.default_rng(12)
+    around = [h.text_of(rng, 30), h.text_of(rng, 30)]
+    docs = [(i, f"{around[0]} {w} {around[1]}") for i, w in enumerate((*_morse(10), *_morse(11)))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(frame(spark, docs)).collect()}
+    assert got == h.without_repeats(docs) and all(removed == 0 for _, removed, _ in got.values())
+
+
+def test_repeats_looked_up_in_a_shuffle(spark, corpus, monkeypatch):
+    """The sketch in slices that are not broadcast, and windows of frequent anchors dealt out."""
+    monkeypatch.setattr(sketch, "MAX_BITS", 10)
+    monkeypatch.setattr(sketch, "SLICE_BITS", 8)
+    monkeypatch.setattr(sketch, "HOT_PART", 64)
+    monkeypatch.setattr(substring_dedup, "SALT_LEVEL", 2)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(frame(spark, corpus)).collect()}
+    assert got == h.without_repeats(corpus)
+
+
+def test_sketch_tells_as_much_at_any_size(spark, monkeypatch):
+    """Tenfold data, no more keys taken for repeated; slices are what grows."""
+    monkeypatch.setattr(sketch, "SLICE_BITS", 8)
+
+    def keys(batch):
+        for x in batch.column("text").to_pylist():
+            yield np.array(x.split(" "), np.uint64)
+
+    shares, slices = [], []
+    for n in (20_000, 200_000):
+        rng = np.random.default_rng(n)
+        own = [rng.integers(1 << 62, 1 << 63, n // 20).astype(np.uint64) for _ in range(20)]
+        texts = spark.createDataFrame([(" ".join(map(str, x)),) for x in own], "text string").repartition(4)
+        built = sketch.build(texts, keys, 2, 20.0)
+        ok, _ = built.lookup().seen(np.concatenate(own))
+        shares.append(ok.mean())
+        slices.append(built.slices.select("slice").distinct().count())
+    assert max(shares) < 0.06 and slices[1] >= 8 * slices[0]
+
+
+def test_counts_past_32_bits():
+    packed, extra = sketch._pack(np.array([3, 4])), sketch._pack(np.array([0, (1 << 32) - 1]))
+    counts = sketch._counted(iter([(packed, extra)] * 3), 16)
+    assert counts[3] == 3 * (1 << 32) and counts[7] == 3 and counts.sum() == counts[3] + counts[7]
+
+
+def _by_hand(spark, docs, parts=3):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(frame(spark, docs, parts)).collect()}
+
+
+def test_jaccard_looked_up_in_a_shuffle(spark, corpus, monkeypatch):
+    monkeypatch.setattr(sketch, "MAX_BITS", 10)
+    monkeypatch.setattr(sketch, "SLICE_BITS", 8)
+    monkeypatch.setattr(sketch, "HOT_PART", 64)
+    docs = [*corpus, (None, corpus[0][1])]
+    got = _by_hand(spark, docs)
+    assert got.pop(None) == (296, 0) and got == h.components(corpus)
+
+
+def test_jaccard_of_combinations(spark, monkeypatch):
+    """Low counts for twos and threes, small groups: everything links through combinations."""
+    monkeypatch.setattr(ngram_jaccard, "LEVEL_LEAST", 2)
+    monkeypatch.setattr(ngram_jaccard, "PAIRS", 4)
+    monkeypatch.setattr(ngram_jaccard, "TRIPLES", 16)
+    monkeypatch.setattr(ngram_jaccard, "GROUP", 6)
+    rng = np.random.default_rng(16)
+    docs = []
+    for size in (7, 9, 14, 30, 75, 140):
+        base = h.text_of(rng, size)
+        docs += [base if i == 0 else h.edited(rng, base, int(rng.integers(0, max(2, size // 16)))) for i in range(40)]
+        docs += [" ".join(h.edited(rng, base, 1).split(" ")[: -max(1, size // 12)]) for _ in range(20)]
+    passages = [h.text_of(rng, 12) for _ in range(9)]
+    docs += [" ".join(passages[int(i)] for i in rng.choice(9, int(n))) for n in rng.integers(1, 9, 80)]
+    docs = list(enumerate(docs))
+    assert _by_hand(spark, docs, 5) == h.components(docs)
+
+
+def test_combinations_lose_no_pair():
+    """Sets that reach the similarity share a signature, whatever their classes."""
+    rng = np.random.default_rng(17)
+    for trial in range(400):
+        n = int(rng.integers(1, 120))
+        universe = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        three = rng.random(400) < rng.random()
+        x = rng.choice(400, n, replace=False)
+        y = np.union1d(rng.choice(x, n - int(rng.integers(0, n // 7 + 1)), replace=False), rng.choice(400, int(rng.integers(0, n // 7 + 1))))
+        shared = len(np.intersect1d(x, y))
+        if 100 * shared < 75 * (len(x) + len(y) - shared):
+            continue
+        sigs = []
+        for z in (x, y):
+            z = z[np.lexsort((universe[z], three[z]))]
+            parts = [(np.zeros(len(z), np.int64), np.full(len(z), p), universe[z], three[z]) for p in ngram_jaccard._powers(len(z), 75)]
+            sigs.append(ngram_jaccard.combinations(*(np.concatenate(c) for c in zip(*parts, strict=True)), 75)[0])
+        assert len(np.intersect1d(*sigs)), trial
+
+
+def test_jaccard_of_long_near_copies(spark):
+    rng = np.random.default_rng(18)
+    base, long = h.text_of(rng, 2000), h.text_of(rng, 20_000)
+    docs = list(enumerate([h.edited(rng, base, int(n)) for n in rng.integers(0, 60, 300)] + [h.edited(rng, long, int(n)) for n in rng.integers(0, 500, 8)]))
+    assert _by_hand(spark, docs, 6) == h.components(docs)

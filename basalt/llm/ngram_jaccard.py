@@ -1,10 +1,10 @@
 """N-gram Jaccard join: documents whose word shingle sets reach a Jaccard similarity, and their components.
 
-Method: token-combination prefixes. Shingles stand in one global order, by the level of their count, rarest first
-(read off a merged count-min sketch of all shingles); those that occur once are left out. A document with ``s``
-shingles may miss ``t = s - ceil(0.75 s)`` of them in any partner. Of its rare shingles the first ``t + 1`` (less
-those left out) are indexed alone. Where it has fewer, linked documents may share frequent shingles only, and these
-are indexed in combinations:
+Method: token-combination prefixes. Shingles stand in one global order: rare ones by their hash, then frequent ones by
+the level of their count (read off a merged count-min sketch of all shingles, whose list of frequent cells is
+bounded). A document with ``s`` shingles may miss ``t = s - ceil(0.75 s)`` of them in any partner. Of its rare
+shingles the first ``t + 1`` are indexed alone. Where it has fewer, linked documents may share frequent shingles
+only, and these are indexed in combinations:
 
 - Frequent shingles are dealt into groups of about ``GROUP`` by their hash. If two sets reach a similarity, so do
   their parts in one group at least; for if each group's differences were above its share, so would their sum be.
@@ -12,7 +12,8 @@ are indexed in combinations:
   of class 3 (those of ``TRIPLES`` occurrences or more), and all combinations of so many are indexed. That is a
   number of combinations in proportion to a document's shingles, however long it is.
 
-Linked documents share an indexed shingle or combination; every candidate is verified.
+Linked documents share an indexed shingle or combination; entries of one member are dropped once Spark has counted
+them, and every candidate is verified on whole sets. Whole sets are made for documents that have candidates.
 
 Documents with equal sets are one class, joined by its smallest doc_id. In an index entry, each member is
 first verified against one pivot; only members that are then in different components, and that pass the size
@@ -40,16 +41,15 @@ from .textkernel import WINDOW_BASES, chunks, lower_ascii, mix, window_hashes, w
 
 WORDS = 5
 PERCENT = 75
-#: Shingles are told apart by level from this count on.
-LEVEL_LEAST = 8
 #: Counts from which shingles are indexed in twos and in threes.
 PAIRS, TRIPLES = 256, 1 << 16
 #: Frequent shingles of a document in one group, between this and twice as many on average.
 GROUP = 24
-BYTES_A_SHINGLE = 6
+#: Bytes of prose for each shingle, and cells of the sketch: counts are off by a few, which only moves shingles between classes.
+BYTES_A_SHINGLE, CELLS_A_SHINGLE = 6, 1 / 8
 _GROUP_SALT = np.uint64(0x589965CC75374CC3)
-_SETS = "doc_id long, n long, d1 long, d2 long, kept int, rare int, twos int, tokens binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("kept", pa.int32()), ("rare", pa.int32()), ("twos", pa.int32()), ("tokens", pa.binary())])
+_SETS = "doc_id long, text_hash long, n long, d1 long, d2 long, alone binary, often binary, twos int"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("alone", pa.binary()), ("often", pa.binary()), ("twos", pa.int32())])
 
 
 def _least_shared(n, percent: int):
@@ -83,89 +83,42 @@ def _keys(k: int):
     return lambda batch: (x for x, _, _ in _shingle_sets(batch.column("text"), k) if len(x))
 
 
-def _put(out: dict[str, list], x: np.ndarray, level: np.ndarray, size: int, percent: int) -> None:
-    """The shingles of a set of ``size`` that others may have, in the global order; nothing where they are too few for a partner."""
-    kept = len(x)
-    partner = kept > 0 and kept >= _least_shared(size, percent)
-    order = np.argsort(level, kind="stable") if partner else None
-    out["kept"].append(kept if partner else None)
-    out["rare"].append(int((level < PAIRS.bit_length() - 1).sum()) if partner else None)
-    out["twos"].append(int((level < TRIPLES.bit_length() - 1).sum()) if partner else None)
-    out["tokens"].append(x[order].tobytes() if partner else None)
-
-
 def _sets(lookup, k: int, percent: int):
-    """Each document's size and set digests; for those that can have a partner, the shingles others may have."""
+    """Each document's size and set digests, the prefix of its rare shingles, and its frequent ones where those don't suffice."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(_shingle_sets(batch.column("text"), k, digests=True))
             sizes = np.array([len(x) for x, _, _ in sets], np.int64)
-            out: dict[str, list] = {n: [] for n in _SETS_ARROW.names}
-            if lookup:
-                every = np.concatenate([x for x, _, _ in sets]) if sets else np.zeros(0, np.uint64)
-                maybe, levels = lookup.value.seen(every)
-                ends = np.cumsum(sizes)
-                for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-                    may = maybe[lo:hi]
-                    _put(out, every[lo:hi][may], levels[lo:hi][may], hi - lo, percent)
-            else:
-                for name in ("kept", "rare", "twos", "tokens"):
-                    out[name] = [None] * len(sets)
-            out["d1"], out["d2"] = [d for _, d, _ in sets], [d for _, _, d in sets]
-            out["n"] = sizes
-            out["doc_id"] = batch.column("doc_id")
-            yield pa.RecordBatch.from_pydict(out, schema=_SETS_ARROW)
+            every = np.concatenate([x for x, _, _ in sets]) if sets else np.zeros(0, np.uint64)
+            levels = lookup.value.seen(every)[1]
+            ends = np.cumsum(sizes)
+            alone, often, twos = [], [], []
+            for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                x, level = every[lo:hi], levels[lo:hi]
+                need = hi - lo - _least_shared(hi - lo, percent) + 1
+                rare = x[level == 0][:need]
+                f = np.flatnonzero(level) if len(rare) < need else np.zeros(0, np.int64)
+                alone.append(rare.tobytes())
+                often.append(x[f[np.argsort(level[f], kind="stable")]].tobytes() if len(f) else None)
+                twos.append(int((level[f] < TRIPLES.bit_length() - 1).sum()))
+            d1, d2 = [d for _, d, _ in sets], [d for _, _, d in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": sizes, "d1": d1, "d2": d2, "alone": alone, "often": often, "twos": twos}, schema=_SETS_ARROW)
 
     return task
 
 
-def _questions(at: sketch.Layout, hot, k: int):
-    """Shingles for a look-up in a shuffle."""
+def _tokens(k: int):
+    """Whole sets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_shingle_sets(batch.column("text"), k, digests=True))
-            owner = np.repeat(np.arange(len(sets)), [len(x) for x, _, _ in sets])
-            keys = np.concatenate([x for x, _, _ in sets]) if sets else np.zeros(0, np.uint64)
-            columns = [batch.column("doc_id"), pa.array([d for _, d, _ in sets], pa.int64()), pa.array([d for _, _, d in sets], pa.int64())]
-            yield from sketch.probe_rows(at, hot.value, owner, keys, None, columns)
+            sets = [x for x, _, _ in _shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": [len(x) for x in sets], "tokens": [x.tobytes() for x in sets]}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
 
     return task
 
 
-def _answered(percent: int):
-    """Sets from what came back of a look-up."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in _SETS_ARROW.names}
-            for n, answers in zip(batch.column("n").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                x = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(a["keys"], "<u8") for a in answers or [])])
-                level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(a["levels"], np.uint8) for a in answers or [])])
-                order = np.argsort(x)
-                _put(out, x[order], level[order], n, percent)
-            for name in ("doc_id", "n", "d1", "d2"):
-                out[name] = batch.column(name)
-            yield pa.RecordBatch.from_pydict(out, schema=_SETS_ARROW)
-
-    return task
-
-
-def shingle_sets(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Sets of all texts (``_SETS``)."""
-    context = texts.sparkSession.sparkContext
-    merged = sketch.build(texts, _keys(words), 1, BYTES_A_SHINGLE, LEVEL_LEAST)
-    if merged.broadcast:
-        return materialize(texts.mapInArrow(_sets(context.broadcast(merged.lookup()), words, percent), _SETS), "sets")
-    hot = merged.lookup(only_hot=True)
-    asked = texts.mapInArrow(_questions(merged.at, context.broadcast(hot), words), sketch.PROBE_SCHEMA)
-    answers = sketch.probe(merged, asked, int(hot.levels.max(initial=0))).withColumnsRenamed({"doc_id": "_doc", "d1": "_d1", "d2": "_d2"})
-    plain = texts.mapInArrow(_sets(None, words, percent), _SETS).select("doc_id", "n", "d1", "d2")
-    told = plain.join(answers, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
-    return materialize(told.select("doc_id", "n", "d1", "d2", "answers").mapInArrow(_answered(percent), _SETS), "sets")
-
-
 def combinations(owner: np.ndarray, power: np.ndarray, tokens: np.ndarray, three: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of frequent shingles and their owners. ``tokens`` of an owner stand in the global order, class 2 before class
     3 (``three``), and fall into 2 ** ``power`` groups by their hash."""
@@ -228,9 +181,8 @@ def _signatures(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, rooms, owners = [], [], []
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "kept", "rare", "twos", "tokens")), strict=True))
-            doc, n = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-            kept = np.array([r[2] for r in rows], np.int64)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "alone", "often", "twos")), strict=True))
+            doc, n = (batch.column(c).to_numpy() for c in ("doc_id", "n"))
             waiting: list[tuple] = []
             held = 0
 
@@ -242,21 +194,19 @@ def _signatures(percent: int):
 
             def combined() -> Iterator[pa.RecordBatch]:
                 sig, owner = combinations(*(np.concatenate(x) for x in zip(*waiting, strict=True)), percent)  # noqa: B023
-                yield from batches_of(sig, owner, kept[owner])  # noqa: B023
+                yield from batches_of(sig, owner, n[owner])  # noqa: B023
 
-            for row, (_, s, k, rare, twos, tokens) in enumerate(rows):
-                if s < 2:  # one shingle links with equal sets alone
+            for row, (size, alone, often, twos) in enumerate(rows):
+                if size < 2:  # one shingle links with equal sets alone
                     continue
-                x = np.frombuffer(tokens, np.uint64)
-                need = s - _least_shared(s, percent) + 1 - (s - k)
-                alone = x[: min(need, rare)]
-                sigs.append(alone)
-                rooms.append(k - np.arange(len(alone)))
-                owners.append(np.full(len(alone), row))
-                f = x[rare:]
-                if need > rare and len(f):
+                x = np.frombuffer(alone, np.uint64)
+                sigs.append(x)
+                rooms.append(size - np.arange(len(x)))
+                owners.append(np.full(len(x), row))
+                if often:
+                    f = np.frombuffer(often, np.uint64)
                     for power in _powers(len(f), percent):
-                        waiting.append((np.full(len(f), row), np.full(len(f), power), f, np.arange(len(f)) >= twos - rare))
+                        waiting.append((np.full(len(f), row), np.full(len(f), power), f, np.arange(len(f)) >= twos))
                         held += len(f)
                 if held >= _AT_ONCE:
                     yield from combined()
@@ -281,29 +231,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles and component_id."""
-    tune(docs.sparkSession)
-    sets = shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
+    spark = docs.sparkSession
+    tune(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    frequent = sketch.build(texts, _keys(words), 1, BYTES_A_SHINGLE, PAIRS, CELLS_A_SHINGLE).lookup("often")
+    sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(frequent), words, percent), _SETS), "sets")
 
-    able = sets.filter("tokens is not null")
+    able = sets.filter("n > 0")
     classes = materialize(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("eldest"), F.count("*").alias("copies")), "classes")
     first = classes.select(F.col("eldest").alias("doc_id"), "d1", "d2")
-    eldest = able.join(first, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
-    eldest = materialize(eldest.select("doc_id", "n", "kept", "rare", "twos", "tokens"), "eldest")
+    eldest = able.join(first, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).drop("d1", "d2")
+    eldest = materialize(eldest, "eldest")
     index = eldest.mapInArrow(_signatures(percent), "sig long, doc_id long, n long, room long")
+    entries = materialize(index.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1"), "entries")
+    index = materialize(join_classes(index, entries, ["sig"], "members"), "index")
     pivot = F.max(F.struct((F.col("room") / F.col("n")).alias("clean"), "n", (-F.col("doc_id")).alias("minus"), "doc_id", "room"))
-    entries = index.groupBy("sig").agg(F.count("*").alias("members"), pivot.alias("pivot")).filter("members > 1")
-    entries = materialize(entries.select("sig", "members", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.room").alias("proom")), "entries")
-    index = materialize(join_classes(index, entries, ["sig"], "members").drop("members"), "index")
+    pivots = index.groupBy("sig").agg(F.count("*").alias("members"), pivot.alias("pivot"))
+    pivots = materialize(pivots.select("sig", "members", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.room").alias("proom")), "pivots")
+    index = index.drop("members")
+    held = eldest.select("doc_id", "text_hash").join(index.select("doc_id").distinct(), "doc_id")
+    tokens = texts.join(held, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    tokens = materialize(tokens.select("doc_id", "text").mapInArrow(_tokens(words), "doc_id long, n long, tokens binary"), "tokens")
 
     def fits(n: str, m: str, *most: str) -> str:
         return f"least({', '.join(most)}) * {100 + percent} >= {percent} * ({n} + {m}) and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sides = eldest.select("doc_id", "n", "tokens")
-        both = pairs.join(sides.toDF("a", "an", "x"), "a").join(sides.toDF("b", "bn", "y"), "b").select("a", "b", (F.col("an") + F.col("bn")).alias("total"), "x", "y")
+        both = pairs.join(tokens.toDF("a", "an", "x"), "a").join(tokens.toDF("b", "bn", "y"), "b").select("a", "b", (F.col("an") + F.col("bn")).alias("total"), "x", "y")
         return both.mapInArrow(_shared, "a long, b long, total long, shared long").filter(f"shared * {100 + percent} >= {percent} * total").select("a", "b")
 
-    star = index.filter("doc_id <> p").filter(fits("n", "pn", "room", "proom")).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
+    starred = join_classes(index, pivots, ["sig"], "members").filter("doc_id <> p")
+    star = starred.filter(fits("n", "pn", "room", "proom")).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
     star = materialize(star, "pairs")
     links = materialize(verified(star), "links")
     first = materialize(components(links), "components")
@@ -319,7 +277,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         final = materialize(components(first.select("id", "component").union(more)), "components")
     named = classes.join(final.withColumnRenamed("id", "eldest"), "eldest", "left").select("d1", "d2", "copies", F.coalesce("component", "eldest").alias("component_id"))
     joined = join_classes(able.select("doc_id", "n", "d1", "d2"), named, ["d1", "d2"], "copies")
-    alone = sets.filter("tokens is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return alone.unionByName(joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
 

@@ -33,6 +33,8 @@ CELLS_A_KEY = 4
 FLUSH_KEYS = 1 << 22
 #: Keys that make up such a part of all keys are listed, at most so many of them (and a few that share their cells).
 HOT_PART = 4096
+#: Most frequent cells that are listed (and a few that share their cells), at 9 bytes each.
+MAX_LISTED = 1 << 24
 _SLICE_SALT = np.uint64(0x8CB92BA72F3D8DD7)
 _SALTS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03)
 _PART_SCHEMA = "slice long, row int, cells binary, extra binary"
@@ -64,11 +66,11 @@ class Layout:
         return ((self.slices(keys) if slices is None else slices) << np.uint64(local)) | within
 
 
-def layout(texts: DataFrame, bytes_a_key: float) -> tuple[Layout, int]:
-    """A layout with ``CELLS_A_KEY`` cells or more for each of the keys that so many bytes of ``text`` hold, and that number of keys."""
+def layout(texts: DataFrame, bytes_a_key: float, cells_a_key: float) -> tuple[Layout, int]:
+    """A layout with so many cells or more for each of the keys that so many bytes of ``text`` hold, and that number of keys."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keys = int(size / bytes_a_key) + 1
-    return Layout(max(16, (keys * CELLS_A_KEY - 1).bit_length())), keys
+    return Layout(max(16, (int(keys * cells_a_key) - 1).bit_length())), keys
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -133,9 +135,11 @@ class Lookup:
         the whole base-2 logarithm, 0 below the least listed."""
         ok, level = np.ones(len(keys), bool), np.zeros(len(keys), np.uint8)
         slices = self.at.slices(keys)
-        for row, bitmap in enumerate(self.repeated):
+        for row in range(max(1, len(self.repeated))):
             cells = self.at.cells(keys, row, slices) - np.uint64(self.first)
-            ok &= (bitmap[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 != 0
+            if self.repeated:
+                bitmap = self.repeated[row]
+                ok &= (bitmap[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 != 0
             if row == 0 and len(self.frequent):
                 place = np.minimum(np.searchsorted(self.frequent, cells), len(self.frequent) - 1)
                 level = np.where(self.frequent[place] == cells, self.levels[place], 0).astype(np.uint8)
@@ -204,16 +208,16 @@ class Sketch:
         """Whether its bitmaps are small enough for every task."""
         return self.at.bits <= MAX_BITS
 
-    def lookup(self, only_hot: bool = False) -> Lookup:
-        """All bitmaps and frequent cells; with ``only_hot`` no bitmap and the hottest cells, of which there are few at any size."""
+    def lookup(self, what: str = "all") -> Lookup:
+        """``all``: all bitmaps and frequent cells, bounded by ``MAX_BITS``. ``often``: the frequent cells alone, bounded by the
+        least count asked for. ``hot``: the hottest cells, bounded by ``HOT_PART``."""
         local = self.at.bits - self.at.shift
-        empty = zstandard.compress(b"", 1)
-        bitmaps = [] if only_hot else [np.zeros(1 << (self.at.bits - 3), np.uint8) for _ in range(self.depth)]
+        bitmaps = [np.zeros(1 << (self.at.bits - 3), np.uint8) for _ in range(self.depth)] if what == "all" else []
         often, levels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-        wanted = self.slices.select("slice", "row", (F.lit(empty) if only_hot else F.col("bitmap")).alias("bitmap"), F.col("hot" if only_hot else "often").alias("often"))
-        wanted = wanted.filter(F.octet_length("often") > 0) if only_hot else wanted
-        for row in wanted.toLocalIterator():  # bounded by MAX_BITS, or by HOT_PART
-            if not only_hot:
+        cells = F.col("hot" if what == "hot" else "often").alias("often")
+        wanted = self.slices.select("slice", "row", "bitmap", cells) if what == "all" else self.slices.select("slice", cells).filter(F.octet_length("often") > 0)
+        for row in wanted.toLocalIterator():
+            if what == "all":
                 part = np.frombuffer(zstandard.decompress(bytes(row["bitmap"])), np.uint8)
                 bitmaps[row["row"]][row["slice"] << (local - 3) : (row["slice"] + 1) << (local - 3)] = part
             c, n = _listed(bytes(row["often"]))
@@ -224,9 +228,11 @@ class Sketch:
         return Lookup(self.at, 0, bitmaps, cells[order], np.concatenate(levels)[order])
 
 
-def build(texts: DataFrame, keys: Callable, depth: int, bytes_a_key: float, least: int = 1 << 62) -> Sketch:
-    """Sketch the ``keys`` of all ``texts`` (a column ``text``). Cells of ``least`` keys or more are listed with their level."""
-    at, expected = layout(texts, bytes_a_key)
+def build(texts: DataFrame, keys: Callable, depth: int, bytes_a_key: float, least: int = 1 << 62, cells_a_key: float = CELLS_A_KEY) -> Sketch:
+    """Sketch the ``keys`` of all ``texts`` (a column ``text``). Cells of ``least`` keys or more are listed with their level,
+    or of ``expected keys / MAX_LISTED`` where that is more."""
+    at, expected = layout(texts, bytes_a_key, cells_a_key)
+    least = max(least, expected // MAX_LISTED)
     parts = texts.select("text").mapInArrow(part_sketch(keys, depth, at), _PART_SCHEMA)
     merged = parts.repartition("slice", "row").sortWithinPartitions("slice", "row").mapInArrow(_merge(at, least, max(least, expected // HOT_PART)), _SLICES_SCHEMA)
     return Sketch(at, depth, materialize(merged, "sketch"))
@@ -253,33 +259,44 @@ def probe_rows(at: Layout, hot: Lookup, owner: np.ndarray, keys: np.ndarray, ext
     yield pa.RecordBatch.from_arrays([pa.array(slices[new]), *(c.take(pa.array(owner[new])) for c in columns), *packed], schema=_PROBE)
 
 
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive ``sizes`` of values as one binary value each."""
+    offsets = np.append(0, np.cumsum(sizes)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype("<i4").tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 def _answer(at: Layout, hot_level: int) -> Callable:
     local = at.bits - at.shift
     schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.binary()), ("levels", pa.binary()), ("extra", pa.binary())])
 
+    def whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All 64-bit values of a binary column, and how many each row has."""
+        sizes = np.diff(np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]) // 8
+        return np.frombuffer(b"".join(x for x in column.to_pylist() if x), "<u8"), sizes
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = None, None
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in schema.names}
-            for s, kind, doc, d1, d2, keys, extra in zip(*(batch.column(n).to_pylist() for n in ("slice", "kind", "doc_id", "d1", "d2", "keys", "extra")), strict=True):
-                if kind < 0:  # a row of the slice's sketch
+            slices, kinds = (batch.column(n).to_numpy() for n in ("slice", "kind"))
+            cuts = np.flatnonzero(np.append(True, (slices[1:] != slices[:-1]) | (kinds[1:] != kinds[:-1]))).tolist() + [len(slices)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                s = int(slices[lo])
+                if kinds[lo] < 0:  # a row of the slice's sketch
                     if s != number:
                         held, number = Lookup(at, s << local, [], np.zeros(0, np.uint64), np.zeros(0, np.uint8)), s
-                    held.repeated.append(np.frombuffer(zstandard.decompress(keys), np.uint8))
-                    if extra:
-                        c, n = _listed(extra)
+                    held.repeated.append(np.frombuffer(zstandard.decompress(part.column("keys")[0].as_py()), np.uint8))
+                    c, n = _listed(part.column("extra")[0].as_py())
+                    if len(c):
                         held.frequent, held.levels = c.astype(np.uint64), n
                     continue
-                keys = np.frombuffer(keys, "<u8")
-                if s < 0:
-                    ok, level = np.ones(len(keys), bool), np.full(len(keys), hot_level, np.uint8)
-                else:
-                    ok, level = held.seen(keys)
-                if ok.any():
-                    for name, value in zip(schema.names, (doc, d1, d2, keys[ok].tobytes(), level[ok].tobytes(), np.frombuffer(extra, "<u8")[ok].tobytes() if extra else b""), strict=True):
-                        out[name].append(value)
-            if out["d1"]:
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+                keys, sizes = whole(part.column("keys"))
+                extra, _ = whole(part.column("extra"))
+                ok, level = held.seen(keys) if s >= 0 else (np.ones(len(keys), bool), np.full(len(keys), hot_level, np.uint8))
+                kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes), ok, len(sizes)).astype(np.int64)
+                some = kept > 0
+                packed = [_binary(keys[ok], kept[some]), _binary(level[ok], kept[some]), _binary(extra[ok], kept[some]) if len(extra) else pa.array([b""] * int(some.sum()), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(n).filter(pa.array(some)) for n in ("doc_id", "d1", "d2")), *packed], schema=schema)
 
     return task
 

@@ -175,7 +175,8 @@ _WINDOWS = "h1 long, h2 int, doc_id long, d1 long, at long"
 
 
 def _windows(window: int):
-    """The windows of a text's runs, one row each. ``at``: the window's first word, and above its 32 bits the salt."""
+    """The windows of a text's runs, a row for each that differs from those before it in the text. ``at``: the window's first
+    word, and above its 32 bits the salt."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("at", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +195,10 @@ def _windows(window: int):
                 level = np.repeat(run[:, 2], run[:, 1])
                 h1 = window_hashes(word_hashes(data, starts, ends), window, WINDOW_BASES[0])[place]
                 h2 = window_hashes(word_hashes(data, starts, ends, 1), window, WINDOW_BASES[1])[place] >> np.uint64(32)
+                order = np.argsort(h1, kind="stable")
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (whose[order[1:]] == whose[order[:-1]])
+                h1, h2, place, whose, level = (x[~again] for x in (h1, h2, place, whose, level))
                 doc = docs[lo:hi][whose]
                 at = place - first[whose]
                 spread = np.left_shift(1, np.clip(level - SALT_LEVEL, 0, 20))
@@ -207,7 +212,7 @@ def _windows(window: int):
 
 
 def _cut(window: int):
-    """Remove the covered words of a text, given the starts of its windows to remove."""
+    """Remove the covered words of a text, given the first start of each window to remove; equal windows go with it."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +222,15 @@ def _cut(window: int):
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 starts, ends, first = word_spans(data, offsets)
                 raw = data.tobytes()
+                h1 = window_hashes(word_hashes(data, starts, ends), window, WINDOW_BASES[0])
+                h2 = window_hashes(word_hashes(data, starts, ends, 1), window, WINDOW_BASES[1]) >> np.uint64(32)
+                both = mix(h1) ^ h2
                 for i in range(hi - lo):
                     w0, w1 = first[i], first[i + 1]
                     n = int(w1 - w0)
                     edge = np.zeros(n + 1, np.int64)
-                    at = np.asarray(positions[lo + i], np.int64)
+                    own = both[w0 : w1 - window + 1]
+                    at = np.flatnonzero(np.isin(own, own[np.asarray(positions[lo + i], np.int64)]))
                     edge[at] += 1
                     np.add.at(edge, at + window, -1)
                     keep = np.cumsum(edge)[:n] == 0
@@ -242,7 +251,7 @@ def _found(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     merged = sketch.build(texts, _anchor_keys(window, anchor), 2, BYTES_AN_ANCHOR, 1 << SALT_LEVEL)
     if merged.broadcast:
         return materialize(texts.mapInArrow(_candidates(context.broadcast(merged.lookup()), window, anchor), _FOUND), "windows")
-    hot = merged.lookup(only_hot=True)
+    hot = merged.lookup("hot")
     asked = texts.filter("doc_id is not null").mapInArrow(_questions(merged.at, context.broadcast(hot), window, anchor), sketch.PROBE_SCHEMA)
     answers = sketch.probe(merged, asked, int(hot.levels.max(initial=SALT_LEVEL)))
     runs = materialize(answers.mapInArrow(_runs, "doc_id long, d1 long, d2 long, runs binary"), "runs")

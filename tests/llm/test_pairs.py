@@ -144,18 +144,8 @@ def _by_hand(spark, docs, parts=3):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(frame(spark, docs, parts)).collect()}
 
 
-def test_jaccard_looked_up_in_a_shuffle(spark, corpus, monkeypatch):
-    monkeypatch.setattr(sketch, "MAX_BITS", 10)
-    monkeypatch.setattr(sketch, "SLICE_BITS", 8)
-    monkeypatch.setattr(sketch, "HOT_PART", 64)
-    docs = [*corpus, (None, corpus[0][1])]
-    got = _by_hand(spark, docs)
-    assert got.pop(None) == (296, 0) and got == h.components(corpus)
-
-
 def test_jaccard_of_combinations(spark, monkeypatch):
     """Low counts for twos and threes, small groups: everything links through combinations."""
-    monkeypatch.setattr(ngram_jaccard, "LEVEL_LEAST", 2)
     monkeypatch.setattr(ngram_jaccard, "PAIRS", 4)
     monkeypatch.setattr(ngram_jaccard, "TRIPLES", 16)
     monkeypatch.setattr(ngram_jaccard, "GROUP", 6)

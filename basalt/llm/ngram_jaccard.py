@@ -1,10 +1,10 @@
 """N-gram Jaccard join: documents whose word shingle sets reach a Jaccard similarity, and their components.
 
-Method: token-combination prefixes. Shingles stand in one global order: rare ones by their hash, then frequent ones by
-the level of their count (read off a merged count-min sketch of all shingles, whose list of frequent cells is
-bounded). A document with ``s`` shingles may miss ``t = s - ceil(0.75 s)`` of them in any partner. Of its rare
-shingles the first ``t + 1`` are indexed alone. Where it has fewer, linked documents may share frequent shingles
-only, and these are indexed in combinations:
+Method: token-combination prefixes. Shingles that occur in one set only are left out: a bounded count-min sketch tells
+most of them, and Spark counts the rest exactly. All others stand in one global order, by the level of their count,
+rarest first. A document with ``s`` shingles may miss ``t = s - ceil(0.75 s)`` of them in any partner. Of its rare
+shingles the first ``t + 1`` (less those left out) are indexed alone. Where it has fewer, linked documents may share
+frequent shingles only, and these are indexed in combinations:
 
 - Frequent shingles are dealt into groups of about ``GROUP`` by their hash. If two sets reach a similarity, so do
   their parts in one group at least; for if each group's differences were above its share, so would their sum be.
@@ -12,8 +12,11 @@ only, and these are indexed in combinations:
   of class 3 (those of ``TRIPLES`` occurrences or more), and all combinations of so many are indexed. That is a
   number of combinations in proportion to a document's shingles, however long it is.
 
-Linked documents share an indexed shingle or combination; entries of one member are dropped once Spark has counted
-them, and every candidate is verified on whole sets. Whole sets are made for documents that have candidates.
+Linked documents share an indexed shingle or combination; every candidate is verified.
+
+The sketch is broadcast and never grows beyond ``sketch.MAX_BITS``; with more text its cells hold more keys and more
+shingles are left to the exact count, at most all of them: one shuffle of 16 bytes a shingle of distinct sets.
+Shingles of a ``sketch.HOT_PART`` of all occurrences are dealt out in that shuffle and keep the level of their cell.
 
 Documents with equal sets are one class, joined by its smallest doc_id. In an index entry, each member is
 first verified against one pivot; only members that are then in different components, and that pass the size
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -45,11 +48,10 @@ PERCENT = 75
 PAIRS, TRIPLES = 256, 1 << 16
 #: Frequent shingles of a document in one group, between this and twice as many on average.
 GROUP = 24
-#: Bytes of prose for each shingle, and cells of the sketch: counts are off by a few, which only moves shingles between classes.
-BYTES_A_SHINGLE, CELLS_A_SHINGLE = 6, 1 / 8
+BYTES_A_SHINGLE = 6
+#: Parts into which the occurrences of a hot shingle are dealt.
+PARTS = 64
 _GROUP_SALT = np.uint64(0x589965CC75374CC3)
-_SETS = "doc_id long, text_hash long, n long, d1 long, d2 long, alone binary, often binary, twos int"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("alone", pa.binary()), ("often", pa.binary()), ("twos", pa.int32())])
 
 
 def _least_shared(n, percent: int):
@@ -83,38 +85,65 @@ def _keys(k: int):
     return lambda batch: (x for x, _, _ in _shingle_sets(batch.column("text"), k) if len(x))
 
 
-def _sets(lookup, k: int, percent: int):
-    """Each document's size and set digests, the prefix of its rare shingles, and its frequent ones where those don't suffice."""
+def _sets(k: int):
+    """Each document's number of shingles and digests of their set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_shingle_sets(batch.column("text"), k, digests=True))
-            sizes = np.array([len(x) for x, _, _ in sets], np.int64)
-            every = np.concatenate([x for x, _, _ in sets]) if sets else np.zeros(0, np.uint64)
-            levels = lookup.value.seen(every)[1]
-            ends = np.cumsum(sizes)
-            alone, often, twos = [], [], []
-            for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-                x, level = every[lo:hi], levels[lo:hi]
-                need = hi - lo - _least_shared(hi - lo, percent) + 1
-                rare = x[level == 0][:need]
-                f = np.flatnonzero(level) if len(rare) < need else np.zeros(0, np.int64)
-                alone.append(rare.tobytes())
-                often.append(x[f[np.argsort(level[f], kind="stable")]].tobytes() if len(f) else None)
-                twos.append(int((level[f] < TRIPLES.bit_length() - 1).sum()))
-            d1, d2 = [d for _, d, _ in sets], [d for _, _, d in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": sizes, "d1": d1, "d2": d2, "alone": alone, "often": often, "twos": twos}, schema=_SETS_ARROW)
+            sets = [(len(x), a, b) for x, a, b in _shingle_sets(batch.column("text"), k, digests=True)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*sets, strict=True)] if sets else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], schema=schema)
 
     return task
 
 
-def _tokens(k: int):
-    """Whole sets."""
+def _occurrences(lookup, k: int, percent: int):
+    """Shingles that may be in other sets, of documents that may have a partner. ``part``: 0, or for a hot shingle its level and
+    one of ``PARTS``."""
+    schema = pa.schema([("token", pa.int64()), ("rid", pa.int64()), ("part", pa.int32())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rids = batch.column("rid").to_numpy()
             sets = [x for x, _, _ in _shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": [len(x) for x in sets], "tokens": [x.tobytes() for x in sets]}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
+            sizes = np.array([len(x) for x in sets], np.int64)
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            maybe, level = lookup.value.seen(every)
+            kept = np.bincount(owner, maybe, len(sets))
+            maybe &= (kept >= _least_shared(sizes, percent))[owner]
+            token, rid, level = every[maybe].view(np.int64), rids[owner[maybe]], level[maybe].astype(np.int32)
+            part = np.where(level > 0, level * PARTS + (mix(rid.view(np.uint64)) % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
+            for lo in range(0, len(token), 50_000):
+                cut = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(rid[cut]), pa.array(part[cut])], schema=schema)
+
+    return task
+
+
+_SHARED = "rid long, doc_id long, n long, kept int, rare int, twos int, tokens binary"
+
+
+def _ordered(percent: int):
+    """Shared shingles of each document in the global order; documents with too few of them go."""
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("kept", pa.int32()), ("rare", pa.int32()), ("twos", pa.int32()), ("tokens", pa.binary())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("found")
+            cuts = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            flat = lists.flatten()
+            tokens, levels = flat.field("token").to_numpy().view(np.uint64), flat.field("level").to_numpy()
+            out: dict[str, list] = {n: [] for n in schema.names}
+            for i, (rid, doc, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "n")), strict=True)):
+                x, level = tokens[cuts[i] : cuts[i + 1]], levels[cuts[i] : cuts[i + 1]]
+                if len(x) < _least_shared(n, percent):
+                    continue
+                rare, twos = (int((level < c.bit_length() - 1).sum()) for c in (PAIRS, TRIPLES))
+                for name, value in zip(schema.names, (rid, doc, n, len(x), rare, twos, x[np.lexsort((x, level))].tobytes()), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return task
 
@@ -170,7 +199,7 @@ def _powers(frequent: int, percent: int) -> range:
     return range(power(_least_shared(frequent, percent)), power(frequent * 100 // percent) + 1)
 
 
-_INDEX = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("room", pa.int64())])
+_INDEX = pa.schema([("sig", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("room", pa.int64())])
 #: Shingles whose combinations are made at once.
 _AT_ONCE = 100_000
 
@@ -181,8 +210,8 @@ def _signatures(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, rooms, owners = [], [], []
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "alone", "often", "twos")), strict=True))
-            doc, n = (batch.column(c).to_numpy() for c in ("doc_id", "n"))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "kept", "rare", "twos", "tokens")), strict=True))
+            rid, n, kept = (batch.column(c).to_numpy() for c in ("rid", "n", "kept"))
             waiting: list[tuple] = []
             held = 0
 
@@ -190,23 +219,25 @@ def _signatures(percent: int):
                 for lo in range(0, len(sig), 50_000):
                     cut = slice(lo, lo + 50_000)
                     o = owner[cut]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(doc[o]), pa.array(n[o]), pa.array(room[cut])], schema=_INDEX)  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(rid[o]), pa.array(n[o]), pa.array(room[cut])], schema=_INDEX)  # noqa: B023
 
             def combined() -> Iterator[pa.RecordBatch]:
                 sig, owner = combinations(*(np.concatenate(x) for x in zip(*waiting, strict=True)), percent)  # noqa: B023
-                yield from batches_of(sig, owner, n[owner])  # noqa: B023
+                yield from batches_of(sig, owner, kept[owner].astype(np.int64))  # noqa: B023
 
-            for row, (size, alone, often, twos) in enumerate(rows):
+            for row, (size, k, rare, twos, tokens) in enumerate(rows):
                 if size < 2:  # one shingle links with equal sets alone
                     continue
-                x = np.frombuffer(alone, np.uint64)
-                sigs.append(x)
-                rooms.append(size - np.arange(len(x)))
-                owners.append(np.full(len(x), row))
-                if often:
-                    f = np.frombuffer(often, np.uint64)
+                x = np.frombuffer(tokens, np.uint64)
+                need = k - _least_shared(size, percent) + 1
+                alone = x[: min(need, rare)]
+                sigs.append(alone)
+                rooms.append(k - np.arange(len(alone)))
+                owners.append(np.full(len(alone), row))
+                f = x[rare:]
+                if need > rare and len(f):
                     for power in _powers(len(f), percent):
-                        waiting.append((np.full(len(f), row), np.full(len(f), power), f, np.arange(len(f)) >= twos))
+                        waiting.append((np.full(len(f), row), np.full(len(f), power), f, np.arange(len(f)) >= twos - rare))
                         held += len(f)
                 if held >= _AT_ONCE:
                     yield from combined()
@@ -229,53 +260,60 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "total": batch.column("total"), "shared": shared}, schema=schema)
 
 
+def shared_shingles(texts: DataFrame, eldest: DataFrame, words: int, percent: int) -> DataFrame:
+    """For each document of ``eldest`` that may have a partner: the shingles that other sets hold, in the global order (``_SHARED``)."""
+    spark = texts.sparkSession
+    seen = sketch.build(texts, _keys(words), 1, BYTES_A_SHINGLE, most_bits=sketch.MAX_BITS).lookup("both")
+    own = texts.join(eldest.select("doc_id", "text_hash", "rid"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "rid"])
+    rows = own.select("rid", "text").mapInArrow(_occurrences(spark.sparkContext.broadcast(seen), words, percent), "token long, rid long, part int")
+    counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("token", "part"))).filter("c > 1 or part > 0")
+    level = F.when(F.col("part") > 0, F.expr(f"part div {PARTS}")).otherwise(F.floor(F.log2("c"))).cast("int")
+    found = counted.select("rid", F.struct("token", level.alias("level")).alias("x")).groupBy("rid").agg(F.collect_list("x").alias("found"))
+    return materialize(found.join(eldest.select("rid", "doc_id", "n"), "rid").mapInArrow(_ordered(percent), _SHARED), "shared")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles and component_id."""
-    spark = docs.sparkSession
-    tune(spark)
+    tune(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    frequent = sketch.build(texts, _keys(words), 1, BYTES_A_SHINGLE, PAIRS, CELLS_A_SHINGLE).lookup("often")
-    sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(frequent), words, percent), _SETS), "sets")
+    sets = materialize(texts.mapInArrow(_sets(words), "doc_id long, text_hash long, n long, d1 long, d2 long"), "sets")
 
     able = sets.filter("n > 0")
     classes = materialize(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("eldest"), F.count("*").alias("copies")), "classes")
     first = classes.select(F.col("eldest").alias("doc_id"), "d1", "d2")
-    eldest = able.join(first, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).drop("d1", "d2")
-    eldest = materialize(eldest, "eldest")
-    index = eldest.mapInArrow(_signatures(percent), "sig long, doc_id long, n long, room long")
-    entries = materialize(index.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1"), "entries")
-    index = materialize(join_classes(index, entries, ["sig"], "members"), "index")
-    pivot = F.max(F.struct((F.col("room") / F.col("n")).alias("clean"), "n", (-F.col("doc_id")).alias("minus"), "doc_id", "room"))
-    pivots = index.groupBy("sig").agg(F.count("*").alias("members"), pivot.alias("pivot"))
-    pivots = materialize(pivots.select("sig", "members", F.col("pivot.doc_id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.room").alias("proom")), "pivots")
-    index = index.drop("members")
-    held = eldest.select("doc_id", "text_hash").join(index.select("doc_id").distinct(), "doc_id")
-    tokens = texts.join(held, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    tokens = materialize(tokens.select("doc_id", "text").mapInArrow(_tokens(words), "doc_id long, n long, tokens binary"), "tokens")
+    eldest = able.join(first, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "text_hash", "n")
+    eldest = materialize(eldest.withColumn("rid", F.monotonically_increasing_id()), "eldest")
+    shared = shared_shingles(texts, eldest, words, percent)
+
+    index = shared.mapInArrow(_signatures(percent), "sig long, rid long, n long, room long")
+    pivot = F.max(F.struct((F.col("room") / F.col("n")).alias("clean"), "n", (-F.col("rid")).alias("minus"), "rid", "room"))
+    entries = index.groupBy("sig").agg(F.count("*").alias("members"), pivot.alias("pivot")).filter("members > 1")
+    entries = materialize(entries.select("sig", "members", F.col("pivot.rid").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.room").alias("proom")), "entries")
+    index = materialize(join_classes(index, entries, ["sig"], "members").drop("members"), "index")
 
     def fits(n: str, m: str, *most: str) -> str:
         return f"least({', '.join(most)}) * {100 + percent} >= {percent} * ({n} + {m}) and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(tokens.toDF("a", "an", "x"), "a").join(tokens.toDF("b", "bn", "y"), "b").select("a", "b", (F.col("an") + F.col("bn")).alias("total"), "x", "y")
+        side = lambda *names: shared.select("rid", "doc_id", "n", "tokens").toDF(*names)
+        both = pairs.join(side("a", "da", "an", "x"), "a").join(side("b", "db", "bn", "y"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"), (F.col("an") + F.col("bn")).alias("total"), "x", "y")
         return both.mapInArrow(_shared, "a long, b long, total long, shared long").filter(f"shared * {100 + percent} >= {percent} * total").select("a", "b")
 
-    starred = join_classes(index, pivots, ["sig"], "members").filter("doc_id <> p")
-    star = starred.filter(fits("n", "pn", "room", "proom")).select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
+    star = index.filter("rid <> p").filter(fits("n", "pn", "room", "proom")).select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct()
     star = materialize(star, "pairs")
     links = materialize(verified(star), "links")
-    first = materialize(components(links), "components")
+    found = materialize(components(links), "components")
 
-    named = index.select("sig", "doc_id", "n", "room").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    known = shared.select("rid", F.col("doc_id").alias("id")).join(found, "id", "left").select("rid", F.coalesce("component", "id").alias("component"))
+    named = index.select("sig", "rid", "n", "room").join(known, "rid")
     split = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("sig", "members")
     named = materialize(join_classes(named, materialize(split, "split"), ["sig"], "members").drop("members"), "open")
-    other = named.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("room").alias("broom"), F.col("component").alias("bc"))
-    rest = named.join(other, "sig").filter("doc_id < b and component <> bc").filter(fits("n", "bn", "room", "broom")).select(F.col("doc_id").alias("a"), "b").distinct()
+    other = named.select("sig", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("room").alias("broom"), F.col("component").alias("bc"))
+    rest = named.join(other, "sig").filter("rid < b and component <> bc").filter(fits("n", "bn", "room", "broom")).select(F.col("rid").alias("a"), "b").distinct()
     more = materialize(verified(rest.join(star, ["a", "b"], "left_anti")), "links")
-    final = first
     if not more.isEmpty():
-        final = materialize(components(first.select("id", "component").union(more)), "components")
-    named = classes.join(final.withColumnRenamed("id", "eldest"), "eldest", "left").select("d1", "d2", "copies", F.coalesce("component", "eldest").alias("component_id"))
+        found = materialize(components(found.select("id", "component").union(more)), "components")
+    named = classes.join(found.withColumnRenamed("id", "eldest"), "eldest", "left").select("d1", "d2", "copies", F.coalesce("component", "eldest").alias("component_id"))
     joined = join_classes(able.select("doc_id", "n", "d1", "d2"), named, ["d1", "d2"], "copies")
     alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return alone.unionByName(joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))

@@ -33,8 +33,7 @@ CELLS_A_KEY = 4
 FLUSH_KEYS = 1 << 22
 #: Keys that make up such a part of all keys are listed, at most so many of them (and a few that share their cells).
 HOT_PART = 4096
-#: Most frequent cells that are listed (and a few that share their cells), at 9 bytes each.
-MAX_LISTED = 1 << 24
+HOT_LEAST = 1 << 12
 _SLICE_SALT = np.uint64(0x8CB92BA72F3D8DD7)
 _SALTS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03)
 _PART_SCHEMA = "slice long, row int, cells binary, extra binary"
@@ -66,11 +65,11 @@ class Layout:
         return ((self.slices(keys) if slices is None else slices) << np.uint64(local)) | within
 
 
-def layout(texts: DataFrame, bytes_a_key: float, cells_a_key: float) -> tuple[Layout, int]:
-    """A layout with so many cells or more for each of the keys that so many bytes of ``text`` hold, and that number of keys."""
+def layout(texts: DataFrame, bytes_a_key: float) -> tuple[Layout, int]:
+    """A layout with ``CELLS_A_KEY`` cells or more for each of the keys that so many bytes of ``text`` hold, and that number of keys."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keys = int(size / bytes_a_key) + 1
-    return Layout(max(16, (int(keys * cells_a_key) - 1).bit_length())), keys
+    return Layout(max(16, (keys * CELLS_A_KEY - 1).bit_length())), keys
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -209,15 +208,15 @@ class Sketch:
         return self.at.bits <= MAX_BITS
 
     def lookup(self, what: str = "all") -> Lookup:
-        """``all``: all bitmaps and frequent cells, bounded by ``MAX_BITS``. ``often``: the frequent cells alone, bounded by the
-        least count asked for. ``hot``: the hottest cells, bounded by ``HOT_PART``."""
+        """``all``: all bitmaps and frequent cells. ``hot``: only the hottest cells, bounded by ``HOT_PART``. ``both``: bitmaps and
+        the hottest cells."""
         local = self.at.bits - self.at.shift
-        bitmaps = [np.zeros(1 << (self.at.bits - 3), np.uint8) for _ in range(self.depth)] if what == "all" else []
+        bitmaps = [np.zeros(1 << (self.at.bits - 3), np.uint8) for _ in range(self.depth)] if what != "hot" else []
         often, levels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-        cells = F.col("hot" if what == "hot" else "often").alias("often")
-        wanted = self.slices.select("slice", "row", "bitmap", cells) if what == "all" else self.slices.select("slice", cells).filter(F.octet_length("often") > 0)
+        cells = F.col("often" if what == "all" else "hot").alias("often")
+        wanted = self.slices.select("slice", "row", "bitmap", cells) if what != "hot" else self.slices.select("slice", cells).filter(F.octet_length("often") > 0)
         for row in wanted.toLocalIterator():
-            if what == "all":
+            if what != "hot":
                 part = np.frombuffer(zstandard.decompress(bytes(row["bitmap"])), np.uint8)
                 bitmaps[row["row"]][row["slice"] << (local - 3) : (row["slice"] + 1) << (local - 3)] = part
             c, n = _listed(bytes(row["often"]))
@@ -228,13 +227,13 @@ class Sketch:
         return Lookup(self.at, 0, bitmaps, cells[order], np.concatenate(levels)[order])
 
 
-def build(texts: DataFrame, keys: Callable, depth: int, bytes_a_key: float, least: int = 1 << 62, cells_a_key: float = CELLS_A_KEY) -> Sketch:
-    """Sketch the ``keys`` of all ``texts`` (a column ``text``). Cells of ``least`` keys or more are listed with their level,
-    or of ``expected keys / MAX_LISTED`` where that is more."""
-    at, expected = layout(texts, bytes_a_key, cells_a_key)
-    least = max(least, expected // MAX_LISTED)
+def build(texts: DataFrame, keys: Callable, depth: int, bytes_a_key: float, least: int = 1 << 62, most_bits: int = 64) -> Sketch:
+    """Sketch the ``keys`` of all ``texts`` (a column ``text``). Cells of ``least`` keys or more are listed with their level.
+    A sketch of ``most_bits`` bits of cells gets no larger; beyond that its cells hold more keys."""
+    at, expected = layout(texts, bytes_a_key)
+    at = Layout(min(at.bits, most_bits))
     parts = texts.select("text").mapInArrow(part_sketch(keys, depth, at), _PART_SCHEMA)
-    merged = parts.repartition("slice", "row").sortWithinPartitions("slice", "row").mapInArrow(_merge(at, least, max(least, expected // HOT_PART)), _SLICES_SCHEMA)
+    merged = parts.repartition("slice", "row").sortWithinPartitions("slice", "row").mapInArrow(_merge(at, least, max(HOT_LEAST, expected // HOT_PART)), _SLICES_SCHEMA)
     return Sketch(at, depth, materialize(merged, "sketch"))
 
 

@@ -161,6 +161,13 @@ def test_jaccard_of_combinations(spark, monkeypatch):
     assert _by_hand(spark, docs, 5) == h.components(docs)
 
 
+def test_jaccard_with_a_full_sketch(spark, corpus, monkeypatch):
+    """A sketch too small for its keys leaves all to the exact count; hot shingles are dealt out."""
+    monkeypatch.setattr(sketch, "MAX_BITS", 6)
+    monkeypatch.setattr(sketch, "HOT_LEAST", 400)
+    assert _by_hand(spark, corpus) == h.components(corpus)
+
+
 def test_combinations_lose_no_pair():
     """Sets that reach the similarity share a signature, whatever their classes."""
     rng = np.random.default_rng(17)

@@ -46,8 +46,8 @@ WORDS = 5
 PERCENT = 75
 #: Counts from which shingles are indexed in twos and in threes.
 PAIRS, TRIPLES = 256, 1 << 16
-#: Frequent shingles of a document in one group, between this and twice as many on average.
-GROUP = 24
+#: Frequent shingles of a document in one group, between this and twice as many on average; fewer are one group.
+GROUP = 128
 BYTES_A_SHINGLE = 6
 #: Parts into which the occurrences of a hot shingle are dealt.
 PARTS = 64
@@ -148,9 +148,10 @@ def _ordered(percent: int):
     return task
 
 
-def combinations(owner: np.ndarray, power: np.ndarray, tokens: np.ndarray, three: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of frequent shingles and their owners. ``tokens`` of an owner stand in the global order, class 2 before class
-    3 (``three``), and fall into 2 ** ``power`` groups by their hash."""
+def combinations(owner: np.ndarray, power: np.ndarray, tokens: np.ndarray, three: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of frequent shingles, their owners, the size of their group (0 where it is the only one), and how many
+    shingles of the group a partner can share whose first shared ones these are. ``tokens`` of an owner stand in the
+    global order, class 2 before class 3 (``three``), and fall into 2 ** ``power`` groups by their hash."""
     scattered = mix(tokens ^ _GROUP_SALT)
     group = np.where(power > 0, scattered >> (np.uint64(64) - np.maximum(power, 1).astype(np.uint64)), np.uint64(0))
     order = np.lexsort((group, owner))  # stable: the global order stays within a group
@@ -168,11 +169,13 @@ def combinations(owner: np.ndarray, power: np.ndarray, tokens: np.ndarray, three
     use2 = np.where(enough, lose + 2, twos)
     use3 = np.where(enough, 0, np.where(short, size - twos, rest + 2))
     label = mix(power.astype(np.uint64) + np.uint64(11))
-    sigs, owners = [], []
+    found: list[list[np.ndarray]] = [[], [], [], []]
 
-    def emit(i: np.ndarray, value: np.ndarray) -> None:
-        sigs.append(mix(value ^ label[i]))
-        owners.append(owner[i])
+    def emit(i: np.ndarray, value: np.ndarray, last: int, n: int) -> None:
+        """Signatures of ``n`` shingles each, the first at the places ``i``, the last so many places later."""
+        sizes = size[of[i]]
+        for x, y in zip(found, (mix(value ^ label[i]), owner[i], np.where(power[i] > 0, sizes, 0), sizes - rank[i] - last + n - 1), strict=True):
+            x.append(y)
 
     def later(i: np.ndarray, step: int, most: np.ndarray) -> np.ndarray:
         """Which of the places ``i`` have one ``step`` further on that is still used."""
@@ -180,17 +183,17 @@ def combinations(owner: np.ndarray, power: np.ndarray, tokens: np.ndarray, three
 
     base = np.uint64(WINDOW_BASES[0])
     single = np.flatnonzero(short[of] & (rank < (lose + 1)[of]))
-    emit(single, tokens[single])
+    emit(single, tokens[single], 0, 1)
     two = np.flatnonzero(rank < use2[of])
     for a in range(1, int(use2.max(initial=0))):
         two = two[later(two, a, use2)]
-        emit(two, mix(tokens[two] * base + tokens[two + a]))
+        emit(two, mix(tokens[two] * base + tokens[two + a]), a, 2)
     three_at = np.flatnonzero((rank >= twos[of]) & (rank < (twos + use3)[of]))
     for b in range(2, int(use3.max(initial=0))):
         three_at = three_at[later(three_at, b, twos + use3)]
         for a in range(1, b):
-            emit(three_at, mix(mix(tokens[three_at] * base + tokens[three_at + a]) * base + tokens[three_at + b]))
-    return np.concatenate(sigs), np.concatenate(owners)
+            emit(three_at, mix(mix(tokens[three_at] * base + tokens[three_at + a]) * base + tokens[three_at + b]), b, 3)
+    return tuple(np.concatenate(x) for x in found)
 
 
 def _powers(frequent: int, percent: int) -> range:
@@ -205,25 +208,26 @@ _AT_ONCE = 100_000
 
 
 def _signatures(percent: int):
-    """Index entries of a document. ``room``: the most shingles that a partner can share whose first shared one is this."""
+    """Index entries of a document. ``room``: the most shingles that a partner can share whose first shared ones are these;
+    ``n``: of how many, those of the group where there are several groups."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, rooms, owners = [], [], []
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "kept", "rare", "twos", "tokens")), strict=True))
-            rid, n, kept = (batch.column(c).to_numpy() for c in ("rid", "n", "kept"))
+            rid, n = (batch.column(c).to_numpy() for c in ("rid", "n"))
             waiting: list[tuple] = []
             held = 0
 
-            def batches_of(sig: np.ndarray, owner: np.ndarray, room: np.ndarray) -> Iterator[pa.RecordBatch]:
+            def batches_of(sig: np.ndarray, owner: np.ndarray, size: np.ndarray, room: np.ndarray) -> Iterator[pa.RecordBatch]:
                 for lo in range(0, len(sig), 50_000):
                     cut = slice(lo, lo + 50_000)
                     o = owner[cut]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(rid[o]), pa.array(n[o]), pa.array(room[cut])], schema=_INDEX)  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(rid[o]), pa.array(size[cut]), pa.array(room[cut])], schema=_INDEX)  # noqa: B023
 
             def combined() -> Iterator[pa.RecordBatch]:
-                sig, owner = combinations(*(np.concatenate(x) for x in zip(*waiting, strict=True)), percent)  # noqa: B023
-                yield from batches_of(sig, owner, kept[owner].astype(np.int64))  # noqa: B023
+                sig, owner, size, room = combinations(*(np.concatenate(x) for x in zip(*waiting, strict=True)), percent)  # noqa: B023
+                yield from batches_of(sig, owner, np.where(size > 0, size, n[owner]), room)  # noqa: B023
 
             for row, (size, k, rare, twos, tokens) in enumerate(rows):
                 if size < 2:  # one shingle links with equal sets alone
@@ -245,7 +249,8 @@ def _signatures(percent: int):
             if waiting:
                 yield from combined()
             if sigs:
-                yield from batches_of(np.concatenate(sigs), np.concatenate(owners), np.concatenate(rooms))
+                owner = np.concatenate(owners)
+                yield from batches_of(np.concatenate(sigs), owner, n[owner], np.concatenate(rooms))
 
     return task
 

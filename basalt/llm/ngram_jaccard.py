@@ -45,7 +45,7 @@ from .textkernel import WINDOW_BASES, chunks, lower_ascii, mix, window_hashes, w
 WORDS = 5
 PERCENT = 75
 #: Counts from which shingles are indexed in twos and in threes.
-PAIRS, TRIPLES = 256, 1 << 16
+PAIRS, TRIPLES = 1 << 11, 1 << 17
 #: Frequent shingles of a document in one group, between this and twice as many on average; fewer are one group.
 GROUP = 128
 BYTES_A_SHINGLE = 6

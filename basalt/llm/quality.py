@@ -6,7 +6,8 @@ broadcast as flat arrays; all rows are scored.
 
 Defined cases: null and empty texts are scored like any other, from statistics of zero; label rows that are
 null, repeated or of unknown documents add nothing wrong (the smallest label of a doc_id counts); without
-usable labels every score is 0.5; rows may repeat; other columns are ignored.
+usable labels every score is 0.5; rows may repeat, and of the rows of a labelled doc_id the smallest text is learned
+from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, label: str = "qu
     """Fit on at most ``rows`` labelled documents for which ``usable`` (a condition on doc_id) holds."""
     tune(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, label, usable, rows))  # bounded by ``rows``
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("y", "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     got = known.mapInArrow(_rows, "y int, x array<double>").collect()  # bounded by ``rows``
     got.sort(key=lambda r: (r["x"], r["y"]))  # the same model however the rows were dealt
     return boosting.fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], float))

@@ -55,6 +55,7 @@ class _Known:
 
     def __init__(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
+        self.second = np.zeros(0, np.uint64)
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
@@ -65,12 +66,18 @@ class _Known:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
-    def add(self, hashes: np.ndarray, encoded: list[list[int]]) -> None:
+    def confuses(self, hashes: np.ndarray, second: np.ndarray) -> bool:
+        """Whether a word has the hash of a kept one, but not its second, unlike hash."""
+        at, held = self.places(hashes)
+        return bool((held & (self.second[at] != second)).any()) if len(self.hashes) else False
+
+    def add(self, hashes: np.ndarray, second: np.ndarray, encoded: list[list[int]]) -> None:
         counts = np.array([len(x) for x in encoded], np.int64)
         starts = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.int32, int(counts.sum()))])
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
+        self.second = np.concatenate([self.second, second])[order]
         self.hashes, self.starts, self.counts = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
 
 
@@ -115,15 +122,21 @@ def encode_column(vocabulary: Vocabulary, known: _Known, column: pa.Array) -> It
             continue
         starts, ends, first = _units(data, offsets, alone)
         hashes = word_hashes(data, starts, ends)
+        twice = word_hashes(data, starts, ends, 1)
         distinct, at = np.unique(hashes, return_index=True)
-        if len(known.hashes) + len(distinct) > KEPT_WORDS:
+        other = twice != twice[at[np.searchsorted(distinct, hashes)]]
+        if other.any():  # two words of one hash: give the others a hash of both kinds
+            hashes = np.where(other, twice ^ np.uint64(1), hashes)
+            distinct, at = np.unique(hashes, return_index=True)
+        if len(known.hashes) + len(distinct) > KEPT_WORDS or known.confuses(distinct, twice[at]):
             known.__init__()
         new = ~known.places(distinct)[1]
         if new.any():
             raw = data.tobytes()
             words = [(raw[starts[i] : ends[i]].decode("utf-8").replace(" ", MARK), h) for i, h in zip(at[new].tolist(), distinct[new].tolist(), strict=True)]
             words.sort()
-            known.add(np.array([h for _, h in words], np.uint64), list(encode_sorted(vocabulary, (w for w, _ in words))))
+            second = dict(zip(distinct[new].tolist(), twice[at[new]].tolist(), strict=True))
+            known.add(np.array([h for _, h in words], np.uint64), np.array([second[h] for _, h in words], np.uint64), list(encode_sorted(vocabulary, (w for w, _ in words))))
         place = known.places(hashes)[0]
         counts = known.counts[place]
         ids = gather(known.ids, known.starts[place], counts)

@@ -2,7 +2,8 @@
 
 Learns from confirmed toxic documents and unlabelled documents alone; labels of 0 serve the class prior (the
 share of toxic rows among usable labels) and the place of the threshold. Features are the presence of words, and of beginnings of
-words, that confirmed documents hold clearly more often than unlabelled ones, chosen by Spark from document counts. The risk is
+words, that confirmed documents hold clearly more often than all documents do. The ``VOCABULARY`` terms that tell most
+are chosen: candidates from the confirmed documents, counted by Spark over all documents. The risk is
 
     prior * R+(confirmed) + max(0, R-(unlabelled) - prior * R-(confirmed)),
 
@@ -10,13 +11,14 @@ with logistic losses; where the second part falls below zero, the step goes uphi
 The bias is then set by the scores of usable labelled documents: where the shares of toxic and of other ones
 above a logit differ most, the score becomes ``THRESHOLD``. Shares within each class depend neither on how
 often a class is labelled nor on how often it stands among the documents.
-The samples are bounded (``CONFIRMED_ROWS``, ``UNLABELLED_ROWS``, ``PLACING_ROWS`` labelled documents of each
-class, those with the smallest hashes); all rows are scored, whole texts each.
+The fitted samples are bounded (``CONFIRMED_ROWS``, ``UNLABELLED_ROWS``, ``PLACING_ROWS`` labelled documents of each
+class, those with the smallest hashes, one row a doc_id); all rows are scored, whole texts each. The prior is the
+share of toxic rows with one row of each class added, so it is never 0 or 1.
 
 Defined cases: null and empty texts have no words and get the score of the bias; without confirmed documents
 all scores equal the prior; where no usable document is labelled 0 the fitted bias stays; null or repeated
-label rows count once, by their largest label; rows may repeat, and those of a labelled doc_id place the
-threshold by their mean logit; other columns are ignored.
+label rows count once, by their largest label; rows may repeat, and of the rows of a chosen doc_id the smallest
+text is learned from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,20 +80,35 @@ def _word_sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(words[cuts[i] : cuts[i + 1]])
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of words in a batch: confirmed and unlabelled."""
+_COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+
+
+def _rows_of(words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(words), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + 50_000].view(np.int64)), pa.array(n[lo : lo + 50_000].astype(np.int64))], schema=_COUNTS)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document counts of all terms in a batch."""
     for batch in batches:
-        known = batch.column("confirmed").to_numpy(zero_copy_only=False)
         sets = list(_word_sets(batch.column("text")))
-        if not sets:
-            continue
-        every = np.concatenate(sets)
-        flag = np.repeat(known, [len(s) for s in sets]).astype(float)
-        words, at = np.unique(every, return_inverse=True)
-        p, n = np.bincount(at, flag, len(words)), np.bincount(at, minlength=len(words))
-        for lo in range(0, len(words), 50_000):
-            cut = slice(lo, lo + 50_000)
-            yield pa.RecordBatch.from_pydict({"word": words[cut].view(np.int64), "p": p[cut].astype(np.int64), "u": (n - p)[cut].astype(np.int64)})
+        if sets:
+            yield from _rows_of(*np.unique(np.concatenate(sets), return_counts=True))
+
+
+def _count_known(terms):
+    """Document counts of given terms in a partition, a row a term."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = terms.value
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for x in _present(known, batch.column("text")):
+                total[x] += 1
+        some = total > 0
+        yield from _rows_of(known[some], total[some])
+
+    return task
 
 
 def _present(vocabulary: np.ndarray, column: pa.Array) -> Iterator[np.ndarray]:
@@ -163,34 +180,46 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, label: str = "to
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(usable & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = known.agg(F.sum("y"), F.count("*")).first()
-    prior = min(max((counts[0] or 0) / max(counts[1], 1), 1e-3), 0.5)
+    prior = ((counts[0] or 0) + 1) / (counts[1] + 2)
     bare = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not counts[0]:
         return bare
     order = F.xxhash64("doc_id"), "doc_id"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def texts_of(chosen: DataFrame, *columns: str) -> DataFrame:
+        """One text for each chosen doc_id; the choice is bounded, so it is broadcast."""
+        return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
+
     confirmed = known.filter("y = 1").orderBy(*order).limit(CONFIRMED_ROWS).select("doc_id", F.lit(True).alias("confirmed"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    drawn = ids.orderBy(*order).limit(UNLABELLED_ROWS).select("doc_id", F.lit(False).alias("confirmed"))
-    chosen = F.broadcast(confirmed.union(drawn))  # bounded by the two samples
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("confirmed", "text")
-    total = chosen.groupBy().agg(F.count_if("confirmed"), F.count_if(~F.col("confirmed"))).first()
-    word = texts.mapInArrow(_emit, "word long, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    ratio = (F.col("p") + 0.5) / (total[0] + 1) / ((F.col("u") + 0.5) / (total[1] + 1))
-    told = word.filter((F.col("p") >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO)).orderBy(F.desc(F.col("p") * F.log(ratio)), "word").limit(VOCABULARY)
-    vocabulary = np.sort(np.array([r["word"] for r in told.collect()], np.int64).view(np.uint64))
-    rows = texts.mapInArrow(_features(vocabulary), "confirmed boolean, found array<int>").collect()  # bounded by the samples
-    rows.sort(key=lambda r: (r["confirmed"], r["found"]))  # the same model however the rows were dealt
-    x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, r in enumerate(rows):
+    toxic = texts_of(confirmed, "confirmed")
+    n_toxic, n_all = toxic.count(), rows.count()
+    found = toxic.select("text").mapInArrow(_count_terms, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    p = {r["word"]: r["n"] for r in found.collect()}  # at most the terms of CONFIRMED_ROWS documents
+    known_terms = np.sort(np.array(list(p), np.int64).view(np.uint64))
+    every = rows.select("text").mapInArrow(_count_known(spark.sparkContext.broadcast(known_terms)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    told = []
+    for r in every.collect():  # the same terms
+        share = p[r["word"]] / n_toxic
+        ratio = (share + 0.5 / n_toxic) / ((r["n"] + 0.5) / n_all)
+        if ratio >= LEAST_RATIO:
+            told.append((-p[r["word"]] * np.log(ratio), r["word"]))
+    vocabulary = np.sort(np.array([w for _, w in sorted(told)[:VOCABULARY]], np.int64).view(np.uint64))
+    drawn = rows.select("doc_id").filter("doc_id is not null").distinct().orderBy(*order).limit(UNLABELLED_ROWS).select("doc_id", F.lit(False).alias("confirmed"))
+    texts = toxic.unionByName(texts_of(drawn, "confirmed")).select("confirmed", "text")
+    rows_x = texts.mapInArrow(_features(vocabulary), "confirmed boolean, found array<int>").collect()  # bounded by the samples
+    rows_x.sort(key=lambda r: (r["confirmed"], r["found"]))  # the same model however the rows were dealt
+    x = np.zeros((len(rows_x), len(vocabulary)), np.float32)
+    for i, r in enumerate(rows_x):
         x[i, r["found"]] = 1
-    flag = np.array([r["confirmed"] for r in rows], bool)
+    flag = np.array([r["confirmed"] for r in rows_x], bool)
     if not flag.any() or flag.all():
         return bare
     weights, bias = fit_nnpu(x[flag], x[~flag], prior)
     model = Model(vocabulary, weights, bias)
     placing = known.filter("y = 1").orderBy(*order).limit(PLACING_ROWS).union(known.filter("y = 0").orderBy(*order).limit(PLACING_ROWS))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(placing), "doc_id")  # bounded
-    logits = held.mapInArrow(_logits(spark.sparkContext.broadcast(model)), "doc_id long, y int, z double").groupBy("doc_id").agg(F.max("y").alias("y"), F.avg("z").alias("z"))
+    held = texts_of(placing, "y").select("doc_id", "y", "text")
+    logits = held.mapInArrow(_logits(spark.sparkContext.broadcast(model)), "doc_id long, y int, z double")
     placed = [(r["y"], round(r["z"], 9)) for r in logits.collect()]  # a row for each doc_id of the bounded samples
     model.bias += _shift(*(np.array([z for y, z in placed if y == side]) for side in (1, 0)))
     return model

@@ -97,3 +97,64 @@ def test_threshold_follows_scores_not_a_quota(spark):
         is_toxic = (rows.doc_id < 1000) | (rows.doc_id >= 5000)
         assert rows.predicted[is_toxic].mean() > 0.95
         assert rows.predicted[~is_toxic].mean() < 0.02
+
+
+def _plain_terms(text):
+    import re
+
+    words = re.findall(r"[a-z0-9\x80-\xff]+", (text or "").encode().decode("latin-1").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return set(words) | {(w[:n], n) for w in words for n in toxicity.BEGINNINGS if len(w) > n}
+
+
+def test_vocabulary_and_features_by_hand(spark, monkeypatch):
+    """Terms counted over all documents, one row a chosen doc_id, against loops."""
+    monkeypatch.setattr(toxicity, "VOCABULARY", 12)
+    rng = np.random.default_rng(21)
+    names = ["Vile", "foul-one", "nasty", "grimmer", *(f"word{i}" for i in range(30))]
+    text = lambda low, high: " ".join(names[int(i)] for i in rng.integers(low, high, 12))
+    docs = [(i, text(0, 12)) for i in range(30)] + [(100 + i, text(4, 34)) for i in range(200)] + [(7, text(0, 12)) for _ in range(20)]
+    labels = [(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(30)]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    least = {i: min(t for d, t in docs if d == i) for i in range(30)}
+    p, n = {}, {}
+    for t in least.values():
+        for term in _plain_terms(t):
+            p[term] = p.get(term, 0) + 1
+    for _, t in docs:
+        for term in _plain_terms(t):
+            n[term] = n.get(term, 0) + 1
+    gain = {t: p[t] * np.log((p[t] + 0.5) / 30 / ((n[t] + 0.5) / len(docs))) for t in p if p[t] >= 3 and (p[t] + 0.5) / 30 / ((n[t] + 0.5) / len(docs)) >= 2}
+    assert len(model.words) == min(12, len(gain)) > 0
+    import pyarrow as pa
+
+    best = sorted(gain.values(), reverse=True)[: len(model.words)]
+    whole = {term for term in gain if gain[term] >= best[-1]}
+    for t in list(least.values())[:5]:
+        places = next(iter(toxicity._present(model.words, pa.array([t]))))
+        assert len(places) <= len(_plain_terms(t) & whole)
+
+
+def test_risk_by_loops():
+    rng = np.random.default_rng(22)
+    x, u = (rng.random((40, 3)) < 0.5).astype(float), (rng.random((90, 3)) < 0.2).astype(float)
+    w, b = toxicity.fit_nnpu(x, u, 0.3, steps=4000, rate=0.02, decay=0.0)
+
+    def risk(w, b):
+        loss = lambda z: float(np.logaddexp(0, z))
+        r = sum(loss(-(r @ w + b)) for r in x) / len(x) * 0.3
+        return r + max(0.0, sum(loss(r @ w + b) for r in u) / len(u) - 0.3 * sum(loss(r @ w + b) for r in x) / len(x))
+
+    base = risk(w, b)
+    for i in range(3):
+        for step in (-0.3, 0.3):
+            assert risk(w + step * np.eye(3)[i], b) >= base - 5e-3
+    assert risk(w, b + 0.3) >= base - 5e-3 and risk(w, b - 0.3) >= base - 5e-3
+
+
+def test_a_repeated_doc_id_is_learned_from_once(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda x, u, prior: rows.append((len(x), len(u))) or (np.zeros(x.shape[1]), 0.0))
+    docs = [(0, f"vile text {i % 3}") for i in range(400)] + [(i, f"vile foul text {i}") for i in range(1, 101)]
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(60)], "doc_id long, toxic int")
+    toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+    assert rows == [(10, 101)]

@@ -34,12 +34,56 @@ def test_search(spark):
     assert exact_topk.search(df.filter("vec_id < 0")).count() == 0
 
 
-def test_search_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 3)
+def _plain(rows, k=5):
+    whole = [(i, [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v]) for i, v in rows]
+    out = []
+    for q, x in whole:
+        if q % 50 == 0:
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=True)))), i) for i, y in whole if i != q)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def test_search_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK_COMPONENTS", 64 * 40)
+    monkeypatch.setattr(exact_topk, "QUERY_ROWS", 3)
     df = spark.read.parquet(f"{DIR}/embeddings.parquet")
     blocks = sorted(tuple(r) for r in exact_topk.search(df).collect())
-    monkeypatch.undo()
-    assert blocks == sorted(tuple(r) for r in exact_topk.search(df).collect())
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.collect()]
+    assert blocks == _plain(rows)
+
+
+def test_search_with_outliers_and_huge_components(spark):
+    rng = np.random.default_rng(19)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(200)]
+    rows[3] = (3, [1e6, 0.0, 0.0, 0.0, 0.0, -1e6])  # an outlier must not blur the others' cells
+    rows[50] = (50, [1e15, -3.0, 1.0, 1.0, 1e9, 2.0])
+    rows[7] = (7, [1e300, 1.0, 0.0, 0.0, 0.0, 0.0])
+    rows[8] = (8, [-1.7e308, 1.0, 0.0, 0.0, 1e308, 0.0])
+    rows[100] = (100, [1.7e308, 0.0, 0.0, 0.0, 0.0, 1.0])
+    got = sorted(tuple(r) for r in exact_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == _plain(rows)
+
+
+def test_reads_follow_the_bounds(monkeypatch):
+    """Few exact vectors are read, and a pack and a file need little memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(20)
+    e = rng.normal(0, 0.2, (2048, 64))
+    file = exact_topk.File(np.arange(2048), e)
+    read = []
+    plain = exact_topk.exact_scores
+    monkeypatch.setattr(exact_topk, "exact_scores", lambda a, b: read.append(len(a)) or plain(a, b))
+    best = exact_topk.Best(np.arange(5000, 5064), rng.normal(0, 0.2, (64, 64)), 5)
+    assert (best.e @ e.T * 65536 <= file.bounds(best.e) + 256 * 64 * 8).all()
+    tracemalloc.start()
+    best.scan(file)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(read) < 64 * 2048 / 4 and peak < 60 << 20
+    scores = exact_topk.quantised(best.e) @ exact_topk.quantised(e).T
+    assert (np.sort(scores, 1)[:, ::-1][:, :5] == best.scores).all()
 
 
 def _targets(sizes):

@@ -1,7 +1,9 @@
 """Media columns: TIFF files in a binary column, one row per page, and texts stored as such files.
 
-Defined cases: a null or broken file gives one row with ``page`` null and the ``error``; a null text counts as
-empty; equal texts give equal files; rows may repeat; other columns are kept by ``read_pages`` if named.
+Defined cases: a null file, or one that is no TIFF, gives one row with ``page`` null and the ``error``; a page that can't be
+read gives a row with its number and the ``error``, beside the file's other pages; pages of several samples or of 16 bits
+have their ``pixels`` in rows of pixels, 16 bits little-endian; a null text counts as empty; an empty table gives an empty
+result; equal texts give equal files; rows may repeat; other columns are kept by ``read_pages`` if named.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ LAYOUTS = [
     *((c, p, 0) for c, p in ((tiff.NONE, 1), (tiff.PACKBITS, 1), (tiff.PACKBITS, 2), (tiff.LZW, 1), (tiff.DEFLATE, 1), (tiff.DEFLATE, 2))),
     *((c, p, 64) for c, p in ((tiff.NONE, 1), (tiff.PACKBITS, 1), (tiff.DEFLATE, 2), (tiff.LZW, 1), (tiff.DEFLATE, 1), (tiff.NONE, 2))),
 ]
-_PAGES = "row long, doc_id long, n_bytes long, media_bytes long, media_sha256 string, page int, n_pages int, width int, length int, compression int, predictor int, tiled boolean, pixels binary, error string"
-_PAGES_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("page", pa.int32()), ("n_pages", pa.int32()), ("width", pa.int32()), ("length", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())])
+_PAGES = "row long, doc_id long, n_bytes long, media_bytes long, media_sha256 string, page int, n_pages int, width int, length int, compression int, predictor int, tiled boolean, bits int, samples int, pixels binary, error string"
+_PAGES_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("page", pa.int32()), ("n_pages", pa.int32()), ("width", pa.int32()), ("length", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("bits", pa.int32()), ("samples", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
 _STORED = "row long, doc_id long, n_bytes long, media binary"
 #: Bytes of pixels after which a batch of pages is handed on.
 _HAND_ON = 4 << 20
@@ -75,13 +77,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if media is None:
                     raise ValueError("no file")
                 same |= {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
-                pages = list(tiff.read(media))
-            except (ValueError, IndexError, KeyError, zlib.error, OverflowError, tiff.struct.error) as error:
+                pages = list(tiff.read_all(media))
+            except tiff.BROKEN as error:
                 put(**same, error=str(error))
                 continue
             for i, p in enumerate(pages):
-                put(**same, page=i, n_pages=len(pages), width=p.width, length=p.length, compression=p.compression, predictor=p.predictor, tiled=p.tiled, pixels=p.pixels.tobytes())
-                held += p.pixels.size
+                if isinstance(p, str):
+                    put(**same, page=i, n_pages=len(pages), error=p)
+                    continue
+                pixels = p.pixels.astype("<u2").tobytes() if p.bits == 16 else p.pixels.tobytes()
+                put(**same, page=i, n_pages=len(pages), width=p.width, length=p.length, compression=p.compression, predictor=p.predictor, tiled=p.tiled, bits=p.bits, samples=p.samples, pixels=pixels)
+                held += len(pixels)
             if held >= _HAND_ON:
                 yield pa.RecordBatch.from_pydict(out, schema=_PAGES_ARROW)
                 out, held = {n: [] for n in _PAGES_ARROW.names}, 0
@@ -95,13 +101,20 @@ def read_pages(stored: DataFrame) -> DataFrame:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of one file follow each other within a task; fold them to one row."""
+    """Pages of one file follow each other within a task; fold them to one row. A file that can't be read whole has no row of
+    this digest: its error stands in ``read_pages``."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
     for batch in batches:  # a file's pages may go over several batches
         out: dict[str, list] = {n: [] for n in schema.names}
         for r in batch.to_pylist():
+            if r["page"] is None:
+                continue
             if r["page"] == 0:
+                whole = True
                 sha, size, histogram = hashlib.sha256(), 0, np.zeros(256, np.int64)
+            whole &= r["error"] is None
+            if not whole:
+                continue
             pixels = r["pixels"]
             sha.update(pixels)
             size += len(pixels)

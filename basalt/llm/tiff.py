@@ -1,7 +1,9 @@
 """TIFF: writing grey 8-bit pages, and reading pages by walking the image directories.
 
-Read: either byte order, strips or tiles, no compression, PackBits, LZW or deflate, horizontal differencing,
-one 8-bit sample a pixel. Fixed values (public format): tag and compression numbers.
+Read: either byte order, strips or tiles, no compression, PackBits, LZW or deflate, horizontal differencing, any
+number of unsigned samples of 1, 2, 4, 8 or 16 bits a pixel, interleaved or in planes, either order of bits. A page of
+more than ``MOST_BYTES`` or a block that holds less than it should is an error of that page. Fixed values (public
+format): tag and compression numbers.
 """
 
 from __future__ import annotations
@@ -16,11 +18,16 @@ import numpy as np
 # Fixed values of the format: tags.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
+PLANAR, FILL_ORDER, SAMPLE_FORMAT = 284, 266, 339
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 # Fixed values of the format: compressions.
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 _CLEAR, _END, _FIRST, _FULL = 256, 257, 258, 4094
 _SIZES = {1: "B", 3: "H", 4: "I"}
+#: Largest page, in bytes of its samples, and most directories of a file.
+MOST_BYTES = 1 << 28
+MOST_PAGES = 1 << 16
+_TURNED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).ravel()
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -166,7 +173,7 @@ def _expand(data: bytes, compression: int, size: int) -> bytes:
     if compression == LZW:
         return lzw_decode(data, size)
     if compression in (DEFLATE, 32946):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if compression == NONE:
         return data
     raise ValueError(f"compression {compression} is not supported")
@@ -221,56 +228,119 @@ def write(pages: list[np.ndarray], compression: int = NONE, predictor: int = 1,
 
 @dataclass
 class Page:
+    """``pixels``: length x width for one sample a pixel, else length x width x samples; 16-bit samples as such, all others as bytes."""
+
     width: int
     length: int
     compression: int
     predictor: int
     tiled: bool
     pixels: np.ndarray
+    bits: int = 8
+    samples: int = 1
 
 
-def read(data: bytes) -> Iterator[Page]:
-    """Pages in the order of the directories. Raises ``ValueError`` on what is not such a file."""
-    if data[:4] not in (b"II*\0", b"MM\0*"):
-        raise ValueError("not a TIFF file")
-    end = "<" if data[:2] == b"II" else ">"
+def _directories(data: bytes, end: str) -> Iterator[dict[int, tuple[int, ...]]]:
     (at,) = struct.unpack_from(end + "I", data, 4)
     walked: set[int] = set()
-    while at and at not in walked:
+    while at and at not in walked and len(walked) < MOST_PAGES:
         walked.add(at)
         (n,) = struct.unpack_from(end + "H", data, at)
         tags: dict[int, tuple[int, ...]] = {}
         for i in range(n):
             tag, kind, count = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
-            if kind not in _SIZES:
+            if kind not in _SIZES or count > len(data):
                 continue
             form = f"{end}{count}{_SIZES[kind]}"
             place = at + 10 + 12 * i
             if struct.calcsize(form) > 4:
                 (place,) = struct.unpack_from(end + "I", data, place)
             tags[tag] = struct.unpack_from(form, data, place)
-        yield _page(data, tags)
+        yield tags
         (at,) = struct.unpack_from(end + "I", data, at + 2 + 12 * n)
 
 
-def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
+#: What a broken file or page may raise.
+BROKEN = (ValueError, IndexError, KeyError, zlib.error, OverflowError, MemoryError, struct.error)
+
+
+def read_all(data: bytes) -> Iterator[Page | str]:
+    """Pages in the order of the directories; for a page that can't be read its error. Raises ``ValueError`` on what is no TIFF file."""
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        raise ValueError("not a TIFF file")
+    end = "<" if data[:2] == b"II" else ">"
+    directories = _directories(data, end)
+    while True:
+        try:
+            tags = next(directories, None)
+        except BROKEN as error:
+            yield f"broken directory: {error}"
+            return
+        if tags is None:
+            return
+        try:
+            page = _page(data, tags, end)
+        except BROKEN as error:
+            page = str(error) or type(error).__name__
+        yield page
+
+
+def read(data: bytes) -> Iterator[Page]:
+    """Pages in the order of the directories. Raises ``ValueError`` at a page that can't be read."""
+    for page in read_all(data):
+        if isinstance(page, str):
+            raise ValueError(page)
+        yield page
+
+
+def _samples(raw: bytes, rows: int, width: int, bits: int, end: str) -> np.ndarray:
+    """Rows of samples of a decompressed block; rows begin with a byte of their own."""
+    stride = -(-width * bits // 8)
+    if len(raw) < rows * stride:
+        raise ValueError("a block is too short")
+    packed = np.frombuffer(raw, np.uint8, rows * stride).reshape(rows, stride)
+    if bits == 8:
+        return packed
+    if bits == 16:
+        return packed.view(end + "u2").astype(np.uint16)
+    each = 8 // bits
+    parts = np.stack([(packed >> np.uint8(8 - bits * (i + 1))) & np.uint8((1 << bits) - 1) for i in range(each)], 2)
+    return parts.reshape(rows, stride * each)[:, :width]
+
+
+def _page(data: bytes, tags: dict[int, tuple[int, ...]], end: str) -> Page:
     one = lambda tag, default: tags.get(tag, (default,))[0]
-    width, length, compression, predictor = one(WIDTH, 0), one(LENGTH, 0), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if one(BITS, 1) != 8 or one(SAMPLES, 1) != 1:
-        raise ValueError("only one 8-bit sample a pixel is supported")
+    width, length, compression, predictor, samples = one(WIDTH, 0), one(LENGTH, 0), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(SAMPLES, 1)
+    bits = one(BITS, 1)
+    if bits not in (1, 2, 4, 8, 16) or len(set(tags.get(BITS, (1,)))) > 1 or one(SAMPLE_FORMAT, 1) != 1:
+        raise ValueError("only unsigned samples of 1, 2, 4, 8 or 16 bits are supported")
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise ValueError(f"predictor {predictor} is not supported for samples of {bits} bits")
+    if samples < 1 or width * length * samples * (2 if bits == 16 else 1) > MOST_BYTES:
+        raise ValueError("the page is too large")
+    planes = samples if one(PLANAR, 1) == 2 and samples > 1 else 1
+    each = samples // planes  # samples that stand side by side in a block
     tiled = TILE_OFFSETS in tags
-    pixels = np.zeros((length, width), np.uint8)
     if tiled:
         bw, bh = one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)
-        places = [(y, x, bh, bw) for y in range(0, length, bh) for x in range(0, width, bw)]
-        blocks = zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], strict=True)
+        if bw < 1 or bh < 1 or bw * bh * each * 2 > MOST_BYTES:
+            raise ValueError("tiles of no size, or too large")
+        places = [(p, y, x, bh, bw) for p in range(planes) for y in range(0, length, bh) for x in range(0, width, bw)]
+        offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         bh = min(one(ROWS_PER_STRIP, length), length) or 1
-        places = [(y, 0, min(bh, length - y), width) for y in range(0, length, bh)]
-        blocks = zip(tags[STRIP_OFFSETS], tags[STRIP_COUNTS], strict=True)
-    for (y, x, h, w), (offset, count) in zip(places, blocks, strict=True):
-        block = np.frombuffer(_expand(data[offset : offset + count], compression, h * w), np.uint8)[: h * w].reshape(h, w)
+        places = [(p, y, 0, min(bh, length - y), width) for p in range(planes) for y in range(0, length, bh)]
+        offsets = tags[STRIP_OFFSETS]
+        counts = tags[STRIP_COUNTS] if STRIP_COUNTS in tags or compression != NONE else (len(data),) * len(offsets)
+    if len(places) != len(offsets) or len(places) != len(counts):
+        raise ValueError("another number of blocks than the page needs")
+    pixels = np.zeros((length, width, samples), np.uint16 if bits == 16 else np.uint8)
+    for (plane, y, x, h, w), offset, count in zip(places, offsets, counts, strict=True):
+        raw = data[offset : offset + count]
+        if one(FILL_ORDER, 1) == 2:
+            raw = _TURNED[np.frombuffer(raw, np.uint8)].tobytes()
+        block = _samples(_expand(raw, compression, h * -(-w * each * bits // 8)), h, w * each, bits, end).reshape(h, w, each)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        pixels[y : y + h, x : x + w] = block[: length - y, : width - x]
-    return Page(width, length, compression, predictor, tiled, pixels)
+            block = np.cumsum(block, axis=1, dtype=block.dtype)
+        pixels[y : y + h, x : x + w, plane * each : (plane + 1) * each] = block[: length - y, : width - x]
+    return Page(width, length, compression, predictor, tiled, pixels[:, :, 0] if samples == 1 else pixels, bits, samples)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import struct
 import zlib
 
 import duckdb
@@ -90,6 +91,63 @@ def test_tiff_known_file():
     assert page.pixels.tolist() == [[1, 2, 3], [9, 9, 9]]
 
 
+def _file(tags, blocks, order="big"):
+    """A file of one directory laid out by hand; blocks stand from byte 8 on."""
+    head, pack = (b"MM\0*", ">") if order == "big" else (b"II*\0", "<")
+    sizes = [len(b) for b in blocks]
+    offsets = [8 + sum(sizes[:i]) for i in range(len(blocks))]
+    tags = {**tags, 273: (4, offsets), 279: (4, sizes)}
+    data, entries = head + (8 + sum(sizes)).to_bytes(4, order) + b"".join(blocks), b""
+    later = 8 + sum(sizes) + 2 + 12 * len(tags) + 4
+    tail = b""
+    for tag, (kind, values) in sorted(tags.items()):
+        raw = struct.pack(f"{pack}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            tail, raw = tail + raw, (later + len(tail)).to_bytes(4, order)
+        entries += struct.pack(pack + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    return data + len(tags).to_bytes(2, order) + entries + (0).to_bytes(4, order) + tail
+
+
+def _tags(width, length, bits, samples=1, **more):
+    return {256: (3, [width]), 257: (3, [length]), 258: (3, [bits] * samples), 277: (3, [samples]), 278: (3, [length]), **{int(k[1:]): (3, [v]) for k, v in more.items()}}
+
+
+def test_tiff_kinds_of_samples():
+    rgb = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    (page,) = tiff.read(_file(_tags(4, 2, 8, 3), [rgb.tobytes()]))
+    assert (page.pixels == rgb).all() and page.samples == 3
+    differences = rgb.copy()
+    differences[:, 1:] -= rgb[:, :-1]
+    (page,) = tiff.read(_file(_tags(4, 2, 8, 3, t317=2, t259=8), [zlib.compress(differences.tobytes())], "little"))
+    assert (page.pixels == rgb).all()
+    (page,) = tiff.read(_file(_tags(4, 2, 8, 3, t284=2), [rgb[:, :, i].tobytes() for i in range(3)]))
+    assert (page.pixels == rgb).all()
+    deep = np.array([[1, 300, 65535], [0, 256, 4096]], np.uint16)
+    for order, kind in (("big", ">u2"), ("little", "<u2")):
+        (page,) = tiff.read(_file(_tags(3, 2, 16), [deep.astype(kind).tobytes()], order))
+        assert (page.pixels == deep).all() and page.pixels.dtype == np.uint16
+    (page,) = tiff.read(_file(_tags(10, 2, 1), [bytes([0b10110011, 0b01000000, 0b00000001, 0b11000000])]))
+    assert page.pixels.tolist() == [[1, 0, 1, 1, 0, 0, 1, 1, 0, 1], [0, 0, 0, 0, 0, 0, 0, 1, 1, 1]]
+    (page,) = tiff.read(_file(_tags(10, 1, 1, t266=2), [bytes([0b11001101, 0b00000010])]))
+    assert page.pixels.tolist() == [[1, 0, 1, 1, 0, 0, 1, 1, 0, 1]]
+    (page,) = tiff.read(_file(_tags(3, 1, 4), [bytes([0x1F, 0x20])]))
+    assert page.pixels.tolist() == [[1, 15, 2]]
+
+
+def test_tiff_errors_stay_with_their_page(spark):
+    good, bad = _file(_tags(2, 1, 8), [b"ab"]), _file(_tags(2, 1, 8), [b"a"])
+    huge = _file({256: (4, [10**6]), 257: (4, [10**6]), 258: (3, [8]), 277: (3, [1]), 278: (4, [10**6])}, [b"a"])
+    bomb = _file(_tags(4, 1, 8, t259=8), [zlib.compress(b"x" * 50_000_000)])
+    files = [good, bad, huge, bomb, good[:20], b"", tiff.write([np.full((2, 3), 7, np.uint8)])]
+    rows = spark.createDataFrame([(i, i, 1, bytearray(f)) for i, f in enumerate(files)], "row long, doc_id long, n_bytes long, media binary")
+    pages = {r["row"]: r for r in media_tiff.read_pages(rows).collect()}
+    assert [pages[i]["error"] is None for i in range(7)] == [True, False, False, True, False, False, True]
+    assert bytes(pages[0]["pixels"]) == b"ab" and bytes(pages[3]["pixels"]) == b"xxxx" and "too large" in pages[2]["error"]
+    digests = media_tiff.read_pages(rows).mapInArrow(media_tiff._digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    assert sorted(r["doc_id"] for r in digests.collect()) == [0, 3, 6]
+    assert media_tiff.read_pages(rows.filter("row > 99")).count() == 0
+
+
 def test_media(spark):
     texts = _texts(spark) + ODD + ["long " * 60_000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, media string").repartition(3)

@@ -2,9 +2,13 @@
 
 All rolling k-grams of a document's words are hashed and joined to the k-grams of the templates. A match at
 document position p and template position t votes for the diagonal p - t. Votes are summed by diagonal,
-diagonals of one document and template that lie no further than ``NEIGHBOURS`` apart are merged, and a merged
+diagonals of one document and template that lie no further apart than a template's ``reach`` (one word in five of its
+length, ``MOST_REACH`` at most, so that inserted names and lost lines don't break a span) are merged, and a merged
 span is verified: it must hold ``LEAST_COVERAGE`` of the template's k-grams, in no more than ``MOST_STRETCH``
-times the template's length. Its template's label is then the document's.
+times the template's length and its reach. Its template's label is then the document's.
+
+Each text is cut into words once; what is written then is its counts, places and the few k-grams that some template
+holds, not its words.
 
 Defined cases: a null text is empty: no words, no places, no labels, score 0; repeated rows give equal rows;
 other columns are ignored; an empty table gives an empty result.
@@ -15,26 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
+from .license_texts import TEXTS as TEMPLATES
 
 # Fixed values of the contract: phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 4
-NEIGHBOURS = 2
+MOST_REACH = 20
 LEAST_COVERAGE = 0.6
 MOST_STRETCH = 2
-#: Label and text of each template; public license texts and notices, in words as ``WORD`` cuts them.
-TEMPLATES = {
-    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "apache-2.0-notice": "licensed under the apache license version 2 0",
-    "bsd-conditions": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "cc-by-nc-4.0-notice": "licensed under cc by nc 4 0",
-    "gpl-3.0-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
-    "gpl-3.0-notice": "this work is licensed under the gnu general public license version 3",
-    "mit-notice": "released under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-}
 
 
 def _lowered(text: Column) -> Column:
@@ -50,12 +44,17 @@ def _gram(words: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*(F.get(words, i + j) for j in range(k)))
 
 
+def reach(n_words: int) -> int:
+    """How far apart merged diagonals of a template of so many words may lie."""
+    return max(1, min(MOST_REACH, n_words // 5))
+
+
 def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
-    """k-grams of all templates: gram, label, t (place), grams (their number)."""
-    rows = [(label, text.split(" ")) for label, text in texts.items()]
-    table = spark.createDataFrame(rows, "label string, words array<string>")
-    grams = table.select("label", (F.size("words") - k + 1).alias("grams"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: _gram(F.col("words"), i, k))).alias("t", "gram"))
-    return grams.select("gram", "label", "t", "grams")
+    """k-grams of all templates: gram, label, t (place), grams (their number), reach."""
+    rows = [(label, text.split(" "), reach(text.count(" ") + 1)) for label, text in texts.items()]
+    table = spark.createDataFrame(rows, "label string, words array<string>, reach int")
+    grams = table.select("label", "reach", (F.size("words") - k + 1).alias("grams"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: _gram(F.col("words"), i, k))).alias("t", "gram"))
+    return grams.select("gram", "label", "t", "grams", "reach")
 
 
 def phrase_places(words: Column, phrases: dict[str, str] = PHRASES) -> list[Column]:
@@ -75,42 +74,38 @@ def phrase_places(words: Column, phrases: dict[str, str] = PHRASES) -> list[Colu
     return [at(p) for p in phrases]
 
 
-def votes(docs: DataFrame, k: int = K, texts: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Verified spans: key, label, coverage, start, end (words, end exclusive) of rows with ``key`` and ``text``."""
-    rolling = docs.select("key", _words(_lowered(F.col("text"))).alias("words")).filter(F.size("words") >= k)
-    grams = rolling.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: _gram(F.col("words"), i, k))).alias("p", "gram"))
-    template = F.broadcast(templates(docs.sparkSession, texts, k))  # as large as the texts above
-    hits = grams.join(template, "gram").select("key", "label", "grams", "t", "p", (F.col("p") - F.col("t")).alias("diagonal"))
-    diagonals = hits.groupBy("key", "label", "grams", "diagonal").agg(F.collect_set("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+def known_grams(words: Column, grams: list[int], k: int = K) -> Column:
+    """(p, gram) of a document's k-grams that some template holds."""
+    rolling = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.struct(i.alias("p"), _gram(words, i, k).alias("gram"))))
+    return F.filter(F.coalesce(rolling, F.array().cast("array<struct<p:int,gram:bigint>>")), lambda g: g["gram"].isin(grams))
+
+
+def votes(found: DataFrame, template: DataFrame, k: int = K) -> DataFrame:
+    """Verified spans: key, label, coverage, start, end (words, end exclusive) of rows with ``key`` and ``known`` (``known_grams``)."""
+    grams = found.filter(F.size("known") > 0).select("key", F.inline("known"))
+    hits = grams.join(F.broadcast(template), "gram").select("key", "label", "grams", "reach", "t", "p", (F.col("p") - F.col("t")).alias("diagonal"))  # as large as the texts
+    diagonals = hits.groupBy("key", "label", "grams", "reach", "diagonal").agg(F.collect_set("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi"))
     order = Window.partitionBy("key", "label").orderBy("diagonal")
-    fresh = (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS).cast("int")
+    fresh = (F.col("diagonal") - F.lag("diagonal").over(order) > F.col("reach")).cast("int")
     merged = diagonals.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("span", F.sum("fresh").over(order))
-    spans = merged.groupBy("key", "label", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n"), F.min("lo").alias("start"), (F.max("hi") + k).alias("end"))
+    spans = merged.groupBy("key", "label", "grams", "reach", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n"), F.min("lo").alias("start"), (F.max("hi") + k).alias("end"))
     found = spans.withColumn("coverage", F.col("n") / F.col("grams"))
-    return found.filter((F.col("coverage") >= LEAST_COVERAGE) & (F.col("end") - F.col("start") <= MOST_STRETCH * (F.col("grams") + k - 1))).select("key", "label", "coverage", "start", "end")
+    return found.filter((F.col("coverage") >= LEAST_COVERAGE) & (F.col("end") - F.col("start") <= MOST_STRETCH * (F.col("grams") + k - 1) + F.col("reach"))).select("key", "label", "coverage", "start", "end")
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the contract's columns of ``op8``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.hash("text").alias("b"))
-    keyed = rows.withColumn("key", key)
-    lowered = _lowered(F.col("text"))
-    # words are only cut where every word of some phrase stands
-    maybe = None
-    for phrase in phrases:
-        test = None
-        for part in phrase.split(" "):
-            test = lowered.contains(part) if test is None else test & lowered.contains(part)
-        maybe = test if maybe is None else maybe | test
-    words = F.when(maybe, _words(lowered)).otherwise(F.array().cast("array<string>"))
-    base = keyed.select("doc_id", "key", F.regexp_count(lowered, F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
-    base = base.select("doc_id", "key", "n_words", F.array(*phrase_places(F.col("words"), phrases)).alias("places"))
+    spark = docs.sparkSession
+    template = templates(spark, texts)
+    grams = [r["gram"] for r in template.select("gram").distinct().collect()]  # as many as the templates have
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(_lowered(F.coalesce("text", F.lit("")))).alias("words"))
+    cut = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array(*phrase_places(F.col("words"), phrases)).alias("places"), known_grams(F.col("words"), grams).alias("known"))
+    base = materialize(cut.withColumn("key", F.monotonically_increasing_id()), "places")
     names = [F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
     every = F.flatten("places")
-    base = base.select("doc_id", "key", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_compact(F.array(*names)).alias("own"))
-    said = votes(keyed.select("key", "text")).groupBy("key").agg(F.collect_set("label").alias("voted"), F.max("coverage").alias("coverage"))
-    both = base.join(said, "key", "left")
+    told = base.select("doc_id", "key", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_compact(F.array(*names)).alias("own"))
+    said = votes(base, template).groupBy("key").agg(F.collect_set("label").alias("voted"), F.max("coverage").alias("coverage"))
+    both = told.join(said, "key", "left")
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return both.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("own")).alias("base_labels"),
@@ -129,22 +124,22 @@ def _sql() -> str:
     tests = []
     for phrase, label in PHRASES.items():
         tests.append("select doc_id, p, '" + label + "' as label from w where " + " and ".join(f"ws[p + {i + 1}] = '{x}'" for i, x in enumerate(phrase.split(" "))))
-    rows = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in TEMPLATES.items())
+    rows = ", ".join(f"('{label}', string_split('{text}', ' '), {reach(text.count(' ') + 1)})" for label, text in TEMPLATES.items())
     return rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') as ws from documents),
 w as (select doc_id, ws, unnest(range(0, len(ws))) as p from d),
 base as ({" union all ".join(tests)}),
 b as (select doc_id, count(*) as n, min(p) as lo, max(p) as hi from base group by doc_id),
-tpl(label, ws) as (values {rows}),
-tg as (select label, len(ws) - {K - 1} as grams, unnest(range(0, len(ws) - {K - 1})) as t, unnest(list_transform(range(1, len(ws) - {K - 2}), lambda i: array_to_string(ws[i:i + {K - 1}], ' '))) as gram from tpl),
+tpl(label, ws, reach) as (values {rows}),
+tg as (select label, reach, len(ws) - {K - 1} as grams, unnest(range(0, len(ws) - {K - 1})) as t, unnest(list_transform(range(1, len(ws) - {K - 2}), lambda i: array_to_string(ws[i:i + {K - 1}], ' '))) as gram from tpl),
 dg as (select doc_id, unnest(range(0, len(ws) - {K - 1})) as p, unnest(list_transform(range(1, len(ws) - {K - 2}), lambda i: array_to_string(ws[i:i + {K - 1}], ' '))) as gram from d where len(ws) >= {K}),
-hits as (select doc_id, label, grams, t, p, p - t as diagonal from dg join tg using (gram)),
-diag as (select doc_id, label, diagonal from hits group by all),
-fresh as (select *, coalesce((diagonal - lag(diagonal) over (partition by doc_id, label order by diagonal) > {NEIGHBOURS})::int, 0) as f from diag),
+hits as (select doc_id, label, grams, reach, t, p, p - t as diagonal from dg join tg using (gram)),
+diag as (select doc_id, label, reach, diagonal from hits group by all),
+fresh as (select *, coalesce((diagonal - lag(diagonal) over (partition by doc_id, label order by diagonal) > reach)::int, 0) as f from diag),
 span as (select *, sum(f) over (partition by doc_id, label order by diagonal) as s from fresh),
 merged as (
-  select doc_id, label, grams, s, count(distinct t) / grams as coverage, min(p) as lo, max(p) + {K} as hi from hits join span using (doc_id, label, diagonal) group by doc_id, label, grams, s),
-ok as (select * from merged where coverage >= {LEAST_COVERAGE} and hi - lo <= {MOST_STRETCH} * (grams + {K - 1})),
+  select doc_id, label, grams, hits.reach as reach, s, count(distinct t) / grams as coverage, min(p) as lo, max(p) + {K} as hi from hits join span using (doc_id, label, diagonal) group by doc_id, label, grams, hits.reach, s),
+ok as (select * from merged where coverage >= {LEAST_COVERAGE} and hi - lo <= {MOST_STRETCH} * (grams + {K - 1}) + reach),
 c as (select doc_id, max(coverage) as coverage from ok group by doc_id),
 bl as (select doc_id, string_agg(label, ',' order by label) as labels from (select distinct doc_id, label from base) group by doc_id),
 al as (select doc_id, string_agg(label, ',' order by label) as labels from (select doc_id, label from base union select doc_id, label from ok) group by doc_id)

@@ -6,11 +6,11 @@ and names of documents outside such matches (ordinary), at most ``SAMPLE`` of ea
 Both are cut by the alphabet of tokens. Strings whose letters, digits and cases take turns more often than every
 ``LEAST_RUN`` characters are not taken for ordinary ones: the corpus holds secrets outside assignments too.
 Strings without small letters are read in small letters, as names in capitals are names. A token of ``TOKEN_LENGTH`` or more
-characters whose log-likelihood ratio reaches ``LEAST_RATIO`` is a span of kind ``random`` unless it overlaps
+characters whose log-likelihood ratio reaches ``LEAST_RATIO`` per character, and which has not the form of a UUID, is a span of kind ``random`` unless it overlaps
 a span of a pattern. The ratios of all pairs (128 x 128 at most) are a literal of the plan.
 
 Positions: a text without its matches is what ``split`` gives, so running lengths of pieces and matches are
-the matches' places in code points.
+the matches' places in code points; they are summed by doubling, in n log n steps for n matches.
 
 Defined cases: a null text is empty and has no spans; repeated rows give equal rows; without any match to
 learn from, the model of random strings is uniform; other columns are ignored; an empty table gives an empty
@@ -38,9 +38,12 @@ TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LENGTH},}}"
 LEARN_LEAST = 16
 SAMPLE = 20_000
 ORDINARY_DOCS = 2_000
-LEAST_RATIO = 15.0
+#: Least log-likelihood ratio per character.
+LEAST_RATIO = 2.0
 #: A random string has so many different characters at least; runs of few characters are no secrets.
 LEAST_DISTINCT = 8
+#: The form of a UUID (public format): random, but a name and no secret.
+UUID = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
 #: How many observations the plain character frequencies count for in a pair's probability.
 BACK_OFF = 10
 #: Ordinary strings hold one change between letters and digits or to a capital in so many characters at most.
@@ -57,22 +60,23 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 def _places(text: Column, pattern: str, kind: int, keep: Column | None = None, extra: Column | None = None) -> Column:
     """Spans of a pattern's matches, leftmost and not overlapping. ``keep``: a filter over the structs' fields
     start, end, match and, where given, extra."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    fields = [found.alias("match"), F.split(text, pattern, -1).alias("piece")]
-    zipped = F.arrays_zip(*fields, *([extra.alias("extra")] if extra is not None else []))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,extra:string>>").alias("spans"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("piece"), (extra if extra is not None else F.lit(None).cast("array<string>")).alias("extra"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["piece"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"), (x["extra"] if extra is not None else F.lit(None).cast("string")).alias("extra"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), state["spans"]).otherwise(F.concat(state["spans"], F.array(span))).alias("spans"))
+    def add(state: Column, _: Column) -> Column:
+        at, step = state["at"], state["step"]
+        return F.struct(F.transform(at, lambda x, i: x + F.when(i >= step, F.get(at, i - step)).otherwise(0)).alias("at"), (step * 2).alias("step"))
 
-    spans = F.aggregate(zipped, start, step, lambda s: s["spans"])
-    if keep is not None:
-        spans = F.filter(spans, keep)
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    def spans(p: Column) -> Column:
+        lengths = F.zip_with(p["piece"], F.concat(F.array(F.lit("")), p["match"]), lambda a, b: F.length(a) + F.length(b))
+        start = F.struct(lengths.alias("at"), F.lit(1).alias("step"))
+        doublings = F.ceil(F.log2(F.size(p["piece"]).cast("double"))).cast("int")
+        begins = F.aggregate(F.sequence(F.lit(0), doublings), start, add, lambda s: s["at"])
+        zipped = F.arrays_zip(F.slice(begins, 1, F.size(p["match"])).alias("start"), p["match"].alias("match"), *([p["extra"].alias("extra")] if extra is not None else []))
+        return F.filter(zipped, keep) if keep is not None else zipped
+
+    whole = F.get(F.transform(F.array(parts), spans), F.lit(0))  # the arrays are made once
+    named = F.transform(whole, lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(kind).alias("kind"), (s["start"] + F.length(s["match"])).cast("int").alias("end")))
+    return F.when(text.rlike(pattern), named).otherwise(F.array().cast(_SPAN))
 
 
 def _neighbours(text: Column, of) -> Column:
@@ -155,7 +159,7 @@ def random_spans(text: Column, ratios: str) -> Column:
     """Spans of tokens whose likelihood ratio reaches ``LEAST_RATIO``."""
     table = F.split(F.lit(ratios), ",").cast("array<double>")  # folded to one literal
     mixed = lambda s: F.size(F.array_distinct(F.split(s["match"], ""))) >= LEAST_DISTINCT
-    return _places(text, TOKEN, 3, lambda s: mixed(s) & (_ratio(s["match"], table) >= LEAST_RATIO))
+    return _places(text, TOKEN, 3, lambda s: mixed(s) & ~s["match"].rlike(f"^{UUID}$") & (_ratio(s["match"], table) >= LEAST_RATIO * F.length(s["match"])))
 
 
 def has_secret(text: Column, ratios: str) -> Column:
@@ -200,7 +204,7 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
 {spans("a", ASSIGN, 0, f"regexp_extract_all(text, '{q}', 2)", f"len(x) >= {ASSIGN_LEAST}")},
 {spans("k", ACCESS, 1, "", f"len(m) >= {ACCESS_LEAST}")},
 {spans("h", HEX, 2)},
-{spans("t", TOKEN, 3, "", f"len(list_distinct(string_split(m, ''))) >= {LEAST_DISTINCT}")},
+{spans("t", TOKEN, 3, "", f"len(list_distinct(string_split(m, ''))) >= {LEAST_DISTINCT} and not regexp_full_match(m, '{UUID}')")},
 pos as (select s from (select distinct unnest(regexp_extract_all(text, '{q}', 2)) as s from d) where len(s) >= {LEARN_LEAST} order by md5(s) limit {SAMPLE}),
 few as (select doc_id from (select distinct doc_id from d where doc_id is not null) order by md5(doc_id::varchar), doc_id limit {ORDINARY_DOCS}),
 ord as (select s from (select distinct unnest(regexp_extract_all(text, '{_ORDINARY}')) as s from d join few using (doc_id)) order by md5(s) limit {SAMPLE}),
@@ -221,7 +225,7 @@ base as (select doc_id, kind, start, "end" from a union all select doc_id, kind,
 every as (
   select *, true as is_base from base union all
   select doc_id, 3, start, "end", false from llr
-  where ratio >= {LEAST_RATIO} and not exists (select 1 from base b where b.doc_id = llr.doc_id and b.start < llr."end" and llr.start < b."end")),
+  where ratio >= {LEAST_RATIO} * ("end" - start) and not exists (select 1 from base b where b.doc_id = llr.doc_id and b.start < llr."end" and llr.start < b."end")),
 named as (select *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || "end" as name from every),
 g as (
   select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,

@@ -196,7 +196,7 @@ def test_secrets(spark):
     _compare(_op(spark, secrets.op5_secrets, plain), secrets.OP5_SQL, docs)
 
 
-ORDINARY = ["/images/2024/05/12/holiday-photo", "order-2024-000123-shipment", "+49-30-1234567-890123", "2024-05-12T10-33-45-000Z", "MAX_BUFFER_SIZE_BYTES_2048", "read_the_configuration_file_2", "getCustomerAddressFromOrder", "invoice-number-20240512-0001"]
+ORDINARY = ["/images/2024/05/12/holiday-photo", "order-2024-000123-shipment", "+49-30-1234567-890123", "2024-05-12T10-33-45-000Z", "MAX_BUFFER_SIZE_BYTES_2048", "read_the_configuration_file_2", "getCustomerAddressFromOrder", "invoice-number-20240512-0001", "550e8400-e29b-41d4-a716-446655440000", "src/main/java/com/example/project/Handler", "https://www.example.com/the-quick-brown-fox-jumps", "ORDER-2024-11-28-0000123-A"]
 
 
 def test_ordinary_identifiers_are_no_secrets(spark):
@@ -232,6 +232,9 @@ def test_licenses(spark):
     assert rows[2]["labels"] == rows[3]["labels"] == "mit-text" and 0.8 < rows[3]["score"] < 1 and rows[2]["score"] == 1
     assert rows[4]["labels"] == "" and rows[5]["n_words"] == 0 and rows[5]["first_word"] is None
     assert rows[7]["n_base"] == 3 and rows[8]["base_labels"] == "apache,gpl"
-    single = [d for d in docs[:-1]]
+    bsd = licenses.TEMPLATES["bsd-3-clause-endorsement"].replace("the copyright holder", "the Regents of the University of Somewhere Else")
+    named = licenses.scan(spark.createDataFrame([(1, f"before {bsd} after"), (2, licenses.TEMPLATES["isc"])], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in named}[1] == "bsd-3-clause-endorsement" and "isc" in {r["doc_id"]: r["labels"] for r in named}[2].split(",")
+    single = [d for d in docs[:-1]] + [(30, f"x {bsd}"), (31, "released under the mit license " * 12)]
     _compare(_op(spark, licenses.op8_licenses, spark.createDataFrame(single, "doc_id long, text string")), licenses.OP8_SQL, single)
     assert licenses.scan(df.filter("doc_id > 99")).count() == 0

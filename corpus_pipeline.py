@@ -1,8 +1,10 @@
 """From raw documents to token ids: quality, near duplicates, secrets, mixture, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``docs``. A document is known by its doc_id; rows with a null doc_id pass the filters they can be judged by
-and are left out of the mixture.
+``docs``. A document is known by its doc_id. Defined cases: null and empty texts are judged like any other (the classifier
+scores them, they have no near duplicates, no secret, no size and so no part in the mixture); of rows with one doc_id
+and one text the second stage keeps one; a row with a null doc_id goes there if its text stands under a doc_id too; a
+null source is a source; further columns are kept; an empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the shingle join the smallest doc_id stays."""
+    """Of each component of the shingle join the smallest doc_id stays, with one row for each of its texts."""
     gone = ngram_jaccard.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.filter("doc_id is not null").withColumn("_text", F.xxhash64("text")).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "_text"])
+    nameless = docs.filter("doc_id is null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_text"])
+    nameless = nameless.join(docs.filter("doc_id is not null").select(F.xxhash64("text").alias("_text")).distinct(), "_text", "left_anti")
+    return kept.select(*docs.columns).unionByName(nameless.select(*docs.columns))
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +37,11 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    taken = mixing.mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("int(taken div size)")).alias("_copies"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mixture takes it."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text", "source"))
+    taken = mixing.mix(keyed.select(F.col("_row").alias("doc_id"), "text", "source")).filter("taken > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("_row")).agg(F.max(F.expr("int(taken div size)")).alias("_copies"))
+    return keyed.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

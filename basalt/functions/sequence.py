@@ -82,7 +82,7 @@ def sanitize_dna(dna: Column, replace: bool = True) -> Column:
 
 def last_strand_mark(text: Column) -> Column:
     """The last strand mark of a mixed text; null if there is none."""
-    return F.element_at(F.regexp_extract_all(text, F.lit("(<[+-]>)"), F.lit(1)), -1)
+    return F.try_element_at(F.regexp_extract_all(text, F.lit("(<[+-]>)"), F.lit(1)), F.lit(-1))
 
 
 def strip_cut_mark(text: Column) -> Column:
@@ -99,13 +99,16 @@ def mixed_windows(text: Column, size: int, overlap: int) -> Column:
     count = F.greatest(F.ceil((n - size) / step), F.lit(0)) + 1
     starts = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.greatest(F.least(i * step, n - size), F.lit(0)))
 
-    def window(start: Column) -> Column:
+    def window(state: Column, start: Column) -> Column:
         raw = strip_cut_mark(slice_dna(text, start + 1, F.lit(size)))
-        # a mark that the border cuts counts for what follows it
-        mark = last_strand_mark(slice_dna(text, F.lit(1), start + 2))
-        return F.when(raw.rlike(r"^<[+-]>") | mark.isNull(), raw).otherwise(F.concat(mark, raw))
-
-    return F.when(n > 0, F.transform(starts, window)).otherwise(F.array().cast("array<string>"))
+        # the mark that holds is carried on: only what lies between two windows' beginnings is searched for marks
+        since = F.greatest(state["at"] - 2, F.lit(0))
+        mark = F.coalesce(last_strand_mark(slice_dna(text, since + 1, start + 2 - since)), state["mark"])  # one that the border cuts counts
+        out = F.when(raw.rlike(r"^<[+-]>") | mark.isNull(), raw).otherwise(F.concat(mark, raw))
+        return F.struct(start.cast("int").alias("at"), mark.alias("mark"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("mark"), F.array().cast("array<string>").alias("out"))
+    return F.when(n > 0, F.aggregate(starts, begin, window, lambda s: s["out"])).otherwise(F.array().cast("array<string>"))
 
 
 def context_window(dna: Column, start: Column, end: Column, strand: Column, size: int) -> Column:

@@ -75,7 +75,7 @@ def embed_dna_genes(genomes: DataFrame, genome: str, dna: str | None = None, emb
     dna = dna or nested.resolve_column(genomes, nested.DNA_COLUMNS)
     vectors = embed_texts(gene_chunks(genomes, [genome], dna, **cut), "text", embedder)
     pooled = pooling.pool(vectors, [genome, "gene_idx"], "embedding")
-    every = genomes.select(genome, F.explode(F.sequence(F.lit(0), F.size("start") - 1)).alias("gene_idx"))
+    every = genomes.select(genome, F.posexplode("start").alias("gene_idx", "_start")).drop("_start")
     return every.join(pooled, [genome, "gene_idx"], "left")
 
 

@@ -65,12 +65,13 @@ def elements(genes: DataFrame, contigs: DataFrame, contig: str = "contig_name")
 
 
 def sample_windows(operons: DataFrame, key: Sequence[str], size: str, genes: str, n: int = 10, seeds: Sequence[int] = SEEDS) -> DataFrame:
-    """``n`` starts of windows of each operon's size per seed, in [0, genes - size), without replacement, by md5 rank."""
-    seeded = operons.filter(F.col(genes) - F.col(size) >= n).withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
-    starts = seeded.withColumn("start", F.explode(F.sequence(F.lit(0), (F.col(genes) - F.col(size) - 1).cast("int"))))
-    rank = F.md5(F.concat_ws(":", F.col("seed"), *(F.col(k) for k in key), F.col("start")))
-    place = F.row_number().over(Window.partitionBy(*key, "seed").orderBy(rank))
-    return starts.withColumn("_r", place).filter(F.col("_r") <= n).drop("_r")
+    """``n`` starts of windows of each operon's size per seed, in [0, genes - size), without replacement: one from each of ``n``
+    equal parts of the range, placed by an md5 value. Only the starts that are drawn are ever made."""
+    span = (F.col(genes) - F.col(size)).cast("long")
+    drawn = operons.filter(span >= n).withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds)))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    low, high = F.floor(F.col("_i") * span / n), F.floor((F.col("_i") + 1) * span / n)
+    value = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("seed"), *(F.col(k) for k in key), F.col("_i"))), 1, 8), 16, 10).cast("long")
+    return drawn.withColumn("start", (low + value % (high - low)).cast("int")).drop("_i")
 
 
 def token_layout(genes: DataFrame, genome: str, most: int, cls: int, sep: int, prot: int, end: int, max_contigs: int = 1000) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.sources.tables import ensure_checkpoint_dir
+
 PROTEIN_COLUMNS = ("protein_sequence", "protein_sequences", "sequence")
 DNA_COLUMNS = ("sequence", "dna_seq", "dna_sequence")
 
@@ -20,11 +22,24 @@ def resolve_column(df: DataFrame, names: Sequence[str]) -> str:
 
 
 def row_slice(df: DataFrame, key: str, start: int, end: int | None = None) -> DataFrame:
-    """Rows [start, end) in the order of ``key``, by offset and limit: no row is numbered in one task."""
+    """Rows [start, end) in the order of ``key``: rows are dealt out by ranges of the key, ranges are counted, and each task
+    numbers its own range from where the ranges before it end."""
     if end is not None and end <= start:
         raise ValueError("the slice is empty")
-    ordered = df.orderBy(key).offset(start)
-    return ordered if end is None else ordered.limit(end - start)
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for row in ranged.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row a range
+        offsets.append((row["p"], before))
+        before += row["count"]
+    if not offsets:
+        return df
+    first = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p long, _first long"))
+    numbered = ranged.join(first, part == F.col("_p")).withColumn("_n", F.col("_first") + place)
+    kept = numbered.filter((F.col("_n") >= start) & (F.lit(True) if end is None else F.col("_n") < end))
+    return kept.select(*df.columns)
 
 
 def explode_aligned(df: DataFrame, columns: Sequence[str], index: str = "gene_idx") -> DataFrame:
@@ -72,7 +87,8 @@ def join_contigs(column: Column) -> Column:
 
 
 def contig_names(count: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(F.lit("contig_"), i.cast("string")))
+    names = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(F.lit("contig_"), (i - 1).cast("string")))
+    return F.when(count > 0, names).otherwise(F.array().cast("array<string>"))
 
 
 def feature_ids(df: DataFrame, contig: str, start: str) -> DataFrame:

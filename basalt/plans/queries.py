@@ -89,9 +89,9 @@ u as (select contig, gene_idx, list_transform(v, lambda x: x / nullif(sqrt(list_
 o as (select contig, gene_idx // 5 as operon, min(gene_idx) as lo, count(*) as size from g group by all having count(*) >= 2),
 z as (select o.*, n from o join (select contig, count(*) as n from g group by contig) using (contig) where n - size >= 10),
 s as (select *, unnest([1, 12, 123, 1234, 12345]) as seed from z),
-c as (select contig, operon, size, seed, unnest(range(0, n - size)) as start from s),
-d as (select *, row_number() over (partition by contig, operon, seed order by md5(seed || ':' || contig || ':' || operon || ':' || start)) as r from c),
-w as (select contig, operon, size, seed, start, 0 as positive from d where r <= 10 union all select contig, operon, size, seed, lo, 1 from s),
+c as (select contig, operon, size, seed, n - size as span, unnest(range(0, 10)) as i from s),
+d as (select *, i * span // 10 as low, (i + 1) * span // 10 as high, ('0x' || substring(md5(seed || ':' || contig || ':' || operon || ':' || i), 1, 8))::bigint as h from c),
+w as (select contig, operon, size, seed, low + h % (high - low) as start, 0 as positive from d union all select contig, operon, size, seed, lo, 1 from s),
 ws as (select distinct contig, start, size from w),
 x as (select ws.contig, ws.start, ws.size, unnest(u) as x, unnest(range(1, len(u) + 1)) as pos from ws join u on u.contig = ws.contig and u.gene_idx between ws.start and ws.start + ws.size - 1),
 t as (select contig, start, size, pos, sum(x) as t, sum(x * x) as q from x group by all),
@@ -194,15 +194,18 @@ def clean_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.letters(spark, sf_dir).select("doc_id", *(F.sha2(c, 256).alias(n) for n, c in named.items()))
 
 
-@query(f"""with {st.SQL_LETTERS}, p as (select *, doc_id % 211 + 1 as a, doc_id % 211 + 1 + doc_id % 150 as b, case when doc_id % 2 = 0 then 1 else -1 end as strand, len(s) as n from d where len(s) >= 400),
-q as (select *, case when b - a + 1 > 120 and strand <> 1 then b - 119 else a end as lo, case when b - a + 1 > 120 and strand = 1 then a + 119 else b end as hi from p),
+@query(f"""with {st.SQL_LETTERS}, p as (select *, doc_id % 211 + 1 as a, doc_id % 211 + 1 + doc_id % 150 as b, case when doc_id % 2 = 0 then 1 else -1 end as strand, len(s) as n from d),
+c as (select * replace (least(b, n) as b) from p where a <= n),
+q as (select *, case when b - a + 1 > 120 and strand <> 1 then b - 119 else a end as lo, case when b - a + 1 > 120 and strand = 1 then a + 119 else b end as hi from c),
 r as (select *, 120 - (hi - lo + 1) as room from q), l as (select *, room // 2 as wl, room - room // 2 as wr, lo - 1 as hl, n - hi as hr from r),
-m as (select *, least(hl, wl + greatest(wr - hr, 0)) as le, least(hr, wr + greatest(wl - hl, 0)) as ri from l)
-select doc_id, upper(substring(s, lo - le, hi - lo + 1 + le + ri)) as sequence, le::int as mask_start, (hi - lo + 1)::int as mask_length from m""")
+m as (select *, least(hl, wl + greatest(wr - hr, 0)) as le, least(hr, wr + greatest(wl - hl, 0)) as ri from l),
+z as (select *, 120 - (hi - lo + 1) - le - ri as missing from m)
+select doc_id, upper(repeat('N', (missing // 2)::bigint) || substring(s, lo - le, hi - lo + 1 + le + ri) || repeat('N', (missing - missing // 2)::bigint)) as sequence, (missing // 2 + le)::int as mask_start, (hi - lo + 1)::int as mask_length from z""")
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes that begin on their contig, in windows that contigs shorter than the window fill with N."""
     start = F.col("doc_id") % 211 + 1
     strand = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)
-    cut = st.letters(spark, sf_dir).filter(F.length("s") >= 400).select("doc_id", seq.context_window(F.col("s"), start, start + F.col("doc_id") % 150, strand, 120).alias("w"))
+    cut = st.letters(spark, sf_dir).filter(start <= F.length("s")).select("doc_id", seq.context_window(F.col("s"), start, start + F.col("doc_id") % 150, strand, 120).alias("w"))
     return cut.select("doc_id", "w.*")
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.functions.vectors import cosine, dot, mean_pairwise_cosine, pair_mean, unit
+from basalt.functions.vectors import cosine, mean_pairwise_cosine, pair_mean
 from basalt.operators import community, intervals, knn, metrics, probes, splits
 from basalt.sources.tables import ensure_checkpoint_dir
 
@@ -34,12 +36,21 @@ def operon_adjacency(genes: DataFrame, operons: DataFrame, contig: Sequence[str]
 
 def prefix_sums(genes: DataFrame, contig: Sequence[str]) -> DataFrame:
     """Per gene the sums of unit vectors and of their squared lengths up to it: (contig, gene_idx, total, squares)."""
-    units = genes.select(*contig, "gene_idx", unit(F.col("v")).alias("u"))
-    order = Window.partitionBy(*contig, "pos").orderBy("gene_idx")
-    long = units.select(*contig, "gene_idx", F.posexplode("u").alias("pos", "x")).withColumn("x", F.sum("x").over(order))
-    total = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])
-    squares = units.select(*contig, "gene_idx", F.sum(dot(F.col("u"), F.col("u"))).over(Window.partitionBy(*contig).orderBy("gene_idx")).alias("squares"))
-    return long.groupBy(*contig, "gene_idx").agg(total.alias("total")).join(squares, [*contig, "gene_idx"])
+    rows = genes.select(*contig, F.col("gene_idx").cast("long").alias("gene_idx"), F.col("v").cast("array<double>").alias("v"))
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in contig) + ", gene_idx long, total array<double>, squares double"
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One contig: a matrix of its genes."""
+        pdf = pdf.sort_values("gene_idx")
+        v = np.stack(pdf["v"].to_numpy())
+        size = np.sqrt((v * v).sum(1, keepdims=True))
+        u = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        out = pdf[[*contig, "gene_idx"]].copy()
+        out["total"] = list(np.cumsum(u, 0))
+        out["squares"] = np.cumsum((u * u).sum(1))
+        return out
+
+    return rows.groupBy(*contig).applyInPandas(sums, schema)
 
 
 def window_similarity(windows: DataFrame, sums: DataFrame, contig: Sequence[str]) -> DataFrame:

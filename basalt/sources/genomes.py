@@ -19,14 +19,15 @@ def _qualifier(block: Column, name: str) -> Column:
 def gbff_cds(spark: SparkSession, path: str) -> DataFrame:
     """One row per CDS with a translation of a folder of ``.gbff[.gz]``; ``start`` 0-based, ``end`` exclusive, ``start1``/``end1`` 1-based."""
     record = F.regexp_replace("value", "\r", "")
-    rows = spark.read.option("lineSep", "\n//\n").text(path).select(record.alias("r")).filter(F.col("r").rlike(r"(?m)^LOCUS"))
+    rows = spark.read.option("lineSep", "\n//").text(path).select(record.alias("r")).filter(F.col("r").rlike(r"(?m)^LOCUS"))
     blocks = F.regexp_extract_all("r", F.lit(r"\n     CDS\s+((?:(?!\n     \S|\n\S)[\s\S])*)"), F.lit(1))
     head = rows.select(
         F.trim(F.regexp_extract("r", r"(?m)^\s+ORGANISM\s+(.*)$", 1)).alias("strain_name"), F.nullif(F.regexp_extract("r", r"(?m)^ACCESSION\s+(\S+)", 1), F.lit("")).alias("accession_id"),
         F.regexp_extract("r", r"(?m)^VERSION\s+(\S+)", 1).alias("contig_name"), F.explode(blocks).alias("b"),
     )
     place = F.regexp_replace(F.regexp_extract("b", r"^([^/]*)", 1), r"\s", "")
-    numbers = F.transform(F.regexp_extract_all(place, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    own = F.regexp_replace(place, r"[A-Za-z0-9_.]+:[^,()]*", "")  # parts that lie on other records
+    numbers = F.transform(F.regexp_extract_all(own, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
     strand = F.when(~place.contains("complement"), 1).when(place.startswith("complement(") & ~F.regexp_replace(place, r"^complement\(", "").contains("complement"), -1)
     strand = F.when(place.rlike(r"^(join|order)\((complement\([^()]*\),?)+\)$"), -1).otherwise(strand)
     sequence = F.regexp_replace(F.regexp_extract("b", r'/translation="([^"]*)"', 1), r"\s", "")

@@ -9,16 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _local(spark: SparkSession) -> str:
+    """A temporary folder, where driver and tasks share one machine."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share; a temporary folder where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go where the cluster says; only where nothing is set, to a temporary folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(_local(spark))
 
 
 def read_one_source(spark: SparkSession, file: str | None = None, folder: str | None = None) -> DataFrame:

@@ -82,3 +82,12 @@ def test_dispatch_and_urls(spark):
     df = spark.createDataFrame([("ftp://h/a/GCF_1", "ftp://h/a/GCA_1"), ("", "ftp://h/a/GCA_2"), (None, None)], "r string, g string")
     urls = [r[0] for r in df.select(genomes.assembly_url(F.col("r"), F.col("g"), "gff")).collect()]
     assert urls == ["https://h/a/GCF_1/GCF_1_genomic.gff.gz", "https://h/a/GCA_2/GCA_2_genomic.gff.gz", None]
+
+
+def test_crlf_records_keep_their_contigs(spark, tmp_path):
+    def record(n):
+        return f'LOCUS       X{n}\nACCESSION   A{n}\nVERSION     A{n}.1\nFEATURES\n     CDS             join({n}..9,J001.1:500..900)\n                     /gene="g{n}"\n                     /translation="MK"\nORIGIN\n//\n'
+
+    (tmp_path / "two.gbff").write_bytes((record(1) + record(2)).replace("\n", "\r\n").encode())
+    got = sorted((r["contig_name"], r["gene_name"], r["start1"], r["end1"]) for r in genomes.gbff_cds(spark, str(tmp_path)).collect())
+    assert got == [("A1.1", "g1", 1, 9), ("A2.1", "g2", 2, 9)]

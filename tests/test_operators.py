@@ -178,3 +178,38 @@ def test_sinks(spark, tmp_path):
     files = spark.createDataFrame([("a",), ("b",), ("c",)], "f string")
     done = spark.createDataFrame([("b",)], "f string")
     assert {r["f"] for r in tables.pending(files, done, "f").collect()} == {"a", "c"}
+
+
+def test_row_slice_and_names(spark):
+    df = spark.range(1000).withColumn("x", F.col("id") * 2).orderBy(F.rand(3))
+    assert sorted(r["id"] for r in nested.row_slice(df, "id", 100, 250).collect()) == list(range(100, 250))
+    assert nested.row_slice(df, "id", 990).count() == 10
+    assert one(spark, nested.contig_names(F.lit(0))) == [] and one(spark, nested.contig_names(F.lit(2))) == ["contig_0", "contig_1"]
+
+
+def test_drawn_windows_differ(spark):
+    operons = spark.createDataFrame([(1, 3, 14), (2, 5, 90), (3, 4, 13)], "operon int, size long, n_genes long")
+    rows = intervals.sample_windows(operons, ["operon"], "size", "n_genes", 10).collect()
+    for operon, room in ((1, 11), (2, 85)):
+        for seed in intervals.SEEDS:
+            starts = [r["start"] for r in rows if (r["operon"], r["seed"]) == (operon, seed)]
+            assert len(set(starts)) == 10 and min(starts) >= 0 and max(starts) < room
+    assert not [r for r in rows if r["operon"] == 3]
+
+
+def test_mixed_windows_against_a_plain_version(spark):
+    import re
+
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        text = "".join(rng.choice(["<+>", "<->", "AC", "g", "T"], 30, p=[0.1, 0.1, 0.3, 0.3, 0.2]))
+        size, overlap = 11, int(rng.integers(0, 9))
+        got = one(spark, seq.mixed_windows(F.lit(text), size, overlap))
+        step, n = size - overlap, len(text)
+        starts = [max(min(i * step, n - size), 0) for i in range(max(-(-(n - size) // step), 0) + 1)]
+        want = []
+        for s in starts:
+            raw = re.sub(r"<[+-]?$", "", re.sub(r"^(?:[+-]>|>)", "", text[s : s + size]))
+            marks = re.findall("<[+-]>", text[: s + 2])
+            want.append(raw if re.match("<[+-]>", raw) or not marks else marks[-1] + raw)
+        assert got == want

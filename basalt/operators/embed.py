@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ from basalt.operators import nested, pooling
 Embedder = Callable[[list[str]], list[list[float]]]
 
 #: How a model's texts are prepared, by a part of its name.
-PREPARE: dict[str, Callable[[Column], Column]] = {"prot_bert": seq.spaced_residues, "progen": seq.prefixed, "kmer": lambda c: c, "esm": lambda c: c}
+PREPARE: dict[str, Callable[[Column], Column]] = {"prot_bert": seq.spaced_residues, "progen2": seq.prefixed}
+#: Models that take texts as they are.
+PREPARE |= dict.fromkeys(("facebook/esm2", "esmc", "nucleotide-transformer", "dnabert-2", "mistral-dna", "prokbert", "glm2", "evo", "kmer"), lambda c: c)
 
 
 def preparation(model: str) -> Callable[[Column], Column]:
@@ -53,6 +56,35 @@ def embed_texts(df: DataFrame, text: str, embedder: Embedder | None = None, name
     return df.sortWithinPartitions(F.length(text)).withColumn(name, run(text))
 
 
+#: From a list of texts to a matrix of token vectors for each.
+TokenEmbedder = Callable[[list[str]], list[np.ndarray]]
+
+
+def letter_vectors(texts: list[str], alphabet: str = "ACGT") -> list[np.ndarray]:
+    """Token vectors without a model: a place for each letter of ``alphabet``; other letters are zero. Strand marks are one token."""
+    known = np.frombuffer(alphabet.encode(), np.uint8)
+    out = []
+    for text in texts:
+        tokens = np.frombuffer(text.replace("<+>", "+").replace("<->", "-").encode("ascii", "replace"), np.uint8)
+        out.append((tokens[:, None] == known).astype(np.float64))
+    return out
+
+
+def embed_masked(df: DataFrame, text: str, tokens: TokenEmbedder = letter_vectors, name: str = "embedding", batch: int = 64) -> DataFrame:
+    """``df`` with a vector per row: the sum over the tokens [mask_start, mask_start + mask_length) divided by the number of all tokens."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, start, length in parts:
+            out: list[list[float]] = []
+            for lo in range(0, len(s), batch):
+                rows = zip(tokens(s.iloc[lo : lo + batch].tolist()), start.iloc[lo : lo + batch], length.iloc[lo : lo + batch])
+                out.extend((v[a : a + n].sum(0) / max(len(v), 1)).tolist() for v, a, n in rows)
+            yield pd.Series(out)
+
+    return df.withColumn(name, run(text, "mask_start", "mask_length"))
+
+
 def embed_proteins(genomes: DataFrame, genome: str, column: str | None = None, model: str = "kmer", embedder: Embedder | None = None, pooled: str | None = None) -> DataFrame:
     """Vectors of a genome's proteins in their order, or with ``pooled`` (mean or max) one per genome."""
     column = column or nested.resolve_column(genomes, nested.PROTEIN_COLUMNS)

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A label that marks a row as outside the evaluation.
+IGNORED = -100
+
+
 def ranking(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """auroc (ties count half), auprc (average precision over distinct thresholds), n, n_pos per key; null metrics for one class."""
     y = F.col(label).cast("long")
-    cells = df.filter(F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(y).alias("_tp"), F.sum(1 - y).alias("_fp"))
+    cells = df.filter(y.isNotNull() & (y != IGNORED)).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(y).alias("_tp"), F.sum(1 - y).alias("_fp"))
     order = Window.partitionBy(*keys).orderBy(F.desc("_s"))
     run = cells.withColumn("_ctp", F.sum("_tp").over(order)).withColumn("_cfp", F.sum("_fp").over(order))
     p, n = F.sum("_tp"), F.sum("_fp")
@@ -23,6 +27,7 @@ def ranking(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataF
 
 def confusion(df: DataFrame, keys: Sequence[str], label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """f1, balanced_accuracy and accuracy at ``score >= threshold``; null where a key has one class."""
+    df = df.filter(F.col(label).isNotNull() & (F.col(label) != IGNORED))
     y, p = F.col(label) == 1, F.col(score) >= threshold
     c = df.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"))
     both = (F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)
@@ -102,6 +107,13 @@ def log_loss(label: Column, logit: Column, weight: float = 1.0) -> Column:
     return (1 - label) * logit + (1 + (weight - 1) * label) * (F.log1p(F.exp(-F.abs(logit))) + F.greatest(-logit, F.lit(0.0)))
 
 
+def cross_entropy(label: Column, logits: Column) -> Column:
+    """Negative log of the softmax of class ``label`` (from 0), stable for large logits."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return top + F.log(total) - F.get(logits, label)
+
+
 def one_against(df: DataFrame, keys: Sequence[str], positive: str, score: str) -> DataFrame:
     """Retrieval of one positive among negatives, in closed form: auroc and auprc."""
     best = df.filter(F.col(positive) == 1).groupBy(*keys).agg(F.max(score).alias("_p"))

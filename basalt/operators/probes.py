@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from basalt.functions.vectors import layer_norm
 from basalt.operators import metrics
+from basalt.sources.tables import ensure_checkpoint_dir
 
 GRID = (0.001, 0.01, 0.1)
+#: Splits and the columns of a result row that hold their sizes.
+SIZES = {"train": "n_train", "validation": "n_val", "test": "n_test"}
 
 
 def features(df: DataFrame, vector: str) -> DataFrame:
@@ -29,14 +32,20 @@ def _weights(df: DataFrame, balanced: bool) -> DataFrame:
     return df.withColumn("_w", F.when(F.col("class") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
 
 
-def classifier(df: DataFrame, grid: Sequence[float] = GRID, balanced: bool = False) -> DataFrame:
-    """Rows of ``df`` (features, class, split) with ``probabilities`` and ``prediction`` of the regularisation that does best on validation rows."""
+def macro_auroc(scored: DataFrame) -> float | None:
+    """How well a probe does on validation rows (class, p), unless told otherwise."""
+    return metrics.macro_ranking(scored, [], "class", "p").first()["macro_auroc"]
+
+
+def classifier(df: DataFrame, grid: Sequence[float] = GRID, balanced: bool = False, keep: Sequence[str] = (), rate: Callable[[DataFrame], float | None] = macro_auroc) -> DataFrame:
+    """Rows of ``df`` (features, class, split) with ``probabilities`` and ``prediction`` of the regularisation that ``rate``
+    puts highest on validation rows, of which it gets class, p and the columns ``keep``."""
     train = _weights(df.filter("split = 'train'").withColumn("class", F.col("class").cast("double")), balanced).cache()
     best, top = None, None
     for strength in grid:
         model = LogisticRegression(featuresCol="features", labelCol="class", weightCol="_w", regParam=strength, maxIter=50).fit(train)
-        scored = model.transform(df.filter("split = 'validation'")).select(F.col("class").cast("int").alias("class"), vector_to_array("probability").alias("p"))
-        value = metrics.macro_ranking(scored, [], "class", "p").first()["macro_auroc"]
+        scored = model.transform(df.filter("split = 'validation'")).select(*keep, F.col("class").cast("int").alias("class"), vector_to_array("probability").alias("p"))
+        value = rate(scored)
         if best is None or (value or 0) > top:
             best, top = model, value or 0
     train.unpersist()
@@ -56,19 +65,43 @@ def regressor(df: DataFrame, label: str, grid: Sequence[float] = GRID) -> DataFr
     return best.transform(df)
 
 
-def sweep(df: DataFrame, targets: Sequence[str], seeds: Sequence[int], one, workers: int = 4) -> DataFrame:
-    """Union of ``one(df, target, seed)`` over all targets and seeds; fits are submitted together over one cached table."""
-    df = df.cache()
+def examine(rows: DataFrame, label: str, classes: int = 2) -> tuple[dict[str, int], str | None]:
+    """The size of each split, and why a probe cannot be fitted: ``no_data``, ``empty_split``, ``one_class``; None where it can."""
+    per = {r["split"]: r for r in rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes")).collect()}  # three rows
+    sizes = {column: per[split]["n"] if split in per else 0 for split, column in SIZES.items()}
+    if not sum(sizes.values()):
+        return sizes, "no_data"
+    if not all(sizes.values()):
+        return sizes, "empty_split"
+    return sizes, "one_class" if per["train"]["classes"] < classes else None
+
+
+def result_row(found: DataFrame | None, like: DataFrame, names: Sequence[str], sizes: dict[str, int], skipped: str | None = None) -> DataFrame:
+    """One row of fixed columns: the metrics ``names`` of ``found`` (null without it), sizes of splits, ``skipped``."""
+    row = like.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(n) for n in names)) if found is None else found.select(*(F.col(n).cast("double").alias(n) for n in names))
+    return row.withColumns({n: F.lit(v).cast("long") for n, v in sizes.items()}).withColumn("skipped", F.lit(skipped).cast("string"))
+
+
+def sweep(df: DataFrame, targets: Sequence[str], seeds: Sequence[int], one, workers: int = 4) -> DataFrame | None:
+    """Union of ``one(df, target, seed)`` over all targets and seeds; fits are submitted together over one checkpointed
+    table. None without targets."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     with ThreadPoolExecutor(workers) as pool:
         parts = list(pool.map(lambda ts: one(df, *ts).withColumn("target", F.lit(ts[0])).withColumn("seed", F.lit(ts[1])), [(t, s) for t in targets for s in seeds]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
     return out
 
 
-def rollup(results: DataFrame, primary: str, columns: Sequence[str]) -> DataFrame:
-    """Mean of each metric over targets and seeds; rows that were skipped or lack the primary metric are left out."""
+def rollup(results: DataFrame, primary: str, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of each metric over targets and seeds, by ``keys``; rows that were skipped or lack the primary metric are left out."""
     kept = results.filter(F.col(primary).isNotNull())
     kept = kept.filter("skipped is null") if "skipped" in results.columns else kept
-    return kept.agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("n"))
+    return kept.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("n"))
+
+
+def group_rollup(results: DataFrame, groups: DataFrame, primary: str, columns: Sequence[str]) -> DataFrame:
+    """The roll-up for each group of ``groups`` (group, phenotype); targets without a group are left out."""
+    return rollup(results.join(groups.withColumnRenamed("phenotype", "target"), "target"), primary, columns, ["group"])

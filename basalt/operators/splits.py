@@ -50,6 +50,20 @@ def binary_classes(long: DataFrame) -> DataFrame:
     return long.join(sides, "target").withColumn("class", (F.col("value") == F.col("_one")).cast("int")).drop("_one")
 
 
+def trait_classes(long: DataFrame) -> DataFrame:
+    """``class``: known words decide the order of two values, text the order of more; targets of one value are class 0."""
+    two = binary_classes(long)
+    rest = long.join(two.select("target").distinct(), "target", "left_anti")
+    columns = [*long.columns, "class"]
+    return two.select(columns).unionByName(encode_classes(rest).select(columns))
+
+
+def first_targets(targets: DataFrame, most: int | None = None) -> list[str]:
+    """Names in their order, at most ``most``; a row a target, so they fit the driver."""
+    ordered = targets.select("target").orderBy("target")
+    return [r["target"] for r in (ordered.limit(most) if most is not None else ordered).collect()]
+
+
 def _cut(place: Column, total: Column, train: float, val: float) -> Column:
     first = F.floor(total * train + 1e-9)
     second = first + F.floor((total - first) * (val / (1 - train)) + 1e-9)
@@ -64,11 +78,15 @@ def _checked(train: float, val: float, test: float) -> None:
 def group_split(df: DataFrame, group: str, seed: int, train: float = 0.7, val: float = 0.1, test: float = 0.2) -> DataFrame:
     """``split`` by whole groups; the parts are shares of the groups."""
     _checked(train, val, test)
-    groups = df.select(group).distinct()
-    order = Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(group))), group)
-    total = groups.groupBy().agg(F.count("*").alias("_n"))
-    placed = groups.withColumn("_r", F.row_number().over(order)).join(F.broadcast(total))
-    return df.join(placed.select(group, _cut(F.col("_r"), F.col("_n"), train, val).alias("split")), group)
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(group)))
+    groups = df.select(group).distinct().withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
+    # places are counted by beginnings of the md5, so that one task ranks 1/4096 of the groups
+    sizes = groups.groupBy("_b").agg(F.count("*").alias("_m"))
+    before = sizes.withColumn("_before", F.sum("_m").over(Window.orderBy("_b")) - F.col("_m"))  # 4,096 rows at most
+    total = sizes.agg(F.sum("_m").alias("_n"))
+    placed = groups.join(F.broadcast(before), "_b").join(F.broadcast(total))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", group))
+    return df.join(placed.select(group, _cut(place, F.col("_n"), train, val).alias("split")), group)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int, train: float = 0.7, val: float = 0.1, test: float = 0.2) -> DataFrame:

@@ -12,7 +12,7 @@ from basalt.functions import vectors as vec
 from basalt.operators import embed, intervals, knn, metrics, nested, pooling, splits
 from basalt.plans import standins as st
 from basalt.plans import tasks
-from basalt.sources import genomes
+from basalt.sources import genomes, tables
 from basalt.sources.tables import scratch
 from basalt.streaming import ingest
 
@@ -394,7 +394,15 @@ def _probe_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q1_essential_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.essential_genes(_probe_genes(spark, sf_dir), "contig", "v", "essential")
+    """Genomes as nested rows of Yes and No, a probe on their genes, predictions kept as a table, medians by split."""
+    g = _probe_genes(spark, sf_dir).withColumn("essential", F.when(F.col("essential") == 1, "Yes").otherwise("No"))
+    rows = g.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("gene_idx", "v", "essential", "split"))).alias("t"))
+    rows = rows.select("contig", *(F.col(f"t.{c}").alias(c) for c in ("v", "essential", "split")))
+    genes = nested.explode_aligned(rows, ["v", "essential", "split"]).withColumn("essential", nested.yes_no(F.col("essential")))
+    genes = tables.union_splits(**{s: nested.one_split(genes, s).drop("split") for s in ("train", "validation", "test")})
+    path = scratch(spark, "essential")
+    tables.write_parquet(tasks.essential_predictions(genes, "contig", "v", "essential").drop("v"), path)
+    return tasks.essential_genes(tables.read_one_source(spark, folder=path), "contig")
 
 
 @query()
@@ -413,21 +421,23 @@ def q6_strain_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _genomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = st.table(spark, sf_dir, "embeddings")
     g = e.select("vec_id", "embedding", (F.col("vec_id") % 23).cast("string").alias("genus"))
-    wide = e.select("vec_id", (F.col("label") % 2).alias("drug_a"), (F.col("label") % 3).alias("drug_b"))
-    return g, splits.to_long(wide, ["vec_id"], ["drug_a", "drug_b"])
+    return g, e.select("vec_id", (F.col("label") % 2).alias("drug_a"), (F.col("label") % 3).alias("drug_b"), F.col("label").alias("mic"))
 
 
 @query()
 def q7_resistance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.resistance_probes(*_genomes(spark, sf_dir), "vec_id", "embedding", "genus", seeds=(1,), least_rows=100)
+    g, wide = _genomes(spark, sf_dir)
+    return tasks.resistance_probes(g, splits.to_long(wide, ["vec_id"], ["drug_a", "drug_b"]), "vec_id", "embedding", "genus", least_rows=100)
 
 
 @query()
 def q7_mic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = st.table(spark, sf_dir, "embeddings").withColumn("mic", F.col("label").cast("double"))
-    return tasks.mic_probe(e, "vec_id", "embedding", "mic")
+    g, wide = _genomes(spark, sf_dir)
+    return tasks.mic_probes(g, splits.to_long(wide, ["vec_id"], ["mic"]), "vec_id", "embedding", "genus", least_rows=100)
 
 
 @query()
 def q8_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.trait_probes(*_genomes(spark, sf_dir), "vec_id", "embedding", "genus", seeds=(1,))
+    g, wide = _genomes(spark, sf_dir)
+    return tasks.trait_probes(g, wide, ["drug_a", "drug_b"], "vec_id", "embedding", "genus")
+

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions.vectors import cosine, mean_pairwise_cosine, pair_mean
-from basalt.operators import community, intervals, knn, metrics, probes, splits
+from basalt.operators import community, intervals, knn, metrics, nested, probes, splits
 from basalt.sources.tables import ensure_checkpoint_dir
 
 
@@ -74,12 +74,30 @@ def operon_windows(genes: DataFrame, operons: DataFrame, contig: Sequence[str],
     return metrics.one_against(rated, [*key, "size", "seed"], "positive", "similarity")
 
 
-def essential_genes(genes: DataFrame, genome: str, vector: str, label: str) -> DataFrame:
-    """Linear probe over genes (with ``split``): per split the medians over genomes of auroc and auprc."""
-    rows = probes.features(genes.withColumn("class", F.col(label)), vector)
-    scored = probes.classifier(rows, balanced=True).withColumn("score", F.get("probabilities", F.lit(1)))
-    per = metrics.ranking(scored, ["split", genome], "class", "score")
-    return metrics.medians(per, ["split"], ["auroc", "auprc"], lower=True)
+def median_auroc(genome: str):
+    """Rates a probe by the lower median of its aurocs by genome."""
+
+    def rate(scored: DataFrame) -> float | None:
+        per = metrics.ranking(scored.withColumn("s", F.get("p", F.lit(1))), [genome], "class", "s")
+        return metrics.medians(per, [], ["auroc"], lower=True).first()["auroc"]
+
+    return rate
+
+
+def essential_predictions(genes: DataFrame, genome: str, vector: str, label: str) -> DataFrame:
+    """Every gene (with ``split``) with ``class``, the ``score`` of a linear probe and ``predicted``; of the regularisations the one
+    with the best median auroc over validation genomes counts."""
+    rows = probes.features(genes.withColumn("class", F.col(label)).filter(F.col("class").isNotNull() & F.col(vector).isNotNull()), vector)
+    scored = probes.classifier(rows, balanced=True, keep=[genome], rate=median_auroc(genome)).withColumn("score", F.get("probabilities", F.lit(1)))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("features", "probabilities", "prediction")
+
+
+def essential_genes(predictions: DataFrame, genome: str) -> DataFrame:
+    """Per split the lower medians over genomes of auroc, auprc and f1, and the number of genomes that have them."""
+    keys = ["split", genome]
+    per = metrics.ranking(predictions, keys, "class", "score").join(metrics.confusion(predictions, keys, "class", "score"), keys)
+    sizes = per.groupBy("split").agg(F.count("auroc").alias("n_genomes"))
+    return metrics.medians(per, ["split"], ["auroc", "auprc", "f1"], lower=True).join(sizes, "split")
 
 
 def ppi_supervised(genes: DataFrame, edges: DataFrame, genome: str, split: str, threshold: float = 0.6) -> DataFrame:
@@ -110,36 +128,58 @@ def strain_clustering(vectors: DataFrame, key: str, vector: str, levels: Sequenc
     return out
 
 
-def trait_probes(genomes: DataFrame, long: DataFrame, key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least: int = 50) -> DataFrame:
-    """Per trait and seed: macro metrics of the test split of a probe; traits without two classes large enough are left out."""
-    usable = [r["target"] for r in splits.usable_targets(long, 0, least).orderBy("target").collect()]
-    classes = splits.encode_classes(long.filter(F.col("target").isin(usable)))
+TRAIT_METRICS = ("macro_auroc", "macro_auprc", "macro_f1", "macro_recall", "accuracy")
+DRUG_METRICS = ("auroc", "auprc", "f1", "balanced_accuracy", "accuracy")
+MIC_METRICS = ("r2", "pearson", "mse")
+
+
+def _probe_sweep(genomes: DataFrame, classes: DataFrame, targets: Sequence[str], key: str, vector: str, group: str, seeds: Sequence[int], names: Sequence[str], measure, least_classes: int = 2, reasons: dict[str, str] | None = None) -> DataFrame:
+    """A result row for each target and seed. ``measure(rows)``: metrics of the test split in one row. Rows without vector or group are left out."""
+    rows = probes.features(genomes.dropna(subset=[vector, group]).join(classes, key), vector)
 
     def one(df: DataFrame, target: str, seed: int) -> DataFrame:
-        rows = splits.group_split(df.filter(F.col("target") == target), group, seed)
+        parts = splits.split_by_rule(df.filter(F.col("target") == target), key, group, "class", seed).checkpoint()  # read by every fit
+        sizes, reason = probes.examine(parts, "class", least_classes)
+        reason = (reasons or {}).get(target, reason)
+        return probes.result_row(None if reason else measure(parts), df, names, sizes, reason)
+
+    found = probes.sweep(rows, targets, seeds, one)
+    none = probes.result_row(None, rows, names, dict.fromkeys(probes.SIZES.values(), 0)).withColumns({"target": F.lit(None).cast("string"), "seed": F.lit(0)}).limit(0)
+    return none if found is None else found
+
+
+def trait_probes(genomes: DataFrame, wide: DataFrame, targets: Sequence[str], key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least: int = 50, most_targets: int | None = None) -> DataFrame:
+    """Per trait and seed: macro metrics of the test split, sizes of the splits, ``skipped``. Every genome must have one row of
+    labels; rows of rare classes are dropped, and traits that then lack two classes are left out."""
+    long = splits.drop_rare_classes(splits.to_long(nested.inner_checked(genomes.select(key), wide, key), [key], targets), least)
+    usable = splits.first_targets(splits.usable_targets(long, 0, least), most_targets)
+
+    def measure(rows: DataFrame) -> DataFrame:
         test = probes.classifier(rows).filter("split = 'test'").withColumn("prediction", F.col("prediction").cast("int")).withColumn("class", F.col("class").cast("int"))
         return metrics.macro_ranking(test, ["split"], "class", "probabilities").join(metrics.multiclass(test, ["split"], "class", "prediction"), "split")
 
-    return probes.sweep(probes.features(genomes.join(classes, key), vector), usable, seeds, one)
+    return _probe_sweep(genomes, splits.trait_classes(long.filter(F.col("target").isin(usable))), usable, key, vector, group, seeds, TRAIT_METRICS, measure)
 
 
-def resistance_probes(genomes: DataFrame, long: DataFrame, key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least_rows: int = 500, least_class: int = 50) -> DataFrame:
-    """Per drug and seed: auroc, auprc, f1, balanced_accuracy and accuracy of a binary probe; a drug of more classes has ``skipped``."""
-    usable = [r["target"] for r in splits.usable_targets(long, least_rows, least_class).orderBy("target").collect()]
-    binary = {r["target"] for r in long.groupBy("target").agg(F.count_distinct("value").alias("n")).filter("n = 2").collect()}
-    classes = splits.encode_classes(long.filter(F.col("target").isin(usable)))
+def resistance_probes(genomes: DataFrame, long: DataFrame, key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least_rows: int = 500, least_class: int = 50, most_targets: int | None = None) -> DataFrame:
+    """Per drug and seed: metrics of a binary probe, sizes of the splits, ``skipped`` (``not_binary`` for a drug of more than two classes)."""
+    usable = splits.first_targets(splits.usable_targets(long, least_rows, least_class), most_targets)
+    many = long.groupBy("target").agg(F.count_distinct("value").alias("n")).filter("n > 2")
+    reasons = dict.fromkeys(splits.first_targets(many), "not_binary")
 
-    def one(df: DataFrame, target: str, seed: int) -> DataFrame:
-        if target not in binary:
-            return df.sparkSession.createDataFrame([("not_binary",)], "skipped string")
-        rows = splits.group_split(df.filter(F.col("target") == target), group, seed)
+    def measure(rows: DataFrame) -> DataFrame:
         test = probes.classifier(rows).filter("split = 'test'").withColumn("p", F.get("probabilities", F.lit(1)))
-        return metrics.ranking(test, ["split"], "class", "p").join(metrics.confusion(test, ["split"], "class", "p"), "split").withColumn("skipped", F.lit(None).cast("string"))
+        return metrics.ranking(test, ["split"], "class", "p").join(metrics.confusion(test, ["split"], "class", "p"), "split")
+
+    return _probe_sweep(genomes, splits.encode_classes(long.filter(F.col("target").isin(usable))), usable, key, vector, group, seeds, DRUG_METRICS, measure, reasons=reasons)
+
 
-    return probes.sweep(probes.features(genomes.join(classes, key), vector), usable, seeds, one)
+def mic_probes(genomes: DataFrame, long: DataFrame, key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least_rows: int = 500, most_targets: int | None = None) -> DataFrame:
+    """Per drug and seed: r2, pearson and mse of a regression probe on the test split, sizes of the splits, ``skipped``."""
+    usable = splits.first_targets(splits.usable_regression_targets(long, least_rows), most_targets)
+    values = long.filter(F.col("target").isin(usable)).select(key, "target", F.col("value").cast("double").alias("class"))
 
+    def measure(rows: DataFrame) -> DataFrame:
+        return metrics.regression(probes.regressor(rows, "class").filter("split = 'test'"), ["split"], "class", "prediction")
 
-def mic_probe(genomes: DataFrame, key: str, vector: str, label: str, seed: int = 1) -> DataFrame:
-    """r2 and pearson of a regression probe on the test split."""
-    rows = splits.plain_split(probes.features(genomes.filter(F.col(label).isNotNull()), vector), key, seed)
-    return metrics.regression(probes.regressor(rows, label).filter("split = 'test'"), ["split"], label, "prediction")
+    return _probe_sweep(genomes, values, usable, key, vector, group, seeds, MIC_METRICS, measure, least_classes=1)

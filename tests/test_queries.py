@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from basalt.plans.queries import QUERIES, SQL
+from basalt.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

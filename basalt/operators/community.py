@@ -1,10 +1,12 @@
-"""Communities of a neighbour graph: modularity local moving as rounds of joins."""
+"""Communities of a neighbour graph: modularity moves of nodes, then of whole communities, as rounds of joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.sources.tables import scratch
+
 
 def fuzzy_weights(neighbours: DataFrame, k: int) -> DataFrame:
     """Symmetric weights of a neighbour table (i, j, distance, rank): smooth nearest-neighbour bandwidths by bisection, fuzzy union."""
@@ -29,35 +31,84 @@ def fuzzy_weights(neighbours: DataFrame, k: int) -> DataFrame:
     return both.groupBy("i", "j").agg((F.sum("w") - F.when(F.count("*") > 1, F.product("w")).otherwise(0.0)).alias("w"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, seed: int = 1) -> DataFrame:
-    """(node, community) of undirected ``edges`` (i, j, w).
+def _table(df: DataFrame) -> DataFrame:
+    """``df`` written and read again: a lost executor loses nothing, and plans of later rounds stay small (a checkpoint
+    keeps the constraints of its plan, which grow from round to round)."""
+    path = scratch(df.sparkSession, "communities")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _proposals(graph: DataFrame, state: DataFrame, resolution: float, total: float) -> tuple[DataFrame, float, float]:
+    """For each node of ``state`` (node, community, k) the community it would best move to and the gain of modularity
+    that its move alone brings; the sum of these gains; and the modularity of ``state``. A very large community is one key of the join with
+    the sizes, which adaptive execution splits."""
+    sizes = state.groupBy("community").agg(F.sum("k").alias("size"))
+    targets = state.select(F.col("node").alias("j"), "community")
+    links = graph.join(targets, "j").groupBy(F.col("i").alias("node"), "community").agg(F.sum(F.when(F.col("i") != F.col("j"), F.col("w")).otherwise(0.0)).alias("links"), F.sum("w").alias("inside"))
+    options = links.unionByName(state.select("node", "community", F.lit(0.0).alias("links"), F.lit(0.0).alias("inside")))
+    options = options.groupBy("node", "community").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside"))
+    rated = options.join(sizes, "community").join(state.select("node", F.col("community").alias("now"), "k"), "node")
+    home = F.col("community") == F.col("now")
+    value = F.col("links") - resolution * F.col("k") * (F.col("size") - F.when(home, F.col("k")).otherwise(0.0)) / total
+    at_home = lambda c: F.max(F.when(home, c))
+    best = rated.withColumn("value", value).groupBy("node", "now", "k").agg(
+        F.max_by("community", F.struct("value", -F.col("community"))).alias("best"), F.max("value").alias("top"), at_home(F.col("value")).alias("stay"), at_home(F.col("inside")).alias("inside"), at_home(F.col("size")).alias("size")
+    )
+    plan = _table(best.select("node", "now", "k", "best", ((F.col("top") - F.col("stay")) * 2 / total).alias("gain"), "inside", "size"))
+    sums = plan.agg(F.sum("inside"), F.sum(F.col("k") * F.col("size")), F.sum("gain")).first()
+    return plan, sums[2] or 0.0, (sums[0] or 0.0) / total - resolution * (sums[1] or 0.0) / total**2
+
+
+def _moved(plan: DataFrame, movers: DataFrame) -> DataFrame:
+    """The state after the moves of ``movers`` (node)."""
+    marked = plan.join(movers.select("node", F.lit(True).alias("moves")), "node", "left")
+    return marked.select("node", F.when(F.col("moves"), F.col("best")).otherwise(F.col("now")).alias("community"), "k")
+
+
+def _independent(wanting: DataFrame) -> DataFrame:
+    """Movers of which no two leave or enter one community, so that their gains add up: of each community's
+    movers the one with the largest gain, where it is so in both of its communities."""
+    claims = wanting.select("node", "gain", F.explode(F.array("now", "best")).alias("community"))
+    first = claims.groupBy("community").agg(F.max_by("node", F.struct("gain", -F.col("node"))).alias("node"))
+    return first.groupBy("node").count().filter("count = 2")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1, least_gain: float = 1e-3) -> DataFrame:
+    """(node, community) of undirected ``edges`` (i, j, w), by modularity.
 
-    In a round half of the nodes (by a hash of node and round) move to the neighbouring community with the
-    largest positive gain of modularity, ties to the smaller name; it ends when two rounds move nothing. Each
-    round is checkpointed in the folder that the session names.
+    In a round half of the nodes that gain by a move (by a hash of node and round) move to their best neighbouring
+    community, ties to the smaller name. Moves of one round may hinder each other: a round that does not raise
+    modularity by ``least_gain`` is taken back, and only moves that share no community are made, whose gains add
+    up. When these bring less than ``least_gain`` too, or all moves that are left do, communities become nodes of a smaller graph and move in
+    turn, until no move of theirs counts. Modularity rises by ``least_gain`` in each round kept, so this ends without
+    a cap on rounds. Each round is a table in the folder that the session names. A community is named by one
+    of its nodes. No edges, or none of positive weight: each node is a community.
     """
-    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).checkpoint()
-    degree = both.groupBy("i").agg(F.sum("w").alias("k")).checkpoint()
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    state = degree.select(F.col("i").alias("node"), F.col("i").alias("community"), "k")
-    still = 0
-    for turn in range(rounds):
-        sizes = state.groupBy("community").agg(F.sum("k").alias("size"))
-        links = both.join(state.select(F.col("node").alias("j"), "community"), "j").groupBy(F.col("i").alias("node"), "community").agg(F.sum("w").alias("links"))
-        own = state.select("node", F.col("community").alias("now"), "k")
-        options = links.unionByName(state.select("node", "community", F.lit(0.0).alias("links"))).groupBy("node", "community").agg(F.sum("links").alias("links"))
-        rated = options.join(own, "node").join(sizes, "community")
-        gain = F.col("links") - resolution * F.col("k") * (F.col("size") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / total
-        best = rated.withColumn("gain", gain).groupBy("node").agg(F.max_by("community", F.struct("gain", -F.col("community"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("community") == F.col("now"), F.col("gain"))).alias("stay"))
-        turns = F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(2)) == 0
-        move = turns & (F.col("top") > F.col("stay") + 1e-12)
-        following = state.join(best, "node").select("node", F.when(move, F.col("best")).otherwise(F.col("community")).alias("community"), "k", move.cast("int").alias("moved")).checkpoint()
-        moved = following.agg(F.sum("moved")).first()[0] or 0
-        state = following.drop("moved")
-        still = 0 if moved else still + 1
-        if still == 2:
-            break
-    return state.select("node", "community")
+    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    graph = _table(both.groupBy("i", "j").agg(F.sum(F.col("w").cast("double")).alias("w")))
+    total = graph.agg(F.sum("w")).first()[0] or 1.0
+    names = graph.select(F.col("i").alias("node"), F.col("i").alias("community")).distinct()
+    turn = seed
+    while True:
+        start = graph.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node"))
+        plan, hoped, quality = _proposals(graph, start, resolution, total)
+        rose = False
+        while hoped >= least_gain:
+            wanting = plan.filter("gain > 1e-12")
+            for movers in (wanting.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0), _independent(wanting)):
+                following, more, reached = _proposals(graph, _moved(plan, movers), resolution, total)
+                if reached >= quality + least_gain:
+                    break
+            else:
+                break
+            plan, hoped, quality, rose, turn = following, more, reached, True, turn + 1
+        if not rose:
+            return names
+        state = plan.select(F.col("node").alias("old"), F.col("now").alias("new"))
+        names = _table(names.join(state, names["community"] == state["old"]).select("node", F.col("new").alias("community")))
+        ends = graph.join(state.withColumnRenamed("old", "i"), "i").withColumnRenamed("new", "a").join(state.withColumnRenamed("old", "j"), "j")
+        graph = _table(ends.groupBy(F.col("a").alias("i"), F.col("new").alias("j")).agg(F.sum("w").alias("w")))
 
 
 def renumbered(df: DataFrame) -> DataFrame:

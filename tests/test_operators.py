@@ -106,6 +106,35 @@ def test_knn_and_communities(spark):
     assert exact["ari"] == pytest.approx(1) and exact["nmi"] == pytest.approx(1)
 
 
+def _modularity(edges, of, resolution=1.0):
+    total = 2 * sum(w for _, _, w in edges)
+    inside = 2 * sum(w for i, j, w in edges if of[i] == of[j])
+    size = {}
+    for i, j, w in edges:
+        for n in (i, j):
+            size[of[n]] = size.get(of[n], 0) + w
+    return inside / total - resolution * sum(k * k for k in size.values()) / total**2
+
+
+def test_communities_end_at_the_best_partition(spark):
+    tables.ensure_checkpoint_dir(spark)
+    groups, size = 6, 5
+    ring = [(size * g + a, size * g + b, 1.0) for g in range(groups) for a in range(size) for b in range(a + 1, size)]
+    ring += [(size * g, (size * (g + 1) + 1) % (groups * size), 1.0) for g in range(groups)]
+    schema = "i long, j long, w double"
+    of = {r["node"]: r["community"] for r in community.communities(spark.createDataFrame(ring, schema)).collect()}
+    assert _modularity(ring, of) == pytest.approx(_modularity(ring, {n: n // size for n in range(groups * size)}))
+    rng = np.random.default_rng(3)
+    mixed = {(int(a), int(b)) for a, b in rng.integers(0, 40, (300, 2)) if a < b and (a % 4 == b % 4 or rng.random() < 0.15)}
+    mixed = [(a, b, 1.0) for a, b in sorted(mixed)]
+    of = {r["node"]: r["community"] for r in community.communities(spark.createDataFrame(mixed, schema)).collect()}
+    assert set(of) == {n for i, j, _ in mixed for n in (i, j)}
+    assert _modularity(mixed, of) >= _modularity(mixed, {n: n % 4 for n in range(40)}) - 1e-2
+    assert community.communities(spark.createDataFrame([], schema)).count() == 0
+    one = community.communities(spark.createDataFrame([(1, 2, 1.0)], schema)).collect()
+    assert len({r["community"] for r in one}) == 1
+
+
 def test_nested(spark):
     df = spark.createDataFrame([(1, [1, 2], ["a", "b"])], "g int, x array<int>, y array<string>")
     assert [tuple(r) for r in nested.explode_aligned(df, ["x", "y"]).collect()] == [(1, 0, 1, "a"), (1, 1, 2, "b")]

@@ -86,25 +86,56 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the index of its first word (one more at the end)."""
-    n = len(data)
+    return solid_spans(~_WHITE[data], offsets)
+
+
+def solid_spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for words that are the runs of ``solid`` bytes within a text."""
+    n = len(solid)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    white = _WHITE[data]
     before = np.empty(n, dtype=bool)
     before[0] = True
-    before[1:] = white[:-1]
+    before[1:] = ~solid[:-1]
     after = np.empty(n, dtype=bool)
     after[-1] = True
-    after[:-1] = white[1:]
+    after[:-1] = ~solid[1:]
     full = offsets[1:] > offsets[:-1]
     before[offsets[:-1][full]] = True
     after[offsets[1:][full] - 1] = True
-    solid = ~white
     starts = np.flatnonzero(solid & before)
     ends = np.flatnonzero(solid & after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_dictionary(data: np.ndarray, solid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each word the place of its text in the array of distinct words. Words are told apart by their bytes."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[solid]))])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def regroup(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``text``; a text is never cut."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= limit:
+            yield from _joined(held)
+            held, size = [], 0
+    if held:
+        yield from _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(held)
+    columns = [pa.concat_arrays(c.chunks) if c.num_chunks != 1 else c.chunk(0) for c in (x.cast(pa.large_string()) if x.type == pa.string() else x for x in table.columns)]
+    yield pa.RecordBatch.from_arrays(columns, names=table.column_names)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
     """64-bit hashes of words, equal for equal bytes wherever they stand. ``kind`` 0 and 1 are two unlike hashes.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_topk, licenses, media_tiff, mixing, ngram_jaccard, quality, secrets, sentencepiece_codec, spelling, substring_dedup, toxicity
+from . import collocations, decontamination, exact_topk, licenses, media_tiff, mixing, ngram_jaccard, quality, secrets, sentencepiece_codec, spelling, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_decontamination": decontamination.op11_decontamination,
     "op12_spelling": spelling.op12_spelling,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -31,4 +32,5 @@ SQL: dict[str, str] = {
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op11_decontamination": decontamination.OP11_SQL,
     "op12_spelling": spelling.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }

@@ -221,6 +221,23 @@ def _op(spark, query, docs):
     return query(spark, path)
 
 
+def test_each_license_text_gets_its_own_label(spark):
+    texts = licenses.TEMPLATES
+    zlib_text = "this software is provided as is " * 20 + texts["zlib"]
+    docs = list(enumerate(texts.values())) + [(100, zlib_text), (101, zlib_text + " x" * 5 + " " + texts["isc"] + " and " + texts["gpl-3.0-header"])]
+    words = texts["gpl-2.0-header"].split(" ")
+    docs += [(102, " ".join(words[40:] + words[:40])), (103, " ".join(sorted(words))), (104, "tail " + " ".join(words[:30] + ["changed"] + words[31:]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: (r["labels"].split(","), r["base_labels"].split(","), r["score"]) for r in licenses.scan(frame).collect()}
+    for i, label in enumerate(texts):
+        labels, base, score = rows[i]
+        assert set(labels) - set(base) == {label} and score == 1, (label, rows[i])
+    assert set(rows[100][0]) == {"zlib"} and rows[100][2] >= licenses.LEAST_SIMILARITY
+    assert {"zlib", "isc", "gpl-3.0-header"} == set(rows[101][0]) - {"gpl"}
+    assert "gpl-2.0-header" not in rows[102][0] + rows[103][0] and "gpl-2.0-header" in rows[104][0]
+    _compare(_op(spark, licenses.op8_licenses, frame), licenses.OP8_SQL, docs)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit-text"].split(" ")
     moved = mit[:20] + ["really"] + mit[20:50] + mit[51:]

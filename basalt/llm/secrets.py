@@ -2,10 +2,11 @@
 
 Two Markov models of character pairs, of random strings and of ordinary identifiers, are trained from labelled
 samples that the corpus provides: values that the assignment pattern finds (random) and words, numbers, paths
-and names of documents outside such matches (ordinary), at most ``SAMPLE`` of each, those with the smallest md5.
+and names of all documents outside such matches (ordinary), at most ``SAMPLE`` of each, those with the smallest md5.
 Both are cut by the alphabet of tokens. Strings whose letters, digits and cases take turns more often than every
-``LEAST_RUN`` characters are not taken for ordinary ones: the corpus holds secrets outside assignments too.
-Strings without small letters are read in small letters, as names in capitals are names. A token of ``TOKEN_LENGTH`` or more
+``LEAST_RUN`` characters, and strings with digits as long as the tokens that are judged, are not taken for ordinary ones: the corpus
+holds secrets outside assignments too.
+Each string is also learnt in capitals, on both sides: names in capitals are names, and keys in capitals are keys. A token of ``TOKEN_LENGTH`` or more
 characters whose log-likelihood ratio reaches ``LEAST_RATIO`` per character, and which has not the form of a UUID, is a span of kind ``random`` unless it overlaps
 a span of a pattern. The ratios of all pairs (128 x 128 at most) are a literal of the plan.
 
@@ -37,7 +38,6 @@ TOKEN_LENGTH = 20
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{TOKEN_LENGTH},}}"
 LEARN_LEAST = 16
 SAMPLE = 20_000
-ORDINARY_DOCS = 2_000
 #: Least log-likelihood ratio per character.
 LEAST_RATIO = 2.0
 #: A random string has so many different characters at least; runs of few characters are no secrets.
@@ -46,14 +46,14 @@ LEAST_DISTINCT = 8
 UUID = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
 #: How many observations the plain character frequencies count for in a pair's probability.
 BACK_OFF = 10
+#: Part of a random string's probability that is uniform: labelled samples may all be of one alphabet, as hexadecimal.
+UNIFORM = 0.5
 #: Ordinary strings hold one change between letters and digits or to a capital in so many characters at most.
 LEAST_RUN = 5
 _IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
 _CHANGE = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])"
 _DIGITS = [ord(c) for c in "0123456789"]
 _MARKS = [ord(c) for c in "+/_=-"]
-# What the SQL takes for ordinary: letters alone.
-_ORDINARY = r"[A-Za-z]{8,}"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -85,15 +85,11 @@ def _neighbours(text: Column, of) -> Column:
     return F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), of(F.ascii(a) * 128 + F.ascii(b))))
 
 
-def _small(s: Column) -> Column:
-    """Strings without small letters in small letters."""
-    return F.when(s.rlike("[a-z]"), s).otherwise(F.lower(s))
-
-
 def _pairs(strings: DataFrame) -> DataFrame:
-    """Counts of character pairs (as 128 * first + second) of the column ``s``."""
-    pairs = F.filter(_neighbours(_small(F.col("s")), lambda pair: pair), lambda p: p.isNotNull())
-    return strings.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    """Counts of character pairs (as 128 * first + second) of the column ``s`` and of the same in capitals."""
+    both = strings.select(F.explode(F.array_distinct(F.array("s", F.upper("s")))).alias("s"))
+    pairs = F.filter(_neighbours(F.col("s"), lambda pair: pair), lambda p: p.isNotNull())
+    return both.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame) -> str:
@@ -107,11 +103,9 @@ def train(docs: DataFrame) -> str:
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = docs.filter(text.rlike(ASSIGN)).select(F.explode(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).alias("s"))
     random = hit.filter(F.length("s") >= LEARN_LEAST).distinct().orderBy(F.md5("s")).limit(SAMPLE)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    some = F.broadcast(ids.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(ORDINARY_DOCS))  # bounded
     free = F.regexp_replace(text, F.lit(ASSIGN), F.lit(" "))
-    words = ids.join(some, "doc_id").select(F.explode(F.regexp_extract_all(free, F.lit(_IDENTIFIER), F.lit(0))).alias("s"))
-    ordinary = words.filter((F.size(F.split("s", _CHANGE)) - 1) * LEAST_RUN <= F.length("s")).distinct().orderBy(F.md5("s")).limit(SAMPLE)
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(free, F.lit(_IDENTIFIER), F.lit(0)))).alias("s"))
+    ordinary = words.filter(((F.length("s") < TOKEN_LENGTH) | ~F.col("s").rlike("[0-9]")) & ((F.size(F.split("s", _CHANGE)) - 1) * LEAST_RUN <= F.length("s"))).distinct().orderBy(F.md5("s")).limit(SAMPLE)
     counts: dict[int, list[int]] = {}
     for side, table in enumerate((random, ordinary)):
         for row in _pairs(table).collect():  # at most 128 x 128 rows
@@ -133,14 +127,15 @@ def train(docs: DataFrame) -> str:
 
     def likely(side: int, pair: int) -> float:
         alone = (second[side][pair % 128] + 1) / (of_second[side] + chars)
-        return (counts.get(pair, (0, 0))[side] + BACK_OFF * alone) / (first[side][pair // 128] + BACK_OFF)
+        p = (counts.get(pair, (0, 0))[side] + BACK_OFF * alone) / (first[side][pair // 128] + BACK_OFF)
+        return p if side else UNIFORM / chars + (1 - UNIFORM) * p
 
     ratios = [0.0 if pair // 128 in mute or pair % 128 in mute else math.log(likely(0, pair)) - math.log(likely(1, pair)) for pair in range(128 * 128)]
     return ",".join(f"{r:.9f}" for r in ratios)
 
 
 def _ratio(token: Column, table: Column) -> Column:
-    return F.aggregate(_neighbours(_small(token), lambda pair: F.get(table, pair)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.aggregate(_neighbours(token, lambda pair: F.get(table, pair)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
 
 def _named(spans: Column) -> Column:
@@ -186,8 +181,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same rows in DuckDB SQL with Markov models whose ordinary side is words of letters: the spans of kind
-    ``random`` are the operator's where tokens are words or random, not where they are paths, dates or numbers."""
+    """The same rows in DuckDB SQL, with the same model."""
 
     def spans(name: str, pattern: str, kind: int, extra: str = "", keep: str = "true") -> str:
         q = pattern.replace("'", "''")
@@ -206,20 +200,29 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
 {spans("h", HEX, 2)},
 {spans("t", TOKEN, 3, "", f"len(list_distinct(string_split(m, ''))) >= {LEAST_DISTINCT} and not regexp_full_match(m, '{UUID}')")},
 pos as (select s from (select distinct unnest(regexp_extract_all(text, '{q}', 2)) as s from d) where len(s) >= {LEARN_LEAST} order by md5(s) limit {SAMPLE}),
-few as (select doc_id from (select distinct doc_id from d where doc_id is not null) order by md5(doc_id::varchar), doc_id limit {ORDINARY_DOCS}),
-ord as (select s from (select distinct unnest(regexp_extract_all(text, '{_ORDINARY}')) as s from d join few using (doc_id)) order by md5(s) limit {SAMPLE}),
+ord as (
+  select s from (select distinct unnest(regexp_extract_all(regexp_replace(text, '{q}', ' ', 'g'), '{_IDENTIFIER}')) as s from d)
+  where len(list_filter(range(1, len(s)), lambda i: regexp_full_match(s[i:i+1], '[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]'))) * {LEAST_RUN} <= len(s) and (len(s) < {TOKEN_LENGTH} or not regexp_matches(s, '[0-9]')) order by md5(s) limit {SAMPLE}),
+cased as (select 0 as side, s from pos union all select 0, upper(s) from pos where upper(s) <> s union all select 1, s from ord union all select 1, upper(s) from ord where upper(s) <> s),
 pairs as (
-  select side, unnest(list_transform(range(1, len(s)), lambda i: s[i:i])) as a, unnest(list_transform(range(1, len(s)), lambda i: s[i+1:i+1])) as b
-  from (select 0 as side, s from pos union all select 1, s from ord)),
-n as (select a, b, count(*) filter (side = 0) as r, count(*) filter (side = 1) as o from pairs group by a, b),
+  select side, unnest(list_transform(range(1, len(s)), lambda i: s[i:i])) as a, unnest(list_transform(range(1, len(s)), lambda i: s[i+1:i+1])) as b from cased),
+seen as (select a, b, count(*) filter (side = 0) as r, count(*) filter (side = 1) as o from pairs group by a, b),
+held as (select side, a as c from pairs union select side, b from pairs),
+part as (select unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', '')) as c),
+mark as (select unnest(['+', '/', '_', '=', '-']) as c),
+more as (
+  select x.c as a, y.c as b from part x, part y where x.c between '0' and '9' and y.c between '0' and '9'
+  union all select mark.c, part.c from mark, part union all select part.c, mark.c from mark, part),
+n as (select a, b, sum(r) as r, sum(o) as o from (select a, b, r, o from seen union all select a, b, 0, 1 from more) group by a, b),
 tot as (select a, sum(r) as r, sum(o) as o from n group by a),
-alone as (select b, sum(r) as r, sum(o) as o from n group by b),
-sums as (select coalesce(sum(r), 0) as r, coalesce(sum(o), 0) as o from n),
+alone as (select b, sum(r) as r, sum(o) as o from seen group by b),
+sums as (select coalesce(sum(r), 0) as r, coalesce(sum(o), 0) as o from seen),
+told as (select c from held where side = 1 union select c from held where side = 0 and c not in (select c from mark)),
 tp as (select doc_id, start, "end", unnest(list_transform(range(1, len(m)), lambda i: m[i:i])) as a, unnest(list_transform(range(1, len(m)), lambda i: m[i+1:i+1])) as b from t),
 llr as (
-  select doc_id, start, "end", sum(round(
-    ln((coalesce(n.r, 0) + {BACK_OFF} * ((coalesce(alone.r, 0) + 1) / (sums.r + 66))) / (coalesce(tot.r, 0) + {BACK_OFF})) -
-    ln((coalesce(n.o, 0) + {BACK_OFF} * ((coalesce(alone.o, 0) + 1) / (sums.o + 66))) / (coalesce(tot.o, 0) + {BACK_OFF})), 9)) as ratio
+  select doc_id, start, "end", sum(case when tp.a in (select c from told) and tp.b in (select c from told) then round(
+    ln({UNIFORM}::double / 66 + (1 - {UNIFORM}::double) * ((coalesce(n.r, 0) + {BACK_OFF} * ((coalesce(alone.r, 0) + 1) / (sums.r + 66))) / (coalesce(tot.r, 0) + {BACK_OFF}))) -
+    ln((coalesce(n.o, 0) + {BACK_OFF} * ((coalesce(alone.o, 0) + 1) / (sums.o + 66))) / (coalesce(tot.o, 0) + {BACK_OFF})), 9) else 0 end) as ratio
   from tp cross join sums left join n using (a, b) left join tot on tot.a = tp.a left join alone on alone.b = tp.b group by all),
 base as (select doc_id, kind, start, "end" from a union all select doc_id, kind, start, "end" from k union all select doc_id, kind, start, "end" from h),
 every as (

@@ -199,6 +199,22 @@ def test_secrets(spark):
 ORDINARY = ["/images/2024/05/12/holiday-photo", "order-2024-000123-shipment", "+49-30-1234567-890123", "2024-05-12T10-33-45-000Z", "MAX_BUFFER_SIZE_BYTES_2048", "read_the_configuration_file_2", "getCustomerAddressFromOrder", "invoice-number-20240512-0001", "550e8400-e29b-41d4-a716-446655440000", "src/main/java/com/example/project/Handler", "https://www.example.com/the-quick-brown-fox-jumps", "ORDER-2024-11-28-0000123-A"]
 
 
+def test_random_strings_are_found_by_one_model(spark):
+    """Keys of several alphabets; the SQL trains and applies the same model."""
+    rng = np.random.default_rng(12)
+    alphabets = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "capital hex": "0123456789ABCDEF"}
+    base = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()]
+    planted = {(name, i): "".join(rng.choice(list(chars), int(rng.integers(20, 41)))) for name, chars in alphabets.items() for i in range(60)}
+    docs = base + [(10_000 + i, f"some words {x} follow") for i, x in enumerate(planted.values())] + [(20_000 + i, f"some words {x} follow") for i, x in enumerate(ORDINARY)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in secrets.scan(frame).filter("doc_id >= 10000").collect()}
+    for name in alphabets:
+        own = [10_000 + i for i, (kind, _) in enumerate(planted) if kind == name]
+        assert sum(bool(found[i]) for i in own) >= 0.9 * len(own), name
+    assert not any(found[20_000 + i] for i in range(len(ORDINARY)))
+    _compare(_op(spark, secrets.op5_secrets, frame), secrets.OP5_SQL, docs)
+
+
 def test_ordinary_identifiers_are_no_secrets(spark):
     import corpus_pipeline
 

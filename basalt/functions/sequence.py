@@ -114,13 +114,15 @@ def mixed_windows(text: Column, size: int, overlap: int) -> Column:
 def context_window(dna: Column, start: Column, end: Column, strand: Column, size: int) -> Column:
     """A gene in a window of exactly ``size`` bases: (sequence, mask_start, mask_length), the mask 0-based.
 
-    Coordinates are swapped if reversed and clamped to the contig. A gene longer than the window keeps its head
+    Both coordinates are clamped to the contig and swapped if reversed, so a gene beyond its contig's end is its last base;
+    an empty contig gives N alone and an empty mask. A gene longer than the window keeps its head
     on strand 1, else its tail. Context is half before, half after; what one side lacks the other lends; N pads
     the rest, half on each side.
     """
     n = F.length(dna)
-    low = F.greatest(F.least(start, end), F.lit(1))
-    high = F.least(F.greatest(start, end), n)
+    inside = lambda x: F.greatest(F.least(x, n), F.lit(1))
+    low = F.least(inside(start), inside(end))
+    high = F.when(n == 0, 0).otherwise(F.greatest(inside(start), inside(end)))
     long = high - low + 1 > size
     first = F.when(long & ~(F.coalesce(strand, F.lit(0)) == 1), high - size + 1).otherwise(low)
     last = F.when(long & (F.coalesce(strand, F.lit(0)) == 1), low + size - 1).otherwise(high)

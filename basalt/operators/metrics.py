@@ -1,23 +1,25 @@
-"""Exact metrics as grouped queries. Equal scores are summed first, which also bounds what a window holds."""
+"""Exact metrics as grouped queries. Equal scores are summed first."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.operators.running import running_sums
+
 
 #: A label that marks a row as outside the evaluation.
 IGNORED = -100
 
 
 def ranking(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    """auroc (ties count half), auprc (average precision over distinct thresholds), n, n_pos per key; null metrics for one class."""
+    """auroc (ties count half), auprc (average precision over distinct thresholds), n, n_pos per key; null metrics for one class.
+    Scores are compared as doubles; a row without one ranks last. A key may hold any number of scores (see ``running``)."""
     y = F.col(label).cast("long")
-    cells = df.filter(y.isNotNull() & (y != IGNORED)).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(y).alias("_tp"), F.sum(1 - y).alias("_fp"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("_s"))
-    run = cells.withColumn("_ctp", F.sum("_tp").over(order)).withColumn("_cfp", F.sum("_fp").over(order))
+    cells = df.filter(y.isNotNull() & (y != IGNORED)).groupBy(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("_s")).agg(F.sum(y).alias("_tp"), F.sum(1 - y).alias("_fp"))
+    run = running_sums(cells, keys, "_s", {"_ctp": "_tp", "_cfp": "_fp"})
     p, n = F.sum("_tp"), F.sum("_fp")
     area = F.sum(F.col("_fp") * (F.col("_ctp") - F.col("_tp") / 2.0))
     precision = F.sum(F.col("_tp") * F.col("_ctp") / (F.col("_ctp") + F.col("_cfp")))

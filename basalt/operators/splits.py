@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.operators.running import places
+
 # Words that name a trait's negative and positive class.
 NEGATIVE = ("no", "0", "-", "false", "negative", "neg", "n")
 POSITIVE = ("yes", "1", "+", "true", "positive", "pos", "y")
@@ -78,23 +80,15 @@ def _checked(train: float, val: float, test: float) -> None:
 def group_split(df: DataFrame, group: str, seed: int, train: float = 0.7, val: float = 0.1, test: float = 0.2) -> DataFrame:
     """``split`` by whole groups; the parts are shares of the groups."""
     _checked(train, val, test)
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(group)))
-    groups = df.select(group).distinct().withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
-    # places are counted by beginnings of the md5, so that one task ranks 1/4096 of the groups
-    sizes = groups.groupBy("_b").agg(F.count("*").alias("_m"))
-    before = sizes.withColumn("_before", F.sum("_m").over(Window.orderBy("_b")) - F.col("_m"))  # 4,096 rows at most
-    total = sizes.agg(F.sum("_m").alias("_n"))
-    placed = groups.join(F.broadcast(before), "_b").join(F.broadcast(total))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", group))
-    return df.join(placed.select(group, _cut(place, F.col("_n"), train, val).alias("split")), group)
+    groups = places(df.select(group).distinct(), [], F.md5(F.concat_ws(":", F.lit(seed), F.col(group))), group)
+    return df.join(groups.select(group, _cut(F.col("_place"), F.col("_total"), train, val).alias("split")), group)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int, train: float = 0.7, val: float = 0.1, test: float = 0.2) -> DataFrame:
-    """``split`` with equal parts of each class."""
+    """``split`` with equal parts of each class, whatever its size; rows without a class are one too."""
     _checked(train, val, test)
-    rank = Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key)
-    total = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("split", _cut(F.row_number().over(rank), total, train, val))
+    placed = places(df, [label], F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key)
+    return placed.withColumn("split", _cut(F.col("_place"), F.col("_total"), train, val)).drop("_place", "_total")
 
 
 def plain_split(df: DataFrame, key: str, seed: int, train: float = 0.7, val: float = 0.1, test: float = 0.2) -> DataFrame:

@@ -195,17 +195,17 @@ def clean_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {st.SQL_LETTERS}, p as (select *, doc_id % 211 + 1 as a, doc_id % 211 + 1 + doc_id % 150 as b, case when doc_id % 2 = 0 then 1 else -1 end as strand, len(s) as n from d),
-c as (select * replace (least(b, n) as b) from p where a <= n),
+c as (select * replace (greatest(least(a, n), 1) as a, case when n = 0 then 0 else greatest(least(b, n), 1) end as b) from p),
 q as (select *, case when b - a + 1 > 120 and strand <> 1 then b - 119 else a end as lo, case when b - a + 1 > 120 and strand = 1 then a + 119 else b end as hi from c),
 r as (select *, 120 - (hi - lo + 1) as room from q), l as (select *, room // 2 as wl, room - room // 2 as wr, lo - 1 as hl, n - hi as hr from r),
 m as (select *, least(hl, wl + greatest(wr - hr, 0)) as le, least(hr, wr + greatest(wl - hl, 0)) as ri from l),
 z as (select *, 120 - (hi - lo + 1) - le - ri as missing from m)
 select doc_id, upper(repeat('N', (missing // 2)::bigint) || substring(s, lo - le, hi - lo + 1 + le + ri) || repeat('N', (missing - missing // 2)::bigint)) as sequence, (missing // 2 + le)::int as mask_start, (hi - lo + 1)::int as mask_length from z""")
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genes that begin on their contig, in windows that contigs shorter than the window fill with N."""
+    """Genes, some of them beyond their contig's end, in windows that contigs shorter than the window fill with N."""
     start = F.col("doc_id") % 211 + 1
     strand = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)
-    cut = st.letters(spark, sf_dir).filter(start <= F.length("s")).select("doc_id", seq.context_window(F.col("s"), start, start + F.col("doc_id") % 150, strand, 120).alias("w"))
+    cut = st.letters(spark, sf_dir).select("doc_id", seq.context_window(F.col("s"), start, start + F.col("doc_id") % 150, strand, 120).alias("w"))
     return cut.select("doc_id", "w.*")
 
 

@@ -19,17 +19,17 @@ def gene_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.gene_gaps(g, ["contig_name"], "gene_idx").groupBy("contig_name").agg(F.count("gap").alias("n_gaps"), F.sum("gap").alias("total"), F.min("gap").alias("least"))
 
 
-@query(f"""with {st.SQL_LETTERS}, c as (select 'doc_' || doc_id as contig_name, s, len(s) as n from d where len(s) >= 60),
-g as (select contig_name, unnest(range(0, (n - 60) // 40 + 1)) as i from c), iv as (select contig_name, 11 + 40 * i as a, 35 + 40 * i + 10 * (i % 3) as b, case when i % 2 = 0 then 1 else -1 end as strand from g),
+@query(f"""with {st.SQL_LETTERS}, c as (select 'doc_' || doc_id as contig_name, s, len(s) as n from d),
+g as (select contig_name, unnest(range(0, (n - 60) // 40 + 1)) as i from c where n >= 60), iv as (select contig_name, 11 + 40 * i as a, 35 + 40 * i + 10 * (i % 3) as b, case when i % 2 = 0 then 1 else -1 end as strand from g),
 gaps as (select contig_name, coalesce(max(b) over (partition by contig_name order by a, b rows between unbounded preceding and 1 preceding), 0) + 1 as a, a - 1 as b from iv
-  union all select contig_name, max(iv.b) + 1, max(n) from iv join c using (contig_name) group by contig_name),
+  union all select contig_name, coalesce(max(iv.b), 0) + 1, max(n) from c left join iv using (contig_name) group by contig_name),
 every as (select contig_name, a, b, strand, 'cds' as t from iv union all select contig_name, a, b, 0, 'intergenic' from gaps where a <= b)
 select contig_name, a::bigint as start, b::bigint as "end", strand::int as strand, t as sequence_type, sha256(upper(substring(s, a, b - a + 1))) as sequence from every join c using (contig_name)""")
 def q11_interval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` written as GFF and FASTA, read back, merged to the table of genes and gaps with their letters."""
-    d = st.letters(spark, sf_dir).filter("length(s) >= 60").withColumn("c", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
+    d = st.letters(spark, sf_dir).withColumn("c", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
     gff, fna = tables.scratch(spark, "gff"), tables.scratch(spark, "fna")
-    g = d.select("c", F.explode(F.sequence(F.lit(0), F.expr("int((length(s) - 60) div 40)"))).alias("i"))
+    g = d.filter("length(s) >= 60").select("c", F.explode(F.sequence(F.lit(0), F.expr("int((length(s) - 60) div 40)"))).alias("i"))
     line = F.concat_ws("\t", "c", F.lit("x"), F.lit("CDS"), 11 + 40 * F.col("i"), 35 + 40 * F.col("i") + 10 * (F.col("i") % 3), F.lit("."), F.when(F.col("i") % 2 == 0, "+").otherwise("-"), F.lit("0"), F.concat(F.lit("locus_tag=L"), F.col("i").cast("string")))
     g.select(line.alias("value")).write.text(gff)
     d.select(F.concat(F.lit(">"), "c", F.lit("\n"), F.regexp_replace("s", "(.{70})", "$1\n")).alias("value")).write.text(fna)
@@ -37,17 +37,21 @@ def q11_interval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumns({"sequence": F.sha2("sequence", 256), "strand": F.col("strand").cast("int")})
 
 
-@query(f"""with {st.SQL_LETTERS}, c as (select doc_id, s, len(s) as n from d where len(s) >= 60), k as (select *, unnest([1, 2]) as k from c)
-select 'acc_' || doc_id as accession_id, 'doc_' || doc_id || '.1' as contig_name, 'g' || k as gene_name, case k when 1 then 1 else 31 end::bigint as start1, case k when 1 then 30 else n end::bigint as end1,
+@query(f"""with {st.SQL_LETTERS}, c as (select doc_id, s, len(s) as n from d), k as (select *, 1 as k from c where n >= 1 union all select *, 2 from c where n >= 60)
+select 'acc_' || doc_id as accession_id, 'doc_' || doc_id || '.1' as contig_name, 'g' || k as gene_name, case k when 1 then 1 else 31 end::bigint as start1, case k when 1 then least(30, n) else n end::bigint as end1,
   case k when 1 then 1 else -1 end as strand, sha256(upper(substring(s, k, 30))) as protein from k""")
 def q11_genbank_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` written as GenBank records of two coding regions each, the second joined on the other strand, and read back."""
-    d = st.letters(spark, sf_dir).filter("length(s) >= 60").withColumn("id", F.col("doc_id").cast("string"))
+    """``documents`` written as GenBank records of two coding regions, the second joined on the other strand, and read back; short
+    ones have one, empty ones none."""
+    d = st.letters(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string"))
     path = tables.scratch(spark, "gbff")
     head = F.concat(F.lit("LOCUS       doc_"), "id", F.lit("\nACCESSION   acc_"), "id", F.lit("\nVERSION     doc_"), "id", F.lit(".1\n  ORGANISM  Species one\nFEATURES             Location/Qualifiers\n"))
     cds = lambda name, place, at: F.concat(F.lit("     CDS             "), place, F.lit(f'\n                     /gene="{name}"\n                     /translation="'), F.upper(F.substring("s", at, 20)), F.lit("\n                     "), F.upper(F.substring("s", at + 20, 10)), F.lit('"\n'))
+    n = F.length("s")
+    first = F.concat(F.lit("1.."), F.least(n, F.lit(30)).cast("string"))
     second = F.concat(F.lit("complement(join(31..40,45.."), F.length("s").cast("string"), F.lit("))"))
-    d.select(F.concat(head, cds("g1", F.lit("1..30"), 1), cds("g2", second, 2), F.lit("ORIGIN\n//")).alias("value")).write.text(path)
+    both = F.concat(F.when(n >= 1, cds("g1", first, 1)).otherwise(""), F.when(n >= 60, cds("g2", second, 2)).otherwise(""))
+    d.select(F.concat(head, both, F.lit("ORIGIN\n//")).alias("value")).write.text(path)
     found = genomes.read_genomes(spark, path, "gbff")
     return found.select("accession_id", "contig_name", "gene_name", "start1", "end1", F.col("strand").cast("int").alias("strand"), F.sha2("protein_sequence", 256).alias("protein"))
 
@@ -84,14 +88,14 @@ def row_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with l as (select doc_id, toxic, case doc_id % 3 when 0 then 'train' when 1 then 'validation' else 'test' end as split from labels)
-select l.doc_id, split, toxic, source from l join documents using (doc_id) where split <> 'train'""")
+select l.doc_id, split, toxic, source from l join documents using (doc_id)""")
 def checked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as Yes and No through a CSV file and splits, joined to documents with their number kept."""
     path = tables.scratch(spark, "labels")
     part = F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "val").otherwise("test")
     tables.write_csv(st.table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "Yes").otherwise("No").alias("toxic"), part.alias("split")), path)
     rows = tables.read_labels(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
-    both = tables.union_splits(**{s: nested.one_split(rows, s).drop("split") for s in ("validation", "test")})
+    both = tables.union_splits(**{s: nested.one_split(rows, s).drop("split") for s in ("train", "validation", "test")})
     docs = st.table(spark, sf_dir, "documents").select("doc_id", "source")
     return nested.inner_checked(both, docs, "doc_id").withColumn("toxic", nested.yes_no(F.col("toxic")))
 
@@ -178,17 +182,24 @@ def genes_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.select("doc_id", F.posexplode("embedding").alias("pos", "x")), "x")
 
 
-@query()
+@query(f"""with {st.SQL_LETTERS}, g as (select doc_id, unnest(range(0, (len(s) - 60) // 40 + 1)) as i, s from d where len(s) >= 60),
+p as (select doc_id, i, upper(substring(s, 11 + 40 * i, 25)) as p from g)
+select doc_id // 8 as strain, count(distinct doc_id)::int as n_contigs, count(*)::int as n_genes, round(sum(len(p) - len(replace(p, letter, ''))) / 128.0, 6) as total, letter
+from (select *, unnest(['A', 'C', 'G', 'T']) as letter from p) group by strain, letter""")
 def genes_in_mixed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proteins amid the mixed text of their contigs, vectors regrouped by strain; tests hold the windows against plain Python."""
-    d = st.letters(spark, sf_dir).filter("length(s) >= 60")
+    """Proteins amid the mixed text of their contigs, vectors regrouped by strain and summed there; tests hold the windows against
+    plain Python."""
+    d = st.letters(spark, sf_dir)
     strand = F.when(F.col("i") % 2 == 0, 1).otherwise(-1)
-    genes = d.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.expr("int((length(s) - 60) div 40)"))).alias("i"))
+    genes = d.filter("length(s) >= 60").select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.expr("int((length(s) - 60) div 40)"))).alias("i"))
     genes = genes.select("doc_id", F.col("i").alias("gene_idx"), (11 + 40 * F.col("i")).alias("start"), (35 + 40 * F.col("i")).alias("end"), strand.alias("strand"), F.expr("substring(s, 11 + 40 * i, 25)").alias("protein_sequence"))
-    contigs = d.select("doc_id", (F.col("doc_id") % 10).alias("strain"), F.col("s").alias("dna_sequence"))
+    contigs = d.select("doc_id", F.expr("doc_id div 8").alias("strain"), F.col("s").alias("dna_sequence"))
     vectors = jobs.genes_in_mixed(genes, contigs, "doc_id", 128)
     strains = jobs.by_strain(contigs, vectors, "strain", "doc_id")
-    return strains.select("strain", F.size("contigs").alias("n_contigs"), F.aggregate("embeddings", F.lit(0), lambda a, e: a + F.size(e)).alias("n_genes"))
+    every = F.flatten("embeddings")
+    total = lambda i: F.aggregate(every, F.lit(0.0), lambda a, v: a + F.get(v, F.lit(i)))
+    sums = F.array(*(F.struct(F.lit(x).alias("letter"), total(i).alias("total")) for i, x in enumerate("ACGT")))
+    return _rounded(strains.select("strain", F.size("contigs").alias("n_contigs"), F.size(every).alias("n_genes"), F.inline(sums)), "total")
 
 
 @query(f"""with {st.SQL_GENES}, p as (select a.contig, a.gene_idx, a.v as x, b.v as y, a.label from g a join g b on a.contig = b.contig and b.gene_idx = a.gene_idx + 1)

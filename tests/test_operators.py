@@ -31,7 +31,8 @@ def test_promoter_and_reverse(spark):
 
 def _context(dna, start, end, strand, size):
     n = len(dna)
-    lo, hi = max(min(start, end), 1), min(max(start, end), n)
+    lo, hi = sorted(max(1, min(x, n)) for x in (start, end))
+    hi = hi if n else 0
     if hi - lo + 1 > size:
         lo, hi = (lo, lo + size - 1) if strand == 1 else (hi - size + 1, hi)
     room = size - (hi - lo + 1)
@@ -45,10 +46,11 @@ def _context(dna, start, end, strand, size):
 
 def test_context_windows(spark):
     dna = "acgtacgtaaccggtt"
-    for start, end, strand, size in ((3, 5, 1, 8), (5, 3, -1, 8), (1, 2, 1, 8), (15, 16, -1, 8), (2, 14, 1, 6), (2, 14, -1, 6), (4, 9, 1, 30), (14, 40, -1, 10)):
+    for start, end, strand, size in ((3, 5, 1, 8), (5, 3, -1, 8), (1, 2, 1, 8), (15, 16, -1, 8), (2, 14, 1, 6), (2, 14, -1, 6), (4, 9, 1, 30), (14, 40, -1, 10), (40, 50, 1, 20), (50, 40, -1, 20), (-8, 0, 1, 6)):
         got = one(spark, seq.context_window(F.lit(dna), F.lit(start), F.lit(end), F.lit(strand), size))
         assert tuple(got) == _context(dna, start, end, strand, size)
         assert len(got["sequence"]) == size
+    assert tuple(one(spark, seq.context_window(F.lit(""), F.lit(3), F.lit(5), F.lit(1), 4))) == ("NNNN", 2, 0)
 
 
 def test_strand_marks(spark):

@@ -35,7 +35,7 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray, list]:
     return np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], float), [r["x"] for r in rows]
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     close = np.argwhere(squared < 1e-6)  # cancellation: these few are computed directly
     out = np.sqrt(np.maximum(squared, 0))
@@ -52,7 +52,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
             for left, right in zip(pdf["left"], pdf["right"], strict=True):
                 (ids, a, _), (others, b, _) = _matrix(left), _matrix(right)
                 order = np.argsort(others, kind="stable")
-                others, d = others[order], _distances(a, b[order])
+                others, d = others[order], distances(a, b[order])
                 d[ids[:, None] == others[None, :]] = np.inf
                 place = np.argsort(d, axis=1, kind="stable")[:, :k]
                 i, near = np.repeat(np.arange(len(ids)), place.shape[1]), place.ravel()
@@ -72,7 +72,7 @@ def cluster_distances(df: DataFrame, key: str, vector: str, cluster: str) -> Dat
             for left, right in zip(pdf["left"], pdf["right"], strict=True):
                 (ids, a, own), (_, b, clusters) = _matrix(left), _matrix(right)
                 names, at = np.unique(np.array(clusters, str), return_inverse=True)
-                sums = _distances(a, b) @ np.eye(len(names))[at]
+                sums = distances(a, b) @ np.eye(len(names))[at]
                 yield pd.DataFrame({"i": np.repeat(ids, len(names)), "ci": np.repeat(np.array(own, str), len(names)), "cj": np.tile(names, len(ids)), "total": sums.ravel()})
 
     sums = _block_pairs(df.select(F.col(key).cast("long").alias(key), vector, cluster), key, vector, cluster).mapInPandas(task, "i long, ci string, cj string, total double")

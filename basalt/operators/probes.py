@@ -1,98 +1,108 @@
-"""Linear probes on vector features, one per target and seed, with Spark ML."""
+"""Linear probes on vector features: all targets, seeds and strengths in one fit."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions.vectors import layer_norm
-from basalt.operators import metrics
-from basalt.sources.tables import ensure_checkpoint_dir
+from basalt.operators import metrics, splits
+from basalt.operators.gradients import SPLITS, LinearSweep, Task
+from basalt.sources.tables import scratch
 
 GRID = (0.001, 0.01, 0.1)
 #: Splits and the columns of a result row that hold their sizes.
 SIZES = {"train": "n_train", "validation": "n_val", "test": "n_test"}
 
 
-def features(df: DataFrame, vector: str) -> DataFrame:
-    """``features``: the layer-normalised vector in the form Spark ML takes."""
-    return df.withColumn("features", array_to_vector(layer_norm(F.col(vector).cast("array<double>"))))
+def features(df: DataFrame, vector: str, name: str = "x") -> DataFrame:
+    """The layer-normalised vector."""
+    return df.withColumn(name, layer_norm(F.col(vector).cast("array<double>")))
 
 
-def _weights(df: DataFrame, balanced: bool) -> DataFrame:
-    if not balanced:
-        return df.withColumn("_w", F.lit(1.0))
-    share = df.agg(F.avg("class")).first()[0] or 0.5
-    return df.withColumn("_w", F.when(F.col("class") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table that every pass reads; a lost executor loses nothing."""
+    path = scratch(df.sparkSession, "probe")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def macro_auroc(scored: DataFrame) -> float | None:
-    """How well a probe does on validation rows (class, p), unless told otherwise."""
-    return metrics.macro_ranking(scored, [], "class", "p").first()["macro_auroc"]
+def balance(share: float | None) -> list[float]:
+    """Weights that give both classes half of the loss; ``share``: the part of class 1."""
+    share = min(max(share or 0.5, 1e-6), 1 - 1e-6)
+    return [0.5 / (1 - share), 0.5 / share]
 
 
-def classifier(df: DataFrame, grid: Sequence[float] = GRID, balanced: bool = False, keep: Sequence[str] = (), rate: Callable[[DataFrame], float | None] = macro_auroc) -> DataFrame:
-    """Rows of ``df`` (features, class, split) with ``probabilities`` and ``prediction`` of the regularisation that ``rate``
-    puts highest on validation rows, of which it gets class, p and the columns ``keep``."""
-    train = _weights(df.filter("split = 'train'").withColumn("class", F.col("class").cast("double")), balanced).cache()
-    best, top = None, None
-    for strength in grid:
-        model = LogisticRegression(featuresCol="features", labelCol="class", weightCol="_w", regParam=strength, maxIter=50).fit(train)
-        scored = model.transform(df.filter("split = 'validation'")).select(*keep, F.col("class").cast("int").alias("class"), vector_to_array("probability").alias("p"))
-        value = rate(scored)
-        if best is None or (value or 0) > top:
-            best, top = model, value or 0
-    train.unpersist()
-    return best.transform(df).withColumn("probabilities", vector_to_array("probability")).drop("rawPrediction", "probability")
+def split_code() -> Column:
+    code = F.lit(None).cast("int")
+    for name, n in SPLITS.items():
+        code = F.when(F.col("split") == name, n).otherwise(code)
+    return code
 
 
-def regressor(df: DataFrame, label: str, grid: Sequence[float] = GRID) -> DataFrame:
-    """Rows of ``df`` (features, split) with ``prediction``; the regularisation with the best validation R2."""
-    train = df.filter("split = 'train'").cache()
-    best, top = None, None
-    for strength in grid:
-        model = LinearRegression(featuresCol="features", labelCol=label, regParam=strength).fit(train)
-        value = metrics.regression(model.transform(df.filter("split = 'validation'")), [], label, "prediction").first()["r2"]
-        if best is None or (value is not None and value > top):
-            best, top = model, value if value is not None else float("-inf")
-    train.unpersist()
-    return best.transform(df)
+def best_models(sweep: LinearSweep, rated: DataFrame, value: str) -> list[int]:
+    """For each task the model that ``rated`` (model, ``value``) puts highest; of equal ones, and where none has a value, the first."""
+    found = {r["model"]: r[value] for r in rated.select("model", value).collect()}  # a row a model
+    worst = float("-inf")
+    rank = lambda m: worst if found.get(m) is None else found[m]
+    return [max((m for m, (t, _) in enumerate(sweep.models) if t == task), key=lambda m: (rank(m), -m)) for task in range(len(sweep.tasks))]
+
+
+def reason(sizes: dict[str, int], classes: int, least: int = 2) -> str | None:
+    """Why a probe cannot be fitted: ``no_data``, ``empty_split``, ``one_class``; None where it can. ``classes``: those of the train split."""
+    if not sum(sizes.values()):
+        return "no_data"
+    if not all(sizes.values()):
+        return "empty_split"
+    return "one_class" if classes < least else None
 
 
 def examine(rows: DataFrame, label: str, classes: int = 2) -> tuple[dict[str, int], str | None]:
-    """The size of each split, and why a probe cannot be fitted: ``no_data``, ``empty_split``, ``one_class``; None where it can."""
+    """The size of each split of one target, and ``reason``."""
     per = {r["split"]: r for r in rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes")).collect()}  # three rows
     sizes = {column: per[split]["n"] if split in per else 0 for split, column in SIZES.items()}
-    if not sum(sizes.values()):
-        return sizes, "no_data"
-    if not all(sizes.values()):
-        return sizes, "empty_split"
-    return sizes, "one_class" if per["train"]["classes"] < classes else None
-
-
-def result_row(found: DataFrame | None, like: DataFrame, names: Sequence[str], sizes: dict[str, int], skipped: str | None = None) -> DataFrame:
-    """One row of fixed columns: the metrics ``names`` of ``found`` (null without it), sizes of splits, ``skipped``."""
-    row = like.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(n) for n in names)) if found is None else found.select(*(F.col(n).cast("double").alias(n) for n in names))
-    return row.withColumns({n: F.lit(v).cast("long") for n, v in sizes.items()}).withColumn("skipped", F.lit(skipped).cast("string"))
-
-
-def sweep(df: DataFrame, targets: Sequence[str], seeds: Sequence[int], one, workers: int = 4) -> DataFrame | None:
-    """Union of ``one(df, target, seed)`` over all targets and seeds; fits are submitted together over one checkpointed
-    table. None without targets."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint()
-    with ThreadPoolExecutor(workers) as pool:
-        parts = list(pool.map(lambda ts: one(df, *ts).withColumn("target", F.lit(ts[0])).withColumn("seed", F.lit(ts[1])), [(t, s) for t in targets for s in seeds]))
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out
+    return sizes, reason(sizes, per["train"]["classes"] if "train" in per else 0, classes)
+
+
+def sweep(genomes: DataFrame, classes: DataFrame, targets: Sequence[str], key: str, vector: str, group: str, seeds: Sequence[int], names: Sequence[str], measure: Callable[[DataFrame, list[str]], DataFrame],
+          primary: str, numbers: bool = False, reasons: dict[str, str] | None = None) -> DataFrame:
+    """A result row for each target and seed: the metrics ``names`` of the test split, sizes of the splits, ``skipped``.
+
+    ``classes``: key, target, class. ``measure(scored, keys)`` gives the metrics by ``keys``; the strength with the highest ``primary`` on validation
+    rows counts. Rows without vector or group are left out. The number of jobs does not follow the targets; what comes to
+    the driver is a few rows and a model for each target and seed.
+    """
+    spark = genomes.sparkSession
+    rows = features(genomes.dropna(subset=[vector, group]), vector).select(key, group, "x")
+    labels = classes.filter(F.col("target").isin(list(targets))).join(rows.select(key, group), key).select(key, group, "target", F.col("class").cast("double").alias("class"))
+    parts = written(splits.split_sweep(labels, key, group, "class", seeds))
+    per = parts.groupBy("target", "seed", "split").agg(F.count("*").alias("n"), F.count_distinct("class").alias("classes"), F.max("class").alias("most"), F.avg("class").alias("centre"), F.coalesce(F.stddev_pop("class"), F.lit(0.0)).alias("scale"))
+    found = {(r["target"], r["seed"], r["split"]): r for r in per.collect()}
+    told, tasks = [], []
+    for target in targets:
+        for seed in seeds:
+            own = {s: found.get((target, seed, s)) for s in SIZES}
+            sizes = {SIZES[s]: r["n"] if r else 0 for s, r in own.items()}
+            why = (reasons or {}).get(target) or reason(sizes, own["train"]["classes"] if own["train"] else 0, 1 if numbers else 2)
+            told.append((target, seed, *sizes.values(), why))
+            if why is None and numbers:
+                tasks.append(Task(target, seed, 1, centre=own["train"]["centre"], scale=own["train"]["scale"] or 1.0))
+            elif why is None:
+                tasks.append(Task(target, seed, 1 + int(max(r["most"] for r in own.values()))))
+    schema = ", ".join(["target string", "seed int", *(f"{n} long" for n in SIZES.values()), "skipped string"])
+    results = spark.createDataFrame(told, schema)
+    if not tasks:
+        return results.select(*(F.lit(None).cast("double").alias(n) for n in names), *SIZES.values(), "skipped", "target", "seed")
+    numbered = F.broadcast(spark.createDataFrame([(t.target, t.seed, i) for i, t in enumerate(tasks)], "target string, seed int, task int"))  # a row a task
+    one = F.struct("task", F.col("class").alias("y"), split_code().alias("split"))
+    table = written(parts.join(numbered, ["target", "seed"]).groupBy(key).agg(F.collect_list(one).alias("labels")).join(rows.select(key, "x"), key))
+    fitted = LinearSweep(tasks, GRID).fit(table)
+    rated = measure(fitted.scored(table).filter(F.col("split") == SPLITS["validation"]), ["model"])
+    test = fitted.scored(table, chosen=best_models(fitted, rated, primary)).filter(F.col("split") == SPLITS["test"])
+    got = measure(test, ["target", "seed"]).select("target", "seed", *(F.col(n).cast("double").alias(n) for n in names))
+    return results.join(got, ["target", "seed"], "left").select(*names, *SIZES.values(), "skipped", "target", "seed")
 
 
 def rollup(results: DataFrame, primary: str, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -98,12 +98,23 @@ def plain_split(df: DataFrame, key: str, seed: int, train: float = 0.7, val: flo
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "validation").otherwise("test"))
 
 
-def split_by_rule(df: DataFrame, key: str, group: str, label: str, seed: int) -> DataFrame:
-    """By group where there are three or more, else by class where each has three rows or more, else plainly."""
-    if df.select(group).distinct().limit(3).count() >= 3:
-        return group_split(df, group, seed)
-    smallest = df.groupBy(label).count().agg(F.min("count")).first()[0]
-    return stratified_split(df, key, label, seed) if (smallest or 0) >= 3 else plain_split(df, key, seed)
+def split_sweep(long: DataFrame, key: str, group: str, label: str, seeds: Sequence[int], train: float = 0.7, val: float = 0.1, test: float = 0.2) -> DataFrame:
+    """``long`` (with target) once for each seed, with ``seed`` and ``split``; all targets and seeds in one query. A target is split by
+    group where it has three groups or more, else by class where each has three rows or more, else plainly."""
+    _checked(train, val, test)
+    smallest = long.groupBy("target", label).count().groupBy("target").agg(F.min("count").alias("_least"))
+    rules = long.groupBy("target").agg(F.count_distinct(group).alias("_groups")).join(smallest, "target")
+    rule = F.when(F.col("_groups") >= 3, "group").when(F.col("_least") >= 3, "class").otherwise("plain")
+    rows = long.join(rules.select("target", rule.alias("_rule")), "target").withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
+    digest = lambda c: F.md5(F.concat_ws(":", F.col("seed"), F.col(c)))
+    cut = _cut(F.col("_place"), F.col("_total"), train, val).alias("split")
+    columns = [*long.columns, "seed", "split"]
+    by_group = rows.filter("_rule = 'group'")
+    groups = places(by_group.select("target", "seed", group).distinct(), ["target", "seed"], digest(group), group).select("target", "seed", group, cut)
+    by_class = places(rows.filter("_rule = 'class'"), ["target", "seed", label], digest(key), key).withColumn("split", cut)
+    u = F.conv(F.substring(digest(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    plain = rows.filter("_rule = 'plain'").withColumn("split", F.when(u < train, "train").when(u < train + val, "validation").otherwise("test"))
+    return by_group.join(groups, ["target", "seed", group]).select(columns).unionByName(by_class.select(columns)).unionByName(plain.select(columns))
 
 
 def split_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:

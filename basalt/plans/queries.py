@@ -394,22 +394,22 @@ def _probe_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q1_essential_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genomes as nested rows of Yes and No, a probe on their genes, predictions kept as a table, medians by split."""
+    """Genomes as nested rows of Yes and No, probes on their genes by seed, predictions kept as a table, medians by split."""
     g = _probe_genes(spark, sf_dir).withColumn("essential", F.when(F.col("essential") == 1, "Yes").otherwise("No"))
     rows = g.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("gene_idx", "v", "essential", "split"))).alias("t"))
     rows = rows.select("contig", *(F.col(f"t.{c}").alias(c) for c in ("v", "essential", "split")))
     genes = nested.explode_aligned(rows, ["v", "essential", "split"]).withColumn("essential", nested.yes_no(F.col("essential")))
     genes = tables.union_splits(**{s: nested.one_split(genes, s).drop("split") for s in ("train", "validation", "test")})
     path = scratch(spark, "essential")
-    tables.write_parquet(tasks.essential_predictions(genes, "contig", "v", "essential").drop("v"), path)
+    tables.write_parquet(tasks.essential_predictions(genes, "contig", "v", "essential", (1, 2, 3)).drop("v"), path)
     return tasks.essential_genes(tables.read_one_source(spark, folder=path), "contig")
 
 
 @query()
 def q5_ppi_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genomes are split, and a net with a dense block before the pairs' mean learns their edges."""
     g = st.genes(spark, sf_dir)
-    e = splits.plain_split(st.edges(g).withColumn("edge", F.concat_ws(":", "contig", "i", "j")), "edge", 1)
-    return tasks.ppi_supervised(g, e, "contig", "split")
+    return tasks.ppi_supervised(tasks.ppi_pairs(g, st.edges(g), "contig"), "contig")
 
 
 @query()

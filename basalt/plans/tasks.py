@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.functions.vectors import cosine, mean_pairwise_cosine, pair_mean
-from basalt.operators import community, intervals, knn, metrics, nested, probes, splits
+from basalt.functions import vectors as vec
+from basalt.functions.vectors import cosine, mean_pairwise_cosine
+from basalt.operators import community, gradients, intervals, knn, metrics, nested, probes, splits
 from basalt.sources.tables import ensure_checkpoint_dir
 
 
@@ -74,38 +75,46 @@ def operon_windows(genes: DataFrame, operons: DataFrame, contig: Sequence[str],
     return metrics.one_against(rated, [*key, "size", "seed"], "positive", "similarity")
 
 
-def median_auroc(genome: str):
-    """Rates a probe by the lower median of its aurocs by genome."""
-
-    def rate(scored: DataFrame) -> float | None:
-        per = metrics.ranking(scored.withColumn("s", F.get("p", F.lit(1))), [genome], "class", "s")
-        return metrics.medians(per, [], ["auroc"], lower=True).first()["auroc"]
-
-    return rate
-
-
-def essential_predictions(genes: DataFrame, genome: str, vector: str, label: str) -> DataFrame:
-    """Every gene (with ``split``) with ``class``, the ``score`` of a linear probe and ``predicted``; of the regularisations the one
-    with the best median auroc over validation genomes counts."""
-    rows = probes.features(genes.withColumn("class", F.col(label)).filter(F.col("class").isNotNull() & F.col(vector).isNotNull()), vector)
-    scored = probes.classifier(rows, balanced=True, keep=[genome], rate=median_auroc(genome)).withColumn("score", F.get("probabilities", F.lit(1)))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("features", "probabilities", "prediction")
+def essential_predictions(genes: DataFrame, genome: str, vector: str, label: str, seeds: Sequence[int] = (1,)) -> DataFrame:
+    """Every gene (with ``split``) once for each seed, with ``class``, the ``score`` of a linear probe and ``predicted``; of the
+    regularisations the one with the best median auroc over validation genomes counts. Classes are weighed alike."""
+    rows = probes.features(genes.withColumn("class", F.col(label).cast("int")).filter(F.col("class").isNotNull() & F.col(vector).isNotNull()), vector)
+    labels = F.array(*(F.struct(F.lit(i).alias("task"), F.col("class").cast("double").alias("y"), probes.split_code().alias("split")) for i in range(len(seeds))))
+    table = probes.written(rows.withColumn("labels", labels).withColumnRenamed("class", "_class"))
+    share = table.filter("split = 'train'").agg(F.avg("_class")).first()[0]
+    fitted = gradients.LinearSweep([gradients.Task("essential", s, 2, probes.balance(share)) for s in seeds], probes.GRID, dropout=0.2).fit(table)
+    validation = fitted.scored(table, [genome]).filter(F.col("split") == gradients.SPLITS["validation"]).withColumn("s", F.get("probabilities", F.lit(1)))
+    rated = metrics.medians(metrics.ranking(validation, ["model", genome], "class", "s"), ["model"], ["auroc"], lower=True)
+    keep = [c for c in table.columns if c not in ("x", "labels", "split", "_class", "seed", "target")]
+    names = {n: name for name, n in gradients.SPLITS.items()}
+    split = F.lit(None).cast("string")
+    for n, name in names.items():
+        split = F.when(F.col("split") == n, name).otherwise(split)
+    scored = fitted.scored(table, keep, probes.best_models(fitted, rated, "auroc"))
+    told = scored.withColumns({"split": split, "class": F.col("class").cast("int"), "score": F.get("probabilities", F.lit(1))})
+    return told.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("probabilities", "model", "target")
 
 
 def essential_genes(predictions: DataFrame, genome: str) -> DataFrame:
-    """Per split the lower medians over genomes of auroc, auprc and f1, and the number of genomes that have them."""
-    keys = ["split", genome]
+    """Per split and seed the lower medians over genomes of auroc, auprc and f1, and the number of genomes that have them."""
+    keys = ["split", "seed", genome]
     per = metrics.ranking(predictions, keys, "class", "score").join(metrics.confusion(predictions, keys, "class", "score"), keys)
-    sizes = per.groupBy("split").agg(F.count("auroc").alias("n_genomes"))
-    return metrics.medians(per, ["split"], ["auroc", "auprc", "f1"], lower=True).join(sizes, "split")
+    sizes = per.groupBy("split", "seed").agg(F.count("auroc").alias("n_genomes"))
+    return metrics.medians(per, ["split", "seed"], ["auroc", "auprc", "f1"], lower=True).join(sizes, ["split", "seed"])
 
 
-def ppi_supervised(genes: DataFrame, edges: DataFrame, genome: str, split: str, threshold: float = 0.6) -> DataFrame:
-    """Per genome of the test split: ranking of interactions by a classifier on pair features."""
-    side = lambda i, v: genes.select(genome, F.col("gene_idx").alias(i), F.col("v").alias(v))
+def ppi_pairs(genes: DataFrame, edges: DataFrame, genome: str, threshold: float = 0.6, seed: int = 1) -> DataFrame:
+    """Labelled pairs of proteins with both vectors and a split by whole genomes: no protein stands on two sides."""
+    side = lambda i, v: probes.features(genes, "v", v).select(genome, F.col("gene_idx").alias(i), v)
     labelled = intervals.edge_labels(edges, F.col("score"), threshold).withColumnRenamed("label", "class")
-    pairs = labelled.join(side("i", "x"), [genome, "i"]).join(side("j", "y"), [genome, "j"]).withColumn("pair", pair_mean(F.col("x"), F.col("y")))
-    scored = probes.classifier(probes.features(pairs, "pair")).filter(F.col(split) == "test").withColumn("p", F.get("probabilities", F.lit(1)))
+    return splits.group_split(labelled.join(side("i", "x"), [genome, "i"]).join(side("j", "y"), [genome, "j"]), genome, seed)
+
+
+def ppi_supervised(pairs: DataFrame, genome: str, hidden: int = 32, seed: int = 1) -> DataFrame:
+    """Per genome of the test split: ranking of interactions and log loss by a net with a dense block before the pairs' mean.
+    ``pairs``: x, y, class, split."""
+    table = probes.written(pairs)
+    scored = gradients.PairNet(hidden, seed).fit(table).scored(table.filter("split = 'test'"))
     logit = F.log(F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
     loss = scored.groupBy(genome).agg(F.avg(metrics.log_loss(F.col("class"), logit)).alias("loss"))
     return metrics.ranking(scored, [genome], "class", "p").join(loss, genome)
@@ -133,19 +142,18 @@ DRUG_METRICS = ("auroc", "auprc", "f1", "balanced_accuracy", "accuracy")
 MIC_METRICS = ("r2", "pearson", "mse")
 
 
-def _probe_sweep(genomes: DataFrame, classes: DataFrame, targets: Sequence[str], key: str, vector: str, group: str, seeds: Sequence[int], names: Sequence[str], measure, least_classes: int = 2, reasons: dict[str, str] | None = None) -> DataFrame:
-    """A result row for each target and seed. ``measure(rows)``: metrics of the test split in one row. Rows without vector or group are left out."""
-    rows = probes.features(genomes.dropna(subset=[vector, group]).join(classes, key), vector)
+def _macro(scored: DataFrame, keys: list[str]) -> DataFrame:
+    whole = scored.withColumns({"class": F.col("class").cast("int"), "prediction": vec.argmax(F.col("probabilities")).cast("int")})
+    return metrics.macro_ranking(whole, keys, "class", "probabilities").join(metrics.multiclass(whole, keys, "class", "prediction"), keys)
+
 
-    def one(df: DataFrame, target: str, seed: int) -> DataFrame:
-        parts = splits.split_by_rule(df.filter(F.col("target") == target), key, group, "class", seed).checkpoint()  # read by every fit
-        sizes, reason = probes.examine(parts, "class", least_classes)
-        reason = (reasons or {}).get(target, reason)
-        return probes.result_row(None if reason else measure(parts), df, names, sizes, reason)
+def _binary(scored: DataFrame, keys: list[str]) -> DataFrame:
+    p = scored.withColumn("p", F.get("probabilities", F.lit(1)))
+    return metrics.ranking(p, keys, "class", "p").join(metrics.confusion(p, keys, "class", "p"), keys)
 
-    found = probes.sweep(rows, targets, seeds, one)
-    none = probes.result_row(None, rows, names, dict.fromkeys(probes.SIZES.values(), 0)).withColumns({"target": F.lit(None).cast("string"), "seed": F.lit(0)}).limit(0)
-    return none if found is None else found
+
+def _number(scored: DataFrame, keys: list[str]) -> DataFrame:
+    return metrics.regression(scored.withColumn("prediction", F.get("probabilities", F.lit(0))), keys, "class", "prediction")
 
 
 def trait_probes(genomes: DataFrame, wide: DataFrame, targets: Sequence[str], key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least: int = 50, most_targets: int | None = None) -> DataFrame:
@@ -153,12 +161,8 @@ def trait_probes(genomes: DataFrame, wide: DataFrame, targets: Sequence[str], ke
     labels; rows of rare classes are dropped, and traits that then lack two classes are left out."""
     long = splits.drop_rare_classes(splits.to_long(nested.inner_checked(genomes.select(key), wide, key), [key], targets), least)
     usable = splits.first_targets(splits.usable_targets(long, 0, least), most_targets)
-
-    def measure(rows: DataFrame) -> DataFrame:
-        test = probes.classifier(rows).filter("split = 'test'").withColumn("prediction", F.col("prediction").cast("int")).withColumn("class", F.col("class").cast("int"))
-        return metrics.macro_ranking(test, ["split"], "class", "probabilities").join(metrics.multiclass(test, ["split"], "class", "prediction"), "split")
-
-    return _probe_sweep(genomes, splits.trait_classes(long.filter(F.col("target").isin(usable))), usable, key, vector, group, seeds, TRAIT_METRICS, measure)
+    classes = splits.trait_classes(long.filter(F.col("target").isin(usable)))
+    return probes.sweep(genomes, classes, usable, key, vector, group, seeds, TRAIT_METRICS, _macro, "macro_auroc")
 
 
 def resistance_probes(genomes: DataFrame, long: DataFrame, key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least_rows: int = 500, least_class: int = 50, most_targets: int | None = None) -> DataFrame:
@@ -166,20 +170,12 @@ def resistance_probes(genomes: DataFrame, long: DataFrame, key: str, vector: str
     usable = splits.first_targets(splits.usable_targets(long, least_rows, least_class), most_targets)
     many = long.groupBy("target").agg(F.count_distinct("value").alias("n")).filter("n > 2")
     reasons = dict.fromkeys(splits.first_targets(many), "not_binary")
-
-    def measure(rows: DataFrame) -> DataFrame:
-        test = probes.classifier(rows).filter("split = 'test'").withColumn("p", F.get("probabilities", F.lit(1)))
-        return metrics.ranking(test, ["split"], "class", "p").join(metrics.confusion(test, ["split"], "class", "p"), "split")
-
-    return _probe_sweep(genomes, splits.encode_classes(long.filter(F.col("target").isin(usable))), usable, key, vector, group, seeds, DRUG_METRICS, measure, reasons=reasons)
+    classes = splits.encode_classes(long.filter(F.col("target").isin(usable)))
+    return probes.sweep(genomes, classes, usable, key, vector, group, seeds, DRUG_METRICS, _binary, "auroc", reasons=reasons)
 
 
 def mic_probes(genomes: DataFrame, long: DataFrame, key: str, vector: str, group: str, seeds: Sequence[int] = (1, 2, 3), least_rows: int = 500, most_targets: int | None = None) -> DataFrame:
     """Per drug and seed: r2, pearson and mse of a regression probe on the test split, sizes of the splits, ``skipped``."""
     usable = splits.first_targets(splits.usable_regression_targets(long, least_rows), most_targets)
     values = long.filter(F.col("target").isin(usable)).select(key, "target", F.col("value").cast("double").alias("class"))
-
-    def measure(rows: DataFrame) -> DataFrame:
-        return metrics.regression(probes.regressor(rows, "class").filter("split = 'test'"), ["split"], "class", "prediction")
-
-    return _probe_sweep(genomes, values, usable, key, vector, group, seeds, MIC_METRICS, measure, least_classes=1)
+    return probes.sweep(genomes, values, usable, key, vector, group, seeds, MIC_METRICS, _number, "r2", numbers=True)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions import sequence as seq
-from basalt.operators import nested, pooling
+from basalt.operators import models, nested, pooling
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -111,10 +111,10 @@ def embed_dna_genes(genomes: DataFrame, genome: str, dna: str | None = None, emb
     return every.join(pooled, [genome, "gene_idx"], "left")
 
 
-def embed_whole_genome(genomes: DataFrame, genome: str, dna: str, pooled: str, embedder: Embedder | None = None, size: int = 512, overlap: int = 32) -> DataFrame:
-    """One vector per genome from the chunks of all its contigs; a pooling must be named."""
+def embed_whole_genome(genomes: DataFrame, genome: str, dna: str, pooled: str, model: models.Model, size: int = 512, overlap: int = 32) -> DataFrame:
+    """One vector per genome from the chunks of all its contigs; a pooling must be named. Chunks that the model fails on are left out."""
     chunks = genomes.select(genome, F.posexplode(seq.chunk_genome(F.col(dna), size, overlap)).alias("chunk_idx", "text"))
-    return pooling.pool(embed_texts(chunks, "text", embedder), [genome], "embedding", pooled)
+    return pooling.pool(models.embed(chunks, "text", model).filter("skipped is null"), [genome], "embedding", pooled)
 
 
 def genes_in_context(genomes: DataFrame, keys: Sequence[str], dna: str, size: int) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions import sequence as seq
 from basalt.functions import vectors as vec
-from basalt.operators import embed, intervals, knn, metrics, nested, pooling, splits
+from basalt.operators import cells, embed, intervals, jobs, knn, metrics, models, nested, pooling, splits
 from basalt.plans import standins as st
 from basalt.plans import tasks
 from basalt.sources import genomes, tables
@@ -34,6 +35,10 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _rounded_to(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def _sql_cosine(x: str, y: str) -> str:
     return f"coalesce(list_inner_product({x}, {y}) / nullif(sqrt(list_inner_product({x}, {x})) * sqrt(list_inner_product({y}, {y})), 0), 0)"
 
@@ -384,6 +389,77 @@ def q10_dna_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("bases"), F.max(F.length("text")).alias("longest"))
 
 
+@query("select event_type, count(*) as n, round(sum(value), 4) as total, max(event_id) as last from events group by event_type")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` in files that come in two lots: totals in update mode, stopped and started again between them."""
+    events = st.table(spark, sf_dir, "events")
+    path = scratch(spark, "totals")
+    totals = {"n": F.count("*"), "total": F.sum("value"), "last": F.max("event_id")}
+    for lot in (0, 1):
+        events.filter(F.pmod("event_id", F.lit(2)) == lot).repartition(3).write.mode("append").parquet(f"{path}/in")
+        ingest.running_totals(ingest.stream(spark, f"{path}/in", events.schema, files_a_batch=2), ["event_type"], totals, f"{path}/out", f"{path}/checkpoint")
+    return _rounded_to(ingest.current_totals(spark, f"{path}/out", ["event_type"]), 4, "total")
+
+
+_LETTER_CHUNKS = """c as (select doc_id, unnest(range(0, greatest(ceil((len(s) - 512) / 480.0), 0)::bigint + 1)) as chunk, s from d where len(s) > 0),
+t as (select doc_id, substring(s, chunk * 480 + 1, 512) as text from c)"""
+
+
+@query(f"""with {st.SQL_LETTERS}, {_LETTER_CHUNKS}
+select doc_id, pos::int as pos, round(avg((len(text) - len(replace(text, letter, ''))) / len(text)), 6) as x from t, (values (0, 'A'), (1, 'C'), (2, 'G'), (3, 'T')) v(pos, letter) group by all""")
+def q10_dna_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole genomes to vectors: chunks through a model of letters, the mean of their vectors."""
+    chunks = st.letters(spark, sf_dir).withColumnRenamed("s", "dna_sequence")
+    pooled = embed.embed_whole_genome(chunks, "doc_id", "dna_sequence", "mean", models.Model("letters", lambda: embed.letter_vectors))
+    return _rounded(pooled.select("doc_id", F.posexplode("embedding").alias("pos", "x")), "x")
+
+
+@query("""select doc_id, case when text is null or len(text) = 0 then 'no_text' when len(regexp_replace(text, '[^A-Z]', '', 'g')) % 5 = 0 then 'ValueError: five' end as skipped from documents""")
+def skipped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that refuses some texts: they alone lack a vector, with the reason."""
+    d = st.table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = models.embed(d, "text", models.Model("strict", lambda: _refusing, max_seq_len=1 << 30))
+    checked = F.assert_true(F.col("embedding").isNull() == F.col("skipped").isNotNull())
+    return told.withColumn("_c", checked).select("doc_id", F.coalesce("skipped", F.col("_c").cast("string")).alias("skipped"))
+
+
+def _refusing(texts: list[str]) -> list[np.ndarray]:
+    capitals = [sum("A" <= c <= "Z" for c in t) for t in texts]
+    if any(n % 5 == 0 for n in capitals):
+        raise ValueError("five")
+    return [np.array([[n, 1.0]]) for n in capitals]
+
+
+@query("""select o_custkey % 5 as region, count(*) as n, count(distinct o_custkey) as files, round(sum(o_totalprice), 2) as total from orders group by 1""")
+def resumed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of files: a job over half of the files, then over what the manifest lacks."""
+    orders = st.table(spark, sf_dir, "orders").withColumn("file", F.concat(F.lit("part "), (F.col("o_custkey") % 5).cast("string")))
+    path = scratch(spark, "files")
+    for end in (3, None):
+        jobs.run_pending(orders, "file", None, lambda df: df.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")).withColumn("file", F.lit(None)), path, 0, end)
+    rows = spark.read.parquet(path)
+    whole = rows.groupBy((F.col("o_custkey") % 5).alias("region")).agg(F.sum("n").alias("n"), F.count("*").alias("files"), F.round(F.sum("total"), 2).alias("total"))
+    return whole
+
+
+@query("""with v as (select vec_id, embedding::double[] as v from embeddings),
+d as (select a.vec_id as i, b.vec_id as j, list_distance(a.v, b.v) as distance from v a join v b on a.vec_id <> b.vec_id),
+r as (select *, (row_number() over (partition by i order by distance, j))::int as rank from d)
+select i, j, round(distance, 6) as distance, rank from r where rank <= 5""")
+def knn_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by cells of space; exact while the table fits a few cells, as the SQL is."""
+    return _rounded(cells.nearest_in_cells(st.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5), "distance")
+
+
+@query("select count(*) as vectors, 5 * count(*) as neighbours, true as good from embeddings")
+def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by cells of 64 rows: how many there are, and whether nine in ten of the exact ones are among them."""
+    e = st.table(spark, sf_dir, "embeddings")
+    found = cells.nearest_in_cells(e, "vec_id", "embedding", 5, cell_rows=64)
+    share = cells.recall(e, found, "vec_id", "embedding", 5)
+    return found.agg(F.count_distinct("i").alias("vectors"), F.count("*").alias("neighbours"), F.lit(share >= 0.9).alias("good"))
+
+
 # Models: not expressible in SQL; tests hold their invariants.
 
 

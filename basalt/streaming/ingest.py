@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,10 +30,21 @@ def write_chunks(frame: DataFrame, path: str, checkpoint: str, rows_a_file: int,
     frame.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def running_counts(frame: DataFrame, key: str, path: str, checkpoint: str) -> None:
-    """Counts per key over all batches so far, written anew with each batch."""
+def running_totals(frame: DataFrame, keys: Sequence[str], totals: dict[str, Column], path: str, checkpoint: str) -> None:
+    """Aggregates per key over all batches so far, in update mode: each batch writes the keys it changed, with their new totals, as a
+    change of its own. A batch that is run again after a crash overwrites its change, so nothing is counted twice. ``totals``: names to
+    aggregates. Works on while files come: started again with the same ``checkpoint`` it goes on where it was."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{path}/change={epoch}")
 
-    frame.groupBy(key).count().writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    changed = frame.groupBy(*keys).agg(*(c.alias(name) for name, c in totals.items()))
+    changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def current_totals(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The state that ``running_totals`` has reached: of each key what its last change says."""
+    changes = spark.read.parquet(path)
+    values = [c for c in changes.columns if c not in (*keys, "change")]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "change").alias("_v"))
+    return last.select(*keys, "_v.*")

@@ -1,12 +1,33 @@
-"""Communities of a neighbour graph: modularity moves of nodes, then of whole communities, as rounds of joins."""
+"""Communities of neighbour graphs by modularity: local moves within parts of the graph, refinement, then the same on communities.
+
+Edges of all settings (a graph and a resolution each) are one table, so the number of jobs does not follow the settings. In a
+round the edges are cut into ranges of (setting, community, node) of about ``PART_EDGES``; a task lets the nodes of its range
+move one after the other to the neighbouring community of the largest gain, with the other ranges' nodes as they were. A node whose
+edges are cut by a border stays in that round, so no task holds more than its range. Then communities are split
+into connected parts. A graph of one range needs one round a level and its moves are exact; with more ranges up to ``ROUNDS`` rounds
+are made, and one that does not raise a setting's modularity is taken back for it. Then communities become the nodes of a smaller graph. Each
+level halves the nodes or ends, so jobs are bounded by ``ROUNDS`` times the logarithm of the nodes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.sources.tables import scratch
 
+PART_EDGES = 1 << 20
+ROUNDS = 4
+SWEEPS = 20
+LEAST_GAIN = 1e-7
+
+_MOVES = pa.schema([("setting", pa.int32()), ("node", pa.int64()), ("k", pa.float64()), ("label", pa.int64()), ("split", pa.int64()), ("moved", pa.bool_())])
+_MOVES_SCHEMA = "setting int, node long, k double, label long, split long, moved boolean"
+
 
 def fuzzy_weights(neighbours: DataFrame, k: int) -> DataFrame:
     """Symmetric weights of a neighbour table (i, j, distance, rank): smooth nearest-neighbour bandwidths by bisection, fuzzy union."""
@@ -32,81 +53,155 @@ def fuzzy_weights(neighbours: DataFrame, k: int) -> DataFrame:
 
 
 def _table(df: DataFrame) -> DataFrame:
-    """``df`` written and read again: a lost executor loses nothing, and plans of later rounds stay small (a checkpoint
-    keeps the constraints of its plan, which grow from round to round)."""
+    """``df`` written and read again: a lost executor loses nothing, and plans of later rounds stay small."""
     path = scratch(df.sparkSession, "communities")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _proposals(graph: DataFrame, state: DataFrame, resolution: float, total: float) -> tuple[DataFrame, float, float]:
-    """For each node of ``state`` (node, community, k) the community it would best move to and the gain of modularity
-    that its move alone brings; the sum of these gains; and the modularity of ``state``. A very large community is one key of the join with
-    the sizes, which adaptive execution splits."""
-    sizes = state.groupBy("community").agg(F.sum("k").alias("size"))
-    targets = state.select(F.col("node").alias("j"), "community")
-    links = graph.join(targets, "j").groupBy(F.col("i").alias("node"), "community").agg(F.sum(F.when(F.col("i") != F.col("j"), F.col("w")).otherwise(0.0)).alias("links"), F.sum("w").alias("inside"))
-    options = links.unionByName(state.select("node", "community", F.lit(0.0).alias("links"), F.lit(0.0).alias("inside")))
-    options = options.groupBy("node", "community").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside"))
-    rated = options.join(sizes, "community").join(state.select("node", F.col("community").alias("now"), "k"), "node")
-    home = F.col("community") == F.col("now")
-    value = F.col("links") - resolution * F.col("k") * (F.col("size") - F.when(home, F.col("k")).otherwise(0.0)) / total
-    at_home = lambda c: F.max(F.when(home, c))
-    best = rated.withColumn("value", value).groupBy("node", "now", "k").agg(
-        F.max_by("community", F.struct("value", -F.col("community"))).alias("best"), F.max("value").alias("top"), at_home(F.col("value")).alias("stay"), at_home(F.col("inside")).alias("inside"), at_home(F.col("size")).alias("size")
-    )
-    plan = _table(best.select("node", "now", "k", "best", ((F.col("top") - F.col("stay")) * 2 / total).alias("gain"), "inside", "size"))
-    sums = plan.agg(F.sum("inside"), F.sum(F.col("k") * F.col("size")), F.sum("gain")).first()
-    return plan, sums[2] or 0.0, (sums[0] or 0.0) / total - resolution * (sums[1] or 0.0) / total**2
-
-
-def _moved(plan: DataFrame, movers: DataFrame) -> DataFrame:
-    """The state after the moves of ``movers`` (node)."""
-    marked = plan.join(movers.select("node", F.lit(True).alias("moves")), "node", "left")
-    return marked.select("node", F.when(F.col("moves"), F.col("best")).otherwise(F.col("now")).alias("community"), "k")
-
-
-def _independent(wanting: DataFrame) -> DataFrame:
-    """Movers of which no two leave or enter one community, so that their gains add up: of each community's
-    movers the one with the largest gain, where it is so in both of its communities."""
-    claims = wanting.select("node", "gain", F.explode(F.array("now", "best")).alias("community"))
-    first = claims.groupBy("community").agg(F.max_by("node", F.struct("gain", -F.col("node"))).alias("node"))
-    return first.groupBy("node").count().filter("count = 2")
-
-
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1, least_gain: float = 1e-3) -> DataFrame:
-    """(node, community) of undirected ``edges`` (i, j, w), by modularity.
-
-    In a round half of the nodes that gain by a move (by a hash of node and round) move to their best neighbouring
-    community, ties to the smaller name. Moves of one round may hinder each other: a round that does not raise
-    modularity by ``least_gain`` is taken back, and only moves that share no community are made, whose gains add
-    up. When these bring less than ``least_gain`` too, or all moves that are left do, communities become nodes of a smaller graph and move in
-    turn, until no move of theirs counts. Modularity rises by ``least_gain`` in each round kept, so this ends without
-    a cap on rounds. Each round is a table in the folder that the session names. A community is named by one
-    of its nodes. No edges, or none of positive weight: each node is a community.
-    """
-    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    graph = _table(both.groupBy("i", "j").agg(F.sum(F.col("w").cast("double")).alias("w")))
-    total = graph.agg(F.sum("w")).first()[0] or 1.0
-    names = graph.select(F.col("i").alias("node"), F.col("i").alias("community")).distinct()
-    turn = seed
+def settled(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of one range of one setting after their moves: node, k, label, split (the smallest node of a part that came off, else
+    -1), moved. ``e``: edges, those of a node together, with both ends' communities and their sizes."""
+    first = np.flatnonzero(np.append(True, e["i"][1:] != e["i"][:-1]))
+    nodes, k = e["i"][first], e["k"][first]
+    ends = np.append(first[1:], len(e["i"]))
+    whole = ends - first == e["degree"][first]
+    names, at = np.unique(np.concatenate([e["ci"], e["cj"]]), return_inverse=True)
+    size = np.zeros(len(names))
+    size[at] = np.concatenate([e["si"], e["sj"]])
+    label, other = at[: len(e["i"])][first], at[len(e["i"]) :]
+    order = np.argsort(nodes, kind="stable")
+    place = np.minimum(np.searchsorted(nodes[order], e["j"]), len(nodes) - 1)
+    target = np.where(nodes[order][place] == e["j"], order[place], -1)
+    before = label.copy()
+    label, size, factor = label.tolist(), size.tolist(), float(e["factor"][0])
+    links_to, frozen, weight, mass = target.tolist(), other.tolist(), e["w"].tolist(), k.tolist()
+    for _ in range(SWEEPS):
+        changed = False
+        for n in range(len(nodes)):
+            if not whole[n]:
+                continue
+            links: dict[int, float] = {}
+            for x in range(first[n], ends[n]):
+                t = links_to[x]
+                if t != n:
+                    c = label[t] if t >= 0 else frozen[x]
+                    links[c] = links.get(c, 0.0) + weight[x]
+            home, rate = label[n], factor * mass[n]
+            size[home] -= mass[n]
+            best, top = home, links.get(home, 0.0) - rate * size[home] + 1e-12
+            for c in sorted(links):
+                value = links[c] - rate * size[c]
+                if value > top:
+                    best, top = c, value
+            size[best] += mass[n]
+            changed |= best != home
+            label[n] = best
+        if not changed:
+            break
+    # parts of a community without an edge to the rest of it come off
+    root = list(range(len(nodes)))
+
+    def find(n: int) -> int:
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    tied = [False] * len(nodes)
+    for n in range(len(nodes)):
+        for x in range(first[n], ends[n]):
+            t = links_to[x]
+            if t >= 0 and label[t] == label[n]:
+                a, b = find(n), find(t)
+                root[max(a, b)] = min(a, b)
+            tied[n] |= (t < 0 and frozen[x] == label[n]) or not whole[n]
+    part = np.array([find(n) for n in range(len(nodes))])
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, part, nodes)
+    held = np.zeros(len(nodes), bool)
+    np.logical_or.at(held, part, np.array(tied))
+    label = np.array(label)
+    split = np.where(held[part], -1, least[part])
+    return nodes, k, names[label], split, label != before
+
+
+def _moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]  # a range of edges
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    columns = {n: table.column(n).to_numpy() for n in table.column_names}
+    cuts = np.append(np.flatnonzero(np.append(True, columns["setting"][1:] != columns["setting"][:-1])), table.num_rows).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        node, k, label, split, moved = settled({n: c[lo:hi] for n, c in columns.items()})
+        one = np.full(len(node), columns["setting"][lo], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(node), pa.array(k), pa.array(label), pa.array(split), pa.array(moved)], schema=_MOVES)
+
+
+def _joined(graph: DataFrame, state: DataFrame) -> DataFrame:
+    """Edges with the communities of both ends and their sizes."""
+    sizes = state.groupBy("setting", "community").agg(F.sum("k").alias("size"))
+    told = state.join(sizes, ["setting", "community"])
+    left = told.select("setting", F.col("node").alias("i"), F.col("community").alias("ci"), "k", "degree", F.col("size").alias("si"))
+    right = told.select("setting", F.col("node").alias("j"), F.col("community").alias("cj"), F.col("size").alias("sj"))
+    return graph.join(left, ["setting", "i"]).join(right, ["setting", "j"])
+
+
+def _quality(graph: DataFrame, state: DataFrame) -> dict[int, float]:
+    """Modularity by setting."""
+    ends = _joined(graph, state)
+    inside = ends.groupBy("setting").agg((F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w")).otherwise(0.0)) / F.first("total")).alias("inside"), (F.first("factor") / F.first("total")).alias("rate"))
+    sizes = state.groupBy("setting", "community").agg(F.sum("k").alias("s")).groupBy("setting").agg(F.sum(F.col("s") * F.col("s")).alias("squares"))
+    return {r["setting"]: r["inside"] - r["rate"] * r["squares"] for r in inside.join(sizes, "setting").collect()}  # a row a setting
+
+
+def _round(graph: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+    """The state after a round: setting, node, community (named by its smallest node), k, degree, moved."""
+    ends = _joined(graph, state).select("setting", "ci", "i", "k", "degree", "si", "j", "cj", "sj", "w", "factor")
+    dealt = ends.repartitionByRange(parts, "setting", "ci", "i") if parts > 1 else ends.coalesce(1)
+    found = dealt.sortWithinPartitions("setting", "ci", "i", "j").mapInArrow(_moves, _MOVES_SCHEMA)
+    found = _table(found.groupBy("setting", "node").agg(F.max("k").alias("k"), F.max("label").alias("label"), F.max("split").alias("split"), F.max("moved").alias("moved")))
+    names = found.groupBy("setting", "label", "split").agg(F.min("node").alias("community"))
+    return _table(found.join(names, ["setting", "label", "split"]).join(state.select("setting", "node", "degree"), ["setting", "node"]).select("setting", "node", "community", "k", "degree", "moved"))
+
+
+def communities_of(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
+    """(setting, node, community) of undirected ``edges`` (setting, resolution, i, j, w). A community is named by its smallest node and is
+    connected. Without edges there are no nodes; a node with edges of weight 0 alone is a community."""
+    key = ["setting", "resolution"]
+    both = edges.select(F.col("setting").cast("int").alias("setting"), "resolution", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"))
+    both = _table(both.unionByName(both.select(*key, F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy(*key, "i", "j").agg(F.sum("w").alias("w")))
+    totals = both.groupBy(*key).agg(F.sum("w").alias("total")).select("setting", "total", F.try_divide("resolution", F.col("total")).alias("factor"))
+    graph = both.drop("resolution").join(F.broadcast(totals.fillna(0.0)), "setting")  # a row a setting
+    names = _table(both.select("setting", F.col("i").alias("node"), F.col("i").alias("community")).distinct())
     while True:
-        start = graph.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node"))
-        plan, hoped, quality = _proposals(graph, start, resolution, total)
+        state = _table(graph.groupBy("setting", F.col("i").alias("node")).agg(F.sum("w").alias("k"), F.count("*").alias("degree")).withColumn("community", F.col("node")))
+        parts = max(1, -(-graph.count() // part_edges))
         rose = False
-        while hoped >= least_gain:
-            wanting = plan.filter("gain > 1e-12")
-            for movers in (wanting.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0), _independent(wanting)):
-                following, more, reached = _proposals(graph, _moved(plan, movers), resolution, total)
-                if reached >= quality + least_gain:
-                    break
-            else:
+        quality = _quality(graph, state) if parts > 1 else {}
+        for _ in range(ROUNDS if parts > 1 else 1):
+            after = _round(graph, state, parts)
+            if parts == 1:
+                rose, state = bool(after.filter("moved").limit(1).count()), after
+                break
+            reached = _quality(graph, after)
+            better = [s for s, q in reached.items() if q > quality[s] + LEAST_GAIN]
+            if not better:
                 break
-            plan, hoped, quality, rose, turn = following, more, reached, True, turn + 1
+            kept = state.filter(~F.col("setting").isin(better)).select("setting", "node", "community", "k", "degree")
+            state = _table(after.filter(F.col("setting").isin(better)).drop("moved").unionByName(kept))
+            quality |= {s: reached[s] for s in better}
+            rose = True
         if not rose:
             return names
-        state = plan.select(F.col("node").alias("old"), F.col("now").alias("new"))
-        names = _table(names.join(state, names["community"] == state["old"]).select("node", F.col("new").alias("community")))
-        ends = graph.join(state.withColumnRenamed("old", "i"), "i").withColumnRenamed("new", "a").join(state.withColumnRenamed("old", "j"), "j")
-        graph = _table(ends.groupBy(F.col("a").alias("i"), F.col("new").alias("j")).agg(F.sum("w").alias("w")))
+        step = state.select("setting", F.col("node").alias("old"), F.col("community").alias("new"))
+        names = _table(names.withColumnRenamed("community", "old").join(step, ["setting", "old"]).select("setting", "node", F.col("new").alias("community")))
+        ends = graph.join(step.toDF("setting", "i", "a"), ["setting", "i"]).join(step.toDF("setting", "j", "b"), ["setting", "j"])
+        graph = _table(ends.groupBy("setting", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("w"), F.first("total").alias("total"), F.first("factor").alias("factor")))
+
 
+def communities(edges: DataFrame, resolution: float = 1.0, part_edges: int = PART_EDGES) -> DataFrame:
+    """(node, community) of one graph (i, j, w)."""
+    one = edges.select(F.lit(0).alias("setting"), F.lit(float(resolution)).alias("resolution"), "i", "j", "w")
+    return communities_of(one, part_edges).drop("setting")

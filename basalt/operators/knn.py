@@ -20,7 +20,7 @@ BLOCK_ROWS = 2048
 def _blocks(df: DataFrame, key: str, vector: str, extra: str | None = None) -> tuple[DataFrame, int]:
     count = df.count()
     n = max(1, -(-count // BLOCK_ROWS))
-    fields = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(extra) if extra else F.lit(None).cast("string")).cast("string").alias("x")]
+    fields = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(extra) if extra else F.lit(None)).cast("array<string>").alias("x")]
     blocks = df.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"), F.struct(*fields).alias("r")).groupBy("b").agg(F.collect_list("r").alias("rows"))
     return blocks, n
 
@@ -64,16 +64,26 @@ def nearest(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def cluster_distances(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """(i, ci, cj, total): for each row the sum of its distances to the rows of each cluster."""
+def distances_by_clustering(df: DataFrame, key: str, vector: str, clusters: str) -> DataFrame:
+    """(setting, i, ci, cj, total): for each row and each of several clusterings the sum of its distances to the rows of each cluster. ``clusters``:
+    array of a row's cluster in each clustering. Distances are computed once for all of them."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                (ids, a, own), (_, b, clusters) = _matrix(left), _matrix(right)
-                names, at = np.unique(np.array(clusters, str), return_inverse=True)
-                sums = distances(a, b) @ np.eye(len(names))[at]
-                yield pd.DataFrame({"i": np.repeat(ids, len(names)), "ci": np.repeat(np.array(own, str), len(names)), "cj": np.tile(names, len(ids)), "total": sums.ravel()})
+                (ids, a, own), (_, b, others) = _matrix(left), _matrix(right)
+                d, own, others = distances(a, b), np.array([list(x) for x in own], str), np.array([list(x) for x in others], str)
+                for setting in range(own.shape[1]):
+                    names, at = np.unique(others[:, setting], return_inverse=True)
+                    order = np.argsort(at, kind="stable")
+                    sums = np.add.reduceat(d[:, order], np.searchsorted(at[order], np.arange(len(names))), axis=1)
+                    yield pd.DataFrame({"setting": setting, "i": np.repeat(ids, len(names)), "ci": np.repeat(own[:, setting], len(names)), "cj": np.tile(names, len(ids)), "total": sums.ravel()})
+
+    rows = df.select(F.col(key).cast("long").alias(key), vector, clusters)
+    sums = _block_pairs(rows, key, vector, clusters).mapInPandas(task, "setting int, i long, ci string, cj string, total double")
+    return sums.groupBy("setting", "i", "ci", "cj").agg(F.sum("total").alias("total"))
 
-    sums = _block_pairs(df.select(F.col(key).cast("long").alias(key), vector, cluster), key, vector, cluster).mapInPandas(task, "i long, ci string, cj string, total double")
-    return sums.groupBy("i", "ci", "cj").agg(F.sum("total").alias("total"))
+
+def cluster_distances(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
+    """(i, ci, cj, total) of one clustering."""
+    return distances_by_clustering(df.withColumn("_c", F.array(F.col(cluster).cast("string"))), key, vector, "_c").drop("setting")

@@ -94,14 +94,14 @@ def clustering(df: DataFrame, keys: Sequence[str], label: str, cluster: str) ->
     return every.select(*keys, ari.alias("ari"), nmi.alias("nmi"))
 
 
-def silhouette(distances: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Mean silhouette ``asw``. ``distances``: (i, ci, cj, total) sums of i's distances to each cluster; ``sizes``: (c, n)."""
-    d = distances.join(sizes.select(F.col("c").alias("cj"), F.col("n").alias("nj")), "cj")
+def silhouette(distances: DataFrame, sizes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean silhouette ``asw`` by ``keys``. ``distances``: (keys, i, ci, cj, total) sums of i's distances to each cluster; ``sizes``: (keys, c, n)."""
+    d = distances.join(sizes.select(*keys, F.col("c").alias("cj"), F.col("n").alias("nj")), [*keys, "cj"])
     own = F.max(F.when(F.col("ci") == F.col("cj"), F.when(F.col("nj") > 1, F.col("total") / (F.col("nj") - 1))))
     other = F.min(F.when(F.col("ci") != F.col("cj"), F.col("total") / F.col("nj")))
-    per = d.groupBy("i").agg(own.alias("a"), other.alias("b"))
+    per = d.groupBy(*keys, "i").agg(own.alias("a"), other.alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(value).alias("asw"))
+    return per.groupBy(*keys).agg(F.avg(value).alias("asw"))
 
 
 def log_loss(label: Column, logit: Column, weight: float = 1.0) -> Column:

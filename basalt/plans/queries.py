@@ -490,8 +490,9 @@ def q5_ppi_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q6_strain_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = st.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("species"), (F.col("label") % 3).alias("genus"))
-    return tasks.strain_clustering(e, "vec_id", "embedding", ["species", "genus"], ks=(10,), resolutions=(0.5, 1.0))
+    """The whole sweep: three numbers of neighbours, four resolutions, three levels."""
+    e = st.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("species"), (F.col("label") % 3).alias("genus"), (F.col("label") % 2).alias("family"))
+    return tasks.strain_clustering(e, "vec_id", "embedding", ["species", "genus", "family"])
 
 
 def _genomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from basalt.functions import vectors as vec
 from basalt.functions.vectors import cosine, mean_pairwise_cosine
 from basalt.operators import community, gradients, intervals, knn, metrics, nested, probes, splits
-from basalt.sources.tables import ensure_checkpoint_dir
 
 
 def ppi_zero_shot(genes: DataFrame, edges: DataFrame, genome: str, threshold: float = 0.6, most_pairs: int | None = None, most_proteins: int | None = None) -> DataFrame:
@@ -121,20 +120,28 @@ def ppi_supervised(pairs: DataFrame, genome: str, hidden: int = 32, seed: int =
 
 
 def strain_clustering(vectors: DataFrame, key: str, vector: str, levels: Sequence[str], ks: Sequence[int] = (5, 10, 15), resolutions: Sequence[float] = (0.1, 0.25, 0.5, 1.0)) -> DataFrame:
-    """ari, nmi and asw for each number of neighbours, resolution and level; one clustering serves all levels."""
-    out = None
-    ensure_checkpoint_dir(vectors.sparkSession)
-    neighbours = knn.nearest(vectors, key, vector, max(ks)).checkpoint()
+    """ari, nmi and asw for each number of neighbours, resolution and level. All settings are clustered together, and one
+    clustering serves all levels."""
+    spark = vectors.sparkSession
+    neighbours = probes.written(knn.nearest(vectors, key, vector, max(ks)))
+    settings = [(n, k, float(r)) for n, (k, r) in enumerate((k, r) for k in ks for r in resolutions)]
+    told = spark.createDataFrame(settings, "setting int, k_neighbors int, resolution double")
+    graphs = None
     for k in ks:
-        weighted = community.fuzzy_weights(neighbours.filter(F.col("rank") <= k), k).checkpoint()
-        for resolution in resolutions:
-            found = community.communities(weighted, resolution)
-            rows = vectors.join(found.withColumnRenamed("node", key), key).checkpoint()
-            width = metrics.silhouette(knn.cluster_distances(rows, key, vector, "community"), rows.groupBy(F.col("community").cast("string").alias("c")).agg(F.count("*").alias("n")))
-            for level in levels:
-                part = metrics.clustering(rows, [], level, "community").crossJoin(width).select("ari", "nmi", "asw", F.lit(k).alias("k_neighbors"), F.lit(float(resolution)).alias("resolution"), F.lit(level).alias("taxa_level"))
-                out = part if out is None else out.unionByName(part)
-    return out
+        own = F.array(*(F.struct(F.lit(n).alias("setting"), F.lit(r).alias("resolution")) for n, kk, r in settings if kk == k))
+        part = community.fuzzy_weights(neighbours.filter(F.col("rank") <= k), k).select(F.inline(own), "i", "j", "w")
+        graphs = part if graphs is None else graphs.unionByName(part)
+    found = community.communities_of(graphs)
+    rows = probes.written(vectors.join(found.withColumnRenamed("node", key), key).select(key, "setting", "community", *levels))
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("setting", "community"))), lambda s: s["community"].cast("string"))
+    clustered = vectors.select(key, vector).join(found.groupBy(F.col("node").alias(key)).agg(labels.alias("clusters")), key)
+    sizes = rows.groupBy("setting", F.col("community").cast("string").alias("c")).agg(F.count("*").alias("n"))
+    width = metrics.silhouette(knn.distances_by_clustering(clustered, key, vector, "clusters"), sizes, ["setting"])
+    out = None
+    for level in levels:
+        part = metrics.clustering(rows, ["setting"], level, "community").withColumn("taxa_level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    return out.join(width, "setting").join(told, "setting").select("ari", "nmi", "asw", "k_neighbors", "resolution", "taxa_level")
 
 
 TRAIT_METRICS = ("macro_auroc", "macro_auprc", "macro_f1", "macro_recall", "accuracy")

@@ -10,7 +10,7 @@ from basalt.operators import embed, intervals, jobs, metrics, nested, pooling, p
 from basalt.plans import standins as st
 from basalt.plans import tasks
 from basalt.plans.queries import SQL, _rounded, _sql_cosine, _sql_ranking, context_windows, query
-from basalt.sources import genomes, tables
+from basalt.sources import genomes, records, tables
 
 @query(f"""with {st.SQL_INTERVALS}, x as (select contig_name, lead(s) over (partition by contig_name order by s, e) - e as gap from iv)
 select contig_name, count(gap) as n_gaps, sum(gap)::bigint as total, min(gap)::bigint as least from x group by 1""")
@@ -56,6 +56,20 @@ def q11_genbank_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("accession_id", "contig_name", "gene_name", "start1", "end1", F.col("strand").cast("int").alias("strand"), F.sha2("protein_sequence", 256).alias("protein"))
 
 
+@query(f"""with {st.SQL_LETTERS} select 'doc_' || doc_id || '.1' as contig_name, len(s)::bigint as length, sha256(s) as dna, case when len(s) >= 1 then sha256(upper(substring(s, 1, 30))) end as protein, (len(s) >= 1)::int::bigint as n_genes from d""")
+def q11_record_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` written as FASTA and as GenBank files, read by byte ranges of 256 KB, contigs joined with their genes."""
+    d = st.letters(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string"))
+    fna, gbff = tables.scratch(spark, "fna"), tables.scratch(spark, "gbff")
+    d.select(F.concat(F.lit(">doc_"), "id", F.lit(".1 letters\n"), F.regexp_replace("s", "(.{70})", "$1\n")).alias("value")).write.text(fna)
+    gene = F.concat(F.lit('     CDS             1..3\n                     /translation="'), F.upper(F.substring("s", 1, 30)), F.lit('"\n'))
+    head = F.concat(F.lit("LOCUS       doc_"), "id", F.lit("\nACCESSION   acc_"), "id", F.lit("\nVERSION     doc_"), "id", F.lit(".1\nFEATURES             Location/Qualifiers\n"))
+    d.select(F.concat(head, F.when(F.length("s") >= 1, gene).otherwise(""), F.lit("ORIGIN\n        1 "), "s", F.lit("\n//")).alias("value")).write.text(gbff)
+    contigs = genomes.contigs_of(records.genome_records(spark, fna, 1 << 18, "fna"))
+    genes = genomes.cds_of(records.genome_records(spark, gbff, 1 << 18, "gbff")).groupBy("contig_name").agg(F.count("*").alias("n_genes"), F.min(F.sha2("protein_sequence", 256)).alias("protein"))
+    return contigs.join(genes, "contig_name", "left").select("contig_name", "length", F.sha2("dna_sequence", 256).alias("dna"), "protein", F.coalesce("n_genes", F.lit(0)).alias("n_genes"))
+
+
 @query("""with r as (select o_custkey, 'f_' || o_orderkey as path, row_number() over (partition by o_custkey order by o_orderdate desc, 'f_' || o_orderkey desc) as r from orders)
 select o_custkey, path from r where r = 1""")
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:

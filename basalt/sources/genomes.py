@@ -17,9 +17,13 @@ def _qualifier(block: Column, name: str) -> Column:
 
 
 def gbff_cds(spark: SparkSession, path: str) -> DataFrame:
-    """One row per CDS with a translation of a folder of ``.gbff[.gz]``; ``start`` 0-based, ``end`` exclusive, ``start1``/``end1`` 1-based."""
-    record = F.regexp_replace("value", "\r", "")
-    rows = spark.read.option("lineSep", "\n//").text(path).select(record.alias("r")).filter(F.col("r").rlike(r"(?m)^LOCUS"))
+    """``cds_of`` a folder of ``.gbff[.gz]``."""
+    return cds_of(spark.read.option("lineSep", "\n//").text(path), "value")
+
+
+def cds_of(records: DataFrame, column: str = "record") -> DataFrame:
+    """One row per CDS with a translation of GenBank records; ``start`` 0-based, ``end`` exclusive, ``start1``/``end1`` 1-based."""
+    rows = records.select(F.regexp_replace(column, "\r", "").alias("r")).filter(F.col("r").rlike(r"(?m)^LOCUS"))
     blocks = F.regexp_extract_all("r", F.lit(r"\n     CDS\s+((?:(?!\n     \S|\n\S)[\s\S])*)"), F.lit(1))
     head = rows.select(
         F.trim(F.regexp_extract("r", r"(?m)^\s+ORGANISM\s+(.*)$", 1)).alias("strain_name"), F.nullif(F.regexp_extract("r", r"(?m)^ACCESSION\s+(\S+)", 1), F.lit("")).alias("accession_id"),
@@ -57,9 +61,13 @@ def gff_cds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """accession_id, contig_name, length and dna_sequence of each record of ``.fna[.gz]``."""
-    record = F.regexp_replace("value", "^>", "")
-    rows = spark.read.option("lineSep", "\n>").text(path).select(record.alias("r")).filter(F.length(F.trim("r")) > 0)
+    """``contigs_of`` a folder of ``.fna[.gz]``."""
+    return contigs_of(spark.read.option("lineSep", "\n>").text(path), "value")
+
+
+def contigs_of(records: DataFrame, column: str = "record") -> DataFrame:
+    """accession_id, contig_name, length and dna_sequence of FASTA records."""
+    rows = records.select(F.regexp_replace(column, "^>", "").alias("r")).filter(F.length(F.trim("r")) > 0)
     name = F.regexp_extract("r", r"^(\S*)", 1)
     dna = F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "")
     return rows.select(name.alias("accession_id"), name.alias("contig_name"), F.length(dna).cast("long").alias("length"), dna.alias("dna_sequence"))

@@ -1,9 +1,10 @@
-"""A data source of genome records: plain files are cut into byte ranges, filters reach the files.
+"""A data source of genome records: plain files are cut into byte ranges, and contigs are chosen where they are read.
 
 A partition is a list of ranges of about ``range_bytes`` in all: a large file is read by many tasks, many small files by one.
 A record belongs to the range in which its first line begins, and is read on past the range's end. Gzipped files can't
-be cut and are one range each. ``file_type`` and ``file`` filters drop ranges before anything is read; a ``contig_name``
-filter drops a record at its head, so its letters are neither held nor sent to the JVM.
+be cut and are one range each. The option ``file_type`` drops files before anything is read; ``contigs`` drops a record
+at its head, so its letters are neither held nor sent to the JVM. Both are options, and filters of a DataFrame stay with
+Spark: a Python source keeps what was last pushed to it for all queries of one frame, which would lose their rows.
 
 Defined cases: text before a file's first record belongs to none; a record without a name has the name ``""``; a file
 without records and a folder without genome files give no rows; bytes that aren't UTF-8 become U+FFFD; a record of 2 GB
@@ -13,6 +14,7 @@ or more raises an error that names its place. Hidden files (``_`` and ``.`` firs
 from __future__ import annotations
 
 import gzip
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
@@ -20,7 +22,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file string, file_type string, offset long, contig_name string, record string"
 RANGE_BYTES = 64 << 20
@@ -34,8 +36,8 @@ NAMES = {"fna": re.compile(rb"^>(\S*)"), "gbff": re.compile(rb"^VERSION[ \t]+(\S
 
 
 def file_type_of(path: str) -> str | None:
-    """``fna`` or ``gbff``, by the end of a file's name; none for other files."""
-    found = re.search(r"\.(fna|gbff)(\.gz)?$", path)
+    """``fna``, ``gbff`` or ``gff``, by the end of a file's name; none for other files."""
+    found = re.search(r"\.(fna|gbff|gff)(\.gz)?$", path)
     return found and found.group(1)
 
 
@@ -120,29 +122,25 @@ class _Ranges(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, range_bytes: int, file_type: str | None) -> None:
+    def __init__(self, path: str, range_bytes: int, file_type: str | None, contigs: list[str] | None) -> None:
         if file_type is not None and file_type not in MARKS:
             raise ValueError(f"file_type must be one of {', '.join(MARKS)}")
         self.path, self.range_bytes, self.file_type = path, range_bytes, file_type
-        self.only: dict[str, set[str]] = {}
+        self.contigs = None if contigs is None else frozenset(contigs)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and lists of values of a file, its type and a contig; all others stay with Spark."""
-        for f in filters:
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is None or len(f.attribute) > 1 or f.attribute[0] not in ("file", "file_type", "contig_name"):
-                yield f
-            else:
-                self.only[f.attribute[0]] = self.only.get(f.attribute[0], values) & values
+    def _kind(self, path: str) -> str | None:
+        """The type of a file that is to be read."""
+        kind = file_type_of(path) or self.file_type
+        return kind if kind in MARKS and self.file_type in (None, kind) else None
 
-    def _takes(self, column: str, value: str) -> bool:
-        return column not in self.only or value in self.only[column]
+    def _wanted(self, contig: str) -> bool:
+        return self.contigs is None or contig in self.contigs
 
     def partitions(self) -> list[InputPartition]:
         where, folder = _opened(self.path)
         info = where.get_file_info(folder)
         found = [info] if info.is_file else where.get_file_info(fs.FileSelector(folder, recursive=True))
-        files = [(f.path, f.size) for f in found if f.is_file and f.base_name[0] not in "_." and (kind := self.file_type or file_type_of(f.base_name)) and self._takes("file_type", kind) and self._takes("file", f.path)]
+        files = [(f.path, f.size) for f in found if f.is_file and f.base_name[0] not in "_." and self._kind(f.base_name)]
         return [_Ranges(r) for r in ranges_of(files, self.range_bytes)] or [_Ranges([])]
 
     def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
@@ -150,10 +148,10 @@ class _Reader(DataSourceReader):
         rows: list[tuple] = []
         held = 0
         for path, lo, hi in partition.ranges:
-            kind = self.file_type or file_type_of(path)
+            kind = self._kind(path)
             with where.open_input_file(path) as file:
                 stream = gzip.GzipFile(fileobj=file) if path.endswith(".gz") else file
-                for offset, name, record in records_of(stream, kind, lo, hi, lambda name: self._takes("contig_name", name)):
+                for offset, name, record in records_of(stream, kind, lo, hi, self._wanted):
                     if rows and held + len(record) > BATCH_BYTES:
                         yield _batch(rows)
                         rows, held = [], 0
@@ -171,7 +169,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class GenomeRecords(DataSource):
-    """``spark.read.format("genome_records").option("range_bytes", n).load(path)``."""
+    """``spark.read.format("genome_records").option("range_bytes", n).load(path)``; ``contigs`` is a JSON list."""
 
     @classmethod
     def name(cls) -> str:
@@ -181,13 +179,14 @@ class GenomeRecords(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), self.options.get("file_type"))
+        contigs = self.options.get("contigs")
+        return _Reader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), self.options.get("file_type"), None if contigs is None else json.loads(contigs))
 
 
-def genome_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, file_type: str | None = None) -> DataFrame:
-    """Records of the ``.fna[.gz]`` and ``.gbff[.gz]`` files below ``path``, or with a ``file_type`` of all its files: file,
-    file_type, offset (of the first byte, in a gzipped file of the unpacked text), contig_name, record."""
+def genome_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, file_type: str | None = None, contigs: list[str] | None = None) -> DataFrame:
+    """Records of the ``.fna[.gz]`` and ``.gbff[.gz]`` files below ``path``: file, file_type, offset (of the first byte, in a
+    gzipped file of the unpacked text), contig_name, record. With a ``file_type`` only files of that type, to which files
+    count whose name tells none; with ``contigs`` only theirs."""
     spark.dataSource.register(GenomeRecords)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    source = spark.read.format("genome_records").option("range_bytes", str(range_bytes))
-    return (source.option("file_type", file_type) if file_type else source).load(path)
+    options = {"range_bytes": str(range_bytes)} | ({"file_type": file_type} if file_type else {}) | ({"contigs": json.dumps(contigs)} if contigs is not None else {})
+    return spark.read.format("genome_records").options(**options).load(path)

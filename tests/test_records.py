@@ -6,11 +6,13 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from basalt.sources import genomes, records
 
 
+GFF = "c3\tx\tCDS\t1\t9\t.\t+\t0\tlocus_tag=L\n"
+
+
 def _fasta(rng: random.Random, n: int, newline: str = "\n") -> str:
     """Records of very unlike lengths, with > within headers and letters."""
     lines = []
@@ -78,18 +80,29 @@ def test_source_reads_what_the_readers_read(spark, tmp_path):
     assert cds.count() == 60 and key(cds.collect()) == key(genomes.gbff_cds(spark, str(tmp_path / "c.gbff")).collect())
 
 
-def test_filters_reach_the_files(spark, tmp_path):
+def test_types_and_contigs_are_chosen_where_they_are_read(spark, tmp_path):
     (tmp_path / "a.fna").write_text(_fasta(random.Random(3), 200))
     (tmp_path / "c.gbff").write_text("".join(_genbank(i, 1) for i in range(20)))
-    df = records.genome_records(spark, str(tmp_path), 2_000)
-    every = df.rdd.getNumPartitions()
-    only = df.filter("file_type = 'gbff'")
-    assert only.count() == 20 and only.rdd.getNumPartitions() < every
-    some = df.filter(F.col("contig_name").isin("c3", "c150", "X4.1", "none"))
-    assert sorted(r["contig_name"] for r in some.collect()) == ["X4.1", "c150", "c3"]
-    assert "Filter" not in some._jdf.queryExecution().executedPlan().toString().replace("PushedFilters", "").replace("RuntimeFilters", "")
-    both = df.filter("contig_name = 'c3' and file_type = 'gbff'")
-    assert both.count() == 0 and df.filter("contig_name = 'c3' and offset < 0").count() == 0 and df.filter("contig_name like 'c1_'").count() == 10
+    (tmp_path / "d.gff").write_text(GFF)
+    every = records.genome_records(spark, str(tmp_path), 2_000)
+    only = records.genome_records(spark, str(tmp_path), 2_000, file_type="gbff")
+    assert only.count() == 20 and only.rdd.getNumPartitions() < every.rdd.getNumPartitions()
+    names = lambda **which: sorted(r["contig_name"] for r in records.genome_records(spark, str(tmp_path), 2_000, **which).collect())
+    assert names(contigs=["c3", "c150", "X4.1", "none"]) == ["X4.1", "c150", "c3"]
+    assert names(contigs=["c3", "X4.1"], file_type="gbff") == ["X4.1"]
+    assert names(contigs=[]) == []
+
+
+def test_one_frame_in_several_queries(spark, tmp_path):
+    """Filters of one query don't reach another query of the same frame, nor the other side of a join."""
+    (tmp_path / "a.fna").write_text(_fasta(random.Random(4), 50))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = records.genome_records(spark, str(tmp_path), 500)
+        assert df.filter("contig_name = 'c3'").count() == 1 and df.count() == 50
+        assert df.filter("contig_name <> 'c3'").join(df.filter("contig_name = 'c3'").select("file"), "file").count() == 49
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_a_type_for_files_of_any_name(spark, tmp_path):

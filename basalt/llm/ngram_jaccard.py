@@ -21,7 +21,10 @@ Shingles of a ``sketch.HOT_PART`` of all occurrences are dealt out in that shuff
 Documents with equal sets are one class, joined by its smallest doc_id. In an index entry, each member is
 first verified against one pivot; only members that are then in different components, and that pass the size
 and position bounds, are paired. Pairs within a component can't change the components, so no link that
-matters is lost and copies are never expanded into all pairs.
+matters is lost and copies are never expanded into all pairs. A pair is made only if its marks allow a link: each
+document has ``MARKS`` longs of bits, the parities of the numbers of its shingles in as many buckets. Where two
+documents' bits differ, one has a shingle more in that bucket, so the differing bits never outnumber the shingles that
+only one of them has: the marks bound the intersection from above, and no link is lost.
 
 Defined cases: null and empty texts have no shingles and link with nothing; a text of fewer words than a
 shingle is one shingle of all its words; repeated rows share their component; a null doc_id takes the
@@ -52,6 +55,9 @@ BYTES_A_SHINGLE = 6
 #: Parts into which the occurrences of a hot shingle are dealt.
 PARTS = 64
 _GROUP_SALT = np.uint64(0x589965CC75374CC3)
+#: Longs of a document's marks: 512 parities tell unlike sets of up to some 900 shingles apart; longer ones go on to verification.
+MARKS = 8
+_MARK_SALT = np.uint64(0x1D8E4E27C47D124F)
 
 
 def _least_shared(n, percent: int):
@@ -122,12 +128,19 @@ def _occurrences(lookup, k: int, percent: int):
     return task
 
 
-_SHARED = "rid long, doc_id long, n long, kept int, rare int, twos int, tokens binary"
+_SHARED = "rid long, doc_id long, n long, kept int, rare int, twos int, marks array<long>, tokens binary"
+
+
+def marks_of(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of ``tokens`` in each of ``64 * MARKS`` buckets, as bits of longs."""
+    bucket = (mix(tokens ^ _MARK_SALT) % np.uint64(64 * MARKS)).astype(np.int64)
+    odd = np.bincount(bucket, minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _ordered(percent: int):
     """Shared shingles of each document in the global order; documents with too few of them go."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("kept", pa.int32()), ("rare", pa.int32()), ("twos", pa.int32()), ("tokens", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("kept", pa.int32()), ("rare", pa.int32()), ("twos", pa.int32()), ("marks", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +154,7 @@ def _ordered(percent: int):
                 if len(x) < _least_shared(n, percent):
                     continue
                 rare, twos = (int((level < c.bit_length() - 1).sum()) for c in (PAIRS, TRIPLES))
-                for name, value in zip(schema.names, (rid, doc, n, len(x), rare, twos, x[np.lexsort((x, level))].tobytes()), strict=True):
+                for name, value in zip(schema.names, (rid, doc, n, len(x), rare, twos, marks_of(x), x[np.lexsort((x, level))].tobytes()), strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
@@ -309,12 +322,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = materialize(verified(star), "links")
     found = materialize(components(links), "components")
 
-    known = shared.select("rid", F.col("doc_id").alias("id")).join(found, "id", "left").select("rid", F.coalesce("component", "id").alias("component"))
-    named = index.select("sig", "rid", "n", "room").join(known, "rid")
+    known = shared.select("rid", F.col("doc_id").alias("id"), F.col("n").alias("size"), "kept", "marks").join(found, "id", "left").select("rid", "size", "kept", "marks", F.coalesce("component", "id").alias("component"))
+    named = index.select("sig", "rid", "n", "room").join(known.select("rid", "component"), "rid")
     split = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("sig", "members")
     named = materialize(join_classes(named, materialize(split, "split"), ["sig"], "members").drop("members"), "open")
-    other = named.select("sig", F.col("rid").alias("b"), F.col("n").alias("bn"), F.col("room").alias("broom"), F.col("component").alias("bc"))
-    rest = named.join(other, "sig").filter("rid < b and component <> bc").filter(fits("n", "bn", "room", "broom")).select(F.col("rid").alias("a"), "b").distinct()
+    named = named.join(known.drop("component"), "rid")
+    other = named.select("sig", *(F.col(c).alias("b" + c) for c in named.columns if c not in ("sig", "rid", "component")), F.col("rid").alias("b"), F.col("component").alias("bc"))
+    apart = " + ".join(f"bit_count(marks[{i}] ^ bmarks[{i}])" for i in range(MARKS))
+    alike = f"(kept + bkept - ({apart})) * {100 + percent} >= {2 * percent} * (size + bsize)"
+    rest = named.join(other, "sig").filter("rid < b and component <> bc").filter(fits("n", "bn", "room", "broom")).filter(alike).select(F.col("rid").alias("a"), "b").distinct()
     more = materialize(verified(rest.join(star, ["a", "b"], "left_anti")), "links")
     if not more.isEmpty():
         found = materialize(components(found.select("id", "component").union(more)), "components")

@@ -188,6 +188,30 @@ def test_combinations_lose_no_pair():
         assert len(np.intersect1d(*sigs)), trial
 
 
+def test_marks_bound_the_intersection():
+    """Marks never allow less than two sets share, and tell unlike sets of some hundred shingles apart."""
+    rng = np.random.default_rng(18)
+    for size in (1, 5, 60, 300, 900, 4000):
+        for _ in range(40):
+            universe = rng.integers(0, 1 << 63, 3 * size).astype(np.uint64)
+            x, y = (universe[rng.permutation(3 * size)[: int(rng.integers(1, size + 1))]] for _ in range(2))
+            apart = sum(int(v).bit_count() for v in (ngram_jaccard.marks_of(x) ^ ngram_jaccard.marks_of(y)).view(np.uint64))
+            assert (len(x) + len(y) - apart) // 2 >= len(np.intersect1d(x, y))
+    x, y = (rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(2))
+    apart = sum(int(v).bit_count() for v in (ngram_jaccard.marks_of(x) ^ ngram_jaccard.marks_of(y)).view(np.uint64))
+    assert (800 - apart) * 175 < 150 * 800
+
+
+def test_jaccard_of_unlinked_documents_that_share_a_rare_passage(spark):
+    """Many documents with one passage in common and nothing else, some with near copies: entries of many components."""
+    rng = np.random.default_rng(19)
+    passage = h.text_of(rng, 40)
+    docs = [h.text_of(rng, int(n)) + " " + passage for n in rng.integers(20, 200, 120)]
+    docs += [h.edited(rng, docs[int(i)], 2) for i in rng.integers(0, 120, 40)]
+    docs = list(enumerate(docs))
+    assert _by_hand(spark, docs, 5) == h.components(docs)
+
+
 def test_jaccard_of_long_near_copies(spark):
     rng = np.random.default_rng(18)
     base, long = h.text_of(rng, 2000), h.text_of(rng, 20_000)

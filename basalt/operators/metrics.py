@@ -43,7 +43,9 @@ def regression(df: DataFrame, keys: Sequence[str], truth: str, guess: str) -> Da
     """r2 and pearson per key (null for a constant truth, pearson also for a constant guess), mse and n."""
     y, p = F.col(truth).cast("double"), F.col(guess).cast("double")
     r2 = 1 - F.try_divide(F.sum((y - p) * (y - p)), F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0)))
-    return df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull()).groupBy(*keys).agg(r2.alias("r2"), F.corr(truth, guess).alias("pearson"), F.avg((y - p) * (y - p)).alias("mse"), F.count("*").alias("n"))
+    # not F.corr: it divides by zero for a constant side
+    pearson = F.try_divide(F.covar_pop(y, p), F.sqrt(F.var_pop(y)) * F.sqrt(F.var_pop(p)))
+    return df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull()).groupBy(*keys).agg(r2.alias("r2"), pearson.alias("pearson"), F.avg((y - p) * (y - p)).alias("mse"), F.count("*").alias("n"))
 
 
 def multiclass(df: DataFrame, keys: Sequence[str], label: str, guess: str) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda over elements it would be computed for each of them."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -22,8 +29,7 @@ def cosine(x: Column, y: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """L2-normalised; a zero vector stays zero."""
-    length = norm(x)
-    return F.transform(x, lambda v: F.when(length == 0, 0.0).otherwise(v.cast("double") / length))
+    return bound(norm(x), lambda length: F.transform(x, lambda v: F.when(length == 0, 0.0).otherwise(v.cast("double") / length)))
 
 
 def euclidean(x: Column, y: Column) -> Column:
@@ -32,10 +38,13 @@ def euclidean(x: Column, y: Column) -> Column:
 
 def layer_norm(x: Column, epsilon: float = 1e-5) -> Column:
     """(x - mean) / sqrt(population variance + epsilon)."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")) / n
-    variance = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v.cast("double") - mean, 2)) / n
-    return F.transform(x, lambda v: (v.cast("double") - mean) / F.sqrt(variance + epsilon))
+    n = F.nullif(F.size(x), F.lit(0))
+    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+
+    def spread(mean: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v.cast("double") - mean, 2)) / n
+
+    return bound(total / n, lambda mean: bound(F.sqrt(spread(mean) + epsilon), lambda scale: F.transform(x, lambda v: (v.cast("double") - mean) / scale)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -43,9 +52,11 @@ def sigmoid(x: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v.cast("double") - top))
-    return F.transform(x, lambda v: F.exp(v.cast("double") - top) / total)
+    def shares(top: Column) -> Column:
+        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v.cast("double") - top))
+        return bound(total, lambda t: F.transform(x, lambda v: F.exp(v.cast("double") - top) / t))
+
+    return bound(F.array_max(x), shares)
 
 
 def argmax(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from basalt.functions import vectors as vec
 from basalt.operators import metrics
 
 
@@ -13,3 +14,16 @@ def test_pearson_of_constants_is_null(spark):
     got = {r["k"]: r for r in metrics.regression(spark.createDataFrame(rows, "k string, y double, p double"), ["k"], "y", "p").collect()}
     assert [got[k]["pearson"] for k in ("guess", "truth", "one")] == [None, None, None]
     assert got["line"]["pearson"] == pytest.approx(1.0) and got["guess"]["r2"] == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("function", [vec.unit, vec.layer_norm, vec.softmax])
+def test_vector_functions_compute_their_sums_once(spark, function):
+    """Sums inside the lambda over elements are sums for each element: 2,000 elements then take minutes."""
+    df = spark.createDataFrame([([],), (None,), ([0.0, 0.0],), ([1.0, None],), ([3.0, 4.0],), ([float(i % 7) for i in range(2000)],)], "v array<double>")
+    got = [r["x"] for r in df.select(function(F.col("v")).alias("x")).collect()]
+    assert got[:4] == [[], None, {"softmax": [0.5, 0.5]}.get(function.__name__, [0.0, 0.0]), [None, None]]
+    assert len(got[5]) == 2000
+    plan = df.select(function(F.col("v")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    sums = plan.count("aggregate(")
+    nested = plan[plan.rindex("transform(") :].count("aggregate(")
+    assert sums and not nested

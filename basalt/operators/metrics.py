@@ -101,7 +101,11 @@ def silhouette(distances: DataFrame, sizes: DataFrame, keys: Sequence[str] = ())
     d = distances.join(sizes.select(*keys, F.col("c").alias("cj"), F.col("n").alias("nj")), [*keys, "cj"])
     own = F.max(F.when(F.col("ci") == F.col("cj"), F.when(F.col("nj") > 1, F.col("total") / (F.col("nj") - 1))))
     other = F.min(F.when(F.col("ci") != F.col("cj"), F.col("total") / F.col("nj")))
-    per = d.groupBy(*keys, "i").agg(own.alias("a"), other.alias("b"))
+    return mean_silhouette(d.groupBy(*keys, "i").agg(own.alias("a"), other.alias("b")), keys)
+
+
+def mean_silhouette(per: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``asw`` by ``keys`` of (keys, i, a, b): the mean distance to the own cluster, and to the nearest other one."""
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.groupBy(*keys).agg(F.avg(value).alias("asw"))
 

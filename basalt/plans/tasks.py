@@ -135,8 +135,7 @@ def strain_clustering(vectors: DataFrame, key: str, vector: str, levels: Sequenc
     rows = probes.written(vectors.join(found.withColumnRenamed("node", key), key).select(key, "setting", "community", *levels))
     labels = F.transform(F.array_sort(F.collect_list(F.struct("setting", "community"))), lambda s: s["community"].cast("string"))
     clustered = vectors.select(key, vector).join(found.groupBy(F.col("node").alias(key)).agg(labels.alias("clusters")), key)
-    sizes = rows.groupBy("setting", F.col("community").cast("string").alias("c")).agg(F.count("*").alias("n"))
-    width = metrics.silhouette(knn.distances_by_clustering(clustered, key, vector, "clusters"), sizes, ["setting"])
+    width = metrics.mean_silhouette(knn.cluster_nearness(clustered, key, vector, "clusters"), ["setting"])
     out = None
     for level in levels:
         part = metrics.clustering(rows, ["setting"], level, "community").withColumn("taxa_level", F.lit(level))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import vectors as vec
-from basalt.operators import metrics
+from basalt.operators import knn, metrics
 
 
 def test_pearson_of_constants_is_null(spark):
@@ -27,3 +28,44 @@ def test_vector_functions_compute_their_sums_once(spark, function):
     sums = plan.count("aggregate(")
     nested = plan[plan.rindex("transform(") :].count("aggregate(")
     assert sums and not nested
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Unlike vectors, two of them a hundred times more, one huge, one null."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 8))
+    v[600:700], v[700:800], v[899] = v[0], v[1], 1e20
+    df = spark.createDataFrame([(i * 3, x.tolist(), [str(i % 5), "one", str(i)]) for i, x in enumerate(v)] + [(9999, None, ["0", "one", "x"])], "id long, v array<double>, c array<string>")
+    return v, df
+
+
+def test_neighbours_of_copies_in_many_blocks(copies, monkeypatch):
+    v, df = copies
+    monkeypatch.setattr(knn, "LEAST_ROWS", 40)
+    monkeypatch.setattr(knn, "BLOCKS", 7)
+    got = {}
+    for r in knn.nearest(df, "id", "v", 6).collect():
+        got.setdefault(r["i"], {})[r["rank"]] = (r["distance"], r["j"])
+    for i, x in enumerate(v):
+        d = np.sqrt(((v - x) ** 2).sum(1))
+        want = sorted((d[j], 3 * j) for j in range(len(v)) if j != i)[:6]
+        assert [got[3 * i][k] for k in range(1, 7)] == want, i
+
+
+def test_silhouettes_in_many_blocks(copies, monkeypatch):
+    _, df = copies
+    monkeypatch.setattr(knn, "LEAST_ROWS", 40)
+    monkeypatch.setattr(knn, "BLOCKS", 7)
+    df = df.filter("id < 2690")
+    got = {(r["setting"], r["i"]): (r["a"], r["b"]) for r in knn.cluster_nearness(df, "id", "v", "c").collect()}
+    rows = df.orderBy("id").collect()
+    v, c = np.array([r["v"] for r in rows]), np.array([r["c"] for r in rows])
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    for n in (0, 5, 650, 701):
+        own = c[n, 0]
+        a = d[n, c[:, 0] == own].sum() / ((c[:, 0] == own).sum() - 1)
+        b = min(d[n, c[:, 0] == other].mean() for other in "01234" if other != own)
+        assert got[0, 3 * n] == pytest.approx((a, b))
+        assert got[1, 3 * n] == (pytest.approx(d[n].sum() / (len(v) - 1)), None)
+        assert got[2, 3 * n] == (None, pytest.approx(np.delete(d[n], n).min()))

@@ -1,12 +1,12 @@
 """Batch embedding: text preparation, a pluggable embedder, pooling.
 
 An embedder is a function from a list of texts to a list of float vectors; it runs in Arrow batches of texts
-sorted by length within a partition. The default needs no weights: hashed k-mer frequencies, by column
-expressions alone.
+sorted by length within a partition. The default needs no weights: hashed k-mer frequencies.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -33,11 +33,26 @@ def preparation(model: str) -> Callable[[Column], Column]:
 
 
 def kmer_vector(text: Column, k: int = 3, dimension: int = 16) -> Column:
-    """Frequencies of hashed k-mers; a zero vector for a text shorter than ``k``."""
-    n = F.length(text)
-    kmers = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.pmod(F.crc32(F.substring(text.cast("binary"), i, k)), F.lit(dimension)))).otherwise(F.array().cast("array<bigint>"))
-    count = lambda d: F.size(F.filter(kmers, lambda x: x == d)) / F.greatest(F.size(kmers), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: count(d).cast("double"))
+    """Frequencies of hashed k-mers (crc32 of ``k`` bytes); a zero vector for a text shorter than ``k``. A text has as many k-mers as characters
+    allow. For ``k`` bytes a crc32 is a constant and a term of each byte, so all k-mers of a text are hashed by ``k`` look-ups."""
+    none = zlib.crc32(bytes(k))
+    terms = [np.array([zlib.crc32(bytes(i) + bytes([b]) + bytes(k - 1 - i)) ^ none for b in range(256)], np.uint32) for i in range(k)]
+
+    def frequencies(value: str | None) -> np.ndarray:
+        data = np.frombuffer((value or "").encode(), np.uint8)
+        n = int(np.count_nonzero((data & 0xC0) != 0x80)) - k + 1
+        if n < 1:
+            return np.zeros(dimension)
+        hashed = np.full(n, none, np.uint32)
+        for i, term in enumerate(terms):
+            hashed ^= term[data[i : i + n]]
+        return np.bincount(hashed % np.uint32(dimension), minlength=dimension) / n
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([frequencies(t) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def embed_texts(df: DataFrame, text: str, embedder: Embedder | None = None, name: str = "embedding", batch: int = 64) -> DataFrame:

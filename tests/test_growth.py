@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import vectors as vec
-from basalt.operators import knn, metrics
+from basalt.operators import embed, knn, metrics
 
 
 def test_pearson_of_constants_is_null(spark):
@@ -69,3 +72,17 @@ def test_silhouettes_in_many_blocks(copies, monkeypatch):
         assert got[0, 3 * n] == pytest.approx((a, b))
         assert got[1, 3 * n] == (pytest.approx(d[n].sum() / (len(v) - 1)), None)
         assert got[2, 3 * n] == (None, pytest.approx(np.delete(d[n], n).min()))
+
+
+def test_kmers_of_a_long_text(spark):
+    """Fourteen million letters: hashing each k-mer once for each dimension, in interpreted lambdas, took minutes."""
+    texts = ["ACGTTGCA" * 1_800_000, "", None, "ab", "äöüabcé", "abc"]
+    began = time.perf_counter()
+    got = [list(r["x"]) for r in spark.createDataFrame([(t,) for t in texts], "text string").select(embed.kmer_vector(F.col("text")).alias("x")).collect()]
+    assert time.perf_counter() - began < 60
+    for text, x in zip(texts, got, strict=True):
+        data = (text or "").encode()
+        n = len(text or "") - 2
+        kmers = [zlib.crc32(data[i : i + 3]) % 16 for i in range(min(max(n, 0), 800))]
+        want = np.bincount(kmers, minlength=16) / max(len(kmers), 1) if kmers else np.zeros(16)
+        assert x == pytest.approx(want.tolist(), abs=1e-3 if n > 800 else 1e-12)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -78,11 +79,11 @@ TokenEmbedder = Callable[[list[str]], list[np.ndarray]]
 def letter_vectors(texts: list[str], alphabet: str = "ACGT") -> list[np.ndarray]:
     """Token vectors without a model: a place for each letter of ``alphabet``; other letters are zero. Strand marks are one token."""
     known = np.frombuffer(alphabet.encode(), np.uint8)
-    out = []
-    for text in texts:
-        tokens = np.frombuffer(text.replace("<+>", "+").replace("<->", "-").encode("ascii", "replace"), np.uint8)
-        out.append((tokens[:, None] == known).astype(np.float64))
-    return out
+    marked = [text.replace("<+>", "+").replace("<->", "-") for text in texts]
+    tokens = np.frombuffer("".join(marked).encode("ascii", "replace"), np.uint8)  # a byte a character
+    found = (tokens[:, None] == known).astype(np.float64)
+    ends = list(accumulate(map(len, marked), initial=0))
+    return [found[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def embed_masked(df: DataFrame, text: str, tokens: TokenEmbedder = letter_vectors, name: str = "embedding", batch: int = 64) -> DataFrame:

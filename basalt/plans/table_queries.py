@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.functions import sequence as seq
 from basalt.functions import vectors as vec
 from basalt.operators import embed, intervals, jobs, metrics, nested, pooling, probes, splits
 from basalt.plans import standins as st
@@ -205,8 +206,10 @@ def genes_in_mixed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain Python."""
     d = st.letters(spark, sf_dir)
     strand = F.when(F.col("i") % 2 == 0, 1).otherwise(-1)
-    genes = d.filter("length(s) >= 60").select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.expr("int((length(s) - 60) div 40)"))).alias("i"))
-    genes = genes.select("doc_id", F.col("i").alias("gene_idx"), (11 + 40 * F.col("i")).alias("start"), (35 + 40 * F.col("i")).alias("end"), strand.alias("strand"), F.expr("substring(s, 11 + 40 * i, 25)").alias("protein_sequence"))
+    places = F.sequence(F.lit(0), F.expr("int((length(s) - 60) div 40)"))
+    proteins = vec.bound(F.col("s").cast("binary"), lambda s: F.transform(places, lambda i: seq.slice_dna(s, 11 + 40 * i, F.lit(25))))
+    genes = d.filter("length(s) >= 60").select("doc_id", F.posexplode(proteins).alias("i", "protein_sequence"))
+    genes = genes.select("doc_id", F.col("i").alias("gene_idx"), (11 + 40 * F.col("i")).alias("start"), (35 + 40 * F.col("i")).alias("end"), strand.alias("strand"), "protein_sequence")
     contigs = d.select("doc_id", F.expr("doc_id div 8").alias("strain"), F.col("s").alias("dna_sequence"))
     vectors = jobs.genes_in_mixed(genes, contigs, "doc_id", 128)
     strains = jobs.by_strain(contigs, vectors, "strain", "doc_id")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import vectors as vec
-from basalt.operators import embed, knn, metrics
+from basalt.operators import embed, knn, metrics, mixed_context
 
 
 def test_pearson_of_constants_is_null(spark):
@@ -86,3 +86,24 @@ def test_kmers_of_a_long_text(spark):
         kmers = [zlib.crc32(data[i : i + 3]) % 16 for i in range(min(max(n, 0), 800))]
         want = np.bincount(kmers, minlength=16) / max(len(kmers), 1) if kmers else np.zeros(16)
         assert x == pytest.approx(want.tolist(), abs=1e-3 if n > 800 else 1e-12)
+
+
+def test_windows_of_contigs_in_short_batches(spark):
+    """Contigs that go over several Arrow batches, many of them, give the windows of each alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        genes = [(f"c{c}", 11 + 40 * i, 35 + 40 * i, i, 1 if i % 2 else -1, "MKVLAA"[i % 3 :]) for c in range(9) for i in range(c)]
+        contigs = [(f"c{c}", "ACGT" * (5 + 10 * c)) for c in range(9)]
+        g = spark.createDataFrame(genes, "contig_name string, start long, end long, gene_idx long, strand int, protein_sequence string")
+        elements = mixed_context.mixed_elements(g, spark.createDataFrame(contigs, "contig_name string, dna_sequence string"))
+        got = {(r["contig_name"], r["gene_idx"]): r for r in mixed_context.genes_in_mixed_context(elements, 40).collect()}
+        assert len(got) == len(genes)
+        rows = elements.collect()
+        for c in range(1, 9):
+            own = sorted((r for r in rows if r["contig_name"] == f"c{c}"), key=lambda r: r["element_idx"])
+            for idx, text, start, length in mixed_context._windows([r["mark"] for r in own], [r["seq"] for r in own], [r["gene_idx"] for r in own], 40):
+                r = got[f"c{c}", idx]
+                assert (r["text"], r["mask_start"], r["mask_length"]) == (text, start, length)
+                assert len(text.replace("<+>", "+").replace("<->", "-")) == 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

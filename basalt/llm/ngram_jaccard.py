@@ -26,6 +26,9 @@ document has ``MARKS`` longs of bits, the parities of the numbers of its shingle
 documents' bits differ, one has a shingle more in that bucket, so the differing bits never outnumber the shingles that
 only one of them has: the marks bound the intersection from above, and no link is lost.
 
+Near copies meet in nearly all of their entries. So documents that entries of ``LARGE`` members join are one cluster, and where
+a cluster has fewer pairs than its entries together have, its pairs are made once, by tiles of the cluster, and not entry by entry.
+
 Defined cases: null and empty texts have no shingles and link with nothing; a text of fewer words than a
 shingle is one shingle of all its words; repeated rows share their component; a null doc_id takes the
 component of its class but is never one; other columns are ignored; an empty table gives an empty result.
@@ -54,6 +57,10 @@ GROUP = 128
 BYTES_A_SHINGLE = 6
 #: Parts into which the occurrences of a hot shingle are dealt.
 PARTS = 64
+#: Members from which an entry is large.
+LARGE = 256
+#: Documents of a cluster in one tile, and the most tiles of a cluster; with more documents tiles grow.
+TILE, TILES = 256, 64
 _GROUP_SALT = np.uint64(0x589965CC75374CC3)
 #: Longs of a document's marks: 512 parities tell unlike sets of up to some 900 shingles apart; longer ones go on to verification.
 MARKS = 8
@@ -290,6 +297,17 @@ def shared_shingles(texts: DataFrame, eldest: DataFrame, words: int, percent: in
     return materialize(found.join(eldest.select("rid", "doc_id", "n"), "rid").mapInArrow(_ordered(percent), _SHARED), "shared")
 
 
+def clusters(index: DataFrame) -> DataFrame:
+    """(rid, cluster, tiles) of documents that large entries of ``index`` (rid, p, members) join, of clusters that have no more pairs than
+    their entries together."""
+    large = index.filter(F.col("members") >= LARGE)
+    joined = components(large.filter("rid <> p").select("rid", "p").distinct()).toDF("rid", "cluster")
+    held = materialize(large.groupBy("rid").agg(F.sum("members").alias("met")).join(joined, "rid"), "clusters")
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("met").alias("met")).filter("docs * docs <= met")
+    sizes = materialize(sizes.select("cluster", "docs", F.least(F.lit(TILES), F.ceil(F.col("docs") / TILE)).cast("long").alias("tiles")), "sizes")
+    return materialize(join_classes(held.drop("met"), sizes, ["cluster"], "docs").drop("docs"), "once")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles and component_id."""
     tune(docs.sparkSession)
@@ -307,7 +325,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     pivot = F.max(F.struct((F.col("room") / F.col("n")).alias("clean"), "n", (-F.col("rid")).alias("minus"), "rid", "room"))
     entries = index.groupBy("sig").agg(F.count("*").alias("members"), pivot.alias("pivot")).filter("members > 1")
     entries = materialize(entries.select("sig", "members", F.col("pivot.rid").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.room").alias("proom")), "entries")
-    index = materialize(join_classes(index, entries, ["sig"], "members").drop("members"), "index")
+    index = materialize(join_classes(index, entries, ["sig"], "members"), "index")
 
     def fits(n: str, m: str, *most: str) -> str:
         return f"least({', '.join(most)}) * {100 + percent} >= {percent} * ({n} + {m}) and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
@@ -323,14 +341,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     found = materialize(components(links), "components")
 
     known = shared.select("rid", F.col("doc_id").alias("id"), F.col("n").alias("size"), "kept", "marks").join(found, "id", "left").select("rid", "size", "kept", "marks", F.coalesce("component", "id").alias("component"))
-    named = index.select("sig", "rid", "n", "room").join(known.select("rid", "component"), "rid")
+    once = clusters(index)
+    large = F.col("members") >= LARGE
+    single = index.filter(~large).unionByName(index.filter(large).join(once.select("rid"), "rid", "left_anti"))
+    named = single.select("sig", "rid", "n", "room").join(known.select("rid", "component"), "rid")
     split = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("sig", "members")
     named = materialize(join_classes(named, materialize(split, "split"), ["sig"], "members").drop("members"), "open")
-    named = named.join(known.drop("component"), "rid")
-    other = named.select("sig", *(F.col(c).alias("b" + c) for c in named.columns if c not in ("sig", "rid", "component")), F.col("rid").alias("b"), F.col("component").alias("bc"))
     apart = " + ".join(f"bit_count(marks[{i}] ^ bmarks[{i}])" for i in range(MARKS))
-    alike = f"(kept + bkept - ({apart})) * {100 + percent} >= {2 * percent} * (size + bsize)"
-    rest = named.join(other, "sig").filter("rid < b and component <> bc").filter(fits("n", "bn", "room", "broom")).filter(alike).select(F.col("rid").alias("a"), "b").distinct()
+    alike = f"component <> bc and (kept + bkept - ({apart})) * {100 + percent} >= {2 * percent} * (size + bsize)"
+
+    def met(left: DataFrame, right: DataFrame, keys: list[str], condition: str) -> DataFrame:
+        """Pairs of rows of equal ``keys`` that may be links; the right side's columns begin with b."""
+        other = right.select(*keys, *(F.col(c).alias("b" + c) for c in right.columns if c not in (*keys, "rid", "component")), F.col("rid").alias("b"), F.col("component").alias("bc"))
+        return left.join(other, keys).filter(condition).filter(alike).select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b"))
+
+    named = named.join(known.drop("component"), "rid")
+    tiled = once.join(known.drop("id"), "rid").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
+    first = tiled.select("*", F.col("tile").alias("x"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("y"))
+    second = tiled.select("*", F.explode(F.expr("sequence(0L, tile)")).alias("x"), F.col("tile").alias("y"))
+    rest = met(named, named, ["sig"], f"rid < b and {fits('n', 'bn', 'room', 'broom')}").unionByName(met(first, second, ["cluster", "x", "y"], "x < y or rid < b")).distinct()
     more = materialize(verified(rest.join(star, ["a", "b"], "left_anti")), "links")
     if not more.isEmpty():
         found = materialize(components(found.select("id", "component").union(more)), "components")

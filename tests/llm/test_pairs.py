@@ -51,6 +51,28 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == h.components(docs)
 
 
+def test_pairs_of_near_copies_are_made_once(spark, monkeypatch):
+    """A few hundred entries with much the same unlinked members: their pairs are compared once a cluster, not once an entry."""
+    for name, value in (("PAIRS", 32), ("LARGE", 48), ("TILE", 40)):
+        monkeypatch.setattr(ngram_jaccard, name, value, raising=False)
+    rng = np.random.default_rng(8)
+    base = h.text_of(rng, 130)
+    docs = list(enumerate([h.edited(rng, base, int(n)) for n in rng.integers(0, 9, 300)]))
+    written, write = {}, ngram_jaccard.materialize
+
+    def kept(df, name):
+        written.setdefault(name, []).append(out := write(df, name))
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "materialize", kept)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(frame(spark, docs, 5)).collect()}
+    assert got == h.components(docs) and len({c for _, c in got.values()}) > 20
+    (index,), (left,) = written["index"], written["open"]
+    of_entries = sum(r["count"] ** 2 for r in index.groupBy("sig").count().collect())
+    assert of_entries > 20 * len(docs) ** 2  # entries hold the same pairs over and over
+    assert sum(r["count"] ** 2 for r in left.groupBy("sig").count().collect()) < 4 * len(docs) ** 2
+
+
 def test_jaccard_edges(spark):
     docs = frame(spark, [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, ""), (1, None)])
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs).collect()), key=repr)

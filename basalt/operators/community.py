@@ -73,34 +73,38 @@ def settled(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     order = np.argsort(nodes, kind="stable")
     place = np.minimum(np.searchsorted(nodes[order], e["j"]), len(nodes) - 1)
     target = np.where(nodes[order][place] == e["j"], order[place], -1)
-    before = label.copy()
-    label, size, factor = label.tolist(), size.tolist(), float(e["factor"][0])
-    links_to, frozen, weight, mass = target.tolist(), other.tolist(), e["w"].tolist(), k.tolist()
+    before, count = label.copy(), len(nodes)
+    owner = np.repeat(np.arange(count), ends - first)
+    apart = target != owner  # edges of a node to itself hold it nowhere
+    # the other end: a node of the range, or a place behind them that holds the community of a node elsewhere
+    place = np.where(target >= 0, target, count + other)[apart].tolist()
+    weight, cuts = e["w"][apart].tolist(), np.append(0, np.cumsum(np.bincount(owner[apart], minlength=count))).tolist()
+    near = [place[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    weights = [weight[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    label, size, rates = label.tolist() + list(range(len(names))), size.tolist(), (float(e["factor"][0]) * k).tolist()
+    mass, free = k.tolist(), np.flatnonzero(whole).tolist()
     for _ in range(SWEEPS):
         changed = False
-        for n in range(len(nodes)):
-            if not whole[n]:
-                continue
+        for n in free:
             links: dict[int, float] = {}
-            for x in range(first[n], ends[n]):
-                t = links_to[x]
-                if t != n:
-                    c = label[t] if t >= 0 else frozen[x]
-                    links[c] = links.get(c, 0.0) + weight[x]
-            home, rate = label[n], factor * mass[n]
+            get = links.get
+            for t, w in zip(near[n], weights[n]):  # noqa: B905  as long as each other
+                c = label[t]
+                links[c] = get(c, 0.0) + w
+            home, rate = label[n], rates[n]
             size[home] -= mass[n]
-            best, top = home, links.get(home, 0.0) - rate * size[home] + 1e-12
-            for c in sorted(links):
-                value = links[c] - rate * size[c]
-                if value > top:
+            best, top = home, get(home, 0.0) - rate * size[home] + 1e-12
+            for c, w in links.items():
+                value = w - rate * size[c]
+                if value > top or (value == top and best != home and c < best):  # ties go to the smallest
                     best, top = c, value
             size[best] += mass[n]
-            changed |= best != home
-            label[n] = best
+            if best != home:
+                label[n], changed = best, True
         if not changed:
             break
     # parts of a community without an edge to the rest of it come off
-    root = list(range(len(nodes)))
+    root = list(range(count))
 
     def find(n: int) -> int:
         while root[n] != n:
@@ -108,20 +112,22 @@ def settled(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             n = root[n]
         return n
 
-    tied = [False] * len(nodes)
-    for n in range(len(nodes)):
-        for x in range(first[n], ends[n]):
-            t = links_to[x]
-            if t >= 0 and label[t] == label[n]:
-                a, b = find(n), find(t)
-                root[max(a, b)] = min(a, b)
-            tied[n] |= (t < 0 and frozen[x] == label[n]) or not whole[n]
-    part = np.array([find(n) for n in range(len(nodes))])
-    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    tied = (~whole).tolist()
+    for n in range(count):
+        c = label[n]
+        for t in near[n]:
+            if label[t] == c:
+                if t >= count:
+                    tied[n] = True
+                else:
+                    a, b = find(n), find(t)
+                    root[max(a, b)] = min(a, b)
+    part = np.array([find(n) for n in range(count)])
+    least = np.full(count, np.iinfo(np.int64).max)
     np.minimum.at(least, part, nodes)
-    held = np.zeros(len(nodes), bool)
+    held = np.zeros(count, bool)
     np.logical_or.at(held, part, np.array(tied))
-    label = np.array(label)
+    label = np.array(label[:count])
     split = np.where(held[part], -1, least[part])
     return nodes, k, names[label], split, label != before
 
@@ -148,17 +154,17 @@ def _joined(graph: DataFrame, state: DataFrame) -> DataFrame:
     return graph.join(left, ["setting", "i"]).join(right, ["setting", "j"])
 
 
-def _quality(graph: DataFrame, state: DataFrame) -> dict[int, float]:
-    """Modularity by setting."""
-    ends = _joined(graph, state)
+def _quality(ends: DataFrame, state: DataFrame) -> dict[int, float]:
+    """Modularity by setting, of edges with the communities of both ends."""
     inside = ends.groupBy("setting").agg((F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w")).otherwise(0.0)) / F.first("total")).alias("inside"), (F.first("factor") / F.first("total")).alias("rate"))
     sizes = state.groupBy("setting", "community").agg(F.sum("k").alias("s")).groupBy("setting").agg(F.sum(F.col("s") * F.col("s")).alias("squares"))
     return {r["setting"]: r["inside"] - r["rate"] * r["squares"] for r in inside.join(sizes, "setting").collect()}  # a row a setting
 
 
-def _round(graph: DataFrame, state: DataFrame, parts: int) -> DataFrame:
-    """The state after a round: setting, node, community (named by its smallest node), k, degree, moved."""
-    ends = _joined(graph, state).select("setting", "ci", "i", "k", "degree", "si", "j", "cj", "sj", "w", "factor")
+def _round(ends: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+    """The state after a round: setting, node, community (named by its smallest node), k, degree, moved. ``ends``: edges with the
+    communities of both ends, written: ranges are drawn from a sample, which reads them twice."""
+    ends = ends.select("setting", "ci", "i", "k", "degree", "si", "j", "cj", "sj", "w", "factor")
     dealt = ends.repartitionByRange(parts, "setting", "ci", "i") if parts > 1 else ends.coalesce(1)
     found = dealt.sortWithinPartitions("setting", "ci", "i", "j").mapInArrow(_moves, _MOVES_SCHEMA)
     found = _table(found.groupBy("setting", "node").agg(F.max("k").alias("k"), F.max("label").alias("label"), F.max("split").alias("split"), F.max("moved").alias("moved")))
@@ -179,26 +185,29 @@ def communities_of(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
         state = _table(graph.groupBy("setting", F.col("i").alias("node")).agg(F.sum("w").alias("k"), F.count("*").alias("degree")).withColumn("community", F.col("node")))
         parts = max(1, -(-graph.count() // part_edges))
         rose = False
-        quality = _quality(graph, state) if parts > 1 else {}
+        ends = _table(_joined(graph, state))
+        quality = _quality(ends, state) if parts > 1 else {}
         for _ in range(ROUNDS if parts > 1 else 1):
-            after = _round(graph, state, parts)
+            after = _round(ends, state, parts)
             if parts == 1:
                 rose, state = bool(after.filter("moved").limit(1).count()), after
+                ends = _joined(graph, state)
                 break
-            reached = _quality(graph, after)
+            met = _table(_joined(graph, after))
+            reached = _quality(met, after)
             better = [s for s, q in reached.items() if q > quality[s] + LEAST_GAIN]
             if not better:
                 break
             kept = state.filter(~F.col("setting").isin(better)).select("setting", "node", "community", "k", "degree")
             state = _table(after.filter(F.col("setting").isin(better)).drop("moved").unionByName(kept))
+            ends = met.filter(F.col("setting").isin(better)).unionByName(ends.filter(~F.col("setting").isin(better)))
             quality |= {s: reached[s] for s in better}
             rose = True
         if not rose:
             return names
         step = state.select("setting", F.col("node").alias("old"), F.col("community").alias("new"))
         names = _table(names.withColumnRenamed("community", "old").join(step, ["setting", "old"]).select("setting", "node", F.col("new").alias("community")))
-        ends = graph.join(step.toDF("setting", "i", "a"), ["setting", "i"]).join(step.toDF("setting", "j", "b"), ["setting", "j"])
-        graph = _table(ends.groupBy("setting", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("w"), F.first("total").alias("total"), F.first("factor").alias("factor")))
+        graph = _table(ends.groupBy("setting", F.col("ci").alias("i"), F.col("cj").alias("j")).agg(F.sum("w").alias("w"), F.first("total").alias("total"), F.first("factor").alias("factor")))
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, part_edges: int = PART_EDGES) -> DataFrame:

@@ -90,3 +90,23 @@ def test_no_weight(spark):
     assert {(r["node"], r["community"]) for r in none} == {(1, 1), (2, 2), (3, 3)}
     loops = community.communities(spark.createDataFrame([(7, 7, 2.0), (1, 2, 1.0)], schema)).collect()
     assert len({r["community"] for r in loops}) == 2
+
+
+def test_a_round_joins_the_edges_once(spark, monkeypatch):
+    """Edges meet the communities of their ends once a round and once a level; what a round needs and its modularity come from that table."""
+    calls = {"_joined": 0, "_round": 0, "_quality": 0}
+
+    def counted(name, f):
+        def call(*args):
+            calls[name] += 1
+            return f(*args)
+
+        return call
+
+    for name in calls:
+        monkeypatch.setattr(community, name, counted(name, getattr(community, name)))
+    edges = _graph(1)
+    of = {r["node"]: r["community"] for r in community.communities(spark.createDataFrame(edges, "i long, j long, w double"), 1.0, 900).collect()}
+    assert _modularity(edges, of) >= _modularity(edges, {n: n // 15 for n in of}) - 0.02
+    assert calls["_quality"] > 1  # levels of several ranges
+    assert calls["_joined"] <= 2 * calls["_round"] and calls["_joined"] < calls["_quality"] + calls["_round"]

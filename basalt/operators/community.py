@@ -1,17 +1,19 @@
 """Communities of neighbour graphs by modularity: local moves within parts of the graph, refinement, then the same on communities.
 
-Edges of all settings (a graph and a resolution each) are one table, so the number of jobs does not follow the settings. In a
+Edges of all settings (a graph and a resolution each) are one table, so the number of jobs does not follow the settings. A setting of at most
+``WHOLE`` times ``PART_EDGES`` edges is taken through all its levels by one task, and its moves are exact. Of larger settings, in a
 round the edges are cut into ranges of (setting, community, node) of about ``PART_EDGES``; a task lets the nodes of its range
 move one after the other to the neighbouring community of the largest gain, with the other ranges' nodes as they were. A node whose
 edges are cut by a border stays in that round, so no task holds more than its range. Then communities are split
-into connected parts. A graph of one range needs one round a level and its moves are exact; with more ranges up to ``ROUNDS`` rounds
-are made, and one that does not raise a setting's modularity is taken back for it. Then communities become the nodes of a smaller graph. Each
-level halves the nodes or ends, so jobs are bounded by ``ROUNDS`` times the logarithm of the nodes.
+into connected parts. Up to ``ROUNDS`` rounds are made a level, and one that does not raise a setting's modularity is taken back for it. Then
+communities become the nodes of a smaller graph. A setting is done when a level does not raise its modularity, and goes to one task as soon as it
+fits. Each level halves the nodes or ends, so jobs are bounded by ``ROUNDS`` times the logarithm of the nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,18 @@ from pyspark.sql import functions as F
 
 from basalt.sources.tables import scratch
 
-PART_EDGES = 1 << 20
+PART_EDGES = 1 << 21
+#: So many ranges' edges of one setting are taken through all levels by one task; an edge takes half the room of one in a range.
+WHOLE = 2
 ROUNDS = 4
 SWEEPS = 20
 LEAST_GAIN = 1e-7
 
 _MOVES = pa.schema([("setting", pa.int32()), ("node", pa.int64()), ("k", pa.float64()), ("label", pa.int64()), ("split", pa.int64()), ("moved", pa.bool_())])
 _MOVES_SCHEMA = "setting int, node long, k double, label long, split long, moved boolean"
+_NAMES = pa.schema([("setting", pa.int32()), ("node", pa.int64()), ("community", pa.int64())])
+_NAMES_SCHEMA = "setting int, node long, community long"
+_OF_NODE, _OF_EDGE = ("i", "ci", "k", "degree", "si"), ("j", "cj", "sj", "w")
 
 
 def fuzzy_weights(neighbours: DataFrame, k: int) -> DataFrame:
@@ -59,29 +66,54 @@ def _table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _narrow(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Edges, those of a node together, with what belongs to a node once for it; ``edges``: how many it has."""
+    first = np.flatnonzero(np.append(True, e["i"][1:] != e["i"][:-1]))
+    return {n: e[n][first] for n in _OF_NODE} | {"edges": np.diff(np.append(first, len(e["i"])))} | {n: e[n] for n in _OF_EDGE}
+
+
+def _whole(pieces: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Pieces one behind the other; a node may go over several. Columns are let go as they are joined."""
+    e = {n: np.concatenate([p.pop(n) for p in pieces]) for n in (*_OF_EDGE, *_OF_NODE, "edges")}
+    first = np.flatnonzero(np.append(True, e["i"][1:] != e["i"][:-1]))
+    return e | {n: e[n][first] for n in _OF_NODE} | {"edges": np.add.reduceat(e["edges"], first)}
+
+
 def settled(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Nodes of one range of one setting after their moves: node, k, label, split (the smallest node of a part that came off, else
     -1), moved. ``e``: edges, those of a node together, with both ends' communities and their sizes."""
-    first = np.flatnonzero(np.append(True, e["i"][1:] != e["i"][:-1]))
-    nodes, k = e["i"][first], e["k"][first]
-    ends = np.append(first[1:], len(e["i"]))
-    whole = ends - first == e["degree"][first]
+    return _settled(_narrow(e), float(e["factor"][0]))
+
+
+def _settled(e: dict[str, np.ndarray], factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    nodes, k, count = e["i"], e["k"], len(e["i"])
     names, at = np.unique(np.concatenate([e["ci"], e["cj"]]), return_inverse=True)
     size = np.zeros(len(names))
     size[at] = np.concatenate([e["si"], e["sj"]])
-    label, other = at[: len(e["i"])][first], at[len(e["i"]) :]
+    before, other = at[:count], at[count:]
     order = np.argsort(nodes, kind="stable")
-    place = np.minimum(np.searchsorted(nodes[order], e["j"]), len(nodes) - 1)
+    place = np.minimum(np.searchsorted(nodes[order], e["j"]), count - 1)
     target = np.where(nodes[order][place] == e["j"], order[place], -1)
-    before, count = label.copy(), len(nodes)
-    owner = np.repeat(np.arange(count), ends - first)
-    apart = target != owner  # edges of a node to itself hold it nowhere
     # the other end: a node of the range, or a place behind them that holds the community of a node elsewhere
-    place = np.where(target >= 0, target, count + other)[apart].tolist()
-    weight, cuts = e["w"][apart].tolist(), np.append(0, np.cumsum(np.bincount(owner[apart], minlength=count))).tolist()
+    target = np.where(target >= 0, target, count + other)
+    label, part, held = _moved(nodes, k, e["edges"], target, e["w"], before, size, factor, e["edges"] == e["degree"])
+    return nodes, k, names[label], np.where(held, -1, part), label != before
+
+
+def _moved(nodes: np.ndarray, k: np.ndarray, edges: np.ndarray, target: np.ndarray, w: np.ndarray, label: np.ndarray, size: np.ndarray, factor: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each node its label after the moves, the smallest node of its part of that community, and whether the part may go on
+    outside. ``target``: the places of the other ends, behind those of the nodes the communities'; nodes that are not ``whole`` stay."""
+    count = len(nodes)
+    owner = np.repeat(np.arange(count), edges)
+    apart = target != owner  # edges of a node to itself hold it nowhere
+    cuts = np.append(0, np.cumsum(np.bincount(owner[apart], minlength=count))).tolist()
+    numbers = np.arange(count + len(size)).astype(object)  # a number is one object, however many edges lead there
+    place, weight = numbers[target[apart]].tolist(), w[apart].tolist()
+    del owner, apart, target, w
     near = [place[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     weights = [weight[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    label, size, rates = label.tolist() + list(range(len(names))), size.tolist(), (float(e["factor"][0]) * k).tolist()
+    del place, weight
+    label, size, rates = numbers[label].tolist() + numbers[: len(size)].tolist(), size.tolist(), (factor * k).tolist()
     mass, free = k.tolist(), np.flatnonzero(whole).tolist()
     for _ in range(SWEEPS):
         changed = False
@@ -127,22 +159,82 @@ def settled(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     np.minimum.at(least, part, nodes)
     held = np.zeros(count, bool)
     np.logical_or.at(held, part, np.array(tied))
-    label = np.array(label[:count])
-    split = np.where(held[part], -1, least[part])
-    return nodes, k, names[label], split, label != before
+    return np.array(label[:count]), least[part], held[part]
+
+
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before."""
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
 
 
-def _moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]  # a range of edges
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    columns = {n: table.column(n).to_numpy() for n in table.column_names}
-    cuts = np.append(np.flatnonzero(np.append(True, columns["setting"][1:] != columns["setting"][:-1])), table.num_rows).tolist()
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        node, k, label, split, moved = settled({n: c[lo:hi] for n, c in columns.items()})
-        one = np.full(len(node), columns["setting"][lo], np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(node), pa.array(k), pa.array(label), pa.array(split), pa.array(moved)], schema=_MOVES)
+def levels(i: np.ndarray, j: np.ndarray, w: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of one setting and their communities after all levels. ``i, j, w``: its edges in both directions, by ``i`` and ``j``."""
+    nodes = i[_first(i)]
+    i, j = np.searchsorted(nodes, i).astype(np.int32), np.searchsorted(nodes, j).astype(np.int32)
+    of = least = np.arange(len(nodes))  # the community of each node, the smallest node of each community: both in order
+    while True:
+        first, here = _first(i), np.arange(len(least))
+        k = np.add.reduceat(w, first)
+        label, part, _ = _moved(here, k, np.diff(np.append(first, len(i))), j, w, here, k, factor, np.ones(len(here), bool))
+        order = np.lexsort((here, part, label))
+        first = _first(label[order], part[order])
+        smallest = np.empty_like(here)
+        smallest[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+        names, at = np.unique(smallest, return_inverse=True)
+        if len(names) == len(here):
+            return nodes, nodes[least[of]]
+        of, least = at[of], least[names]
+        pairs = at[i] * len(names) + at[j]
+        order = np.argsort(pairs)
+        pairs, w = pairs[order], w[order]
+        first = _first(pairs)
+        i, j, w = (pairs[first] // len(names)).astype(np.int32), (pairs[first] % len(names)).astype(np.int32), np.add.reduceat(w, first)
+
+
+def _by_setting(batches: Iterator[pa.RecordBatch], form: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> Iterator[tuple[int, list[dict[str, np.ndarray]]]]:
+    """Settings and their rows in pieces, each brought into its ``form`` as it comes."""
+    held: list[dict[str, np.ndarray]] = []
+    own = None
+    for batch in batches:
+        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        setting = columns.pop("setting")
+        cuts = [*_first(setting).tolist(), batch.num_rows] if batch.num_rows else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and own != setting[lo]:
+                yield own, held
+                held = []
+            own = int(setting[lo])
+            held.append(form({n: c[lo:hi] for n, c in columns.items()}))
+    if held:
+        yield own, held
+
+
+def _moves(factors: dict[int, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for setting, pieces in _by_setting(batches, _narrow):  # a range of edges
+            node, k, label, split, moved = _settled(_whole(pieces), factors[setting])
+            one = np.full(len(node), setting, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(node), pa.array(k), pa.array(label), pa.array(split), pa.array(moved)], schema=_MOVES)
+
+    return run
+
+
+def _ended(graph: DataFrame, edges: dict[int, int], factors: dict[int, float]) -> DataFrame:
+    """(setting, node, community) of settings that fit into a task each, after all levels. ``edges``: how many each has."""
+    load = [0] * min(len(edges), max(graph.sparkSession.sparkContext.defaultParallelism, -(-sum(edges.values()) // PART_EDGES)))
+    place = {}
+    for setting in sorted(edges, key=lambda s: (-edges[s], s)):  # the largest first, each to the task with the least
+        place[setting] = load.index(min(load))
+        load[place[setting]] += edges[setting]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for setting, pieces in _by_setting(batches, dict):
+            node, community = levels(*(np.concatenate([p.pop(n) for p in pieces]) for n in ("i", "j", "w")), factors[setting])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), setting, np.int32)), pa.array(node), pa.array(community)], schema=_NAMES)
+
+    task = F.element_at(F.create_map(*(F.lit(x) for pair in place.items() for x in pair)), F.col("setting"))
+    own = graph.filter(F.col("setting").isin(list(edges))).select("setting", "i", "j", "w")
+    return own.repartitionById(len(load), task).sortWithinPartitions("setting", "i", "j").mapInArrow(run, _NAMES_SCHEMA)
 
 
 def _joined(graph: DataFrame, state: DataFrame) -> DataFrame:
@@ -155,18 +247,18 @@ def _joined(graph: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _quality(ends: DataFrame, state: DataFrame) -> dict[int, float]:
-    """Modularity by setting, of edges with the communities of both ends."""
-    inside = ends.groupBy("setting").agg((F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w")).otherwise(0.0)) / F.first("total")).alias("inside"), (F.first("factor") / F.first("total")).alias("rate"))
+    """Modularity by setting, of edges with the communities of both ends; 0 without weight."""
+    share = lambda x: F.coalesce(F.try_divide(x, F.first("total")), F.lit(0.0))
+    inside = ends.groupBy("setting").agg(share(F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w")).otherwise(0.0))).alias("inside"), share(F.first("factor")).alias("rate"))
     sizes = state.groupBy("setting", "community").agg(F.sum("k").alias("s")).groupBy("setting").agg(F.sum(F.col("s") * F.col("s")).alias("squares"))
     return {r["setting"]: r["inside"] - r["rate"] * r["squares"] for r in inside.join(sizes, "setting").collect()}  # a row a setting
 
 
-def _round(ends: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+def _round(ends: DataFrame, state: DataFrame, parts: int, factors: dict[int, float]) -> DataFrame:
     """The state after a round: setting, node, community (named by its smallest node), k, degree, moved. ``ends``: edges with the
     communities of both ends, written: ranges are drawn from a sample, which reads them twice."""
-    ends = ends.select("setting", "ci", "i", "k", "degree", "si", "j", "cj", "sj", "w", "factor")
-    dealt = ends.repartitionByRange(parts, "setting", "ci", "i") if parts > 1 else ends.coalesce(1)
-    found = dealt.sortWithinPartitions("setting", "ci", "i", "j").mapInArrow(_moves, _MOVES_SCHEMA)
+    ends = ends.select("setting", "ci", "i", "k", "degree", "si", "j", "cj", "sj", "w")
+    found = ends.repartitionByRange(parts, "setting", "ci", "i").sortWithinPartitions("setting", "ci", "i", "j").mapInArrow(_moves(factors), _MOVES_SCHEMA)
     found = _table(found.groupBy("setting", "node").agg(F.max("k").alias("k"), F.max("label").alias("label"), F.max("split").alias("split"), F.max("moved").alias("moved")))
     names = found.groupBy("setting", "label", "split").agg(F.min("node").alias("community"))
     return _table(found.join(names, ["setting", "label", "split"]).join(state.select("setting", "node", "degree"), ["setting", "node"]).select("setting", "node", "community", "k", "degree", "moved"))
@@ -180,19 +272,26 @@ def communities_of(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
     both = _table(both.unionByName(both.select(*key, F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy(*key, "i", "j").agg(F.sum("w").alias("w")))
     totals = both.groupBy(*key).agg(F.sum("w").alias("total")).select("setting", "total", F.try_divide("resolution", F.col("total")).alias("factor"))
     graph = both.drop("resolution").join(F.broadcast(totals.fillna(0.0)), "setting")  # a row a setting
-    names = _table(both.select("setting", F.col("i").alias("node"), F.col("i").alias("community")).distinct())
+    names = both.select("setting", F.col("i").alias("node"), F.col("i").alias("community")).distinct()
+    done, first = [names.limit(0)], True
     while True:
+        sizes = graph.groupBy("setting").agg(F.count("*").alias("edges"), F.first("factor").alias("factor")).collect()  # a row a setting
+        factors = {r["setting"]: r["factor"] for r in sizes}
+        fits = {r["setting"]: r["edges"] for r in sizes if r["edges"] <= WHOLE * part_edges}
+        if fits:
+            ended = _table(_ended(graph, fits, factors))
+            done.append(ended if first else _named(names, ended))
+        large = [s for s in factors if s not in fits]
+        if not large:
+            break
+        graph, names, first = graph.filter(F.col("setting").isin(large)), names.filter(F.col("setting").isin(large)), False
         state = _table(graph.groupBy("setting", F.col("i").alias("node")).agg(F.sum("w").alias("k"), F.count("*").alias("degree")).withColumn("community", F.col("node")))
-        parts = max(1, -(-graph.count() // part_edges))
-        rose = False
+        parts = -(-sum(r["edges"] for r in sizes if r["setting"] in large) // part_edges)
         ends = _table(_joined(graph, state))
-        quality = _quality(ends, state) if parts > 1 else {}
-        for _ in range(ROUNDS if parts > 1 else 1):
-            after = _round(ends, state, parts)
-            if parts == 1:
-                rose, state = bool(after.filter("moved").limit(1).count()), after
-                ends = _joined(graph, state)
-                break
+        quality = _quality(ends, state)
+        rose: set[int] = set()
+        for _ in range(ROUNDS):
+            after = _round(ends, state, parts, factors)
             met = _table(_joined(graph, after))
             reached = _quality(met, after)
             better = [s for s, q in reached.items() if q > quality[s] + LEAST_GAIN]
@@ -202,12 +301,20 @@ def communities_of(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
             state = _table(after.filter(F.col("setting").isin(better)).drop("moved").unionByName(kept))
             ends = met.filter(F.col("setting").isin(better)).unionByName(ends.filter(~F.col("setting").isin(better)))
             quality |= {s: reached[s] for s in better}
-            rose = True
+            rose |= set(better)
+        done.append(names.filter(~F.col("setting").isin(list(rose))))
         if not rose:
-            return names
-        step = state.select("setting", F.col("node").alias("old"), F.col("community").alias("new"))
-        names = _table(names.withColumnRenamed("community", "old").join(step, ["setting", "old"]).select("setting", "node", F.col("new").alias("community")))
+            break
+        names = _table(_named(names.filter(F.col("setting").isin(list(rose))), state.select("setting", "node", "community")))
+        ends = ends.filter(F.col("setting").isin(list(rose)))
         graph = _table(ends.groupBy("setting", F.col("ci").alias("i"), F.col("cj").alias("j")).agg(F.sum("w").alias("w"), F.first("total").alias("total"), F.first("factor").alias("factor")))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _named(names: DataFrame, step: DataFrame) -> DataFrame:
+    """``names`` a level on; ``step``: the community of each community."""
+    told = step.select("setting", F.col("node").alias("old"), F.col("community").alias("new"))
+    return names.withColumnRenamed("community", "old").join(told, ["setting", "old"]).select("setting", "node", F.col("new").alias("community"))
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, part_edges: int = PART_EDGES) -> DataFrame:

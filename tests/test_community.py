@@ -110,3 +110,53 @@ def test_a_round_joins_the_edges_once(spark, monkeypatch):
     assert _modularity(edges, of) >= _modularity(edges, {n: n // 15 for n in of}) - 0.02
     assert calls["_quality"] > 1  # levels of several ranges
     assert calls["_joined"] <= 2 * calls["_round"] and calls["_joined"] < calls["_quality"] + calls["_round"]
+
+
+def _by_levels(edges, resolution):
+    """Level by level with ``settled``: what a task makes of a setting."""
+    w = {}
+    for i, j, x in edges:
+        w[i, j], w[j, i] = w.get((i, j), 0.0) + x, w.get((j, i), 0.0) + x
+    factor, of = resolution / sum(w.values()), {i: i for i, _ in w}
+    while True:
+        rows = sorted((i, j, x) for (i, j), x in w.items())
+        k, degree = {}, {}
+        for i, _, x in rows:
+            k[i], degree[i] = k.get(i, 0.0) + x, degree.get(i, 0) + 1
+        i, j, x = (np.array(c) for c in zip(*rows, strict=True))
+        e = {"i": i, "j": j, "w": x, "ci": i, "cj": j, "k": np.array([k[n] for n in i]), "degree": np.array([degree[n] for n in i]), "factor": np.full(len(i), factor)}
+        node, _, label, split, moved = community.settled(e | {"si": e["k"], "sj": np.array([k[n] for n in j])})
+        if not moved.any():
+            return of
+        least: dict = {}
+        for n, *part in zip(node.tolist(), label.tolist(), split.tolist(), strict=True):
+            least[tuple(part)] = min(n, least.get(tuple(part), n))
+        step = {n: least[tuple(part)] for n, *part in zip(node.tolist(), label.tolist(), split.tolist(), strict=True)}
+        of, w = {n: step[c] for n, c in of.items()}, {}
+        for a, b, y in rows:
+            w[step[a], step[b]] = w.get((step[a], step[b]), 0.0) + y
+
+
+def test_a_setting_that_fits_is_one_task(spark, monkeypatch):
+    """All levels of a small setting in one task: no joins a level; beside a setting in ranges it gets what it gets alone."""
+    joined = []
+    monkeypatch.setattr(community, "_joined", lambda *args, f=community._joined: joined.append(1) or f(*args))
+    small, large = _graph(5, 40, 3, 0.01), [(i * 7, j * 7, w) for i, j, w in _graph(1)]
+    assert len(small) * 2 <= 900 < len(large) * 2
+    alone = {r["node"]: r["community"] for r in community.communities(spark.createDataFrame(small, "i long, j long, w double")).collect()}
+    assert not joined and alone == _by_levels(small, 1.0)
+    rows = [(7, 1.0, *e) for e in small] + [(3, 1.0, *e) for e in large]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # nodes and settings go over several batches
+    try:
+        found = community.communities_of(spark.createDataFrame(rows, "setting int, resolution double, i long, j long, w double"), 900).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert joined and len(found) == len({i for e in small for i in e[:2]}) + 180
+    assert {r["node"]: r["community"] for r in found if r["setting"] == 7} == alone
+    of = {r["node"]: r["community"] for r in found if r["setting"] == 3}
+    assert _modularity(large, of) >= _modularity(large, {n: n // 105 for n in of}) - 0.02 and _connected(large, of)
+
+
+def test_no_weight_in_ranges(spark):
+    none = community.communities(spark.createDataFrame([(i, i + 1, 0.0) for i in range(9)], "i long, j long, w double"), 1.0, 4).collect()
+    assert {(r["node"], r["community"]) for r in none} == {(i, i) for i in range(10)}

@@ -117,3 +117,24 @@ def test_lists_of_cells_are_completed(spark):
     want = {(r["i"], r["j"], r["rank"]) for r in knn.nearest(df, "id", "v", 5).collect()}
     assert {(r["i"], r["j"], r["rank"]) for r in found.collect()} != want
     assert {(r["i"], r["j"], r["rank"]) for r in cells.completed(df, found, "id", "v", 5).collect()} == want
+
+
+def test_sums_take_room_for_the_clusters_there_are():
+    """Once a cluster came in a later pack, each further pack took half as much room again: a worker was out of memory at 48 packs."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(40, 6, 3))
+
+    def pack(p):
+        names = [["a", f"b{p // 8}"], [f"c{p}"]]
+        codes = np.array([[0, 1, 0, 1, 0, 1], [0] * 6], np.int32)
+        ids = np.arange(6, dtype=np.int64) + 6 * p
+        return knn._Pack({"ids": ids.tobytes(), "v": v[p].tobytes(), "single": False, "names": names, "codes": codes.tobytes(), "most": np.full(6, np.inf).tobytes(), "own": p == 0})
+
+    packs = [pack(p) for p in range(40)]
+    sums = knn._Sums(packs[:1])
+    for p in packs:
+        sums.meet(p)
+    assert [len(p) for p in sums.place] == [6, 40] and all(len(t) <= 2 * len(p) for t, p in zip(sums.total, sums.place, strict=True))
+    d = np.sqrt(((v.reshape(-1, 1, 3) - v[0][None]) ** 2).sum(-1))
+    assert sums.total[0][sums.place[0]["b2"]] == pytest.approx(d.reshape(40, 6, 6)[16:24, 1::2].sum((0, 1)))
+    assert sums.total[1][sums.place[1]["c39"]] == pytest.approx(d[-6:].sum(0))

@@ -85,7 +85,15 @@ def settled(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return _settled(_narrow(e), float(e["factor"][0]))
 
 
-def _settled(e: dict[str, np.ndarray], factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _stays(names: np.ndarray, turn: int) -> np.ndarray:
+    """Half of the communities by a hash; in the next turn the other half, then halves of another hash."""
+    mixed = (names.astype(np.uint64) + np.uint64(turn // 2)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(40)) + np.uint64(turn)) % np.uint64(2) == 0
+
+
+def _settled(e: dict[str, np.ndarray], factor: float, turn: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``settled``. With a ``turn`` half of the communities, and those that go over a border, keep their nodes; a node joins others that are
+    not of the range only where they keep theirs. What is joined is then there, and parts that hold on to it stay with it."""
     nodes, k, count = e["i"], e["k"], len(e["i"])
     names, at = np.unique(np.concatenate([e["ci"], e["cj"]]), return_inverse=True)
     size = np.zeros(len(names))
@@ -96,16 +104,26 @@ def _settled(e: dict[str, np.ndarray], factor: float) -> tuple[np.ndarray, np.nd
     target = np.where(nodes[order][place] == e["j"], order[place], -1)
     # the other end: a node of the range, or a place behind them that holds the community of a node elsewhere
     target = np.where(target >= 0, target, count + other)
-    label, part, held = _moved(nodes, k, e["edges"], target, e["w"], before, size, factor, e["edges"] == e["degree"])
+    whole = e["edges"] == e["degree"]
+    free, kept = whole, None
+    if turn is not None:
+        stays, kept = _stays(names, turn), np.ones(count + len(names), bool)
+        kept[count:] = stays
+        kept[count + before] = True
+        free = whole & ~stays[before] & (np.bincount(before, k, len(names)) >= size * (1 - 1e-9))[before]
+    label, part, held = _moved(nodes, k, e["edges"], target, e["w"], before, size, factor, free, kept)
     return nodes, k, names[label], np.where(held, -1, part), label != before
 
 
-def _moved(nodes: np.ndarray, k: np.ndarray, edges: np.ndarray, target: np.ndarray, w: np.ndarray, label: np.ndarray, size: np.ndarray, factor: float, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _moved(nodes: np.ndarray, k: np.ndarray, edges: np.ndarray, target: np.ndarray, w: np.ndarray, label: np.ndarray, size: np.ndarray, factor: float, free: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each node its label after the moves, the smallest node of its part of that community, and whether the part may go on
-    outside. ``target``: the places of the other ends, behind those of the nodes the communities'; nodes that are not ``whole`` stay."""
+    outside, as that of a node that stays. ``target``: the places of the other ends, behind those of the nodes the communities';
+    only ``free`` nodes move, and only along edges to ``kept`` places."""
     count = len(nodes)
     owner = np.repeat(np.arange(count), edges)
     apart = target != owner  # edges of a node to itself hold it nowhere
+    if kept is not None:
+        apart &= kept[target]
     cuts = np.append(0, np.cumsum(np.bincount(owner[apart], minlength=count))).tolist()
     numbers = np.arange(count + len(size)).astype(object)  # a number is one object, however many edges lead there
     place, weight = numbers[target[apart]].tolist(), w[apart].tolist()
@@ -114,7 +132,7 @@ def _moved(nodes: np.ndarray, k: np.ndarray, edges: np.ndarray, target: np.ndarr
     weights = [weight[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     del place, weight
     label, size, rates = numbers[label].tolist() + numbers[: len(size)].tolist(), size.tolist(), (factor * k).tolist()
-    mass, free = k.tolist(), np.flatnonzero(whole).tolist()
+    mass, tied, free = k.tolist(), (~free).tolist(), np.flatnonzero(free).tolist()
     for _ in range(SWEEPS):
         changed = False
         for n in free:
@@ -144,7 +162,6 @@ def _moved(nodes: np.ndarray, k: np.ndarray, edges: np.ndarray, target: np.ndarr
             n = root[n]
         return n
 
-    tied = (~whole).tolist()
     for n in range(count):
         c = label[n]
         for t in near[n]:
@@ -209,10 +226,10 @@ def _by_setting(batches: Iterator[pa.RecordBatch], form: Callable[[dict[str, np.
         yield own, held
 
 
-def _moves(factors: dict[int, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _moves(factors: dict[int, float], turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for setting, pieces in _by_setting(batches, _narrow):  # a range of edges
-            node, k, label, split, moved = _settled(_whole(pieces), factors[setting])
+            node, k, label, split, moved = _settled(_whole(pieces), factors[setting], turn)
             one = np.full(len(node), setting, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(node), pa.array(k), pa.array(label), pa.array(split), pa.array(moved)], schema=_MOVES)
 
@@ -254,11 +271,11 @@ def _quality(ends: DataFrame, state: DataFrame) -> dict[int, float]:
     return {r["setting"]: r["inside"] - r["rate"] * r["squares"] for r in inside.join(sizes, "setting").collect()}  # a row a setting
 
 
-def _round(ends: DataFrame, state: DataFrame, parts: int, factors: dict[int, float]) -> DataFrame:
+def _round(ends: DataFrame, state: DataFrame, parts: int, factors: dict[int, float], turn: int) -> DataFrame:
     """The state after a round: setting, node, community (named by its smallest node), k, degree, moved. ``ends``: edges with the
     communities of both ends, written: ranges are drawn from a sample, which reads them twice."""
     ends = ends.select("setting", "ci", "i", "k", "degree", "si", "j", "cj", "sj", "w")
-    found = ends.repartitionByRange(parts, "setting", "ci", "i").sortWithinPartitions("setting", "ci", "i", "j").mapInArrow(_moves(factors), _MOVES_SCHEMA)
+    found = ends.repartitionByRange(parts, "setting", "ci", "i").sortWithinPartitions("setting", "ci", "i", "j").mapInArrow(_moves(factors, turn), _MOVES_SCHEMA)
     found = _table(found.groupBy("setting", "node").agg(F.max("k").alias("k"), F.max("label").alias("label"), F.max("split").alias("split"), F.max("moved").alias("moved")))
     names = found.groupBy("setting", "label", "split").agg(F.min("node").alias("community"))
     return _table(found.join(names, ["setting", "label", "split"]).join(state.select("setting", "node", "degree"), ["setting", "node"]).select("setting", "node", "community", "k", "degree", "moved"))
@@ -290,12 +307,14 @@ def communities_of(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
         ends = _table(_joined(graph, state))
         quality = _quality(ends, state)
         rose: set[int] = set()
-        for _ in range(ROUNDS):
-            after = _round(ends, state, parts, factors)
+        still = 0
+        for turn in range(ROUNDS):
+            after = _round(ends, state, parts, factors, turn)
             met = _table(_joined(graph, after))
             reached = _quality(met, after)
             better = [s for s, q in reached.items() if q > quality[s] + LEAST_GAIN]
-            if not better:
+            still = 0 if better else still + 1
+            if still == 2:  # neither half of the communities has a move that counts
                 break
             kept = state.filter(~F.col("setting").isin(better)).select("setting", "node", "community", "k", "degree")
             state = _table(after.filter(F.col("setting").isin(better)).drop("moved").unionByName(kept))

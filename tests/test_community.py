@@ -160,3 +160,20 @@ def test_a_setting_that_fits_is_one_task(spark, monkeypatch):
 def test_no_weight_in_ranges(spark):
     none = community.communities(spark.createDataFrame([(i, i + 1, 0.0) for i in range(9)], "i long, j long, w double"), 1.0, 4).collect()
     assert {(r["node"], r["community"]) for r in none} == {(i, i) for i in range(10)}
+
+
+def test_ends_in_two_ranges_meet(spark, monkeypatch):
+    """Pairs whose ends lie in different ranges: both went to the other's place, or what joined came off from what it had joined."""
+    rounds = []
+    monkeypatch.setattr(community, "_round", lambda *args, f=community._round: rounds.append(1) or f(*args))
+    pairs = [(i, i + 200, 1.0) for i in range(200)]
+    of = {r["node"]: r["community"] for r in community.communities(spark.createDataFrame(pairs, "i long, j long, w double"), 1.0, 100).collect()}
+    assert of == {n: n % 200 for n in range(400)}
+    rounds.clear()
+    rng = np.random.default_rng(3)
+    place = rng.permutation(600)  # a ring, numbers without order
+    ring = [(int(place[i]), int(place[(i + d) % 600]), float(rng.uniform(0.5, 1.5))) for i in range(600) for d in (1, 2, 3)]
+    frame = spark.createDataFrame(ring, "i long, j long, w double")
+    whole, parts = ({r["node"]: r["community"] for r in community.communities(frame, 1.0, n).collect()} for n in (1 << 20, 500))
+    assert rounds and _connected(ring, parts) and all(parts[c] == c for c in set(parts.values()))
+    assert _modularity(ring, parts) >= _modularity(ring, whole) - 0.05
